@@ -280,7 +280,7 @@ def sentence_alignment(df: DataFrame, orig: str = "original", new: str = "rewrit
     projected first so the lambda reads columns, not re-evaluated splits."""
     out = df.withColumn("_a", split_sentences(orig)).withColumn("_b", split_sentences(new))
     longer = F.aggregate(
-        F.transform("_a", lambda x, i: F.when(F.length(F.get("_b", i)) > F.length(x), 1).otherwise(0)),
+        F.zip_with("_a", "_b", lambda x, y: F.when(F.length(y) > F.length(x), 1).otherwise(0)),
         F.lit(0), lambda acc, x: acc + x)
     out = out.withColumn("n_orig", F.size("_a").cast("bigint")).withColumn("n_new", F.size("_b").cast("bigint")) \
         .withColumn("n_longer", longer.cast("bigint")).drop("_a", "_b")
