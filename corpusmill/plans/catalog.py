@@ -2,5 +2,6 @@
 
 from corpusmill.plans import prepare_queries  # noqa: F401  (B, C)
 from corpusmill.plans import rewrite_queries  # noqa: F401  (D)
+from corpusmill.plans import chat_queries  # noqa: F401  (E)
 from corpusmill.plans import think_queries  # noqa: F401  (F)
 from corpusmill.plans.registry import ORACLE, QUERIES  # noqa: F401
