@@ -6,4 +6,5 @@ from corpusmill.plans import rewrite_queries  # noqa: F401  (D)
 from corpusmill.plans import chat_queries  # noqa: F401  (E)
 from corpusmill.plans import think_queries  # noqa: F401  (F)
 from corpusmill.plans import token_queries  # noqa: F401  (G, H)
+from corpusmill.plans import stream_queries  # noqa: F401  (I)
 from corpusmill.plans.registry import ORACLE, QUERIES  # noqa: F401
