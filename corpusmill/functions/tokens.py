@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import WS_CLASS_BODY, alternation, col_of
+from corpusmill.functions.text import WS_CLASS_BODY, alternation, col_of, regex_escape
 
 # Special tokens the training settings keep, in settings order.
 KEEP_TOKENS = ("<|im_start|>", "<|im_end|>", "<think>", "</think>", "<|endoftext|>")
@@ -25,9 +25,25 @@ THINK_TAGS = ("<think>", "</think>")
 
 def token_pattern(special=SPECIAL_TOKENS) -> str:
     """Special tokens (atomic), letter runs, digit runs, any other single
-    non-whitespace character."""
-    head = alternation(special) + "|" if special else ""
-    return head + "[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + WS_CLASS_BODY + "]"
+    non-whitespace character.  Specials sharing a first character are
+    factored behind it, so most positions fail the special branch after one
+    character comparison."""
+    tail = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + WS_CLASS_BODY + "]"
+    if not special:
+        return tail
+    by_first: dict[str, list[str]] = {}
+    for t in special:
+        by_first.setdefault(t[0], []).append(t[1:])
+    heads = []
+    for first in sorted(by_first):
+        rests = sorted(set(by_first[first]), key=lambda t: (-len(t), t))
+        if "" in rests:  # a one-character special token
+            rests.remove("")
+            body = "(?:" + "|".join(regex_escape(r) for r in rests) + ")?" if rests else ""
+        else:
+            body = "(?:" + "|".join(regex_escape(r) for r in rests) + ")"
+        heads.append(regex_escape(first) + body)
+    return "|".join(heads) + "|" + tail
 
 
 def tokenize(c, special=SPECIAL_TOKENS) -> Column:

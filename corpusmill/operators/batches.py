@@ -21,16 +21,18 @@ BROADCAST_VOCAB_ROWS = 5_000_000
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "sample_id",
-           max_length: int = MAX_LENGTH, special=SPECIAL_TOKENS, unk_id: int = UNK_ID) -> DataFrame:
+           max_length: int = MAX_LENGTH, special=SPECIAL_TOKENS, unk_id: int = UNK_ID,
+           tokens_col: str | None = None) -> DataFrame:
     """H3: tokens -> ids, cut on the right to ``max_length``; only (key,
     input_ids) remain, so Catalyst prunes every other column from the scan.
 
     Tokens are exploded with their position and cut *before* the join; the
     vocabulary side is broadcast when its row count is below the limit
     (checked with a bounded count), else a shuffle join whose hot token
-    partitions AQE splits.  Ids are regrouped per row (one text each)."""
-    toks = df.select(key, F.posexplode(tokenize(text, special)).alias("pos", "token")) \
-        .filter(F.col("pos") < max_length)
+    partitions AQE splits.  Ids are regrouped per row (one text each).
+    ``tokens_col`` reuses an already tokenized column."""
+    arr = F.col(tokens_col) if tokens_col else tokenize(text, special)
+    toks = df.select(key, F.posexplode(F.slice(arr, 1, max_length)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
     if v.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS:
         v = F.broadcast(v)
@@ -46,6 +48,15 @@ def with_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("labels", F.col("input_ids"))
 
 
+def tokenized(df: DataFrame, text: str, key: str, special=SPECIAL_TOKENS, out: str = "tokens") -> DataFrame:
+    """(key, tokens) computed once and checkpointed to the shared folder, so
+    the vocabulary and the encoder read it instead of tokenizing twice (the
+    regex pass is the costly part)."""
+    from corpusmill.session import checkpoint_root
+    checkpoint_root(df.sparkSession)
+    return df.select(key, tokenize(text, special).alias(out)).checkpoint(eager=True)
+
+
 def pad_batch(df: DataFrame, key: str = "sample_id", batch_size: int = BATCH_SIZE,
               multiple: int = PAD_MULTIPLE, pad_id: int = 0, label_pad: int = LABEL_PAD) -> DataFrame:
     """H5: consecutive rows in key order form batches of ``batch_size``; each

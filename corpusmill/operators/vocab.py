@@ -10,20 +10,24 @@ from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKE
 from corpusmill.plans.indexing import dense_index
 
 
-def token_counts(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS) -> DataFrame:
+def token_counts(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS,
+                 tokens_col: str | None = None) -> DataFrame:
     """Token frequencies; partial counts are combined map-side, so a hot
-    token never ships more than one row per map task."""
-    toks = df.select(F.explode(tokenize(text, special)).alias("token"))
+    token never ships more than one row per map task.  ``tokens_col`` reuses
+    an already tokenized column."""
+    arr = F.col(tokens_col) if tokens_col else tokenize(text, special)
+    toks = df.select(F.explode(arr).alias("token"))
     return toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("freq"))
 
 
-def build_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS) -> DataFrame:
+def build_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS,
+                tokens_col: str | None = None) -> DataFrame:
     """H2: (token, token_id, freq, is_special) over the tokens that occur.
 
     Special tokens first in list order, then by frequency (descending), ties
     by token.  Ids are dense from 0 and assigned by a range-sorted index, not
     a single-task window, because the vocabulary grows with the corpus."""
-    counts = token_counts(df, text, special)
+    counts = token_counts(df, text, special, tokens_col)
     rank = F.array_position(F.array(*[F.lit(t) for t in special]), F.col("token")) if special else F.lit(0)
     keyed = counts.withColumn("_srank", rank.cast("bigint")) \
         .withColumn("_plain", (F.col("_srank") == 0).cast("int")) \

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKENS, THINK_TAGS, strip_tokens, tokenize
-from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LENGTH, encode, epoch_plan,
+from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LENGTH, encode, epoch_plan, tokenized,
                                           length_profile, pad_batch, padding_waste, with_labels)
 from corpusmill.operators.validate import effective_text
 from corpusmill.operators.vocab import add_special_tokens, build_vocab, keep_essential, token_audit, token_diff
@@ -60,8 +60,9 @@ def h_corpus(spark, sf_dir):
 
 
 def h_encoded(spark, sf_dir):
-    corpus = h_corpus(spark, sf_dir)
-    return encode(corpus, build_vocab(corpus, "eff_text"), text="eff_text", max_length=MAX_LENGTH)
+    toks = tokenized(h_corpus(spark, sf_dir), "eff_text", "sample_id")
+    vocab = build_vocab(toks, tokens_col="tokens")
+    return encode(toks, vocab, tokens_col="tokens", max_length=MAX_LENGTH)
 
 
 def _ids_text(c):
