@@ -99,9 +99,17 @@ def term_usage(df: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
                       (n * (F.length("term") - F.length("chosen"))).cast("bigint").alias("saved_chars"))
 
 
-_RUNS = re.compile(WORD_RUNS)
+_PATTERNS: dict[tuple, re.Pattern] = {}
 
 
 def rewrite_text(text: str, mapping: dict[str, str]) -> str:
-    """The same rewrite in plain Python, for the transformer of D3."""
-    return "".join(mapping.get(run, run) for run in _RUNS.findall(text))
+    """The same rewrite in plain Python, for the transformer of D3: only the
+    mapped terms are matched, each as a whole letter run."""
+    if not mapping or not text:
+        return text
+    key = tuple(sorted(mapping))
+    pat = _PATTERNS.get(key)
+    if pat is None:
+        alts = "|".join(re.escape(t) for t in sorted(mapping, key=lambda t: (-len(t), t)))
+        pat = _PATTERNS[key] = re.compile("(?<![A-Za-z])(?:" + alts + ")(?![A-Za-z])")
+    return pat.sub(lambda m: mapping[m.group(0)], text)

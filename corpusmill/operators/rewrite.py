@@ -139,14 +139,21 @@ def rewrite(df: DataFrame, transformer, max_retries: int = 3, max_concurrent: in
     max_concurrent).  Run it once and persist the log (``run_rewrite``);
     Spark may evaluate a plan more than once."""
     def run(batches):
+        def calls(k, s):
+            return call_sequence(int(k), s, transformer, max_retries, retry_delay, system, template, focus_template)
+
+        def frame(rows):
+            return pd.DataFrame(rows, columns=["sample_id", "attempt", "kind", "status", "text"]) \
+                .astype({"sample_id": "int64", "attempt": "int32"})
+
+        if max_concurrent <= 1:
+            for pdf in batches:
+                yield frame([row for k, s in zip(pdf[key], pdf[col]) for row in calls(k, s)])
+            return
         with ThreadPoolExecutor(max_workers=max_concurrent) as pool:
             for pdf in batches:
-                futures = [pool.submit(call_sequence, int(k), s, transformer, max_retries, retry_delay,
-                                       system, template, focus_template)
-                           for k, s in zip(pdf[key], pdf[col])]
-                rows = [row for f in futures for row in f.result()]
-                yield pd.DataFrame(rows, columns=["sample_id", "attempt", "kind", "status", "text"]) \
-                    .astype({"sample_id": "int64", "attempt": "int32"})
+                futures = [pool.submit(calls, k, s) for k, s in zip(pdf[key], pdf[col])]
+                yield frame([row for f in futures for row in f.result()])
 
     return df.select(F.col(key).cast("bigint").alias(key), col).mapInPandas(run, LOG_SCHEMA)
 
@@ -170,7 +177,8 @@ def run_rewrite(df: DataFrame, transformer, log_path: str, partitions: int | Non
 
 
 class LexiconTransformer:
-    """Deterministic transformer: the lexicon rewrite of the request text."""
+    """Deterministic transformer: the lexicon rewrite of the request text.
+    Local and CPU-bound, so run it with ``max_concurrent=1``."""
 
     def __init__(self, mapping: dict[str, str]):
         self.mapping = dict(mapping)
@@ -222,24 +230,25 @@ def choose_candidate(samples: DataFrame, attempts: DataFrame, max_retries: int =
 
     The first terminal call in (attempt, primary before focus) order decides;
     none within ``max_retries`` attempts -> failed.  kept_long carries the
-    stripped original.  Aggregation is per sample (a few calls each)."""
-    todo = samples.filter(~is_blank(col)).select(key, strip(col).alias("_orig"))
-    calls = attempts.filter(F.col("attempt") < max_retries).join(todo, key)
-    outcome, st = call_verdict(F.col("attempt"), F.col("kind"), F.col("status"), F.col("text"),
-                               F.length("_orig"))
+    stripped original.  The call log is joined with the character budget
+    only (no text), reduced to one row per sample with a partial aggregate,
+    and the original text is attached in the single final join."""
+    todo = samples.filter(~is_blank(col))
+    budget = todo.select(key, F.length(strip(col)).alias("_budget"))
+    calls = attempts.filter(F.col("attempt") < max_retries).join(budget, key)
+    outcome, st = call_verdict(F.col("attempt"), F.col("kind"), F.col("status"), F.col("text"), F.col("_budget"))
     ranked = calls.select(
         key, (F.col("attempt") * 2 + F.when(F.col("kind") == "focus", 1).otherwise(0)).alias("_ord"),
-        outcome.alias("_outcome"),
-        F.when(outcome == "rewritten", st).when(outcome == "kept_long", F.col("_orig")).alias("_chosen"))
+        outcome.alias("_outcome"), F.when(outcome == "rewritten", st).alias("_text"))
     per = ranked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_calls"),
-        F.min(F.when(F.col("_outcome").isNotNull(),
-                     F.struct("_ord", "_outcome", "_chosen"))).alias("_first"))
-    out = todo.join(per, key, "left")
+        F.min(F.when(F.col("_outcome").isNotNull(), F.struct("_ord", "_outcome", "_text"))).alias("_first"))
+    out = todo.select(key, strip(col).alias("_orig")).join(per, key, "left")
+    outcome = F.coalesce(F.col("_first._outcome"), F.lit("failed"))
     return out.select(
-        key,
-        F.coalesce(F.col("_first._outcome"), F.lit("failed")).alias("outcome"),
-        F.col("_first._chosen").alias("chosen"),
+        key, outcome.alias("outcome"),
+        F.when(outcome == "rewritten", F.col("_first._text"))
+         .when(outcome == "kept_long", F.col("_orig")).alias("chosen"),
         F.coalesce(F.col("n_calls"), F.lit(0)).cast("bigint").alias("n_calls"))
 
 

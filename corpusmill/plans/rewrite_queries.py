@@ -161,7 +161,7 @@ _D3_CTES.update(rewrite_ctes("todo", "sample_id", "sol", "todo_rw"))
 SELECT sample_id, 0 AS attempt, 'primary' AS kind, 'ok' AS status, rewritten AS text FROM todo_rw""", _D3_CTES))
 def q_rewrite_batches(spark, sf_dir):
     todo = view(spark, sf_dir, "samples").filter(rewritable())
-    return rewrite(todo, LexiconTransformer(lexicon_mapping(spark, sf_dir)), retry_delay=0.0)
+    return rewrite(todo, LexiconTransformer(lexicon_mapping(spark, sf_dir)), retry_delay=0.0, max_concurrent=1)
 
 
 @query("choose_candidate", with_views(["samples", "candidates"], "SELECT * FROM verdicts", VERDICTS))
