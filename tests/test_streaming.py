@@ -1,0 +1,47 @@
+from pyspark.sql import functions as F
+
+from corpusmill.operators.conversations import chunk_assembly, session_segments
+from corpusmill.operators.think import think_stats
+from corpusmill.plans.fixtures import view
+from corpusmill.session import scratch_path
+from corpusmill.streaming.jobs import chunk_stream, read_stats, session_stream, stats_stream
+
+from .conftest import SF_SMALL
+
+
+def _split_three(df, order_col, path):
+    """Write ``df`` as three JSONL files, in order of ``order_col``."""
+    lo, hi = df.approxQuantile(order_col, [1 / 3, 2 / 3], 0.0)
+    c = F.col(order_col)
+    for part in (df.filter(c < lo), df.filter((c >= lo) & (c < hi)), df.filter(c >= hi)):
+        part.coalesce(1).write.mode("append").json(path)  # test fixture: three small files
+
+
+def test_sessions_stream_equals_batch(spark):
+    inputs = view(spark, SF_SMALL, "inputs")
+    base = scratch_path(spark, "t-sessions")
+    ordered = inputs.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")).cast("double"))
+    _split_three(ordered, "t", f"{base}/in")
+    session_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files=1)
+    got = sorted(spark.read.parquet(f"{base}/out").collect())
+    want = sorted(session_segments(view(spark, SF_SMALL, "inputs")).select("user_id", "event_id", "segment", "text").collect())
+    assert got == want
+
+
+def test_chunks_stream_equals_batch(spark):
+    turns = view(spark, SF_SMALL, "turns")
+    base = scratch_path(spark, "t-chunks")
+    _split_three(turns, "turn", f"{base}/in")
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files=1)
+    got = sorted(spark.read.parquet(f"{base}/out").collect())
+    want = sorted(chunk_assembly(turns).select("conv_id", "turn", "so_far").collect())
+    assert got == want
+
+
+def test_stats_stream_equals_batch(spark):
+    fields = view(spark, SF_SMALL, "fields")
+    base = scratch_path(spark, "t-stats")
+    _split_three(fields, "doc_id", f"{base}/in")
+    stats_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
+                 "doc_id long, formatted_response string, text string, solution string, content string", max_files=1)
+    assert read_stats(spark, f"{base}/out").first() == think_stats(fields).first()
