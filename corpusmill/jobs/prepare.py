@@ -12,7 +12,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from corpusmill.jobs.common import load_table
-from corpusmill.operators.batches import encode, epoch_plan, pad_batch, tokenized, with_labels
+from corpusmill.operators.batches import encode, epoch_plan, pad_batch, token_lengths, tokenized, with_labels
 from corpusmill.operators.think import format_gate
 from corpusmill.operators.validate import drop_incomplete_qa, effective_text, format_qa, route_format, validate_required
 from corpusmill.operators.vocab import build_vocab
@@ -50,7 +50,7 @@ def main(argv=None) -> None:
         vocab.write.mode("overwrite").parquet(f"{a.out}/vocab")
     ids = with_labels(encode(toks, vocab, key=a.key, tokens_col="tokens", max_length=a.max_length))
     epoch_plan(ids, key=a.key, epochs=a.epochs, seed=a.seed).write.mode("overwrite").parquet(f"{a.out}/epochs")
-    pad_batch(ids, key=a.key).write.mode("overwrite").parquet(f"{a.out}/batches")
+    pad_batch(ids, key=a.key, lengths=token_lengths(toks, a.key, max_length=a.max_length)).write.mode("overwrite").parquet(f"{a.out}/batches")
 
 
 if __name__ == "__main__":

@@ -29,18 +29,20 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "samp
     Tokens are exploded with their position and cut *before* the join; the
     vocabulary side is broadcast when its row count is below the limit
     (checked with a bounded count), else a shuffle join whose hot token
-    partitions AQE splits.  Ids are regrouped per row (one text each).
+    partitions AQE splits.  Ids are regrouped per row (one text each); rows
+    without tokens get an empty array.
     ``tokens_col`` reuses an already tokenized column."""
     arr = F.col(tokens_col) if tokens_col else tokenize(text, special)
-    toks = df.select(key, F.posexplode(F.slice(arr, 1, max_length)).alias("pos", "token"))
+    # posexplode_outer keeps rows without tokens (pos null), so no join back
+    toks = df.select(key, F.posexplode_outer(F.slice(arr, 1, max_length)).alias("pos", "token"))
     v = vocab.select("token", "token_id")
     if v.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS:
         v = F.broadcast(v)
     ids = toks.join(v, "token", "left").select(
-        key, F.struct("pos", F.coalesce("token_id", F.lit(unk_id)).cast("int").alias("id")).alias("_p"))
-    grouped = ids.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["id"]).alias("input_ids"))
-    out = df.select(key).join(grouped, key, "left")
-    return out.select(key, F.coalesce("input_ids", F.array().cast("array<int>")).alias("input_ids"))
+        key, F.when(F.col("pos").isNotNull(),
+                    F.struct("pos", F.coalesce("token_id", F.lit(unk_id)).cast("int").alias("id"))).alias("_p"))
+    return ids.groupBy(key).agg(
+        F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["id"]).alias("input_ids"))
 
 
 def with_labels(df: DataFrame) -> DataFrame:
@@ -48,6 +50,12 @@ def with_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("labels", F.col("input_ids"))
 
 
+def token_lengths(toks: DataFrame, key: str = "sample_id", tokens_col: str = "tokens",
+                  max_length: int = MAX_LENGTH) -> DataFrame:
+    """(key, n_tokens) after the right cut, from a token table."""
+    return toks.select(key, F.least(F.size(tokens_col), F.lit(max_length)).cast("bigint").alias("n_tokens"))
+
+
 def tokenized(df: DataFrame, text: str, key: str, special=SPECIAL_TOKENS, out: str = "tokens") -> DataFrame:
     """(key, tokens) computed once and checkpointed to the shared folder, so
     the vocabulary and the encoder read it instead of tokenizing twice (the
@@ -58,22 +66,35 @@ def tokenized(df: DataFrame, text: str, key: str, special=SPECIAL_TOKENS, out: s
 
 
 def pad_batch(df: DataFrame, key: str = "sample_id", batch_size: int = BATCH_SIZE,
-              multiple: int = PAD_MULTIPLE, pad_id: int = 0, label_pad: int = LABEL_PAD) -> DataFrame:
+              multiple: int = PAD_MULTIPLE, pad_id: int = 0, label_pad: int = LABEL_PAD,
+              lengths: DataFrame | None = None) -> DataFrame:
     """H5: consecutive rows in key order form batches of ``batch_size``; each
     row is padded to the batch's longest row rounded up to ``multiple``:
     ids with ``pad_id``, labels with ``label_pad``, mask with 0.
 
-    Positions come from the range-sorted index (no single-task window); the
-    per-batch maximum is a window over ``batch_id``, i.e. groups of four."""
+    Positions come from the range-sorted index (no single-task window) over
+    the light (key, length) table; the per-batch maximum is a window over
+    ``batch_id`` (groups of four); the id arrays move in one join.
+    ``lengths`` (key, n_tokens) can come from the token table, so the
+    encoder runs once and its hash partitioning on ``key`` is reused by the
+    join (only the light side shuffles)."""
     from pyspark.sql import Window
     if "labels" not in df.columns:
         df = with_labels(df)
-    idx = dense_index(df, [key], "_idx")
-    out = idx.withColumn("batch_id", F.floor(F.col("_idx") / batch_size).cast("bigint")).drop("_idx")
-    n = F.size("input_ids")
-    out = out.withColumn("n_tokens", n.cast("bigint"))
+    # batch numbers and padded lengths need only (key, length): index and
+    # window the light table, then join it to the id arrays once
+    if lengths is None:
+        # without precomputed lengths ``df`` is evaluated twice; checkpoint it
+        light = df.select(key, F.size("input_ids").cast("bigint").alias("n_tokens"))
+    else:
+        light = lengths.select(key, F.col("n_tokens").cast("bigint"))
+    idx = dense_index(light, [key], "_idx")
+    light = idx.withColumn("batch_id", F.floor(F.col("_idx") / batch_size).cast("bigint")).drop("_idx")
     longest = F.max("n_tokens").over(Window.partitionBy("batch_id"))
-    out = out.withColumn("padded_len", (F.ceil(longest / multiple) * multiple).cast("bigint"))
+    light = light.withColumn("padded_len", (F.ceil(longest / multiple) * multiple).cast("bigint"))
+    out = df.join(light.drop("n_tokens") if lengths is not None else light, key)
+    if lengths is not None:
+        out = out.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
     k = (F.col("padded_len") - F.col("n_tokens")).cast("int")
     return out.select(
         key, "batch_id", "n_tokens", "padded_len",

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKENS, THINK_TAGS, strip_tokens, tokenize
-from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LENGTH, encode, epoch_plan, tokenized,
+from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LENGTH, encode, epoch_plan, token_lengths, tokenized,
                                           length_profile, pad_batch, padding_waste, with_labels)
 from corpusmill.operators.validate import effective_text
 from corpusmill.operators.vocab import add_special_tokens, build_vocab, keep_essential, token_audit, token_diff
@@ -59,10 +59,19 @@ def h_corpus(spark, sf_dir):
     return df.select("sample_id", effective_text(df).alias("eff_text"))
 
 
-def h_encoded(spark, sf_dir):
+def h_tokens_encoded(spark, sf_dir):
     toks = tokenized(h_corpus(spark, sf_dir), "eff_text", "sample_id")
     vocab = build_vocab(toks, tokens_col="tokens")
-    return encode(toks, vocab, tokens_col="tokens", max_length=MAX_LENGTH)
+    return toks, encode(toks, vocab, tokens_col="tokens", max_length=MAX_LENGTH)
+
+
+def h_encoded(spark, sf_dir):
+    return h_tokens_encoded(spark, sf_dir)[1]
+
+
+def h_batches(spark, sf_dir):
+    toks, enc = h_tokens_encoded(spark, sf_dir)
+    return pad_batch(enc, lengths=token_lengths(toks, max_length=MAX_LENGTH))
 
 
 def _ids_text(c):
@@ -142,7 +151,7 @@ def q_labels(spark, sf_dir):
 @query("pad_batch", with_views(["samples"], """
 SELECT sample_id, batch_id, n_tokens, padded_len, padded_len - n_tokens AS n_pad FROM batched""", H_CTES))
 def q_pad_batch(spark, sf_dir):
-    b = pad_batch(h_encoded(spark, sf_dir))
+    b = h_batches(spark, sf_dir)
     return b.select("sample_id", "batch_id", "n_tokens", "padded_len",
                     (F.size("input_ids") - F.col("n_tokens")).cast("bigint").alias("n_pad"))
 
@@ -163,7 +172,7 @@ SELECT CAST(CASE WHEN grouping(batch_id) > 0 THEN -1 ELSE batch_id END AS BIGINT
   round((sum(padded_len) - sum(n_tokens))::DOUBLE / nullif(sum(padded_len), 0), 4) AS waste
 FROM batched GROUP BY ROLLUP (batch_id)""", H_CTES))
 def q_padding_waste(spark, sf_dir):
-    return padding_waste(pad_batch(h_encoded(spark, sf_dir)))
+    return padding_waste(h_batches(spark, sf_dir))
 
 
 @query("length_profile", with_views(["samples"], f"""
