@@ -37,16 +37,22 @@ def turn_pairs(df: DataFrame, by: str = "conv_id", order: str = "turn",
 
 
 def session_segments(df: DataFrame, by: str = "user_id", order=("ts", "event_id"),
-                     text: str = "text") -> DataFrame:
+                     text: str = "text", chunk_seconds: int = 3600) -> DataFrame:
     """E5: chat input log -> context messages.
 
     ``clear`` (exact) starts a new context, ``exit`` (exact) ends the session
     including everything after it, blank input is ignored, commands are not
-    messages.  ``segment`` = number of clears so far."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    messages.  ``segment`` = number of clears so far.  The running count and
+    the exit flag come from ``running_totals``, which splits a hot user's log
+    into time chunks instead of one window task."""
+    from corpusmill.plans.scan import running_totals
+    ts, tie = order
     t = F.col(text)
-    marked = df.withColumn("segment", F.sum(F.when(t == "clear", 1).otherwise(0)).over(w).cast("bigint")) \
-               .withColumn("_closed", F.max(F.when(t == "exit", 1).otherwise(0)).over(w))
+    marked = running_totals(
+        df, by, ts, tie,
+        sums={"segment": F.when(t == "clear", 1).otherwise(0)},
+        maxes={"_closed": F.when(t == "exit", 1).otherwise(0)},
+        chunk_seconds=chunk_seconds)
     kept = marked.filter((F.col("_closed") == 0) & ~t.isin("clear") & ~is_blank(text))
     return kept.drop("_closed")
 
