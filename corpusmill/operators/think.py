@@ -32,28 +32,33 @@ def think_span_rows(df: DataFrame, text="text", keys=("doc_id",)) -> DataFrame:
     return spans.withColumn("n_chars", F.length(strip("content")).cast("bigint"))
 
 
-def _stat_columns(text: Column):
+def think_features(df: DataFrame, text: Column, keep=()) -> DataFrame:
+    """Per-row numbers behind F5: has text, opens, closes, total stripped
+    span characters and span count (nulls when the row has no text).  The
+    span regex runs once per row, before any aggregation or ROLLUP expand."""
     has_text = F.coalesce(F.length(text) > 0, F.lit(False))
     opens, closes = think_counts(text)
-    opens = F.when(has_text, opens)
-    closes = F.when(has_text, closes)
-    lens = F.when(has_text, span_lengths(think_spans(text)))
-    return has_text, opens, closes, lens
-
-
-def think_stats_aggs(text: Column):
-    """Aggregate expressions of F5 (sums only, so they merge and stream);
-    ``finish_think_stats`` turns them into the six published numbers."""
-    has_text, opens, closes, lens = _stat_columns(text)
+    lens = span_lengths(think_spans(text))
+    feats = df.select(*keep, has_text.alias("_has"), F.when(has_text, opens).alias("_o"),
+                      F.when(has_text, closes).alias("_c"), F.when(has_text, lens).alias("_lens"))
+    return feats.select(*keep, "_has", "_o", "_c",
+                        F.aggregate("_lens", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("_sc"),
+                        F.size("_lens").alias("_sn"))
+
+
+def think_stats_aggs():
+    """Aggregates of F5 over ``think_features`` columns (sums only, so they
+    merge partially and can be kept by a stream); ``finish_think_stats``
+    turns them into the six published numbers."""
+    has, o, c = F.col("_has"), F.col("_o"), F.col("_c")
     return [
         F.count(F.lit(1)).alias("total_samples"),
-        F.count_if(has_text & ((opens > 0) | (closes > 0))).alias("samples_with_think_tokens"),
-        F.count_if(has_text & (opens == closes) & (opens > 0)).alias("samples_with_balanced_tokens"),
-        F.coalesce(F.sum(opens), F.lit(0)).cast("bigint").alias("total_think_opens"),
-        F.coalesce(F.sum(closes), F.lit(0)).cast("bigint").alias("total_think_closes"),
-        F.coalesce(F.sum(F.aggregate(lens, F.lit(0).cast("bigint"), lambda a, x: a + x)),
-                   F.lit(0)).cast("bigint").alias("span_chars"),
-        F.coalesce(F.sum(F.size(lens)), F.lit(0)).cast("bigint").alias("span_count"),
+        F.count_if(has & ((o > 0) | (c > 0))).alias("samples_with_think_tokens"),
+        F.count_if(has & (o == c) & (o > 0)).alias("samples_with_balanced_tokens"),
+        F.coalesce(F.sum(o), F.lit(0)).cast("bigint").alias("total_think_opens"),
+        F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("total_think_closes"),
+        F.coalesce(F.sum(F.when(has, F.col("_sc"))), F.lit(0)).cast("bigint").alias("span_chars"),
+        F.coalesce(F.sum(F.when(has, F.col("_sn"))), F.lit(0)).cast("bigint").alias("span_count"),
     ]
 
 
@@ -71,14 +76,14 @@ def think_stats(df: DataFrame, text=None, fields=TEXT_FIELDS) -> DataFrame:
     """one record over the whole table.  Rows without text count in
     ``total_samples`` only.  One pass, partial aggregation, no explode."""
     t = pick_text_field(df, fields) if text is None else col_of(text)
-    return finish_think_stats(df.agg(*think_stats_aggs(t)))
+    return finish_think_stats(think_features(df, t).agg(*think_stats_aggs()))
 
 
 def think_stats_by(df: DataFrame, by, text=None, fields=TEXT_FIELDS) -> DataFrame:
     """F5 per group plus the grand total (``is_total``) via ROLLUP."""
     by = [by] if isinstance(by, str) else list(by)
     t = pick_text_field(df, fields) if text is None else col_of(text)
-    agg = df.rollup(*by).agg(F.grouping_id().alias("_gid"), *think_stats_aggs(t))
+    agg = think_features(df, t, keep=by).rollup(*by).agg(F.grouping_id().alias("_gid"), *think_stats_aggs())
     agg = agg.withColumn("is_total", F.col("_gid") > 0)
     return finish_think_stats(agg, keep=[*by, "is_total"])
 

@@ -36,6 +36,23 @@ def build_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS,
     return idx.select("token", "token_id", "freq", (F.col("_plain") == 0).alias("is_special"))
 
 
+def special_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS) -> DataFrame:
+    """The special-token rows of ``build_vocab`` (same ids and frequencies)
+    without tokenizing: special tokens come first, so their ids depend only
+    on which of them occur.  Occurrences are exact literal counts (no token
+    of the list overlaps another), one pass and one global aggregate."""
+    counts = df.select(*[count_literal(text, t).alias(f"_c{i}") for i, t in enumerate(special)])
+    agg = counts.agg(*[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).cast("bigint").alias(f"_f{i}")
+                       for i in range(len(special))])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(t).alias("token"), F.col(f"_f{i}").alias("freq"))
+                               for i, t in enumerate(special)]))
+    present = agg.select(rows.alias("r")).select("r.*").filter(F.col("freq") > 0)
+    from pyspark.sql import Window
+    # at most len(special) rows
+    ids = (F.row_number().over(Window.orderBy("_rank")) - 1).cast("bigint")
+    return present.select("token", ids.alias("token_id"), "freq", F.lit(True).alias("is_special"))
+
+
 def _list_df(spark, tokens, name: str = "token") -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], f"{name} string, list_pos int")
 

@@ -12,7 +12,8 @@ from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKE
 from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LENGTH, encode, epoch_plan, token_lengths, tokenized,
                                           length_profile, pad_batch, padding_waste, with_labels)
 from corpusmill.operators.validate import effective_text
-from corpusmill.operators.vocab import add_special_tokens, build_vocab, keep_essential, token_audit, token_diff
+from corpusmill.operators.vocab import (add_special_tokens, build_vocab, keep_essential, special_vocab, token_audit,
+                                        token_diff)
 from corpusmill.functions.text import alternation
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import view, with_views
@@ -54,6 +55,11 @@ def g_vocab(spark, sf_dir):
     return build_vocab(view(spark, sf_dir, "noisy"), "text")
 
 
+def g_special_vocab(spark, sf_dir):
+    """Only the special rows of the G vocabulary (ids as in ``g_vocab``)."""
+    return special_vocab(view(spark, sf_dir, "noisy"), "text")
+
+
 def h_corpus(spark, sf_dir):
     df = prepared(spark, sf_dir)
     return df.select("sample_id", effective_text(df).alias("eff_text"))
@@ -83,7 +89,7 @@ SELECT token, token_id, (SELECT CAST(count(*) AS BIGINT) FROM gvocab WHERE is_sp
   (SELECT CAST(count(*) AS BIGINT) FROM gvocab WHERE is_special AND token IN (SELECT unnest({_sql_list(KEEP_TOKENS)}))) AS n_after
 FROM gvocab WHERE is_special AND token IN (SELECT unnest({_sql_list(KEEP_TOKENS)}))""", G_VOCAB))
 def q_keep_essential(spark, sf_dir):
-    return keep_essential(g_vocab(spark, sf_dir))
+    return keep_essential(g_special_vocab(spark, sf_dir))
 
 
 @query("token_diff", with_views(["noisy"], f"""
@@ -92,7 +98,7 @@ SELECT coalesce(v.token, e.token) AS token, CAST(coalesce(v.token_id, -1) AS BIG
 FROM (SELECT token, token_id FROM gvocab WHERE is_special) v
 FULL OUTER JOIN (SELECT unnest({_sql_list(KEEP_TOKENS)}) AS token) e USING (token)""", G_VOCAB))
 def q_token_diff(spark, sf_dir):
-    return token_diff(g_vocab(spark, sf_dir))
+    return token_diff(g_special_vocab(spark, sf_dir))
 
 
 @query("add_special_tokens", with_views(["noisy"], f"""

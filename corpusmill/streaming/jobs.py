@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from corpusmill.operators.think import finish_think_stats, pick_text_field, think_stats_aggs
+from corpusmill.operators.think import finish_think_stats, pick_text_field, think_features, think_stats_aggs
 from corpusmill.operators.validate import drop_incomplete_qa, format_qa, route_format
 
 
@@ -113,7 +113,7 @@ def stats_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
     (complete mode, one state row); every micro-batch overwrites the one-row
     table at ``out_dir``.  ``read_stats`` divides at read time."""
     src = _source(spark, in_dir, schema, max_files)
-    agg = src.agg(*think_stats_aggs(pick_text_field(src)))
+    agg = think_features(src, pick_text_field(src)).agg(*think_stats_aggs())
 
     def write(batch: DataFrame, _epoch: int):
         batch.write.mode("overwrite").parquet(out_dir)

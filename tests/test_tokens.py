@@ -40,3 +40,16 @@ def test_token_audit_zero_counts(spark):
     df = spark.createDataFrame([("<tool_call>x<tool_call>",), ("y",)], "text string")
     got = {r.token: (r.n_rows, r.occurrences) for r in token_audit(df).collect()}
     assert got["<tool_call>"] == (1, 2) and got["<|repo_name|>"] == (0, 0)
+
+
+def test_special_vocab_equals_full_vocab_rows(spark):
+    import random
+    from corpusmill.functions.tokens import SPECIAL_TOKENS
+    from corpusmill.operators.vocab import special_vocab
+    rnd = random.Random(5)
+    parts = list(SPECIAL_TOKENS[:8]) + ["<", ">", "|", "a", " ", "think", "/"]
+    rows = [(i, "".join(rnd.choice(parts) for _ in range(12))) for i in range(300)]
+    df = spark.createDataFrame(rows, "sample_id long, text string")
+    full = sorted(tuple(r) for r in build_vocab(df).filter("is_special").collect())
+    fast = sorted(tuple(r) for r in special_vocab(df).collect())
+    assert full == fast
