@@ -109,16 +109,19 @@ def epoch_plan(df: DataFrame, key: str = "sample_id", epochs: int = EPOCHS, batc
     """H6: a seeded order per epoch (md5 of seed, epoch and key; the same
     function exists in every SQL engine), then micro-batch and optimizer
     step numbers.  Global positions come from the range-sorted index; the
-    position inside an epoch subtracts (epoch - 1) x rows."""
-    n_rows = df.count()
+    position inside an epoch subtracts the epoch's first position (one
+    small row per epoch, broadcast)."""
     e = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
     e = e.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                              F.col(key).cast("string"))))
     idx = dense_index(e, ["epoch", "_h", key], "_g")
-    pos = (F.col("_g") - (F.col("epoch") - 1) * n_rows).cast("bigint")
-    return idx.select(key, "epoch", pos.alias("position"),
-                      F.floor(pos / batch_size).cast("bigint").alias("micro_batch"),
-                      F.floor(pos / (batch_size * accum)).cast("bigint").alias("step"))
+    # first global position of each epoch: one row per epoch
+    starts = idx.groupBy("epoch").agg(F.min("_g").alias("_start"))
+    pos = (F.col("_g") - F.col("_start")).cast("bigint")
+    return idx.join(F.broadcast(starts), "epoch").select(
+        key, "epoch", pos.alias("position"),
+        F.floor(pos / batch_size).cast("bigint").alias("micro_batch"),
+        F.floor(pos / (batch_size * accum)).cast("bigint").alias("step"))
 
 
 def padding_waste(batches: DataFrame) -> DataFrame:

@@ -28,14 +28,27 @@ def _topk_threshold(df: DataFrame) -> int:
     return min(int(conf), 1_000_000)
 
 
+def _cut_at(scored: DataFrame, n: int, tie: str) -> DataFrame:
+    """Exact top-n for large n: index only the light (length, tie) pairs,
+    read the n-th pair (one row to the driver) and keep every row up to it
+    with one filter; full rows are never sorted or written."""
+    light = scored.select("_len", tie)
+    idx = dense_index(light, ["_len", tie], "_pos")
+    cut = idx.filter(F.col("_pos") == n - 1).select("_len", tie).first()
+    if cut is None:  # n >= rows: every row
+        return scored
+    length, key = cut[0], cut[1]
+    return scored.filter((F.col("_len") < length) | ((F.col("_len") == length) & (F.col(tie) <= key)))
+
+
 def shortest_n(df: DataFrame, n: int | None, cols=("solution",), tie: str = "sample_id",
                length_col: str | None = None) -> DataFrame:
     """The ``n`` rows with the smallest total length; ties by ``tie``.
 
     ``n`` null or 0 means no limit; ``n`` >= rows returns every row.  Small
     ``n`` plans as TakeOrderedAndProject (per-partition top-n, then one merge
-    of n x partitions rows); large ``n`` uses an exact range-sorted index, so
-    no task ever holds more than its range."""
+    of n x partitions rows); large ``n`` indexes the light (length, key)
+    pairs with a range sort and cuts the full rows with one filter."""
     if n is not None and n < 0:
         raise ValueError("n must be >= 0")
     scored = df.withColumn("_len", total_length(df, cols))
@@ -44,7 +57,7 @@ def shortest_n(df: DataFrame, n: int | None, cols=("solution",), tie: str = "sam
     elif n <= _topk_threshold(df):
         out = scored.orderBy(F.col("_len"), F.col(tie)).limit(n)
     else:
-        out = dense_index(scored, ["_len", tie], "_pos").filter(F.col("_pos") < n).drop("_pos")
+        out = _cut_at(scored, n, tie)
     if length_col:
         return out.withColumnRenamed("_len", length_col)
     return out.drop("_len")

@@ -1,10 +1,11 @@
 """Exact global positions without a single-task window.
 
 ``row_number() over (order by ...)`` without ``partitionBy`` moves every row
-into one task.  ``dense_index`` instead range-partitions and sorts the rows,
-cuts the lineage with a reliable checkpoint (shared folder, survives executor
-loss), counts rows per partition (one small row per partition), turns the
-counts into offsets and adds each row's position inside its partition.
+into one task.  Above a fixed row bound ``dense_index`` instead
+range-partitions and sorts the rows, cuts the lineage with a reliable
+checkpoint (shared folder, survives executor loss), counts rows per partition
+(one small row per partition), turns the counts into offsets and adds each
+row's position inside its partition.
 """
 
 from __future__ import annotations
@@ -15,17 +16,28 @@ from pyspark.sql import functions as F
 from corpusmill.session import checkpoint_root
 
 
+# below this many rows one ordered task is cheaper than a range sort
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def dense_index(df: DataFrame, order_cols, index_col: str = "idx",
-                num_partitions: int | None = None) -> DataFrame:
+                num_partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
     """Add ``index_col`` = 0-based position in the total order ``order_cols``.
 
-    ``order_cols`` must be unique (add a tie key).  Output partitions keep the
-    sorted ranges, so a later filter on ``index_col`` reads ranges only."""
+    ``order_cols`` must be unique (add a tie key).  The input is checkpointed
+    once and counted; at most ``single_task_rows`` rows take one ordered
+    window (bounded work for one task), more rows take the range path.
+    Output partitions of the range path keep the sorted ranges."""
     spark = df.sparkSession
     checkpoint_root(spark)
     order_cols = list(order_cols)
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    base = df.checkpoint(eager=True)
+    if base.count() <= limit:
+        w = Window.orderBy(*order_cols)
+        return base.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
     parts = [num_partitions] if num_partitions else []
-    ranged = (df.repartitionByRange(*parts, *order_cols)
+    ranged = (base.repartitionByRange(*parts, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_part", F.spark_partition_id()))
     ranged = ranged.checkpoint(eager=True)
