@@ -23,27 +23,36 @@ SPECIAL_TOKENS = KEEP_TOKENS + REMOVE_TOKENS
 THINK_TAGS = ("<think>", "</think>")
 
 
-def token_pattern(special=SPECIAL_TOKENS) -> str:
-    """Special tokens (atomic), letter runs, digit runs, any other single
-    non-whitespace character.  Specials sharing a first character are
-    factored behind it, so most positions fail the special branch after one
-    character comparison."""
-    tail = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + WS_CLASS_BODY + "]"
-    if not special:
-        return tail
+def special_alternation(special) -> str:
+    """One pattern for the literal tokens: tokens sharing a first character
+    are factored behind it (``<(?:...)``), longest first, so a position that
+    cannot start a token fails after one comparison.  Leftmost-first
+    matching, the same in Java and RE2."""
     by_first: dict[str, list[str]] = {}
     for t in special:
         by_first.setdefault(t[0], []).append(t[1:])
     heads = []
     for first in sorted(by_first):
         rests = sorted(set(by_first[first]), key=lambda t: (-len(t), t))
-        if "" in rests:  # a one-character special token
+        if "" in rests:  # a one-character token
             rests.remove("")
             body = "(?:" + "|".join(regex_escape(r) for r in rests) + ")?" if rests else ""
         else:
             body = "(?:" + "|".join(regex_escape(r) for r in rests) + ")"
         heads.append(regex_escape(first) + body)
-    return "|".join(heads) + "|" + tail
+    return "|".join(heads)
+
+
+def token_pattern(special=SPECIAL_TOKENS) -> str:
+    """Special tokens (atomic), letter runs, digit runs, any other single
+    non-whitespace character."""
+    tail = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + WS_CLASS_BODY + "]"
+    return special_alternation(special) + "|" + tail if special else tail
+
+
+def special_matches(c, tokens) -> Column:
+    """Every occurrence of the listed tokens, in text order (one regex pass)."""
+    return F.regexp_extract_all(F.coalesce(col_of(c), F.lit("")), F.lit(special_alternation(tokens)), F.lit(0))
 
 
 def tokenize(c, special=SPECIAL_TOKENS) -> Column:
@@ -53,4 +62,4 @@ def tokenize(c, special=SPECIAL_TOKENS) -> Column:
 
 def strip_tokens(c, tokens=REMOVE_TOKENS) -> Column:
     """Remove every listed token in one pass."""
-    return F.regexp_replace(col_of(c), alternation(tokens), "")
+    return F.regexp_replace(col_of(c), special_alternation(tokens), "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import count_literal
-from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKENS, THINK_TAGS, tokenize
+from corpusmill.functions.tokens import KEEP_TOKENS, REMOVE_TOKENS, SPECIAL_TOKENS, THINK_TAGS, special_matches, tokenize
 from corpusmill.plans.indexing import dense_index
 
 
@@ -36,15 +36,22 @@ def build_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS,
     return idx.select("token", "token_id", "freq", (F.col("_plain") == 0).alias("is_special"))
 
 
+def _equals(token: str):
+    """A one-argument lambda for ``filter`` (a default argument would make
+    PySpark pass the element index)."""
+    return lambda x: x == F.lit(token)
+
+
 def special_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS) -> DataFrame:
     """The special-token rows of ``build_vocab`` (same ids and frequencies)
-    without tokenizing: special tokens come first, so their ids depend only
-    on which of them occur.  Occurrences are exact literal counts (no token
-    of the list overlaps another), one pass and one global aggregate."""
-    counts = df.select(*[count_literal(text, t).alias(f"_c{i}") for i, t in enumerate(special)])
-    agg = counts.agg(*[F.coalesce(F.sum(f"_c{i}"), F.lit(0)).cast("bigint").alias(f"_f{i}")
-                       for i in range(len(special))])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(t).alias("token"), F.col(f"_f{i}").alias("freq"))
+    without full tokenization: special tokens come first, so their ids
+    depend only on which of them occur.  One regex pass finds the special
+    tokens (exactly as the tokenizer does); one global aggregate counts them."""
+    m = df.select(special_matches(text, special).alias("_m"))
+    agg = m.agg(*[F.sum(F.size(F.filter("_m", _equals(t)))).cast("bigint").alias(f"_f{i}")
+                  for i, t in enumerate(special)])
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(t).alias("token"),
+                                        F.coalesce(F.col(f"_f{i}"), F.lit(0)).alias("freq"))
                                for i, t in enumerate(special)]))
     present = agg.select(rows.alias("r")).select("r.*").filter(F.col("freq") > 0)
     from pyspark.sql import Window
@@ -60,15 +67,15 @@ def _list_df(spark, tokens, name: str = "token") -> DataFrame:
 def keep_essential(vocab: DataFrame, essential=KEEP_TOKENS) -> DataFrame:
     """G1: special entries of the vocabulary that are essential; ids
     unchanged; essential tokens absent from the vocabulary are not added.
-    Adds the special-entry counts before and after."""
-    special = vocab.filter("is_special")
-    ess = F.broadcast(_list_df(vocab.sparkSession, essential).select("token"))
-    kept = special.join(ess, "token", "left_semi")
-    # both counts are bounded by the special-token list; one aggregate row
-    n_before, n_after = special.agg(
-        F.count(F.lit(1)), F.count_if(F.col("token").isin(list(essential)))).first()
-    return kept.select("token", "token_id", F.lit(n_before).cast("bigint").alias("n_before"),
-                       F.lit(n_after).cast("bigint").alias("n_after"))
+    Adds the special-entry counts before and after (windows over the special
+    rows, at most one per listed special token, so one pass)."""
+    from pyspark.sql import Window
+    special = vocab.filter("is_special").select("token", "token_id")
+    marked = special.withColumn("_ess", F.col("token").isin(list(essential)))
+    everything = Window.partitionBy()
+    marked = marked.withColumn("n_before", F.count(F.lit(1)).over(everything).cast("bigint")) \
+        .withColumn("n_after", F.sum(F.col("_ess").cast("bigint")).over(everything).cast("bigint"))
+    return marked.filter("_ess").select("token", "token_id", "n_before", "n_after")
 
 
 def token_diff(vocab: DataFrame, essential=KEEP_TOKENS) -> DataFrame:
@@ -98,15 +105,16 @@ def add_special_tokens(vocab: DataFrame, new=THINK_TAGS) -> DataFrame:
 
 
 def token_audit(df: DataFrame, text: str = "text", tokens=REMOVE_TOKENS) -> DataFrame:
-    """Per listed token, rows holding it and its occurrences.  One pass:
-    a count column per token, one global aggregate (partial per task), then
-    the small result is unpivoted; tokens never seen report zeros."""
-    counts = df.select(*[count_literal(text, t).alias(f"_c{i}") for i, t in enumerate(tokens)])
+    """Per listed token, rows holding it and its occurrences.  One regex
+    pass collects the listed tokens of each row (a short array), one global
+    aggregate (partial per task) counts them, and the small result is
+    unpivoted; tokens never seen report zeros."""
+    m = df.select(special_matches(text, tokens).alias("_m"))
     aggs = []
-    for i in range(len(tokens)):
-        c = F.coalesce(F.col(f"_c{i}"), F.lit(0))
-        aggs += [F.count_if(c > 0).alias(f"_r{i}"), F.coalesce(F.sum(c), F.lit(0)).alias(f"_o{i}")]
-    agg = counts.agg(*aggs)
+    for i, t in enumerate(tokens):
+        n = F.size(F.filter("_m", _equals(t)))
+        aggs += [F.count_if(n > 0).alias(f"_r{i}"), F.coalesce(F.sum(n), F.lit(0)).alias(f"_o{i}")]
+    agg = m.agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(t).alias("token"), F.col(f"_r{i}").cast("bigint").alias("n_rows"),
                                         F.col(f"_o{i}").cast("bigint").alias("occurrences"))
                                for i, t in enumerate(tokens)]))
