@@ -37,7 +37,7 @@ def turn_pairs(df: DataFrame, by: str = "conv_id", order: str = "turn",
 
 
 def session_segments(df: DataFrame, by: str = "user_id", order=("ts", "event_id"),
-                     text: str = "text", chunk_seconds: int = 3600) -> DataFrame:
+                     text: str = "text", chunk_unit: str = "hour") -> DataFrame:
     """E5: chat input log -> context messages.
 
     ``clear`` (exact) starts a new context, ``exit`` (exact) ends the session
@@ -52,7 +52,7 @@ def session_segments(df: DataFrame, by: str = "user_id", order=("ts", "event_id"
         df, by, ts, tie,
         sums={"segment": F.when(t == "clear", 1).otherwise(0)},
         maxes={"_closed": F.when(t == "exit", 1).otherwise(0)},
-        chunk_seconds=chunk_seconds)
+        unit=chunk_unit)
     kept = marked.filter((F.col("_closed") == 0) & ~t.isin("clear") & ~is_blank(text))
     return kept.drop("_closed")
 

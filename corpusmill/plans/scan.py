@@ -18,13 +18,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _chunk(df: DataFrame, ts: str, unit: str, size: int) -> Column:
+    """A chunk key that never decreases along ``ts``: ``date_trunc`` in the
+    column's own type for timestamps (no time-zone conversion, so no DST
+    reordering of TIMESTAMP_NTZ), ``floor(ts / size)`` for numbers."""
+    kind = df.schema[ts].dataType.typeName()
+    if kind.startswith("timestamp") or kind == "date":
+        return F.date_trunc(unit, F.col(ts))
+    return F.floor(F.col(ts) / size).cast("bigint")
+
+
 def running_totals(df: DataFrame, by, ts: str, tie: str, sums: dict[str, Column] | None = None,
-                   maxes: dict[str, Column] | None = None, chunk_seconds: int = 3600) -> DataFrame:
+                   maxes: dict[str, Column] | None = None, unit: str = "hour", size: int = 1024) -> DataFrame:
     """Add running (inclusive) sums and maxima over rows ordered by
-    (ts, tie) within ``by``.  Flag columns must not be null."""
+    (ts, tie) within ``by``.  Flag columns must not be null.  Chunks are
+    ``unit`` periods for a timestamp order column, ``size`` wide for a
+    numeric one."""
     by = [by] if isinstance(by, str) else list(by)
     sums, maxes = dict(sums or {}), dict(maxes or {})
-    chunk = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (chunk_seconds * 1_000_000)).cast("bigint")
+    chunk = _chunk(df, ts, unit, size)
     base = df.withColumn("_chunk", chunk)
     for k, v in sums.items():
         base = base.withColumn(f"_s_{k}", v.cast("bigint"))

@@ -95,11 +95,13 @@ def _sessions(key, batches, state):
 
 
 def session_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                   max_files: int | None = None):
+                   max_files: int | None = None, ts_type: str = "timestamp_ntz"):
     """E5 over a stream.  State per user: (segment, closed); rows of a
     micro-batch are ordered by (ts, event_id).  Input must arrive in order
-    per user across micro-batches (there is no event-time rule to reorder)."""
-    src = _source(spark, in_dir, "user_id long, ts timestamp, event_id long, text string", max_files)
+    per user across micro-batches (there is no event-time rule to reorder).
+    ``ts`` is read as wall-clock time without a zone, so the session time
+    zone cannot reorder rows."""
+    src = _source(spark, in_dir, f"user_id long, ts {ts_type}, event_id long, text string", max_files)
     out = src.groupBy("user_id").applyInPandasWithState(
         _sessions, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
     return _run(out, out_dir, checkpoint)

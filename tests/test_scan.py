@@ -14,7 +14,15 @@ def test_running_totals_equals_window_with_hot_key(spark):
         (F.col("id") % 97 == 0).cast("int").alias("stop"))
     w = Window.partitionBy("user").orderBy("ts", "eid").rowsBetween(Window.unboundedPreceding, 0)
     want = sorted(df.select("eid", F.sum("flag").over(w).alias("s"), F.max("stop").over(w).alias("m")).collect())
-    for chunk in (60, 3600, 10 ** 6):
+    for unit in ("minute", "hour", "year"):
         got = running_totals(df, "user", "ts", "eid", sums={"s": F.col("flag")}, maxes={"m": F.col("stop")},
-                             chunk_seconds=chunk).select("eid", "s", "m")
+                             unit=unit).select("eid", "s", "m")
         assert sorted(got.collect()) == want
+    ntz = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = running_totals(ntz, "user", "ts", "eid", sums={"s": F.col("flag")}, maxes={"m": F.col("stop")})
+    assert sorted(got.select("eid", "s", "m").collect()) == want
+    num = df.withColumn("ts", F.col("eid") * 7919 % 100000)
+    wn = Window.partitionBy("user").orderBy("ts", "eid").rowsBetween(Window.unboundedPreceding, 0)
+    want_n = sorted(num.select("eid", F.sum("flag").over(wn).alias("s")).collect())
+    got = running_totals(num, "user", "ts", "eid", sums={"s": F.col("flag")}, size=500).select("eid", "s")
+    assert sorted(got.collect()) == want_n
