@@ -64,25 +64,31 @@ SELECT * FROM (VALUES ('<|endoftext|>', 100), ('<|im_start|>', 101), ('<|im_end|
 SELECT sample_id, attempt, kind, CASE WHEN code = 'X' THEN 'error' ELSE 'ok' END AS status,
   CASE code WHEN 'S' THEN substr(solution, 1, 20) WHEN 'L' THEN solution || ' longer' WHEN 'E' THEN '' WHEN 'B' THEN ' ' || chr(10) END AS text
 FROM (
-  SELECT s.sample_id, s.solution, a.attempt, a.kind, substr(CASE s.sample_id % 8
+  SELECT sample_id, solution, slot.attempt AS attempt, slot.kind AS kind, substr(CASE sample_id % 8
       WHEN 0 THEN 'S---' WHEN 1 THEN 'LS--' WHEN 2 THEN 'LL--' WHEN 3 THEN 'E-L-'
-      WHEN 4 THEN 'X-XX' WHEN 5 THEN 'LES-' WHEN 6 THEN 'LB--' ELSE 'X-ES' END, a.pos, 1) AS code
-  FROM (SELECT sample_id, solution FROM {samples} WHERE length(replace(replace(solution, ' ', ''), chr(10), '')) > 0) s
-  CROSS JOIN (VALUES (1, 0, 'primary'), (2, 0, 'focus'), (3, 1, 'primary'), (4, 2, 'primary')) AS a(pos, attempt, kind)
+      WHEN 4 THEN 'X-XX' WHEN 5 THEN 'LES-' WHEN 6 THEN 'LB--' ELSE 'X-ES' END, slot.pos, 1) AS code
+  FROM (SELECT sample_id, solution, unnest([{'pos': 1, 'attempt': 0, 'kind': 'primary'}, {'pos': 2, 'attempt': 0, 'kind': 'focus'},
+                                             {'pos': 3, 'attempt': 1, 'kind': 'primary'}, {'pos': 4, 'attempt': 2, 'kind': 'primary'}]) AS slot
+        FROM {samples} WHERE length(replace(replace(solution, ' ', ''), chr(10), '')) > 0)
 ) c WHERE code <> '-'""",
 }
 
-# Spark text where it differs from the shared text: the four scripted call
-# slots come from a generator over an array literal instead of a join with a
-# VALUES list, so the plan holds no nested-loop join.
+# Spark text where the dialects differ: the four scripted call slots come
+# from a generator over an array literal (``inline`` here, ``unnest`` in
+# DuckDB), so neither plan holds a join for them.
 SPARK_SQL = {
-    "candidates": VIEW_SQL["candidates"].replace(
-        """  FROM (SELECT sample_id, solution FROM {samples} WHERE length(replace(replace(solution, ' ', ''), chr(10), '')) > 0) s
-  CROSS JOIN (VALUES (1, 0, 'primary'), (2, 0, 'focus'), (3, 1, 'primary'), (4, 2, 'primary')) AS a(pos, attempt, kind)""",
-        """  FROM (SELECT sample_id, solution FROM {samples} WHERE length(replace(replace(solution, ' ', ''), chr(10), '')) > 0) s
+    "candidates": """
+SELECT sample_id, attempt, kind, CASE WHEN code = 'X' THEN 'error' ELSE 'ok' END AS status,
+  CASE code WHEN 'S' THEN substr(solution, 1, 20) WHEN 'L' THEN solution || ' longer' WHEN 'E' THEN '' WHEN 'B' THEN ' ' || chr(10) END AS text
+FROM (
+  SELECT s.sample_id, s.solution, a.attempt, a.kind, substr(CASE s.sample_id % 8
+      WHEN 0 THEN 'S---' WHEN 1 THEN 'LS--' WHEN 2 THEN 'LL--' WHEN 3 THEN 'E-L-'
+      WHEN 4 THEN 'X-XX' WHEN 5 THEN 'LES-' WHEN 6 THEN 'LB--' ELSE 'X-ES' END, a.pos, 1) AS code
+  FROM (SELECT sample_id, solution FROM {samples} WHERE length(replace(replace(solution, ' ', ''), chr(10), '')) > 0) s
   LATERAL VIEW inline(array(named_struct('pos', 1, 'attempt', 0, 'kind', 'primary'),
     named_struct('pos', 2, 'attempt', 0, 'kind', 'focus'), named_struct('pos', 3, 'attempt', 1, 'kind', 'primary'),
-    named_struct('pos', 4, 'attempt', 2, 'kind', 'primary'))) a AS pos, attempt, kind"""),
+    named_struct('pos', 4, 'attempt', 2, 'kind', 'primary'))) a AS pos, attempt, kind
+) c WHERE code <> '-'""",
 }
 
 VIEW_DEPS = {
