@@ -12,6 +12,11 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # no broadcast from static size estimates; AQE broadcasts a join side
+    # only when its materialized (measured) size is under the limit.
+    # Explicit, size-checked broadcast() hints in the operators still apply.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # top-n above this many rows is planned as a distributed sort instead of
