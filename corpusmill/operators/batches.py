@@ -111,7 +111,7 @@ def epoch_plan(df: DataFrame, key: str = "sample_id", epochs: int = EPOCHS, batc
     step numbers.  Global positions come from the range-sorted index; the
     position inside an epoch subtracts the epoch's first position (one
     small row per epoch, broadcast)."""
-    e = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(epochs))).cast("bigint").alias("epoch"))
+    e = df.select(key, F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(epochs).cast("bigint"))).alias("epoch"))
     e = e.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"),
                                              F.col(key).cast("string"))))
     idx = dense_index(e, ["epoch", "_h", key], "_g")
