@@ -10,7 +10,8 @@ from corpusmill.plans.chat_queries import SEGMENTS_SQL
 from corpusmill.plans.fixtures import view, with_views
 from corpusmill.plans.prepare_queries import FORMATTED
 from corpusmill.plans.registry import query
-from corpusmill.plans.sqltext import STATS_AGGS, think_features
+from corpusmill.operators.think import MAX_THINK_LENGTH
+from corpusmill.plans.sqltext import STATS_AGGS, count_lit, span_lens, spans, think_features
 from corpusmill.session import scratch_path
 from corpusmill.sources.jsonl import write_jsonl
 from corpusmill.streaming.jobs import chunk_stream, prepare_stream, read_stats, session_stream, stats_stream
@@ -25,14 +26,29 @@ def _folders(spark, name):
     return f"{base}/in", f"{base}/out", f"{base}/checkpoint"
 
 
-@query("stream_prepare", with_views(["samples"], "SELECT * FROM formatted", FORMATTED))
+_GATED = dict(FORMATTED)
+_GATED["gated"] = f"""
+SELECT *, CASE WHEN kind = 'qa' THEN array_to_string(list_filter([
+    CASE WHEN o = 0 AND c = 0 THEN 'no_tags' END,
+    CASE WHEN o <> c THEN 'unbalanced' END,
+    CASE WHEN o = c AND len(sp) < o THEN 'misordered' END,
+    CASE WHEN len(list_filter(lens, lambda x: x > {MAX_THINK_LENGTH})) > 0 THEN 'too_long' END],
+  lambda r: r IS NOT NULL), ',') END AS reasons
+FROM (SELECT *, {count_lit('text', '<think>')} AS o, {count_lit('text', '</think>')} AS c,
+             {spans('text')} AS sp, {span_lens('text')} AS lens FROM formatted)"""
+
+
+@query("stream_prepare", with_views(["samples"], """
+SELECT sample_id, kind, user_content, assistant_content, text, input, output, reasons,
+  CASE WHEN kind = 'qa' THEN reasons = '' END AS passed FROM gated""", _GATED))
 def q_stream_prepare(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-prepare")
     write_jsonl(view(spark, sf_dir, "samples"), src)
     prepare_stream(spark, src, out, ckpt, SAMPLES_SCHEMA)
     df = spark.read.parquet(out)
     return df.select("sample_id", "kind", F.col("messages")[0]["content"].alias("user_content"),
-                     F.col("messages")[1]["content"].alias("assistant_content"), "text", "input", "output")
+                     F.col("messages")[1]["content"].alias("assistant_content"), "text", "input", "output",
+                     F.array_join("reasons", ",").alias("reasons"), "passed")
 
 
 @query("chunk_assembly", with_views(["turns"], """

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from corpusmill.operators.think import finish_think_stats, pick_text_field, think_features, think_stats_aggs
+from corpusmill.operators.think import (finish_think_stats, format_reasons, pick_text_field, think_features,
+                                        think_stats_aggs)
 from corpusmill.operators.validate import drop_incomplete_qa, format_qa, route_format
 
 
@@ -33,10 +34,15 @@ def _run(df: DataFrame, out_dir: str, checkpoint: str, mode: str = "append"):
 
 def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str,
                    max_files: int | None = None):
-    """New JSONL files -> route -> drop incomplete -> format -> parquet.
-    The same stateless functions as the batch job."""
+    """New JSONL files -> route -> drop incomplete -> format -> gate ->
+    parquet.  The same stateless functions as the batch job; qa rows carry
+    the format-gate reasons and verdict (null for text and io rows)."""
     src = _source(spark, in_dir, schema, max_files)
-    return _run(format_qa(drop_incomplete_qa(route_format(src))), out_dir, checkpoint)
+    out = format_qa(drop_incomplete_qa(route_format(src)))
+    is_qa = F.col("kind") == "qa"
+    out = out.withColumn("reasons", F.when(is_qa, format_reasons("text"))) \
+             .withColumn("passed", F.when(is_qa, F.size("reasons") == 0))
+    return _run(out, out_dir, checkpoint)
 
 
 # ---- I2: text so far per request ------------------------------------------------

@@ -45,3 +45,20 @@ def test_stats_stream_equals_batch(spark):
     stats_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt",
                  "doc_id long, formatted_response string, text string, solution string, content string", max_files=1)
     assert read_stats(spark, f"{base}/out").first() == think_stats(fields).first()
+
+
+def test_prepare_stream_equals_batch(spark):
+    from corpusmill.operators.validate import drop_incomplete_qa, format_qa, route_format
+    from corpusmill.streaming.jobs import prepare_stream
+    samples = view(spark, SF_SMALL, "samples")
+    base = scratch_path(spark, "t-prepare")
+    _split_three(samples, "sample_id", f"{base}/in")
+    schema = ("sample_id long, question string, solution string, answer string, text string, "
+              "input string, output string, lang string, source string")
+    prepare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema, max_files=1)
+    cols = ["sample_id", "kind", "text", "input", "output"]
+    got = sorted(spark.read.parquet(f"{base}/out").select(*cols).collect())
+    want = sorted(format_qa(drop_incomplete_qa(route_format(samples))).select(*cols).collect())
+    assert got == want
+    gated = spark.read.parquet(f"{base}/out").filter("kind = 'qa'")
+    assert gated.filter(F.col("passed").isNull()).count() == 0
