@@ -42,7 +42,7 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "samp
         key, F.when(F.col("pos").isNotNull(),
                     F.struct("pos", F.coalesce("token_id", F.lit(unk_id)).cast("int").alias("id"))).alias("_p"))
     return ids.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["id"]).alias("input_ids"))
+        F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["id"]).alias("input_ids"))
 
 
 def with_labels(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def collect_messages(df: DataFrame, by: str = "conv_id", order: str = "turn",
     """One row per conversation with ``messages`` in turn order.  A
     conversation is one rendered text, so it is gathered in one group; the
     partial aggregate runs map-side."""
-    msgs = df.groupBy(by).agg(F.array_sort(F.collect_list(
+    msgs = df.groupBy(by).agg(F.sort_array(F.collect_list(
         F.struct(F.col(order).alias("_o"), F.col(role).alias("role"), F.col(content).alias("content")))).alias("_m"))
     return msgs.select(by, F.transform("_m", lambda x: F.struct(x["role"].alias("role"),
                                                                 x["content"].alias("content"))).alias("messages"))

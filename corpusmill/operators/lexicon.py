@@ -77,7 +77,7 @@ def lexicon_rewrite_table(df: DataFrame, text: str, key: str, lexicon: DataFrame
     swapped = runs.join(subst, runs["_run"] == subst["term"], "left") \
         .select(key, F.struct("_pos", F.coalesce("chosen", "_run").alias("_v")).alias("_p"))
     joined = swapped.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["_v"]), "").alias(out))
+        F.array_join(F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["_v"]), "").alias(out))
     return df.join(joined, key, "left").withColumn(out, F.coalesce(F.col(out), F.when(F.col(text).isNotNull(), F.lit(""))))
 
 

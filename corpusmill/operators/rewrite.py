@@ -317,7 +317,7 @@ FINAL_ANSWER = r"\*\*Final Answer\*\*[\x{9}-\x{D}\x{20}]*\\boxed\{([^{}]*)\}"
 
 
 def _bag(c, pattern: str) -> Column:
-    return F.array_sort(F.regexp_extract_all(col_of(c), F.lit(pattern), F.lit(0)))
+    return F.sort_array(F.regexp_extract_all(col_of(c), F.lit(pattern), F.lit(0)))
 
 
 def notation_preserved(df: DataFrame, orig: str = "original", new: str = "rewrite") -> DataFrame:
