@@ -171,7 +171,9 @@ def run_rewrite(df: DataFrame, transformer, log_path: str, partitions: int | Non
         todo = df.join(done, key, "left_anti")
     except Exception:  # noqa: BLE001 - no log yet
         pass
-    n = partitions or spark.sparkContext.defaultParallelism
+    from corpusmill.session import _context
+    sc = _context(spark)
+    n = partitions or (sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.sql.shuffle.partitions")))
     rewrite(todo.repartition(n), transformer, **kwargs).write.mode("append").parquet(log_path)
     return spark.read.parquet(log_path)
 

@@ -47,6 +47,14 @@ def get_session(master: str | None = None, app: str = "corpusmill",
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or None on a Spark Connect session."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions have no context
+        return None
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
@@ -54,16 +62,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     on the context); both must point at shared storage.  Only when neither is
     set (local tests) a fresh local folder is created and registered.
     """
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not root:
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and sc is not None:
+        root = sc.getConf().get("spark.checkpoint.dir", None)
         current = sc.getCheckpointDir()
-        if current:
+        if not root and current:
             # the context appends its own uuid folder; use its parent
             root = current.rsplit("/", 1)[0]
     if not root:
         root = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
-    if not sc.getCheckpointDir():
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
