@@ -39,8 +39,7 @@ FROM (SELECT *, {count_lit('text', '<think>')} AS o, {count_lit('text', '</think
 
 
 @query("stream_prepare", with_views(["samples"], """
-SELECT sample_id, kind, user_content, assistant_content, text, input, output, reasons,
-  CASE WHEN kind = 'qa' THEN reasons = '' END AS passed FROM gated""", _GATED))
+SELECT sample_id, kind, user_content, assistant_content, text, input, output, reasons FROM gated""", _GATED))
 def q_stream_prepare(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-prepare")
     write_jsonl(view(spark, sf_dir, "samples"), src)
@@ -48,7 +47,7 @@ def q_stream_prepare(spark, sf_dir):
     df = spark.read.parquet(out)
     return df.select("sample_id", "kind", F.col("messages")[0]["content"].alias("user_content"),
                      F.col("messages")[1]["content"].alias("assistant_content"), "text", "input", "output",
-                     F.array_join("reasons", ",").alias("reasons"), "passed")
+                     F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("chunk_assembly", with_views(["turns"], """

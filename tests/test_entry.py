@@ -27,6 +27,8 @@ def _norm(v):
         return None
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
+    if hasattr(v, "item"):  # numpy scalars
+        v = v.item()
     return v if isinstance(v, (bool, int)) else str(v)
 
 
