@@ -21,7 +21,25 @@ WS_CODEPOINTS = (
     0x205F, 0x3000,
 )
 WS = "".join(chr(cp) for cp in WS_CODEPOINTS)
-WS_CLASS_BODY = "".join("\\x{%X}" % cp for cp in WS_CODEPOINTS)
+
+
+def _class_body(codepoints) -> str:
+    """Character-class body with consecutive code points merged into ranges
+    (Java evaluates a few ranges faster than many single characters)."""
+    parts, run = [], []
+    for cp in sorted(codepoints):
+        if run and cp == run[-1] + 1:
+            run.append(cp)
+            continue
+        if run:
+            parts.append(run)
+        run = [cp]
+    if run:
+        parts.append(run)
+    return "".join("\\x{%X}" % r[0] if len(r) == 1 else "\\x{%X}-\\x{%X}" % (r[0], r[-1]) for r in parts)
+
+
+WS_CLASS_BODY = _class_body(WS_CODEPOINTS)
 WS_CLASS = "[" + WS_CLASS_BODY + "]"
 
 # sentence boundary: a run of terminators followed by whitespace

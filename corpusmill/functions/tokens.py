@@ -44,10 +44,18 @@ def special_alternation(special) -> str:
 
 
 def token_pattern(special=SPECIAL_TOKENS) -> str:
-    """Special tokens (atomic), letter runs, digit runs, any other single
-    non-whitespace character."""
-    tail = "[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + WS_CLASS_BODY + "]"
-    return special_alternation(special) + "|" + tail if special else tail
+    """Letter runs, digit runs, special tokens (atomic), any other single
+    non-whitespace character.  Letters, digits and special tokens start with
+    different characters, so only the last branch must follow the specials;
+    the frequent branches go first."""
+    other = "[^A-Za-z0-9" + WS_CLASS_BODY + "]"
+    if not special:
+        return "[A-Za-z]+|[0-9]+|" + other
+    starts = {t[0] for t in special}
+    if any(ch.isascii() and ch.isalnum() for ch in starts):
+        # a special token starting with a letter or digit must be tried first
+        return special_alternation(special) + "|[A-Za-z]+|[0-9]+|" + other
+    return "[A-Za-z]+|[0-9]+|" + special_alternation(special) + "|" + other
 
 
 def special_matches(c, tokens) -> Column:

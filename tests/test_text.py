@@ -25,3 +25,11 @@ def test_regex_escape_literal(spark):
     tok = "<|im_end|>"
     df = spark.createDataFrame([("a<|im_end|>b",)], "s string")
     assert df.select(F.regexp_replace("s", regex_escape(tok), "").alias("x")).first().x == "ab"
+
+
+def test_ws_class_is_exactly_the_strip_set(spark):
+    from corpusmill.functions.text import WS_CLASS
+    cps = [cp for cp in range(1, 0x3100) if not 0xD800 <= cp <= 0xDFFF]
+    df = spark.createDataFrame([(cp, chr(cp)) for cp in cps], "cp int, ch string")
+    got = {r.cp for r in df.filter(F.regexp_like("ch", F.lit("^" + WS_CLASS + "$"))).collect()}
+    assert got == {ord(c) for c in WS}
