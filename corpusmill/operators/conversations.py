@@ -26,6 +26,42 @@ def collect_messages(df: DataFrame, by: str = "conv_id", order: str = "turn",
                                                                 x["content"].alias("content"))).alias("messages"))
 
 
+def ordered_concat(df: DataFrame, by: str, order: str, value: str, out: str, chunk: int = 256) -> DataFrame:
+    """Concatenate ``value`` per ``by`` in ``order``, in two levels: pieces
+    are joined per (by, order div chunk) first, then the few chunk strings
+    per ``by``.  A very long conversation spreads its work over many tasks;
+    only the final join of chunk strings (the output itself) is per group."""
+    parts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"),
+                                                                       F.col(value).alias("_v")))),
+                                 lambda x: x["_v"]), "").alias("_part"))
+    return parts.groupBy(by).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_part"))),
+                                 lambda x: x["_part"]), "").alias(out))
+
+
+def render_conversations(df: DataFrame, by: str = "conv_id", order: str = "turn", role: str = "role",
+                         content: str = "text", default_system: str | None = None,
+                         add_generation_prompt: bool = False, think_mode: bool | None = None,
+                         out: str = "rendered") -> DataFrame:
+    """E1/E2 over a turns table without gathering a conversation's messages:
+    ``turn`` is the message position from 0, so each row's rendered piece
+    is known from the row alone (turn 0 carries the system header or the
+    default one), and the pieces are joined with ``ordered_concat``."""
+    from corpusmill.functions.chat import DEFAULT_SYSTEM, IM_END, IM_START, generation_suffix, message_block
+    default = DEFAULT_SYSTEM if default_system is None else default_system
+    r, t = F.col(role), F.col(order)
+    block = message_block(r, F.col(content))
+    shown = r.isin("user", "assistant") | ((r == "system") & (t > 0))
+    piece = (F.when((t == 0) & (r == "system"), block)
+             .when(t == 0, F.concat(F.lit(IM_START + "system\n" + default + IM_END + "\n"),
+                                    F.when(shown, block).otherwise(F.lit(""))))
+             .when(shown, block).otherwise(F.lit("")))
+    rendered = ordered_concat(df.select(by, order, piece.alias("_piece")), by, order, "_piece", out)
+    suffix = generation_suffix(add_generation_prompt, think_mode)
+    return rendered.withColumn(out, F.concat(F.col(out), F.lit(suffix))) if suffix else rendered
+
+
 def turn_pairs(df: DataFrame, by: str = "conv_id", order: str = "turn",
                role: str = "role", content: str = "text") -> DataFrame:
     """Each user message with the assistant reply at the next turn;

@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import DEFAULT_SYSTEM, IM_END, IM_START, clean_reply, generation_suffix, render_chat
-from corpusmill.operators.conversations import collect_messages, history_rows, session_segments, turn_pairs
+from corpusmill.operators.conversations import (collect_messages, history_rows, render_conversations, session_segments,
+                                                turn_pairs)
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import view, with_views
 from corpusmill.plans.registry import query
@@ -23,8 +24,7 @@ GROUP BY conv_id"""}
 
 
 def _rendered(spark, sf_dir, **kw):
-    msgs = collect_messages(view(spark, sf_dir, "turns"))
-    return msgs.select("conv_id", render_chat("messages", **kw).alias("rendered"))
+    return render_conversations(view(spark, sf_dir, "turns"), **kw)
 
 
 @query("render_chat", with_views(["turns"], "SELECT conv_id, rendered FROM rendered", RENDERED))
@@ -40,12 +40,11 @@ def _suffix_sql(think):
 SELECT conv_id, rendered || {_suffix_sql(True)} AS p_on, rendered || {_suffix_sql(False)} AS p_off,
   rendered || {_suffix_sql(None)} AS p_unset FROM rendered""", RENDERED))
 def q_generation_prompt(spark, sf_dir):
-    msgs = collect_messages(view(spark, sf_dir, "turns"))
-    return msgs.select(
+    r = render_conversations(view(spark, sf_dir, "turns"))
+    return r.select(
         "conv_id",
-        render_chat("messages", add_generation_prompt=True, think_mode=True).alias("p_on"),
-        render_chat("messages", add_generation_prompt=True, think_mode=False).alias("p_off"),
-        render_chat("messages", add_generation_prompt=True, think_mode=None).alias("p_unset"))
+        *[F.concat("rendered", F.lit(generation_suffix(True, mode))).alias(name)
+          for name, mode in (("p_on", True), ("p_off", False), ("p_unset", None))])
 
 
 @query("collect_messages", with_views(["turns"], """

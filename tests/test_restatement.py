@@ -96,3 +96,17 @@ def test_pad_batch_random(spark):
             pad = padded - len(ids)
             want[k] = (b // 4, padded, ids + [0] * pad, ids + [-100] * pad, [1] * len(ids) + [0] * pad)
     assert got == want
+
+
+def test_render_conversations_equals_array_form(spark):
+    from corpusmill.operators.conversations import render_conversations
+    rnd = random.Random(8)
+    roles = ["system", "user", "assistant", "tool"]
+    convs = {c: [(rnd.choice(roles), rnd.choice(["", "x", "안녕 ", None])) for _ in range(rnd.randint(1, 700))]
+             for c in range(12)}
+    rows = [(c, t, r, txt) for c, ms in convs.items() for t, (r, txt) in enumerate(ms)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {r.conv_id: r.x for r in collect_messages(df).select("conv_id", render_chat("messages", "D", True, False).alias("x")).collect()}
+    got = {r.conv_id: r.rendered for r in render_conversations(df, default_system="D", add_generation_prompt=True,
+                                                                 think_mode=False).collect()}
+    assert got == want
