@@ -18,6 +18,7 @@ from corpusmill.operators.validate import drop_incomplete_qa, effective_text, fo
 from corpusmill.operators.vocab import build_vocab
 from corpusmill.functions.think import close_think
 from corpusmill.session import checkpoint_root, get_session
+from corpusmill.settings import load_settings
 
 
 def main(argv=None) -> None:
@@ -28,10 +29,11 @@ def main(argv=None) -> None:
     p.add_argument("--out", required=True)
     p.add_argument("--key", default="sample_id")
     p.add_argument("--vocab", help="existing vocabulary parquet (token, token_id)")
-    p.add_argument("--max-length", type=int, default=8192)
-    p.add_argument("--epochs", type=int, default=3)
-    p.add_argument("--seed", type=int, default=42)
+    p.add_argument("--settings", help="YAML/JSON settings file")
+    p.add_argument("--max-length", type=int)
     a = p.parse_args(argv)
+    cfg = load_settings(a.settings)
+    max_length = a.max_length or cfg.max_length
 
     spark = get_session()
     checkpoint_root(spark)
@@ -39,18 +41,22 @@ def main(argv=None) -> None:
     check = validate_required(df).first()
     if not check.valid:
         raise SystemExit(f"input is not valid: {check}")
-    formatted = format_qa(drop_incomplete_qa(route_format(df)), key=a.key)
+    formatted = format_qa(drop_incomplete_qa(route_format(df)), cfg.think_start, cfg.think_end, key=a.key)
     closed, _surplus = close_think("text")
-    gated = format_gate(formatted.withColumn("text", F.when(F.col("kind") == "qa", closed).otherwise(F.col("text"))))
+    if cfg.ensure_think_closure:
+        formatted = formatted.withColumn("text", F.when(F.col("kind") == "qa", closed).otherwise(F.col("text")))
+    gated = format_gate(formatted, max_len=cfg.max_think_length)
     gated.select(a.key, "kind", "reasons", "passed").write.mode("overwrite").parquet(f"{a.out}/gate")
     corpus = gated.filter("passed OR kind <> 'qa'").select(a.key, effective_text(gated).alias("eff_text"))
     toks = tokenized(corpus, "eff_text", a.key)
     vocab = spark.read.parquet(a.vocab) if a.vocab else build_vocab(toks, tokens_col="tokens")
     if not a.vocab:
         vocab.write.mode("overwrite").parquet(f"{a.out}/vocab")
-    ids = with_labels(encode(toks, vocab, key=a.key, tokens_col="tokens", max_length=a.max_length))
-    epoch_plan(ids, key=a.key, epochs=a.epochs, seed=a.seed).write.mode("overwrite").parquet(f"{a.out}/epochs")
-    pad_batch(ids, key=a.key, lengths=token_lengths(toks, a.key, max_length=a.max_length)).write.mode("overwrite").parquet(f"{a.out}/batches")
+    ids = with_labels(encode(toks, vocab, key=a.key, tokens_col="tokens", max_length=max_length))
+    epoch_plan(ids, key=a.key, epochs=cfg.epochs, batch_size=cfg.batch_size, accum=cfg.grad_accum,
+               seed=cfg.seed).write.mode("overwrite").parquet(f"{a.out}/epochs")
+    pad_batch(ids, key=a.key, batch_size=cfg.batch_size,
+              lengths=token_lengths(toks, a.key, max_length=max_length)).write.mode("overwrite").parquet(f"{a.out}/batches")
 
 
 if __name__ == "__main__":
