@@ -33,3 +33,17 @@ def test_ws_class_is_exactly_the_strip_set(spark):
     df = spark.createDataFrame([(cp, chr(cp)) for cp in cps], "cp int, ch string")
     got = {r.cp for r in df.filter(F.regexp_like("ch", F.lit("^" + WS_CLASS + "$"))).collect()}
     assert got == {ord(c) for c in WS}
+
+
+def test_split_sentences_random_matches_python(spark):
+    import re
+    rnd = random.Random(21)
+    pool = list(".!?") + list(WS) + list("abc가") + [". ", "! ", "?\n"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25))) for _ in range(500)]
+
+    def py(t):
+        return [p.strip() for p in re.split(r"[.!?]+\s+", t.strip()) if p.strip()]
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: list(r.s) for r in df.select("i", split_sentences("t").alias("s")).collect()}
+    assert got == {i: py(t) for i, t in enumerate(texts)}
