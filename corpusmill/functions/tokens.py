@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import WS_CLASS_BODY, alternation, col_of, regex_escape
+from corpusmill.functions.text import WS_CLASS_BODY, col_of, regex_escape
 
 # Special tokens the training settings keep, in settings order.
 KEEP_TOKENS = ("<|im_start|>", "<|im_end|>", "<think>", "</think>", "<|endoftext|>")

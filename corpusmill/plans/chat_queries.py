@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.chat import DEFAULT_SYSTEM, IM_END, IM_START, clean_reply, generation_suffix, render_chat
+from corpusmill.functions.chat import DEFAULT_SYSTEM, IM_END, IM_START, clean_reply, generation_suffix
 from corpusmill.operators.conversations import (collect_messages, history_rows, render_conversations, session_segments,
                                                 turn_pairs)
 from corpusmill.plans import sqltext as Q

@@ -14,7 +14,7 @@ from corpusmill.operators.batches import (BATCH_SIZE, EPOCHS, GRAD_ACCUM, MAX_LE
 from corpusmill.operators.validate import effective_text
 from corpusmill.operators.vocab import (add_special_tokens, build_vocab, keep_essential, special_vocab, token_audit,
                                         token_diff)
-from corpusmill.functions.text import alternation
+from corpusmill.functions.tokens import special_alternation
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import view, with_views
 from corpusmill.plans.prepare_queries import EFFECTIVE, prepared
@@ -121,7 +121,7 @@ def q_token_audit(spark, sf_dir):
 
 
 @query("strip_tokens", with_views(["noisy"], f"""
-SELECT doc_id, regexp_replace(text, '{alternation(REMOVE_TOKENS)}', '', 'g') AS stripped FROM noisy"""))
+SELECT doc_id, regexp_replace(text, '{special_alternation(REMOVE_TOKENS)}', '', 'g') AS stripped FROM noisy"""))
 def q_strip_tokens(spark, sf_dir):
     return view(spark, sf_dir, "noisy").select("doc_id", strip_tokens("text", REMOVE_TOKENS).alias("stripped"))
 
