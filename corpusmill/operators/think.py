@@ -72,9 +72,12 @@ def finish_think_stats(agg: DataFrame, keep=()) -> DataFrame:
     return agg.select(*keep, *STAT_COLUMNS[:-1], avg.alias("average_think_length"))
 
 
-def think_stats(df: DataFrame, text=None, fields=TEXT_FIELDS) -> DataFrame:
+def think_stats(df: DataFrame, text=None, fields=TEXT_FIELDS, by=None) -> DataFrame:
     """one record over the whole table.  Rows without text count in
-    ``total_samples`` only.  One pass, partial aggregation, no explode."""
+    ``total_samples`` only.  One pass, partial aggregation, no explode.
+    With ``by`` this is F6 (per group plus the total)."""
+    if by:
+        return think_stats_by(df, by, text=text, fields=fields)
     t = pick_text_field(df, fields) if text is None else col_of(text)
     return finish_think_stats(think_features(df, t).agg(*think_stats_aggs()))
 

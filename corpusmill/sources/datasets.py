@@ -72,6 +72,18 @@ def write_rewritten(rewritten: DataFrame, out_dir: str, name: str, split: str, s
     return write_jsonl(rewritten, path)
 
 
+def write_pair(original: DataFrame, rewritten: DataFrame, out_dir: str, name: str, split: str,
+               subset: str | None = None, n_rows: int | None = None) -> tuple[str, str]:
+    """A5: ``original_<file>`` first (the selection, before any call), then
+    ``code_switched_<file>`` (writing it runs the rewrite); ``<file>`` is
+    ``name_split[_subset]_rows.jsonl``.  Persist or checkpoint ``original``
+    so both files see the same selection."""
+    n = original.count() if n_rows is None else n_rows
+    first = write_original(original, out_dir, name, split, subset, n)
+    second = write_rewritten(rewritten, out_dir, name, split, subset, n)
+    return first, second
+
+
 def run_manifest(verdicts: DataFrame, n_input: int | Column | None = None, **settings) -> DataFrame:
     """One-row run record: row counts per outcome plus the settings
     (paths, model, columns ...) as literal columns."""

@@ -58,3 +58,11 @@ def test_dataset_subset_and_split(spark, tmp_dir):
     assert sorted(r.id for r in read_dataset(spark, tmp_dir, "org/data", subset="en").collect()) == [1, 3]
     assert read_dataset(spark, tmp_dir, "org/data").count() == 3
     assert read_dataset(spark, tmp_dir, "org/data", split="test").count() == 0
+
+
+def test_write_pair_names_and_order(spark, tmp_dir):
+    from corpusmill.sources.datasets import write_pair
+    df = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
+    a, b = write_pair(df, df.withColumn("s", df.s), tmp_dir, "org/set", "train", "sub")
+    assert a.endswith("original_org_set_train_sub_2.jsonl") and b.endswith("code_switched_org_set_train_sub_2.jsonl")
+    assert read_jsonl(spark, b, SCHEMA).count() == 2

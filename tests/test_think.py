@@ -83,3 +83,12 @@ def test_truncation_cut_before_close(spark):
     df = _df(spark, ["<think> a b </think>"])  # tokens: <think>, a, b, </think>
     r = tags_after_truncation(df, 3).first()
     assert r.broken and r.kept_opens == 1 and r.kept_closes == 0
+
+
+def test_stats_by_group_matches_per_group(spark):
+    df = spark.createDataFrame([(1, "a", "<think>x</think>"), (2, "a", "none"), (3, "b", "<think>yy</think>")],
+                               "doc_id long, lang string, text string")
+    rows = {r.lang: r for r in think_stats(df, text="text", by="lang").collect()}
+    assert rows["a"].total_samples == 2 and rows["b"].average_think_length == 2
+    total = [r for r in rows.values() if r.is_total][0]
+    assert total.total_samples == 3 and total.samples_with_balanced_tokens == 2
