@@ -29,6 +29,18 @@ DEFAULT_CONF = {
 }
 
 
+def _default_driver_memory() -> str:
+    """60% of the machine's memory, at most 8 GB, at least 1 GB (local runs;
+    a cluster sets its own sizes)."""
+    try:
+        with open("/proc/meminfo") as fh:
+            kb = int(next(line for line in fh if line.startswith("MemTotal")).split()[1])
+        gb = max(1, min(8, int(kb / 1024 / 1024 * 0.6)))
+    except Exception:  # noqa: BLE001
+        gb = 4
+    return f"{gb}g"
+
+
 def get_session(master: str | None = None, app: str = "corpusmill",
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume."""
@@ -36,7 +48,7 @@ def get_session(master: str | None = None, app: str = "corpusmill",
     if master:
         builder = builder.master(master)
     settings = dict(DEFAULT_CONF)
-    settings.setdefault("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY", "8g"))
+    settings.setdefault("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY") or _default_driver_memory())
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)
