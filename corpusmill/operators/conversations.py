@@ -16,14 +16,19 @@ from corpusmill.functions.text import is_blank
 
 
 def collect_messages(df: DataFrame, by: str = "conv_id", order: str = "turn",
-                     role: str = "role", content: str = "text") -> DataFrame:
-    """One row per conversation with ``messages`` in turn order.  A
-    conversation is one rendered text, so it is gathered in one group; the
-    partial aggregate runs map-side."""
-    msgs = df.groupBy(by).agg(F.sort_array(F.collect_list(
-        F.struct(F.col(order).alias("_o"), F.col(role).alias("role"), F.col(content).alias("content")))).alias("_m"))
-    return msgs.select(by, F.transform("_m", lambda x: F.struct(x["role"].alias("role"),
-                                                                x["content"].alias("content"))).alias("messages"))
+                     role: str = "role", content: str = "text", chunk: int = 256) -> DataFrame:
+    """One row per conversation with ``messages`` in turn order.  Built
+    in two levels: message arrays per (conversation, turn chunk), then the
+    chunk arrays flattened per conversation in chunk order, so a very long
+    conversation spreads its sorting and collecting over many tasks; only
+    the final array (the output row itself) is per conversation."""
+    msg = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
+    parts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), msg.alias("_m")))),
+                    lambda x: x["_m"]).alias("_part"))
+    return parts.groupBy(by).agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_chunk", "_part"))),
+                              lambda x: x["_part"])).alias("messages"))
 
 
 def ordered_concat(df: DataFrame, by: str, order: str, value: str, out: str, chunk: int = 256) -> DataFrame:

@@ -44,3 +44,9 @@ def test_clean_reply_and_preview(spark):
                                 ("y", "system", "a" * 101)], "r string, role string, c string")
     rows = df.select(clean_reply("r").alias("x"), history_preview("role", "c").alias("p")).collect()
     assert rows[0].x == "x" and rows[0].p == "a" * 100 and rows[1].p == "a" * 100 + "..."
+
+
+def test_collect_messages_long_conversation_order(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(1000)]
+    m = collect_messages(_turns(spark, rows)).first()
+    assert [x.content for x in m.messages] == [f"m{t}" for t in range(1000)]
