@@ -81,3 +81,21 @@ def test_python_rewrite_matches_spark(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r.r for r in df.select(lexicon_rewrite("t", mapping).alias("r")).collect()]
     assert got == [rewrite_text(t, mapping) for t in texts]
+
+
+def test_system_prompt_file_and_default(tmp_path):
+    from corpusmill.operators.rewrite import DEFAULT_SYSTEM_PROMPT, load_system_prompt
+    p = tmp_path / "prompt.txt"
+    p.write_text("\n  my rules  \n", encoding="utf-8")
+    assert load_system_prompt(str(p)) == "my rules"
+    assert load_system_prompt(str(tmp_path / "missing.txt")) == DEFAULT_SYSTEM_PROMPT
+    assert load_system_prompt(None) == DEFAULT_SYSTEM_PROMPT
+
+
+def test_build_request_messages(spark):
+    from corpusmill.operators.rewrite import build_focus_request, build_request
+    df = spark.createDataFrame([(1, "  One. Two!  ")], "sample_id long, solution string")
+    r = build_request(df, system=" S ", template="T:{text}").first()
+    assert [(m.role, m.content) for m in r.messages] == [("system", "S"), ("user", "T:One. Two!")]
+    f = build_focus_request(df, template="{n_sentences}|{budget}|{text}").first()
+    assert f.focus_messages[1].content == "2|9|One. Two!"

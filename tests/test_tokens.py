@@ -53,3 +53,14 @@ def test_special_vocab_equals_full_vocab_rows(spark):
     full = sorted(tuple(r) for r in build_vocab(df).filter("is_special").collect())
     fast = sorted(tuple(r) for r in special_vocab(df).collect())
     assert full == fast
+
+
+def test_add_special_tokens_counts(spark):
+    both = spark.createDataFrame([(1, "<think> a </think>")], "sample_id long, text string")
+    none = spark.createDataFrame([(1, "a b")], "sample_id long, text string")
+    for df, added in ((both, 0), (none, 2)):
+        v = build_vocab(df)
+        grown = add_special_tokens(v)
+        assert grown.count() - v.count() == added
+    ids = {r.token: r.token_id for r in add_special_tokens(build_vocab(none)).collect()}
+    assert (ids["<think>"], ids["</think>"]) == (2, 3)
