@@ -62,3 +62,20 @@ def test_prepare_stream_equals_batch(spark):
     assert got == want
     gated = spark.read.parquet(f"{base}/out").filter("kind = 'qa'")
     assert gated.filter(F.col("passed").isNull()).count() == 0
+
+
+def test_stream_restart_processes_only_new_files(spark):
+    from corpusmill.operators.validate import drop_incomplete_qa, format_qa, route_format
+    from corpusmill.streaming.jobs import prepare_stream
+    samples = view(spark, SF_SMALL, "samples")
+    base = scratch_path(spark, "t-restart")
+    schema = ("sample_id long, question string, solution string, answer string, text string, "
+              "input string, output string, lang string, source string")
+    first, second = samples.filter("sample_id < 100"), samples.filter("sample_id >= 100")
+    first.coalesce(1).write.mode("append").json(f"{base}/in")
+    prepare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema)
+    second.coalesce(1).write.mode("append").json(f"{base}/in")
+    prepare_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", schema)  # same checkpoint: resumes
+    got = spark.read.parquet(f"{base}/out").select("sample_id", "text")
+    want = format_qa(drop_incomplete_qa(route_format(samples))).select("sample_id", "text")
+    assert got.count() == want.count() and sorted(got.collect()) == sorted(want.collect())
