@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     # top-n above this many rows is planned as a distributed sort instead of
     # a driver-side merge of per-partition top-n lists
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    # checkpoint files are removed once their DataFrames are out of scope
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.driver.host": "127.0.0.1",
     "spark.driver.bindAddress": "127.0.0.1",
     "spark.ui.enabled": "false",
