@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.lexicon import rewrite_text
-from corpusmill.operators.rewrite import (ScriptedTransformer, apply_verdict, call_sequence, choose_candidate,
+from corpusmill.operators.rewrite import (ScriptedTransformer, apply_verdict, call_sequence, choose_candidate, rewrite_report,
                                           rewrite, run_rewrite)
 
 SOL = "Step one is long. Step two is long."
@@ -99,3 +99,23 @@ def test_build_request_messages(spark):
     assert [(m.role, m.content) for m in r.messages] == [("system", "S"), ("user", "T:One. Two!")]
     f = build_focus_request(df, template="{n_sentences}|{budget}|{text}").first()
     assert f.focus_messages[1].content == "2|9|One. Two!"
+
+
+def test_sentence_alignment_rows_and_rollup(spark):
+    from corpusmill.operators.rewrite import sentence_alignment, sentence_alignment_rows
+    df = spark.createDataFrame([(1, "Aa bb. Cc dd.", "A. Cc dd longer."), (2, "One. Two.", "One.")],
+                               "doc_id long, original string, rewrite string")
+    rows = sorted((r.doc_id, r.pos, r.orig_len, r.new_len, r.ok) for r in sentence_alignment_rows(df, "doc_id").collect())
+    assert rows == [(1, 0, 5, 1, True), (1, 1, 6, 13, False), (2, 0, 3, 4, False), (2, 1, 4, None, False)]
+    roll = {r.doc_id: (r.n_orig, r.n_new, r.n_longer, r.aligned) for r in sentence_alignment(df).collect()}
+    assert roll == {1: (2, 2, 1, False), 2: (2, 1, 1, False)}
+
+
+def test_report_and_manifest(spark):
+    from corpusmill.sources.datasets import run_manifest
+    v = spark.createDataFrame([("rewritten", 1, 50.0), ("rewritten", 2, 30.0), ("failed", 3, None), ("blank", 0, None)],
+                              "outcome string, n_calls long, gain double")
+    rep = {r.outcome: (r.n_samples, r.n_calls, r.mean_gain) for r in rewrite_report(v).collect()}
+    assert rep == {"rewritten": (2, 3, 40.0), "failed": (1, 3, None), "blank": (1, 0, None), "total": (4, 6, 40.0)}
+    m = run_manifest(v, n_input=10, model="m").first()
+    assert (m.n_selected, m.n_rewritten, m.n_failed, m.n_blank, m.n_input, m.model, m.status) == (4, 2, 1, 1, 10, "m", "completed")

@@ -92,3 +92,16 @@ def test_stats_by_group_matches_per_group(spark):
     assert rows["a"].total_samples == 2 and rows["b"].average_think_length == 2
     total = [r for r in rows.values() if r.is_total][0]
     assert total.total_samples == 3 and total.samples_with_balanced_tokens == 2
+
+
+def test_split_response_and_coverage_raise(spark):
+    import pytest
+    from corpusmill.functions.think import split_response
+    from corpusmill.operators.think import coverage_gate
+    df = _df(spark, ["<think>\n r \n</think>\n ans ", "no tags here ", "<think>open only"])
+    reasoning, answer = split_response("text")
+    rows = [(r.a, r.b) for r in df.orderBy("doc_id").select(reasoning.alias("a"), answer.alias("b")).collect()]
+    assert rows == [("r", "ans"), (None, "no tags here"), (None, "<think>open only")]
+    assert round(coverage_gate(df).first().share, 4) == 0.6667
+    with pytest.raises(Exception, match="coverage"):
+        coverage_gate(df, 0.9, raise_on_fail=True).collect()
