@@ -48,3 +48,12 @@ def test_vocab_range_path_equals_single_task(spark, monkeypatch):
     monkeypatch.setattr(ix, "SINGLE_TASK_ROWS", 0)
     b = sorted(tuple(r) for r in build_vocab(docs, "text").collect())
     assert a == b
+
+
+def test_lexicon_paths_null_and_empty_text(spark, monkeypatch):
+    lex = spark.createDataFrame([("the", "X", None)], "term string, target string, hybrid string")
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "the.the"), (4, "...")], "doc_id long, text string")
+    small = sorted(tuple(r) for r in lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).select("doc_id", "rewritten").collect())
+    monkeypatch.setattr(lexicon, "MAP_LITERAL_MAX_TERMS", 0)
+    large = sorted(tuple(r) for r in lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).select("doc_id", "rewritten").collect())
+    assert small == large == [(1, None), (2, ""), (3, "X.X"), (4, "...")]

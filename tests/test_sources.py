@@ -66,3 +66,9 @@ def test_write_pair_names_and_order(spark, tmp_dir):
     a, b = write_pair(df, df.withColumn("s", df.s), tmp_dir, "org/set", "train", "sub")
     assert a.endswith("original_org_set_train_sub_2.jsonl") and b.endswith("code_switched_org_set_train_sub_2.jsonl")
     assert read_jsonl(spark, b, SCHEMA).count() == 2
+
+
+def test_dataset_json_format(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "en"), (2, "fr")], "id long, lang string")
+    write_dataset(df, tmp_dir, "d", subset_col="lang", fmt="json")
+    assert sorted(r.id for r in read_dataset(spark, tmp_dir, "d", subset="fr", fmt="json").collect()) == [2]

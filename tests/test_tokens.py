@@ -64,3 +64,11 @@ def test_add_special_tokens_counts(spark):
         assert grown.count() - v.count() == added
     ids = {r.token: r.token_id for r in add_special_tokens(build_vocab(none)).collect()}
     assert (ids["<think>"], ids["</think>"]) == (2, 3)
+
+
+def test_token_diff_statuses(spark):
+    from corpusmill.operators.vocab import token_diff
+    vocab = spark.createDataFrame([("<think>", 0, 3, True), ("<tool_call>", 1, 1, True), ("a", 2, 9, False)],
+                                  "token string, token_id long, freq long, is_special boolean")
+    got = {r.token: (r.token_id, r.status) for r in token_diff(vocab, ("<think>", "<|im_end|>")).collect()}
+    assert got == {"<think>": (0, "kept"), "<tool_call>": (1, "removed"), "<|im_end|>": (-1, "absent")}
