@@ -68,8 +68,8 @@ SELECT p.doc_id, p.original, CASE p.doc_id % 10
   ELSE r.rewritten END AS rewrite
 FROM pairs_src p JOIN pairs_rw r USING (doc_id)"""
 
-TODO = {"todo": f"SELECT sample_id, {Q.strip('solution')} AS sol FROM samples WHERE NOT {Q.blank('solution')}"}
-VERDICTS = dict(TODO)
+REWRITABLE = {"todo": f"SELECT sample_id, {Q.strip('solution')} AS sol FROM samples WHERE NOT {Q.blank('solution')}"}
+VERDICTS = dict(REWRITABLE)
 VERDICTS["calls"] = f"""
 SELECT c.sample_id, c.attempt * 2 + CASE WHEN c.kind = 'focus' THEN 1 ELSE 0 END AS ord, t.sol,
   {Q.strip('c.text')} AS st, c.text, c.kind, c.attempt, c.status, length(t.sol) AS budget
@@ -153,7 +153,7 @@ def q_build_focus_request(spark, sf_dir):
     return df.select("sample_id", F.col("focus_messages")[1]["content"].alias("user_content"))
 
 
-_D3_CTES = dict(TODO)
+_D3_CTES = dict(REWRITABLE)
 _D3_CTES.update(rewrite_ctes("todo", "sample_id", "sol", "todo_rw"))
 
 

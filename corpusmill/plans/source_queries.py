@@ -10,7 +10,7 @@ from corpusmill.operators.validate import rewritable
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import table, view, with_views
 from corpusmill.plans.registry import query
-from corpusmill.plans.rewrite_queries import APPLIED, TODO, lexicon_mapping, rewrite_ctes
+from corpusmill.plans.rewrite_queries import APPLIED, REWRITABLE, lexicon_mapping, rewrite_ctes
 from corpusmill.session import scratch_path
 from corpusmill.sources.datasets import (read_dataset, run_manifest, sanitize_name, write_dataset,
                                          write_original, write_rewritten)
@@ -50,7 +50,7 @@ def q_sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sanitize_name("url").alias("name"))
 
 
-_A5 = dict(TODO)
+_A5 = dict(REWRITABLE)
 _A5.update(rewrite_ctes("todo", "sample_id", "sol", "todo_rw"))
 
 
