@@ -61,7 +61,7 @@ def main(argv=None) -> None:
     attempts = run_rewrite(selected.filter(rewritable()), transformer, f"{a.out}/attempt_log",
                            max_retries=a.max_retries, max_concurrent=a.max_concurrent,
                            retry_delay=a.retry_delay, system=load_system_prompt(a.system_prompt), key=a.key)
-    verdicts = choose_candidate(selected, attempts, a.max_retries, key=a.key).checkpoint(eager=True)
+    verdicts = choose_candidate(selected, attempts, a.max_retries, key=a.key, with_original=False).checkpoint(eager=True)
     rewritten = apply_verdict(selected, verdicts, key=a.key)
     rewritten_path = write_rewritten(rewritten, a.out, a.name, a.split, a.subset, n_rows)
 

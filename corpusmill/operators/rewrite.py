@@ -227,14 +227,16 @@ def call_verdict(attempt: Column, kind: Column, status: Column, text: Column, bu
 
 
 def choose_candidate(samples: DataFrame, attempts: DataFrame, max_retries: int = 3,
-                     key: str = "sample_id", col: str = "solution") -> DataFrame:
+                     key: str = "sample_id", col: str = "solution", with_original: bool = True) -> DataFrame:
     """One row per rewritable sample: (key, outcome, chosen, n_calls).
 
     The first terminal call in (attempt, primary before focus) order decides;
     none within ``max_retries`` attempts -> failed.  kept_long carries the
     stripped original.  The call log is joined with the character budget
     only (no text), reduced to one row per sample with a partial aggregate,
-    and the original text is attached in the single final join."""
+    and the original text is attached in the single final join.  With
+    ``with_original=False`` that join carries keys only and kept_long rows
+    have no ``chosen`` (``apply_verdict`` takes the text from the sample)."""
     todo = samples.filter(~is_blank(col))
     budget = todo.select(key, F.length(strip(col)).alias("_budget"))
     calls = attempts.filter(F.col("attempt") < max_retries).join(budget, key)
@@ -245,7 +247,8 @@ def choose_candidate(samples: DataFrame, attempts: DataFrame, max_retries: int =
     per = ranked.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_calls"),
         F.min(F.when(F.col("_outcome").isNotNull(), F.struct("_ord", "_outcome", "_text"))).alias("_first"))
-    out = todo.select(key, strip(col).alias("_orig")).join(per, key, "left")
+    orig = strip(col) if with_original else F.lit(None).cast("string")
+    out = todo.select(key, orig.alias("_orig")).join(per, key, "left")
     outcome = F.coalesce(F.col("_first._outcome"), F.lit("failed"))
     return out.select(
         key, outcome.alias("outcome"),
@@ -268,7 +271,9 @@ def apply_verdict(samples: DataFrame, chosen: DataFrame, key: str = "sample_id",
         if c == key:
             cols.append(F.col(c))
         elif c == col:
-            cols.append(F.when(changed, F.col("chosen")).otherwise(F.col(c)).alias(c))
+            # kept_long keeps the stripped original, taken from the sample row
+            kept = F.when(outcome == "kept_long", strip(F.col(c))).otherwise(F.col("chosen"))
+            cols.append(F.when(changed, kept).otherwise(F.col(c)).alias(c))
         elif c in ("question", "answer"):
             cols.append(F.when(changed, F.coalesce(F.col(c), F.lit(""))).otherwise(F.col(c)).alias(c))
         else:

@@ -69,7 +69,7 @@ def q_paired_sinks(spark, sf_dir):
     original = write_original(selected, out_dir, "documents", "train", None, n_rows)
     log = run_rewrite(selected.filter(rewritable()), LexiconTransformer(lexicon_mapping(spark, sf_dir)),
                       f"{out_dir}/attempt_log", retry_delay=0.0, max_concurrent=1)
-    rewritten = apply_verdict(selected, choose_candidate(selected, log))
+    rewritten = apply_verdict(selected, choose_candidate(selected, log, with_original=False))
     rewritten_path = write_rewritten(rewritten, out_dir, "documents", "train", None, n_rows)
     cols = ["sample_id", "question", "solution", "answer"]
     a = read_jsonl(spark, original, SAMPLES_SCHEMA).select(F.lit("original").alias("file"), *cols)

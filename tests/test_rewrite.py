@@ -119,3 +119,15 @@ def test_report_and_manifest(spark):
     assert rep == {"rewritten": (2, 3, 40.0), "failed": (1, 3, None), "blank": (1, 0, None), "total": (4, 6, 40.0)}
     m = run_manifest(v, n_input=10, model="m").first()
     assert (m.n_selected, m.n_rewritten, m.n_failed, m.n_blank, m.n_input, m.model, m.status) == (4, 2, 1, 1, 10, "m", "completed")
+
+
+def test_light_verdict_gives_same_rows(spark):
+    L = SOL + " longer"
+    scripts = {0: ["short"], 2: [L, L], 3: ["", None, L], 4: [RuntimeError(), None, RuntimeError(), None, RuntimeError()]}
+    samples = spark.createDataFrame([(k, "  " + SOL + " ", "q", None) for k in scripts] + [(9, " ", "q", "a")],
+                                    "sample_id long, solution string, question string, answer string")
+    log = rewrite(samples, ScriptedTransformer(scripts), retry_delay=0.0)
+    full = sorted(apply_verdict(samples, choose_candidate(samples, log)).collect())
+    light = sorted(apply_verdict(samples, choose_candidate(samples, log, with_original=False)).collect())
+    assert full == light
+    assert {r.sample_id: r.outcome for r in full} == {0: "rewritten", 2: "kept_long", 3: "kept_long", 4: "failed", 9: "blank"}
