@@ -72,3 +72,13 @@ def test_dataset_json_format(spark, tmp_dir):
     df = spark.createDataFrame([(1, "en"), (2, "fr")], "id long, lang string")
     write_dataset(df, tmp_dir, "d", subset_col="lang", fmt="json")
     assert sorted(r.id for r in read_dataset(spark, tmp_dir, "d", subset="fr", fmt="json").collect()) == [2]
+
+
+def test_sanitize_random_matches_python(spark):
+    import random
+    rnd = random.Random(13)
+    pool = list('/<>:"|?*_ab.é')
+    names = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r.i: r.x for r in df.select("i", sanitize_name("n").alias("x")).collect()}
+    assert got == {i: sanitize_name_py(n) for i, n in enumerate(names)}
