@@ -72,3 +72,20 @@ def test_token_diff_statuses(spark):
                                   "token string, token_id long, freq long, is_special boolean")
     got = {r.token: (r.token_id, r.status) for r in token_diff(vocab, ("<think>", "<|im_end|>")).collect()}
     assert got == {"<think>": (0, "kept"), "<tool_call>": (1, "removed"), "<|im_end|>": (-1, "absent")}
+
+
+def test_strip_and_tokenize_random_match_python(spark):
+    import random
+    import re
+    from corpusmill.functions.text import WS
+    from corpusmill.functions.tokens import REMOVE_TOKENS, SPECIAL_TOKENS, strip_tokens
+    rnd = random.Random(17)
+    pool = list(REMOVE_TOKENS[:6]) + ["<think>", "</think>", "<", "|", ">", "ab", "7", " ", "　", ".", "é"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 15))) for _ in range(300)]
+    alt = "|".join(re.escape(t) for t in sorted(REMOVE_TOKENS, key=len, reverse=True))
+    specials = "|".join(re.escape(t) for t in sorted(SPECIAL_TOKENS, key=len, reverse=True))
+    ws = re.escape(WS)
+    tok = re.compile(specials + r"|[A-Za-z]+|[0-9]+|[^A-Za-z0-9" + ws + "]")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = {r.i: (r.s, list(r.k)) for r in df.select("i", strip_tokens("t").alias("s"), tokenize("t").alias("k")).collect()}
+    assert rows == {i: (re.sub(alt, "", t), tok.findall(t)) for i, t in enumerate(texts)}
