@@ -50,3 +50,11 @@ GROUP BY rid, page_id""")
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.sql(f"SELECT * FROM VALUES {_rules_values()} AS t(host, path, action)")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+# ---- 6: byte-level BPE -----------------------------------------------------
+
+@query("op6_bpe_tree")
+def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
