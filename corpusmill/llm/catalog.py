@@ -8,11 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.llm import pii_anchors, secret_ledger
+from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
+from corpusmill.llm.spans import span_columns
 from corpusmill.llm.url_rules import UPPER, judge_urls
+from corpusmill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,6 +57,22 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+# ---- 2: personal data ------------------------------------------------------
+
+@query("op2_pii_anchors")
+def op2_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_anchors.find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *span_columns(F.col("spans"), pii_anchors.BASE_KINDS))
+
+
+# ---- 8: secrets ------------------------------------------------------------
+
+@query("op8_secret_ledger")
+def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan_versions(table(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger"))
+    return found.select("doc_id", *span_columns(F.col("findings"), secret_ledger.BASE_KINDS))
+
+
 # ---- 6: byte-level BPE -----------------------------------------------------
 
 @query("op6_bpe_tree")
