@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import small_side
+from corpusmill.llm.common import small_side, spill_table
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # hex digits of the digest used as the join key
@@ -96,6 +96,7 @@ def judge_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str
     hits = (expanded.join(keyed, "_prefix").where(F.col("_full") == F.col("digest"))
             .groupBy("_tail", "_head")
             .agg(F.max(F.struct("rank", "rule", "action")).alias("_best")))
+    hits = spill_table(hits, "url-hits")  # its own exchange, so that AQE can split hot views
     judged = view.join(hits, ["_tail", "_head"], "left")
     return judged.select(
         F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"),
