@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import pii_anchors, secret_ledger
 from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
+from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
 from corpusmill.llm.url_rules import UPPER, judge_urls
 from corpusmill.session import scratch_path
@@ -79,3 +80,11 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
                           public_tokenizers.PATTERN)
+
+
+# ---- 10: SimHash near-duplicates -------------------------------------------
+
+@query("op10_simhash_vptree")
+def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
