@@ -18,6 +18,7 @@ from corpusmill.llm.common import table
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
 from corpusmill.llm.url_rules import UPPER, judge_urls
+from corpusmill.llm.warc_shards import read_warc, write_warc
 from corpusmill.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +89,16 @@ def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- 9: WARC ---------------------------------------------------------------
+
+@query("op9_warc_shards", """
+SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+    CASE WHEN strlen(html) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN strlen(html) >= 1000 AND page_id < last THEN last END AS refers_to
+FROM (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM pages)""")
+def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(spark, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
