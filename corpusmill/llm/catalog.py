@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import pii_anchors, secret_ledger
+from corpusmill.llm import language_id, pii_anchors, secret_ledger
 from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
 from corpusmill.llm.simhash_vptree import simhash_components
@@ -75,6 +75,15 @@ def op8_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *span_columns(F.col("findings"), secret_ledger.BASE_KINDS))
 
 
+# ---- 3: language -----------------------------------------------------------
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # ---- 6: byte-level BPE -----------------------------------------------------
 
 @query("op6_bpe_tree")
