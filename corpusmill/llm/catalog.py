@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm import language_id, pii_anchors, secret_ledger
 from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
+from corpusmill.llm.lattice_dedup import lattice_links
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
 from corpusmill.llm.url_rules import UPPER, judge_urls
@@ -84,6 +85,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+# ---- 5: embedding near-duplicates ------------------------------------------
+
+@query("op5_lattice_dedup")
+def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_links(table(spark, sf_dir, "embeddings"))
+
+
 # ---- 6: byte-level BPE -----------------------------------------------------
 
 @query("op6_bpe_tree")
