@@ -16,6 +16,7 @@ from corpusmill.llm import language_id, pii_anchors, secret_ledger
 from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
 from corpusmill.llm.lattice_dedup import lattice_links
+from corpusmill.llm.lpf_dedup import repeated_spans
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
 from corpusmill.llm.url_rules import UPPER, judge_urls
@@ -108,6 +109,15 @@ def op10_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# ---- 7: repeated passages --------------------------------------------------
+
+@query("op7_lpf_dedup")
+def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # ---- 9: WARC ---------------------------------------------------------------
 
 @query("op9_warc_shards", """
