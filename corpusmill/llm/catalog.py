@@ -19,6 +19,7 @@ from corpusmill.llm.lattice_dedup import lattice_links
 from corpusmill.llm.lpf_dedup import repeated_spans
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
+from corpusmill.llm.template_decontam import MARKS, NAME, NUMBER, SIMILARITY, TOKEN, UNIT, UNITS, WIDTH, contaminated
 from corpusmill.llm.url_rules import UPPER, judge_urls
 from corpusmill.llm.warc_shards import read_warc, write_warc
 from corpusmill.session import scratch_path
@@ -36,6 +37,40 @@ def query(key: str, sql: str | None = None):
     return deco
 
 
+# ---- 1: benchmark decontamination ------------------------------------------
+
+def _template_sql(source: str, key: str) -> str:
+    """DuckDB: (key, pos, window, slots) of every window of a table's texts."""
+    marks = ", ".join("chr(10)" if m == "\n" else f"'{m}'" for m in MARKS)
+    units = ", ".join(f"'{u}'" for u in UNITS)
+    word = f"""CASE WHEN x IN ({marks}) THEN NULL WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
+        WHEN i > 1 AND tk[i - 1][1] BETWEEN '0' AND '9' AND lower(x) IN ({units}) THEN '{UNIT}'
+        WHEN i > 1 AND lower(x) <> x AND tk[i - 1] NOT IN ({marks}) THEN '{NAME}' ELSE lower(x) END"""
+    return f"""SELECT {key}, pos, [s.w FOR s IN part] AS win,
+    [{{'t': s.w, 'v': s.r}} FOR s IN part IF s.w IN ('{NUMBER}', '{UNIT}', '{NAME}')] AS slots
+  FROM (SELECT {key}, pos, words[pos + 1:pos + {WIDTH}] AS part
+    FROM (SELECT {key}, words, unnest(range(greatest(len(words) - {WIDTH - 1}, 1))) AS pos
+      FROM (SELECT {key}, list_filter(list_transform(tk, lambda x, i: {{'w': {word}, 'r': x}}), lambda s: s.w IS NOT NULL) AS words
+        FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tk FROM {source})) WHERE len(words) > 0))"""
+
+
+@query("op1_template_decontam", f"""
+WITH d AS ({_template_sql("documents", "doc_id")}), b AS ({_template_sql("benchmark", "item_id")}),
+sizes AS (SELECT item_id, count(*) AS n_windows FROM b GROUP BY 1),
+al AS (SELECT doc_id, item_id, d.pos - b.pos AS shift, b.pos AS ipos, b.slots AS islots, d.slots AS dslots FROM d JOIN b USING (win)),
+vals AS (SELECT doc_id, item_id, shift, ipos, unnest(list_zip(islots, dslots)) AS z FROM al),
+val AS (SELECT doc_id, item_id, shift, ipos, z[1].t AS t, z[1].v AS f, z[2].v AS g FROM vals),
+cnt AS (SELECT doc_id, item_id, shift, t, f, g, count(*) AS n FROM val GROUP BY ALL),
+pick AS (SELECT doc_id, item_id, shift, t, f, max({{'n': n, 'g': g}}).g AS g FROM cnt GROUP BY ALL),
+bad AS (SELECT DISTINCT v.doc_id, v.item_id, v.shift, v.ipos FROM val v JOIN pick p USING (doc_id, item_id, shift, t, f) WHERE v.g <> p.g),
+ok AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_matched FROM al ANTI JOIN bad USING (doc_id, item_id, shift, ipos) GROUP BY ALL),
+changed AS (SELECT doc_id, item_id, count(DISTINCT (t, f)) AS n_changed FROM pick WHERE f <> g GROUP BY ALL)
+SELECT doc_id, item_id, n_windows, n_matched, n_matched / n_windows AS similarity, coalesce(n_changed, 0) AS n_changed
+FROM ok JOIN sizes USING (item_id) LEFT JOIN changed USING (doc_id, item_id) WHERE n_matched >= n_windows * {SIMILARITY}""")
+def op1_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # ---- 4: URL filter ---------------------------------------------------------
 
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
