@@ -1,0 +1,53 @@
+"""The pipeline against a plain restatement of its stages."""
+
+import re
+
+import public_tokenizers
+import tiktoken
+
+import corpus_pipeline
+from corpusmill.llm import language_id, pii_anchors
+from corpusmill.llm.bpe_tree import load_ranks
+
+from .test_decontam import plain as plain_items
+from .test_simhash import brute as components_of
+from .test_simhash import plain as fingerprint
+from ..conftest import SF_SMALL
+
+
+def test_pipeline_equals_restatement(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    model = language_id.fit(docs)
+    kept = [i for i, r in sorted(rows.items()) if model.predict(r.text)[0] != "und"]
+    roots = components_of([fingerprint(rows[i].text) for i in kept], 4)
+    first = {}
+    for i, r in zip(kept, roots):
+        first.setdefault(r, i)
+    kept = sorted(first.values())
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").collect()]
+    held = {d for d, *_ in plain_items([(i, rows[i].text) for i in kept], items)}
+    texts = {i: pii_anchors.mask(rows[i].text) for i in kept if i not in held}
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                              mergeable_ranks=load_ranks(public_tokenizers.path(corpus_pipeline.TOKENIZER)))
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF_SMALL).collect()}
+    assert got == {i: plain.encode_ordinary(t) for i, t in texts.items()}
+    assert 0 < len(held) and len(kept) < len(rows)
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    text = "mail a.b@example.com or call, the and of it is in that " * 3
+    rows = [(1, text, "en", "s", 5, "extra"), (2, text, "en", "s", 5, "extra"), (3, None, "en", "s", None, "x"), (4, "12 34", None, "s", 5, None),
+            (None, text, None, None, None, "y"), (5, "", "de", "s", 0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, item_id string")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF_SMALL)
+        assert docs.columns == columns, name
+    out = docs.collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "None"]
+    assert all(r.n_chars == len(r.text) and "[EMAIL]" in r.text and not re.search("@", r.text) for r in out)
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF_SMALL)
+    assert empty.collect() == []
