@@ -28,7 +28,6 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +38,10 @@ from corpusmill.llm.simhash_vptree import _spanning
 COSINE = 0.98
 TABLES = 4
 PROBES = 4
-SCALE = 8.0
+SCALE = 10.0
 CELL_ROWS = 4096
-BLOCK = 256
+CHUNK_ROWS = 8192  # rows handled at a time in a task, whole cells
+PAIRS = 1 << 16  # pairs tested at a time
 SEED = 20_21
 
 # the 240 shortest vectors of E8, doubled so that they are whole numbers
@@ -138,81 +138,84 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, unit(flat[(ends[rows] - d)[:, None] + np.arange(d)])
 
 
+def _pairs(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all rows i with all homes j of the same group, in bounded
+    pieces; rows are sorted by group, homes first."""
+    start = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1])
+    size = np.diff(np.append(start, len(group)))
+    homes = np.add.reduceat(home.astype(np.int64), start)
+    first, n = np.repeat(start, size), np.repeat(homes, size)
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+        part = n[at:stop]
+        i = np.repeat(np.arange(at, stop), part)
+        yield i, first[i] + np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part)
+        at = stop
+
+
 def _meet(tables: int, probes: int, scale: float, cosine: float):
-    def cell_pairs(tab: int, home: np.ndarray, ids: np.ndarray, sizes: np.ndarray, units: np.ndarray):
-        """Counts and spanning links of one cell: homes of this block against all."""
-        known = [cells(units, t, probes, scale) for t in range(tab + 1)]
-        own = np.nonzero(home)[0]
-        add, links = np.zeros(len(ids), np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
-        if not len(own):
-            return add, links
-        for at in range(0, len(ids), BLOCK):
-            i, j = np.nonzero(units[at:at + BLOCK] @ units[own].T >= cosine)
-            i, j = i + at, own[j]
-            here = (ids[i] != ids[j]) & (~home[i] | (ids[i] > ids[j]))
+    def chunk_links(group, tab, label, home, ids, sizes, units) -> tuple:
+        """Counts and spanning links of whole groups: homes against all."""
+        by = np.lexsort((~home, group))
+        group, tab, label, home, ids = group[by], tab[by], label[by], home[by], ids[by]
+        names, one, u = np.unique(ids, return_index=True, return_inverse=True)
+        size, units = sizes[by][one], units[by][one]  # each vector once
+        known = [cells(units, t, probes, scale) for t in range(tables)]
+        add, links = np.zeros(len(names), np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
+        for i, j in _pairs(group, home):
+            here = (ids[i] != ids[j]) & (~home[i] | (ids[i] > ids[j])) & (tab[i] == tab[j]) & (label[i] == label[j])
             i, j = i[here], j[here]
-            if not len(i):
-                continue
+            near = np.einsum("ij,ij->i", units[u[i]], units[u[j]]) >= cosine
+            t, i, j = tab[i[near]], u[i[near]], u[j[near]]
             new = np.ones(len(i), bool)
-            for t, (h, v) in enumerate(known):
+            for k in range(tables):
+                h, v = known[k]
                 ij, ji = (v[i] == h[j][:, None]).any(axis=1), (v[j] == h[i][:, None]).any(axis=1)
                 same = h[i] == h[j]
-                if t < tab:
-                    new &= ~(ij | ji | same)
-                else:  # one home, in two blocks, or visits both ways: the larger id is the visitor
-                    new &= ~(same | ji) | (ids[i] > ids[j])
-            np.add.at(add, i[new], sizes[j[new]])
-            np.add.at(add, j[new], sizes[i[new]])
-            links = _spanning(np.concatenate([links[0], i]), np.concatenate([links[1], j]), len(ids))
-        return add, links
+                new &= ~((t > k) & (ij | ji | same))  # met in an earlier table
+                # one home, in two blocks, or visits both ways: the larger id is the visitor
+                new &= ~((t == k) & (same | ji)) | (names[i] > names[j])
+            np.add.at(add, i[new], size[j[new]])
+            np.add.at(add, j[new], size[i[new]])
+            if len(i):
+                links = _spanning(np.concatenate([links[0], i]), np.concatenate([links[1], j]), len(names))
+        some = np.nonzero(add)[0]
+        a, b = links
+        return (np.concatenate([names[some], names[a]]), np.concatenate([add[some], np.zeros(len(a), np.int64)]),
+                np.concatenate([names[some], names[b]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            group = table.column("grp").to_numpy()
-            for part in np.split(np.arange(len(group)), np.nonzero(np.diff(group))[0] + 1):
-                for block in _same_kind(table.take(pa.array(part))):
-                    if block.num_rows < 2:
-                        continue
-                    (_, units), = _by_length(block.column("vector").combine_chunks())
-                    ids = block.column("id").to_numpy()
-                    add, (a, b) = cell_pairs(block.column("tab")[0].as_py(), block.column("home").to_numpy(), ids,
-                                             block.column("size").to_numpy(), units)
-                    some = np.nonzero(add)[0]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([ids[some], ids[a]])), pa.array(np.concatenate([add[some], np.zeros(len(a), np.int64)])),
-                         pa.array(np.concatenate([ids[some], ids[b]]))], ["id", "n", "other"])
+            plain = {c: table.column(c).to_numpy() for c in ("grp", "tab", "label", "home", "id", "size")}
+            for rows, units in _by_length(table.column("vector").combine_chunks()):
+                out = chunk_links(*(plain[c][rows] for c in ("grp", "tab", "label", "home", "id", "size")), units)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "n", "other"])
 
     return run
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Sorted input in pieces that end where a group ends."""
+    """Sorted input in pieces of CHUNK_ROWS or more that end where a group ends."""
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
-        held.append(batch)
-        first, last = held[0].column("grp")[0].as_py(), batch.column("grp")[batch.num_rows - 1].as_py() if batch.num_rows else None
-        if last is None or first == last:
+        if not batch.num_rows:
             continue
+        held.append(batch)
+        rows += batch.num_rows
         group = batch.column("grp").to_numpy()
-        cut = int(np.nonzero(group != last)[0][-1]) + 1 if (group != last).any() else 0
-        whole = [*held[:-1], batch.slice(0, cut)]
-        held = [batch.slice(cut)]
-        yield pa.Table.from_batches(whole)
+        cut = int(np.searchsorted(group, group[-1]))  # where the last group of this batch begins
+        if rows < CHUNK_ROWS or (cut == 0 and held[0].column("grp")[0].as_py() == group[-1]):
+            continue
+        whole = pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+        held, rows = [batch.slice(cut)], batch.num_rows - cut
+        yield whole
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _same_kind(table: pa.Table) -> Iterator[pa.Table]:
-    """One cell: rows of one table, label and vector length (keys may collide)."""
-    lengths = pc.list_value_length(table.column("vector"))
-    kinds = list(zip(table.column("tab").to_pylist(), table.column("label").to_pylist(), lengths.to_pylist()))
-    if len(set(kinds)) == 1:
-        yield table
-        return
-    for kind in dict.fromkeys(kinds):
-        yield table.take(pa.array([i for i, k in enumerate(kinds) if k == kind]))
-
-
 def lattice_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE,
                   tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(key, n_links, component_id, kept)`` of every row of ``vectors``."""
