@@ -1,11 +1,10 @@
 """Exact global positions without a single-task window.
 
 ``row_number() over (order by ...)`` without ``partitionBy`` moves every row
-into one task.  Above a fixed row bound ``dense_index`` instead
-range-partitions and sorts the rows, cuts the lineage with a reliable
-checkpoint (shared folder, survives executor loss), counts rows per partition
-(one small row per partition), turns the counts into offsets and adds each
-row's position inside its partition.
+into one task.  ``dense_index`` range-partitions and sorts the rows, writes
+them with their position inside their partition to the shared folder (Parquet,
+survives executor loss), counts rows per partition (one small row each), turns
+the counts into offsets and adds them up.
 """
 
 from __future__ import annotations
@@ -13,44 +12,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.session import checkpoint_root
-
-
-# below this many rows one ordered task is cheaper than a range sort
-SINGLE_TASK_ROWS = 1_000_000
+from corpusmill.session import scratch_table
 
 
 def dense_index(df: DataFrame, order_cols, index_col: str = "idx",
-                num_partitions: int | None = None, single_task_rows: int | None = None) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``index_col`` = 0-based position in the total order ``order_cols``.
 
-    ``order_cols`` must be unique (add a tie key).  The input is checkpointed
-    once and counted; at most ``single_task_rows`` rows take one ordered
-    window (bounded work for one task), more rows take the range path.
-    Output partitions of the range path keep the sorted ranges."""
-    spark = df.sparkSession
-    checkpoint_root(spark)
+    ``order_cols`` must be unique (add a tie key).  The input is evaluated
+    once: range partitioning samples a written copy of it, so ``df`` should
+    hold only the columns the result needs."""
     order_cols = list(order_cols)
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    base = df.checkpoint(eager=True)
-    if base.count() <= limit:
-        w = Window.orderBy(*order_cols)
-        return base.withColumn(index_col, (F.row_number().over(w) - 1).cast("bigint"))
+    base = scratch_table(df, "index-input")
     parts = [num_partitions] if num_partitions else []
-    ranged = (base.repartitionByRange(*parts, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_part", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    row = F.monotonically_increasing_id()  # (partition << 33) + row number inside it
+    ranged = (base.repartitionByRange(*parts, *order_cols).sortWithinPartitions(*order_cols)
+              .withColumn("_row", row))
+    ranged = scratch_table(ranged.withColumn("_part", F.shiftright("_row", 33))
+                           .withColumn("_local", F.col("_row") - F.shiftleft(F.col("_part"), 33)).drop("_row"), "index")
     # one row per non-empty partition; bounded by the partition count
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_part",
         (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0))
          - F.col("_n")).alias("_offset"))
-    # position inside the stored partition: the checkpoint keeps row order,
-    # and monotonically_increasing_id = (partition << 33) + row number
-    local = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)
-    with_local = ranged.withColumn("_local", local)
-    out = with_local.join(F.broadcast(offsets), "_part")
-    return out.withColumn(index_col, (F.col("_offset") + F.col("_local")).cast("bigint")) \
-              .drop("_part", "_offset", "_local")
+    return (ranged.join(F.broadcast(offsets), "_part")
+            .withColumn(index_col, (F.col("_offset") + F.col("_local")).cast("bigint"))
+            .drop("_part", "_offset", "_local"))

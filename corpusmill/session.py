@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark import SparkConf, SparkContext
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # no broadcast from static size estimates; AQE broadcasts a join side
-    # only when its materialized (measured) size is under the limit.
-    # Explicit, size-checked broadcast() hints in the operators still apply.
+    # only when its materialized (measured) size is under the limit
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # top-n above this many rows is planned as a distributed sort instead of
-    # a driver-side merge of per-partition top-n lists
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # checkpoint files are removed once their DataFrames are out of scope
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
-    "spark.driver.host": "127.0.0.1",
-    "spark.driver.bindAddress": "127.0.0.1",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
+# only where driver and executors are one process
+LOCAL_CONF = {
+    "spark.driver.host": "127.0.0.1",
+    "spark.driver.bindAddress": "127.0.0.1",
+}
+
 
 def _default_driver_memory() -> str:
     """60% of the machine's memory, at most 8 GB, at least 1 GB (local runs;
@@ -46,14 +50,21 @@ def _default_driver_memory() -> str:
 def get_session(master: str | None = None, app: str = "corpusmill",
                 shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Build (or reuse) a session with the settings the operators assume."""
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
+    submitted = _submitted()
+    where = master or submitted.get("spark.master", "local[*]")
     settings = dict(DEFAULT_CONF)
-    settings.setdefault("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY") or _default_driver_memory())
+    if is_local(where):
+        settings |= LOCAL_CONF
+        settings["spark.driver.memory"] = os.environ.get("CORPUSMILL_DRIVER_MEMORY") or _default_driver_memory()
+    settings = {k: v for k, v in settings.items() if not submitted.contains(k)}
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf)
+    builder = SparkSession.builder
+    if master:
+        builder = builder.master(master)
+    if not submitted.contains("spark.app.name"):
+        builder = builder.appName(app)
     for key, value in settings.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -61,6 +72,19 @@ def get_session(master: str | None = None, app: str = "corpusmill",
     return spark
 
 
+def _submitted() -> SparkConf:
+    """What spark-submit passed on.  Only its JVM knows, so where there is one,
+    or options for one, it is asked first."""
+    if {"PYSPARK_GATEWAY_PORT", "PYSPARK_SUBMIT_ARGS"} & set(os.environ):
+        SparkContext._ensure_initialized()
+    return SparkConf()
+
+
+def is_local(master: str) -> bool:
+    """Driver and executors in one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def _context(spark: SparkSession):
     """The SparkContext, or None on a Spark Connect session."""
     try:
@@ -69,13 +93,15 @@ def _context(spark: SparkSession):
         return None
 
 
+_OWN_ROOTS: dict[str, str] = {}  # application id -> folder made here
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     On a cluster this is ``spark.checkpoint.dir`` (or the directory already set
-    on the context); both must point at shared storage.  Only when neither is
-    set (local tests) a fresh local folder is created and registered.
-    """
+    on the context); both must point at shared storage, and one of them must be
+    set.  Only a local session without either gets a fresh local folder."""
     sc = _context(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and sc is not None:
@@ -85,12 +111,46 @@ def checkpoint_root(spark: SparkSession) -> str:
             # the context appends its own uuid folder; use its parent
             root = current.rsplit("/", 1)[0]
     if not root:
-        root = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
+        if sc is None or not is_local(sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = _OWN_ROOTS.get(sc.applicationId)
+        if root is None:
+            root = _OWN_ROOTS[sc.applicationId] = tempfile.mkdtemp(prefix="corpusmill-ckpt-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_SCOPES: list[str] = []  # of running jobs, innermost last
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint root."""
-    return f"{checkpoint_root(spark)}/corpusmill/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder of this application under the shared root."""
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else "connect"
+    return "/".join([checkpoint_root(spark), "corpusmill", app, *_SCOPES[-1:], f"{name}-{uuid.uuid4().hex[:12]}"])
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """What is written to scratch inside is deleted at the end, whatever the
+    outcome.  DataFrames that read such tables cannot be used after it."""
+    path = scratch_path(spark, "job")
+    _SCOPES.append("/".join([*_SCOPES[-1:], path.rsplit("/", 1)[1]]))
+    try:
+        yield
+    finally:
+        _SCOPES.pop()
+        sc = _context(spark)
+        if sc is not None:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to scratch and read it back: the lineage is cut
+    at files that survive a lost executor, and readers prune columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
