@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import SPECIAL_TOKENS, tokenize
 from corpusmill.plans.indexing import dense_index
+from corpusmill.session import scratch_table
 
 # settings (defaults of the training settings file)
 MAX_LENGTH = 8192
@@ -16,33 +17,41 @@ EPOCHS = 3
 PAD_MULTIPLE = 8
 LABEL_PAD = -100
 UNK_ID = -1
-# vocabularies up to this many rows are broadcast to the encoder join
-BROADCAST_VOCAB_ROWS = 5_000_000
+PAD_TOKEN = "<|endoftext|>"
+# the most frequent tokens (smallest ids), of at most so many bytes each, go to
+# every task; their number and size are fixed, whatever the vocabulary
+HEAD_TOKENS = 4096
+HEAD_TOKEN_BYTES = 64
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "sample_id",
            max_length: int = MAX_LENGTH, special=SPECIAL_TOKENS, unk_id: int = UNK_ID,
            tokens_col: str | None = None) -> DataFrame:
-    """H3: tokens -> ids, cut on the right to ``max_length``; only (key,
-    input_ids) remain, so Catalyst prunes every other column from the scan.
-
-    Tokens are exploded with their position and cut *before* the join; the
-    vocabulary side is broadcast when its row count is below the limit
-    (checked with a bounded count), else a shuffle join whose hot token
-    partitions AQE splits.  Ids are regrouped per row (one text each); rows
-    without tokens get an empty array.
-    ``tokens_col`` reuses an already tokenized column."""
-    arr = F.col(tokens_col) if tokens_col else tokenize(text, special)
-    # posexplode_outer keeps rows without tokens (pos null), so no join back
-    toks = df.select(key, F.posexplode_outer(F.slice(arr, 1, max_length)).alias("pos", "token"))
-    v = vocab.select("token", "token_id")
-    if v.limit(BROADCAST_VOCAB_ROWS + 1).count() <= BROADCAST_VOCAB_ROWS:
-        v = F.broadcast(v)
-    ids = toks.join(v, "token", "left").select(
-        key, F.when(F.col("pos").isNotNull(),
-                    F.struct("pos", F.coalesce("token_id", F.lit(unk_id)).cast("int").alias("id"))).alias("_p"))
-    return ids.groupBy(key).agg(
-        F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["id"]).alias("input_ids"))
+    """H3: tokens -> ids, cut on the right to ``max_length``; (key, input_ids).
+    ``key`` must be unique.
+
+    Each row's *distinct* tokens are looked up: those of the vocabulary's head
+    in a broadcast table of fixed size, the others in one shuffle join, which
+    frequent tokens therefore never reach.  The answers return per row as a
+    small map, most frequent token first, and the ids are rebuilt in place
+    over the token array.  ``tokens_col`` reuses a tokenized column."""
+    if tokens_col is None:
+        df, tokens_col = tokenized(df, text, key, special), "tokens"
+    rows = df.select(key, F.slice(tokens_col, 1, max_length).alias("_tokens"))
+    # bytes first, count second: a long token must not use up the head's places
+    known = vocab.select("token", F.col("token_id").cast("int").alias("id"))
+    in_head = (F.col("id") < HEAD_TOKENS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
+    wanted = rows.select(key, F.explode(F.array_distinct("_tokens")).alias("token"))
+    head = known.filter(in_head).select("token", F.col("id").alias("_head"))
+    first = wanted.join(F.broadcast(head), "token", "left")
+    tail = (first.filter(F.col("_head").isNull()).select(key, "token")
+            .join(known.filter(~in_head), "token").select(key, "token", "id"))
+    found = first.filter(F.col("_head").isNotNull()).select(key, "token", F.col("_head").alias("id")).unionByName(tail)
+    maps = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("_found"))
+    maps = maps.select(key, F.map_from_arrays("_found.token", "_found.id").alias("_ids"))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
+    both = rows.join(maps, key, "left").withColumn("_ids", F.coalesce("_ids", none))
+    return both.select(key, F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("_ids", t), F.lit(unk_id))).alias("input_ids"))
 
 
 def with_labels(df: DataFrame) -> DataFrame:
@@ -57,47 +66,40 @@ def token_lengths(toks: DataFrame, key: str = "sample_id", tokens_col: str = "to
 
 
 def tokenized(df: DataFrame, text: str, key: str, special=SPECIAL_TOKENS, out: str = "tokens") -> DataFrame:
-    """(key, tokens) computed once and checkpointed to the shared folder, so
-    the vocabulary and the encoder read it instead of tokenizing twice (the
-    regex pass is the costly part)."""
-    from corpusmill.session import checkpoint_root
-    checkpoint_root(df.sparkSession)
-    return df.select(key, tokenize(text, special).alias(out)).checkpoint(eager=True)
-
-
-def pad_batch(df: DataFrame, key: str = "sample_id", batch_size: int = BATCH_SIZE,
-              multiple: int = PAD_MULTIPLE, pad_id: int = 0, label_pad: int = LABEL_PAD,
-              lengths: DataFrame | None = None) -> DataFrame:
-    """H5: consecutive rows in key order form batches of ``batch_size``; each
-    row is padded to the batch's longest row rounded up to ``multiple``:
-    ids with ``pad_id``, labels with ``label_pad``, mask with 0.
-
-    Positions come from the range-sorted index (no single-task window) over
-    the light (key, length) table; the per-batch maximum is a window over
-    ``batch_id`` (groups of four); the id arrays move in one join.
-    ``lengths`` (key, n_tokens) can come from the token table, so the
-    encoder runs once and its hash partitioning on ``key`` is reused by the
-    join (only the light side shuffles)."""
-    from pyspark.sql import Window
+    """(key, tokens) computed once and written to the shared folder, so the
+    vocabulary and the encoder read it instead of tokenizing twice (the regex
+    pass is the costly part)."""
+    return scratch_table(df.select(key, tokenize(text, special).alias(out)), "tokens")
+
+
+def pad_token_id(vocab: DataFrame, token: str = PAD_TOKEN) -> int:
+    """The id of the padding token; the vocabulary must hold it
+    (``add_special_tokens`` adds it where the corpus does not)."""
+    row = vocab.filter(F.col("token") == token).select("token_id").first()
+    if row is None:
+        raise ValueError(f"{token} is not in the vocabulary")
+    return int(row["token_id"])
+
+
+def padded_lengths(lengths: DataFrame, plan: DataFrame, key: str = "sample_id", multiple: int = PAD_MULTIPLE) -> DataFrame:
+    """(key, epoch, batch_id, n_tokens, padded_len): the micro-batches the plan
+    (``epoch_plan``) draws, each as long as its longest row, rounded up to
+    ``multiple``.  Light rows only; windows are over one batch."""
+    rows = plan.select(key, "epoch", F.col("micro_batch").alias("batch_id")).join(
+        lengths.select(key, F.col("n_tokens").cast("bigint").alias("n_tokens")), key)
+    longest = F.max("n_tokens").over(Window.partitionBy("epoch", "batch_id"))
+    return rows.withColumn("padded_len", (F.ceil(longest / multiple) * multiple).cast("bigint"))
+
+
+def pad_batch(df: DataFrame, batches: DataFrame, pad_id: int, key: str = "sample_id", label_pad: int = LABEL_PAD) -> DataFrame:
+    """H5: every row of ``batches`` (``padded_lengths``) with its arrays padded:
+    ids with ``pad_id``, labels with ``label_pad``, mask with 0."""
     if "labels" not in df.columns:
         df = with_labels(df)
-    # batch numbers and padded lengths need only (key, length): index and
-    # window the light table, then join it to the id arrays once
-    if lengths is None:
-        # without precomputed lengths ``df`` is evaluated twice; checkpoint it
-        light = df.select(key, F.size("input_ids").cast("bigint").alias("n_tokens"))
-    else:
-        light = lengths.select(key, F.col("n_tokens").cast("bigint"))
-    idx = dense_index(light, [key], "_idx")
-    light = idx.withColumn("batch_id", F.floor(F.col("_idx") / batch_size).cast("bigint")).drop("_idx")
-    longest = F.max("n_tokens").over(Window.partitionBy("batch_id"))
-    light = light.withColumn("padded_len", (F.ceil(longest / multiple) * multiple).cast("bigint"))
-    out = df.join(light.drop("n_tokens") if lengths is not None else light, key)
-    if lengths is not None:
-        out = out.withColumn("n_tokens", F.size("input_ids").cast("bigint"))
+    out = df.select(key, "input_ids", "labels").join(batches, key)
     k = (F.col("padded_len") - F.col("n_tokens")).cast("int")
     return out.select(
-        key, "batch_id", "n_tokens", "padded_len",
+        key, "epoch", "batch_id", "n_tokens", "padded_len",
         F.concat("input_ids", F.array_repeat(F.lit(pad_id), k)).alias("input_ids"),
         F.concat("labels", F.array_repeat(F.lit(label_pad), k)).alias("labels"),
         F.concat(F.array_repeat(F.lit(1), F.col("n_tokens").cast("int")), F.array_repeat(F.lit(0), k))
@@ -125,14 +127,17 @@ def epoch_plan(df: DataFrame, key: str = "sample_id", epochs: int = EPOCHS, batc
 
 
 def padding_waste(batches: DataFrame) -> DataFrame:
-    """H7: real tokens against padded slots per batch plus the total
-    (``is_total``, batch_id -1)."""
-    agg = batches.rollup("batch_id").agg(
-        F.grouping_id().alias("_g"),
-        F.sum("n_tokens").cast("bigint").alias("real_tokens"),
-        F.sum("padded_len").cast("bigint").alias("padded_slots"))
-    return agg.select(F.when(F.col("_g") > 0, F.lit(-1)).otherwise(F.col("batch_id")).cast("bigint").alias("batch_id"),
-                      (F.col("_g") > 0).alias("is_total"), "real_tokens", "padded_slots",
+    """H7: real tokens against padded slots per micro-batch (``padded_lengths``)
+    plus the total (``is_total``, epoch and batch_id -1)."""
+    per = batches.groupBy("epoch", "batch_id").agg(
+        F.sum("n_tokens").cast("bigint").alias("real_tokens"), F.sum("padded_len").cast("bigint").alias("padded_slots"))
+    agg = per.groupingSets([["epoch", "batch_id"], []], "epoch", "batch_id").agg(
+        F.grouping_id().alias("_g"), F.sum("real_tokens").cast("bigint").alias("real_tokens"),
+        F.sum("padded_slots").cast("bigint").alias("padded_slots"))
+    total = F.col("_g") > 0
+    return agg.select(F.when(total, F.lit(-1)).otherwise(F.col("epoch")).cast("bigint").alias("epoch"),
+                      F.when(total, F.lit(-1)).otherwise(F.col("batch_id")).cast("bigint").alias("batch_id"),
+                      total.alias("is_total"), "real_tokens", "padded_slots",
                       F.round(F.try_divide(F.col("padded_slots") - F.col("real_tokens"), F.col("padded_slots")) * 1.0, 4)
                       .alias("waste"))
 

@@ -23,44 +23,40 @@ def total_length(df: DataFrame, cols=None) -> Column:
     return total
 
 
-def _topk_threshold(df: DataFrame) -> int:
-    conf = df.sparkSession.conf.get("spark.sql.execution.topKSortFallbackThreshold", "100000")
-    return min(int(conf), 1_000_000)
-
-
-def _cut_at(scored: DataFrame, n: int, tie: str) -> DataFrame:
-    """Exact top-n for large n: index only the light (length, tie) pairs,
-    read the n-th pair (one row to the driver) and keep every row up to it
-    with one filter; full rows are never sorted or written."""
-    light = scored.select("_len", tie)
-    idx = dense_index(light, ["_len", tie], "_pos")
-    cut = idx.filter(F.col("_pos") == n - 1).select("_len", tie).first()
-    if cut is None:  # n >= rows: every row
-        return scored
-    length, key = cut[0], cut[1]
-    return scored.filter((F.col("_len") < length) | ((F.col("_len") == length) & (F.col(tie) <= key)))
+def _cut(scored: DataFrame, n: int, tie: str):
+    """(length, key): rows shorter than ``length`` are in, and those of that
+    length up to ``key`` (None: all of them); None if there are at most ``n``
+    rows.  Rows are counted per length (partial counts; as many rows as there
+    are lengths), and only the keys of the cut length are put in order."""
+    counts = scored.groupBy("_len").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy("_len").rowsBetween(Window.unboundedPreceding, 0))
+    at = counts.withColumn("_upto", upto).filter(F.col("_upto") >= n).agg(F.min(F.struct("_len", "_n", "_upto")).alias("c")).first()["c"]
+    if at is None:
+        return None
+    wanted = n - (at["_upto"] - at["_n"])
+    if wanted == at["_n"]:
+        return at["_len"], None
+    ties = dense_index(scored.filter(F.col("_len") == at["_len"]).select(tie), [tie], "_pos")
+    return at["_len"], ties.filter(F.col("_pos") == wanted - 1).first()[tie]
 
 
 def shortest_n(df: DataFrame, n: int | None, cols=("solution",), tie: str = "sample_id",
                length_col: str | None = None) -> DataFrame:
-    """The ``n`` rows with the smallest total length; ties by ``tie``.
+    """The ``n`` rows with the smallest total length; ties by ``tie``,
+    which must be unique.
 
-    ``n`` null or 0 means no limit; ``n`` >= rows returns every row.  Small
-    ``n`` plans as TakeOrderedAndProject (per-partition top-n, then one merge
-    of n x partitions rows); large ``n`` indexes the light (length, key)
-    pairs with a range sort and cuts the full rows with one filter."""
+    ``n`` null or 0 means no limit; ``n`` >= rows returns every row.  The cut
+    is found from counts per length and the keys at the cut length; full rows
+    are only filtered, never sorted, moved or merged in one task."""
     if n is not None and n < 0:
         raise ValueError("n must be >= 0")
-    scored = df.withColumn("_len", total_length(df, cols))
-    if not n:
-        out = scored
-    elif n <= _topk_threshold(df):
-        out = scored.orderBy(F.col("_len"), F.col(tie)).limit(n)
-    else:
-        out = _cut_at(scored, n, tie)
-    if length_col:
-        return out.withColumnRenamed("_len", length_col)
-    return out.drop("_len")
+    out = df.withColumn("_len", total_length(df, cols))
+    cut = _cut(out, n, tie) if n else None
+    if cut:
+        length, key = cut
+        last = F.col("_len") == length
+        out = out.filter((F.col("_len") < length) | (last if key is None else last & (F.col(tie) <= key)))
+    return out.withColumnRenamed("_len", length_col) if length_col else out.drop("_len")
 
 
 def shortest_n_per_group(df: DataFrame, n: int, by, cols=("solution",), tie: str = "sample_id",

@@ -42,24 +42,6 @@ def _equals(token: str):
     return lambda x: x == F.lit(token)
 
 
-def special_vocab(df: DataFrame, text: str = "text", special=SPECIAL_TOKENS) -> DataFrame:
-    """The special-token rows of ``build_vocab`` (same ids and frequencies)
-    without full tokenization: special tokens come first, so their ids
-    depend only on which of them occur.  One regex pass finds the special
-    tokens (exactly as the tokenizer does); one global aggregate counts them."""
-    m = df.select(special_matches(text, special).alias("_m"))
-    agg = m.agg(*[F.sum(F.size(F.filter("_m", _equals(t)))).cast("bigint").alias(f"_f{i}")
-                  for i, t in enumerate(special)])
-    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), F.lit(t).alias("token"),
-                                        F.coalesce(F.col(f"_f{i}"), F.lit(0)).alias("freq"))
-                               for i, t in enumerate(special)]))
-    present = agg.select(rows.alias("r")).select("r.*").filter(F.col("freq") > 0)
-    from pyspark.sql import Window
-    # at most len(special) rows
-    ids = (F.row_number().over(Window.orderBy("_rank")) - 1).cast("bigint")
-    return present.select("token", ids.alias("token_id"), "freq", F.lit(True).alias("is_special"))
-
-
 def _list_df(spark, tokens, name: str = "token") -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], f"{name} string, list_pos int")
 
@@ -67,15 +49,12 @@ def _list_df(spark, tokens, name: str = "token") -> DataFrame:
 def keep_essential(vocab: DataFrame, essential=KEEP_TOKENS) -> DataFrame:
     """G1: special entries of the vocabulary that are essential; ids
     unchanged; essential tokens absent from the vocabulary are not added.
-    Adds the special-entry counts before and after (windows over the special
-    rows, at most one per listed special token, so one pass)."""
-    from pyspark.sql import Window
+    Adds the special-entry counts before and after (one aggregate)."""
     special = vocab.filter("is_special").select("token", "token_id")
-    marked = special.withColumn("_ess", F.col("token").isin(list(essential)))
-    everything = Window.partitionBy()
-    marked = marked.withColumn("n_before", F.count(F.lit(1)).over(everything).cast("bigint")) \
-        .withColumn("n_after", F.sum(F.col("_ess").cast("bigint")).over(everything).cast("bigint"))
-    return marked.filter("_ess").select("token", "token_id", "n_before", "n_after")
+    inside = F.col("token").isin(list(essential))
+    before, after = special.agg(F.count(F.lit(1)), F.count_if(inside)).first()
+    return special.filter(inside).select("token", "token_id", F.lit(before).cast("bigint").alias("n_before"),
+                                         F.lit(after).cast("bigint").alias("n_after"))
 
 
 def token_diff(vocab: DataFrame, essential=KEEP_TOKENS) -> DataFrame:
@@ -92,15 +71,12 @@ def token_diff(vocab: DataFrame, essential=KEEP_TOKENS) -> DataFrame:
 def add_special_tokens(vocab: DataFrame, new=THINK_TAGS) -> DataFrame:
     """Tokens of ``new`` missing from the vocabulary get the next free
     ids (max id + 1, ... in list order).  Returns the grown vocabulary."""
-    spark = vocab.sparkSession
-    wanted = _list_df(spark, new)
-    missing = wanted.join(vocab.select("token"), "token", "left_anti")
-    top = vocab.agg(F.coalesce(F.max("token_id"), F.lit(-1))).first()[0]
-    # the new-token list is a small literal, so one ordered window is fine
-    from pyspark.sql import Window
-    added = missing.select(
-        "token", (F.lit(top) + F.row_number().over(Window.orderBy("list_pos"))).cast("bigint").alias("token_id"),
-        F.lit(0).cast("bigint").alias("freq"), F.lit(True).alias("is_special"))
+    new = list(dict.fromkeys(new))
+    top, present = vocab.agg(F.coalesce(F.max("token_id"), F.lit(-1)),
+                             F.collect_set(F.when(F.col("token").isin(new), F.col("token")))).first()  # at most len(new) tokens
+    missing = [t for t in new if t not in present]
+    added = vocab.sparkSession.createDataFrame([(t, top + 1 + i, 0, True) for i, t in enumerate(missing)],
+                                               "token string, token_id bigint, freq bigint, is_special boolean")
     return vocab.select("token", "token_id", "freq", "is_special").unionByName(added)
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import render_chat
-from corpusmill.operators.batches import pad_batch
+from corpusmill.operators.batches import epoch_plan, pad_batch, padded_lengths
 from corpusmill.operators.conversations import collect_messages
 from corpusmill.operators.rewrite import ScriptedTransformer, choose_candidate, rewrite
 
@@ -84,18 +84,21 @@ def test_pad_batch_random(spark):
     keys = rnd.sample(range(10_000), 103)
     rows = [(k, [rnd.randint(0, 50) for _ in range(rnd.randint(0, 30))]) for k in keys]
     df = spark.createDataFrame(rows, "sample_id long, input_ids array<int>")
-    got = {r.sample_id: (r.batch_id, r.padded_len, list(r.input_ids), list(r.labels), list(r.attention_mask))
-           for r in pad_batch(df, batch_size=4, multiple=8).collect()}
+    lengths = spark.createDataFrame([(k, len(ids)) for k, ids in rows], "sample_id long, n_tokens long")
+    plan = epoch_plan(lengths, epochs=2, batch_size=4)
+    got = {(r.sample_id, r.epoch): (r.batch_id, r.padded_len, list(r.input_ids), list(r.labels), list(r.attention_mask))
+           for r in pad_batch(df, padded_lengths(lengths, plan, multiple=8), 99).collect()}
+    ids, batches = dict(rows), {}
+    for r in plan.collect():
+        batches.setdefault((r.epoch, r.micro_batch), []).append(r.sample_id)
     want = {}
-    ordered = sorted(rows)
-    for b in range(0, len(ordered), 4):
-        batch = ordered[b:b + 4]
-        longest = max(len(ids) for _, ids in batch)
-        padded = -(-longest // 8) * 8
-        for k, ids in batch:
-            pad = padded - len(ids)
-            want[k] = (b // 4, padded, ids + [0] * pad, ids + [-100] * pad, [1] * len(ids) + [0] * pad)
-    assert got == want
+    for (epoch, b), members in batches.items():
+        assert len(members) <= 4
+        padded = -(-max(len(ids[k]) for k in members) // 8) * 8
+        for k in members:
+            pad = padded - len(ids[k])
+            want[k, epoch] = (b, padded, ids[k] + [99] * pad, ids[k] + [-100] * pad, [1] * len(ids[k]) + [0] * pad)
+    assert got == want and len(want) == 206
 
 
 def test_render_conversations_equals_array_form(spark):

@@ -26,19 +26,12 @@ def test_negative_n_rejected(spark):
         shortest_n(_df(spark), -1)
 
 
-def test_large_n_path_equals_top_n(spark):
+def test_cut_equals_top_n(spark):
     df = spark.range(0, 2000).select(F.col("id").alias("sample_id"),
                                      F.repeat(F.lit("x"), (F.col("id") * 7919 % 97).cast("int")).alias("solution"))
-    a = {r.sample_id for r in shortest_n(df, 500).collect()}
-    import corpusmill.plans.indexing as ix
-    spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", "10")
-    old, ix.SINGLE_TASK_ROWS = ix.SINGLE_TASK_ROWS, 0
-    try:
-        b = {r.sample_id for r in shortest_n(df, 500).collect()}
-    finally:
-        ix.SINGLE_TASK_ROWS = old
-        spark.conf.set("spark.sql.execution.topKSortFallbackThreshold", "100000")
-    assert a == b and len(a) == 500
+    for n in (1, 20, 21, 500, 1999):  # inside and at the end of a length
+        got = {r.sample_id for r in shortest_n(df, n).collect()}
+        assert got == {r.sample_id for r in df.orderBy(F.length("solution"), "sample_id").limit(n).collect()}
 
 
 def test_per_group(spark):
@@ -48,6 +41,7 @@ def test_per_group(spark):
 
 def test_dense_index_is_exact(spark):
     df = spark.range(0, 5000).select((F.col("id") * 37 % 5000).alias("k"))
-    for small in (0, 10 ** 6):  # range path and single-task path
-        rows = dense_index(df, ["k"], "idx", num_partitions=7, single_task_rows=small).collect()
+    for parts in (7, None):
+        rows = dense_index(df, ["k"], "idx", num_partitions=parts).collect()
         assert sorted((r.k, r.idx) for r in rows) == [(i, i) for i in range(5000)]
+    assert dense_index(df.limit(0), ["k"]).collect() == []

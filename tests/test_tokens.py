@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import tokenize
-from corpusmill.operators.batches import encode, pad_batch
+from corpusmill.operators.batches import encode, pad_batch, pad_token_id, padded_lengths
 from corpusmill.operators.vocab import add_special_tokens, build_vocab, token_audit
 
 
@@ -30,10 +30,20 @@ def test_encode_cut_and_unknown(spark):
 def test_pad_batch_lengths(spark):
     rows = [(1, list(range(8))), (2, [1]), (3, list(range(9))), (4, []), (5, []), (6, [])]
     df = spark.createDataFrame(rows, "sample_id long, input_ids array<int>")
-    out = {r.sample_id: r for r in pad_batch(df, batch_size=2).collect()}
+    plan = spark.createDataFrame([(k, 1, (k - 1) // 2) for k, _ in rows], "sample_id long, epoch long, micro_batch long")
+    lengths = spark.createDataFrame([(k, len(ids)) for k, ids in rows], "sample_id long, n_tokens long")
+    out = {r.sample_id: r for r in pad_batch(df, padded_lengths(lengths, plan), 77).collect()}
     assert out[1].padded_len == 8 and out[2].padded_len == 8 and list(out[2].labels) == [1] + [-100] * 7
     assert out[3].padded_len == 16 and out[4].padded_len == 16 and out[5].padded_len == 0
-    assert list(out[2].attention_mask) == [1] + [0] * 7
+    assert list(out[2].attention_mask) == [1] + [0] * 7 and list(out[2].input_ids) == [1] + [77] * 7
+
+
+def test_pad_token_must_be_known(spark):
+    import pytest
+    v = build_vocab(spark.createDataFrame([(1, "a b")], "sample_id long, text string"))
+    with pytest.raises(ValueError):
+        pad_token_id(v)
+    assert pad_token_id(add_special_tokens(v, ("<|endoftext|>",))) == 2
 
 
 def test_token_audit_zero_counts(spark):
@@ -42,17 +52,14 @@ def test_token_audit_zero_counts(spark):
     assert got["<tool_call>"] == (1, 2) and got["<|repo_name|>"] == (0, 0)
 
 
-def test_special_vocab_equals_full_vocab_rows(spark):
-    import random
-    from corpusmill.functions.tokens import SPECIAL_TOKENS
-    from corpusmill.operators.vocab import special_vocab
-    rnd = random.Random(5)
-    parts = list(SPECIAL_TOKENS[:8]) + ["<", ">", "|", "a", " ", "think", "/"]
-    rows = [(i, "".join(rnd.choice(parts) for _ in range(12))) for i in range(300)]
-    df = spark.createDataFrame(rows, "sample_id long, text string")
-    full = sorted(tuple(r) for r in build_vocab(df).filter("is_special").collect())
-    fast = sorted(tuple(r) for r in special_vocab(df).collect())
-    assert full == fast
+def test_special_tokens_that_are_words(spark):
+    """A special token that starts with a letter is tried before letter runs,
+    wherever it stands; keep_essential sees the vocabulary's counts."""
+    from corpusmill.operators.vocab import keep_essential
+    df = spark.createDataFrame([(1, "end bending END end")], "sample_id long, text string")
+    v = build_vocab(df, special=("end",))
+    want = {r.token: r.freq for r in v.collect()}
+    assert want["end"] == 2 and keep_essential(v, ("end",)).first().token_id == 0
 
 
 def test_add_special_tokens_counts(spark):
