@@ -36,11 +36,14 @@ def q_write_jsonl(spark, sf_dir):
                         F.get_json_object("value", "$.solution").alias("solution"))
 
 
-@query("read_dataset", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+@query("read_dataset", """
+SELECT 'all' AS asked, doc_id, text, lang, source, n_chars FROM documents
+UNION ALL SELECT 'de', doc_id, text, lang, source, n_chars FROM documents WHERE lang = 'de'""")
 def q_read_dataset(spark, sf_dir):
     root = scratch_path(spark, "datasets")
     write_dataset(table(spark, sf_dir, "documents"), root, "corpus/documents", subset_col="lang")
-    return read_dataset(spark, root, "corpus/documents", subset=None, split="train")
+    whole = read_dataset(spark, root, "corpus/documents", subset=None, split="train").withColumn("asked", F.lit("all"))
+    return whole.unionByName(read_dataset(spark, root, "corpus/documents", subset="de", split="train").withColumn("asked", F.lit("de")))
 
 
 @query("sanitize_name", """
@@ -64,9 +67,10 @@ SELECT 'code_switched', s.sample_id,
 FROM samples s LEFT JOIN todo_rw r USING (sample_id)""", _A5))
 def q_paired_sinks(spark, sf_dir):
     out_dir = scratch_path(spark, "paired")
-    selected = view(spark, sf_dir, "samples")
-    n_rows = selected.count()
-    original = write_original(selected, out_dir, "documents", "train", None, n_rows)
+    source = view(spark, sf_dir, "samples")
+    n_rows = source.select("sample_id").count()
+    original = write_original(source, out_dir, "documents", "train", None, n_rows)
+    selected = read_jsonl(spark, original, SAMPLES_SCHEMA)  # the selection is made once
     log = run_rewrite(selected.filter(rewritable()), LexiconTransformer(lexicon_mapping(spark, sf_dir)),
                       f"{out_dir}/attempt_log", retry_delay=0.0, max_concurrent=1)
     rewritten = apply_verdict(selected, choose_candidate(selected, log, with_original=False))
@@ -89,6 +93,6 @@ SELECT CAST(count(*) AS BIGINT) AS n_selected,
 FROM applied""", APPLIED))
 def q_run_manifest(spark, sf_dir):
     samples = view(spark, sf_dir, "samples")
-    applied = apply_verdict(samples, choose_candidate(samples, view(spark, sf_dir, "candidates")))
+    applied = apply_verdict(samples, choose_candidate(samples, view(spark, sf_dir, "candidates"), with_original=False))
     n_input = table(spark, sf_dir, "documents").count()
     return run_manifest(applied, n_input=n_input, model="scripted", max_retries=3, columns="solution")

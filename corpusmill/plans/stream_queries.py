@@ -1,6 +1,7 @@
 """Registered streaming queries I1-I4: the input view is written as JSONL
-into a fresh folder under the checkpoint root, the stream runs with
-``availableNow`` and the sink is read back; each equals its batch twin."""
+into a fresh folder under the checkpoint root, as three files that the stream
+takes one by one (``max_files=1``, ``availableNow``); the sink is read back.
+Each equals its batch twin."""
 
 from __future__ import annotations
 
@@ -13,7 +14,6 @@ from corpusmill.plans.registry import query
 from corpusmill.operators.think import MAX_THINK_LENGTH
 from corpusmill.plans.sqltext import STATS_AGGS, count_lit, span_lens, spans, think_features
 from corpusmill.session import scratch_path
-from corpusmill.sources.jsonl import write_jsonl
 from corpusmill.streaming.jobs import chunk_stream, prepare_stream, read_stats, session_stream, stats_stream
 
 SAMPLES_SCHEMA = ("sample_id long, question string, solution string, answer string, text string, "
@@ -26,6 +26,12 @@ def _folders(spark, name):
     return f"{base}/in", f"{base}/out", f"{base}/checkpoint"
 
 
+def _feed(df, path, part):
+    """Three JSONL files in order of ``part`` (0, 1, 2), one micro-batch each."""
+    for i in range(3):
+        df.filter(part == i).coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
 _GATED = dict(FORMATTED)
 _GATED["gated"] = f"""
 SELECT *, CASE WHEN kind = 'qa' THEN array_to_string(list_filter([
@@ -42,8 +48,8 @@ FROM (SELECT *, {count_lit('text', '<think>')} AS o, {count_lit('text', '</think
 SELECT sample_id, kind, user_content, assistant_content, text, input, output, reasons FROM gated""", _GATED))
 def q_stream_prepare(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-prepare")
-    write_jsonl(view(spark, sf_dir, "samples"), src)
-    prepare_stream(spark, src, out, ckpt, SAMPLES_SCHEMA)
+    _feed(view(spark, sf_dir, "samples"), src, F.col("sample_id") % 3)
+    prepare_stream(spark, src, out, ckpt, SAMPLES_SCHEMA, max_files=1)
     df = spark.read.parquet(out)
     return df.select("sample_id", "kind", F.col("messages")[0]["content"].alias("user_content"),
                      F.col("messages")[1]["content"].alias("assistant_content"), "text", "input", "output",
@@ -55,16 +61,20 @@ SELECT conv_id, turn, string_agg(coalesce(text, ''), '' ORDER BY turn) OVER (PAR
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM turns"""))
 def q_chunk_assembly(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-chunks")
-    write_jsonl(view(spark, sf_dir, "turns"), src)
-    chunk_stream(spark, src, out, ckpt)
+    _feed(view(spark, sf_dir, "turns"), src, (F.col("turn") * 2 + F.col("conv_id")) % 3)  # chunks come out of order
+    chunk_stream(spark, src, out, ckpt, max_files=1)
     return spark.read.parquet(out)
 
 
 @query("stream_sessions", with_views(["inputs"], SEGMENTS_SQL))
 def q_stream_sessions(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-sessions")
-    write_jsonl(view(spark, sf_dir, "inputs"), src)
-    session_stream(spark, src, out, ckpt)
+    inputs = view(spark, sf_dir, "inputs")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = inputs.agg(F.min(at), F.max(at)).first()
+    step = (last - first) // 3 + 1 if first is not None else 1
+    _feed(inputs, src, F.floor((at - F.lit(first or 0)) / step))
+    session_stream(spark, src, out, ckpt, max_files=1)
     return spark.read.parquet(out)
 
 
@@ -74,6 +84,6 @@ FROM (SELECT {think_features('t')}
       FROM (SELECT coalesce(formatted_response, text, solution, content) AS t FROM fields))"""))
 def q_stream_stats(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-stats")
-    write_jsonl(view(spark, sf_dir, "fields"), src)
-    stats_stream(spark, src, out, ckpt, FIELDS_SCHEMA)
+    _feed(view(spark, sf_dir, "fields"), src, F.col("doc_id") % 3)
+    stats_stream(spark, src, out, ckpt, FIELDS_SCHEMA, max_files=1)
     return read_stats(spark, out)

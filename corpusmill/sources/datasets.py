@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,20 +12,22 @@ from corpusmill.functions.text import col_of
 from corpusmill.sources.jsonl import write_jsonl
 
 
+# Characters a name may not hold, and the prefixes of the two
+# files of a run.
+UNSAFE = '[<>:"|?*]'
+ORIGINAL, REWRITTEN = "original", "code_switched"
+
+
 def sanitize_name(c) -> Column:
     """A4: ``/`` and each of ``< > : " | ? *`` become ``_``; runs of ``_``
     collapse; outer ``_`` are trimmed."""
-    x = F.replace(col_of(c), F.lit("/"), F.lit("_"))
-    x = F.regexp_replace(x, '[<>:"|?*]', "_")
-    x = F.regexp_replace(x, "_+", "_")
-    return F.btrim(x, F.lit("_"))
+    x = F.regexp_replace(F.replace(col_of(c), F.lit("/"), F.lit("_")), UNSAFE, "_")
+    return F.btrim(F.regexp_replace(x, "_+", "_"), F.lit("_"))
 
 
 def sanitize_name_py(name: str) -> str:
     """A4 for driver-side names (paths), same rule."""
-    import re
-    out = re.sub(r'[<>:"|?*]', "_", name.replace("/", "_"))
-    return re.sub(r"_+", "_", out).strip("_")
+    return re.sub(r"_+", "_", re.sub(UNSAFE, "_", name.replace("/", "_"))).strip("_")
 
 
 def write_dataset(df: DataFrame, root: str, name: str, subset_col: str | None = None,
@@ -41,15 +46,50 @@ def write_dataset(df: DataFrame, root: str, name: str, subset_col: str | None =
 
 def read_dataset(spark: SparkSession, root: str, name: str, subset: str | None = None,
                  split: str = "train", fmt: str = "parquet") -> DataFrame:
-    """A3: (name, subset?, split) -> table.  The subset filter applies only
-    when a subset is given; both filters prune partition folders, so only
-    the chosen split (and subset) is read."""
-    df = spark.read.format(fmt).load(f"{root.rstrip('/')}/{sanitize_name_py(name)}")
-    if subset and "subset" in df.columns:
-        df = df.filter(F.col("subset") == subset)
-    if "split" in df.columns:
-        df = df.filter(F.col("split") == split)
-    return df.drop("split", "subset")
+    """A3: (name, subset?, split) -> table.  The filters prune partition
+    folders, so only the chosen split (and subset) is read.  A subset or split
+    that the dataset does not have is an error; columns of the data that are
+    called ``subset`` or ``split`` but are no folders stay."""
+    path = f"{root.rstrip('/')}/{sanitize_name_py(name)}"
+    df = spark.read.format(fmt).load(path)
+    folders = _folder_levels(spark, path)
+    for level, wanted in (("subset", subset), ("split", split)):
+        if wanted is None:
+            continue
+        if level not in folders:
+            raise ValueError(f"{path} has no {level} folders; {level} {wanted!r} cannot be read")
+        df = df.filter(F.col(level) == wanted)
+    if df.select(F.lit(1)).isEmpty() and not _has_folder(spark, path, folders, {"subset": subset, "split": split}):
+        raise ValueError(f"{path} has no subset {subset!r} and split {split!r}")
+    return df.drop(*folders)
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` (one partition level)."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return [s.getPath().getName() for s in found if s.isDirectory()]
+
+
+def _folder_levels(spark: SparkSession, path: str) -> list[str]:
+    """Which of ``subset`` and ``split`` are partition folders, outer first."""
+    levels = []
+    while len(levels) < 2:
+        names = [n for n in _children(spark, path) if n.partition("=")[0] in ("subset", "split")]
+        if not names:
+            break
+        levels.append(names[0].partition("=")[0])
+        path = f"{path}/{names[0]}"
+    return levels
+
+
+def _has_folder(spark: SparkSession, path: str, levels: list[str], wanted: dict) -> bool:
+    if not levels:
+        return True
+    names = [n for n in _children(spark, path) if n.startswith(levels[0] + "=")]
+    if wanted[levels[0]] is not None:
+        names = [n for n in names if unquote(n.partition("=")[2]) == wanted[levels[0]]]
+    return any(_has_folder(spark, f"{path}/{n}", levels[1:], wanted) for n in names)
 
 
 def output_filename(name: str, split: str, subset: str | None, n_rows: int, prefix: str = "") -> str:
@@ -61,29 +101,17 @@ def output_filename(name: str, split: str, subset: str | None, n_rows: int, pref
 def write_original(selected: DataFrame, out_dir: str, name: str, split: str, subset: str | None,
                    n_rows: int) -> str:
     """A5, first half: the selected input rows, written before any call."""
-    path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, 'original')}"
+    path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, ORIGINAL)}"
     return write_jsonl(selected, path)
 
 
 def write_rewritten(rewritten: DataFrame, out_dir: str, name: str, split: str, subset: str | None,
                     n_rows: int) -> str:
     """A5, second half: the rewritten rows, written after the rewrite."""
-    path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, 'code_switched')}"
+    path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, REWRITTEN)}"
     return write_jsonl(rewritten, path)
 
 
-def write_pair(original: DataFrame, rewritten: DataFrame, out_dir: str, name: str, split: str,
-               subset: str | None = None, n_rows: int | None = None) -> tuple[str, str]:
-    """A5: ``original_<file>`` first (the selection, before any call), then
-    ``code_switched_<file>`` (writing it runs the rewrite); ``<file>`` is
-    ``name_split[_subset]_rows.jsonl``.  Persist or checkpoint ``original``
-    so both files see the same selection."""
-    n = original.count() if n_rows is None else n_rows
-    first = write_original(original, out_dir, name, split, subset, n)
-    second = write_rewritten(rewritten, out_dir, name, split, subset, n)
-    return first, second
-
-
 def run_manifest(verdicts: DataFrame, n_input: int | Column | None = None, **settings) -> DataFrame:
     """One-row run record: row counts per outcome plus the settings
     (paths, model, columns ...) as literal columns."""

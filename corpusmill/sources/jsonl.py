@@ -4,42 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from corpusmill.functions.text import is_blank, strip
 
+_BAD = "_bad_line"
+# as the standard loader reads JSON: NaN and Infinity are numbers, strings take
+# double quotes only; of a repeated key the last value counts
+_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
 
-def _lines(spark: SparkSession, path) -> DataFrame:
-    """Raw lines with their file; lines blank after strip are skipped."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    return raw.filter(~is_blank("value"))
 
+def text_lines(raw: DataFrame) -> DataFrame:
+    """(value, file) of a text source; lines blank after strip are skipped."""
+    return raw.select("value", F.col("_metadata.file_path").alias("file")).filter(~is_blank("value"))
 
-def _bad_line():
-    """Not a JSON object: invalid JSON, or a JSON array / scalar (the next
-    steps need objects; Spark would split an array line into rows)."""
-    first = F.substring(strip("value"), 1, 1)
-    return F.try_parse_json(F.col("value")).isNull() | (first != "{")
+
+def parse_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
+    """(value, file, row, bad): ``row`` by the schema; ``bad`` if the line is
+    not one JSON object with values of the declared types.  Works on batches
+    and streams."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wide = StructType([*fields.fields, StructField(_BAD, StringType())])
+    parsed = F.from_json("value", wide, {**_OPTIONS, "columnNameOfCorruptRecord": _BAD})
+    # the whole line is one value: inside brackets it is an array of one object
+    alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<struct<_:string>>", _OPTIONS)
+    out = lines.withColumn("row", parsed)
+    bad = (F.substring(strip("value"), 1, 1) != "{") | F.col("row").isNull() | F.col(f"row.{_BAD}").isNotNull() \
+        | (F.coalesce(F.size(alone), F.lit(0)) != 1)
+    return out.withColumn("bad", F.coalesce(bad, F.lit(True))).withColumn("row", F.col("row").dropFields(_BAD))
+
+
+def strict_rows(parsed: DataFrame) -> DataFrame:
+    """The rows; the job fails on the first bad line it meets, naming the file
+    and the line text (Spark has no global line number)."""
+    checked = parsed.filter(F.when(F.col("bad"), F.raise_error(F.concat(
+        F.lit("invalid JSON line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))))
+        .otherwise(F.lit(True)))
+    return checked.select("row.*")
 
 
 def read_jsonl(spark: SparkSession, path, schema: StructType | str, mode: str = "strict"):
     """A1: one JSON object per line, UTF-8, declared schema.
 
-    strict: the job fails on the first bad line it meets, naming the file and
-    the line text (Spark has no global line number).  report: returns
-    ``(rows, bad_lines)``; ``bad_lines`` has (file, value).  A missing path
-    fails at once.  JSON null stays null."""
-    lines = _lines(spark, path)
-    bad = _bad_line()
+    strict: the job fails on the first bad line.  report: returns ``(rows,
+    bad_lines)``; ``bad_lines`` has (file, value).  A value of another type
+    than declared makes a line bad.  A missing path fails at once.  JSON null
+    stays null."""
+    parsed = parse_lines(text_lines(spark.read.text(path)), schema)
     if mode == "strict":
-        checked = lines.filter(F.when(bad, F.raise_error(F.concat(
-            F.lit("invalid JSON line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))))
-            .otherwise(F.lit(True)))
-        return checked.select(F.from_json("value", schema).alias("r")).select("r.*")
+        return strict_rows(parsed)
     if mode != "report":
         raise ValueError("mode must be 'strict' or 'report'")
-    good = lines.filter(~bad).select(F.from_json("value", schema).alias("r")).select("r.*")
-    return good, lines.filter(bad).select("file", "value")
+    return parsed.filter(~F.col("bad")).select("row.*"), parsed.filter("bad").select("file", "value")
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:

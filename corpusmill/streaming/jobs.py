@@ -8,6 +8,10 @@ there and stops; ``max_files`` bounds a micro-batch.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,13 +20,26 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from corpusmill.operators.think import (finish_think_stats, format_reasons, pick_text_field, think_features,
                                         think_stats_aggs)
 from corpusmill.operators.validate import drop_incomplete_qa, format_qa, route_format
+from corpusmill.sources.jsonl import parse_lines, strict_rows, text_lines
 
 
-def _source(spark: SparkSession, in_dir: str, schema: str, max_files: int | None) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("mode", "PERMISSIVE")
+def _parsed(spark: SparkSession, in_dir: str, schema: str, max_files: int | None) -> DataFrame:
+    """The lines of the folder's files, tested as the batch reader tests them."""
+    reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
-    return reader.json(in_dir)
+    return parse_lines(text_lines(reader.load(in_dir)), schema)
+
+
+def _source(spark: SparkSession, in_dir: str, schema: str, max_files: int | None, bad_dir: str | None = None,
+            checkpoint: str | None = None) -> DataFrame:
+    """Rows of the stream.  A bad line fails the job, or, with ``bad_dir``, is
+    written there as (file, value) by a query with a checkpoint of its own."""
+    if bad_dir is None:
+        return strict_rows(_parsed(spark, in_dir, schema, max_files))
+    bad = _parsed(spark, in_dir, schema, max_files).filter("bad").select("file", "value")
+    _run(bad, bad_dir, f"{checkpoint}-bad-lines")
+    return _parsed(spark, in_dir, schema, max_files).filter(~F.col("bad")).select("row.*")
 
 
 def _run(df: DataFrame, out_dir: str, checkpoint: str, mode: str = "append"):
@@ -33,11 +50,11 @@ def _run(df: DataFrame, out_dir: str, checkpoint: str, mode: str = "append"):
 
 
 def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str,
-                   max_files: int | None = None):
+                   max_files: int | None = None, bad_dir: str | None = None):
     """New JSONL files -> route -> drop incomplete -> format -> gate ->
     parquet.  The same stateless functions as the batch job; qa rows carry
     the format-gate reasons and verdict (null for text and io rows)."""
-    src = _source(spark, in_dir, schema, max_files)
+    src = _source(spark, in_dir, schema, max_files, bad_dir, checkpoint)
     out = format_qa(drop_incomplete_qa(route_format(src)))
     is_qa = F.col("kind") == "qa"
     out = out.withColumn("reasons", F.when(is_qa, format_reasons("text"))) \
@@ -48,30 +65,33 @@ def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
 # ---- I2: text so far per request ------------------------------------------------
 
 CHUNK_OUT = "conv_id long, turn long, so_far string"
-CHUNK_STATE = "last_turn long, so_far string"
+CHUNK_STATE = "next_turn long, so_far string, held string"
 
 
-def _assemble(key, batches, state):
-    last, text = state.get if state.exists else (-1, "")
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn")
-    out = []
-    for turn, chunk in zip(pdf["turn"], pdf["text"]):
-        if turn <= last:
-            continue  # replayed chunk
-        text += "" if chunk is None else chunk
-        last = int(turn)
-        out.append((key[0], last, text))
-    state.update((last, text))
-    yield pd.DataFrame(out, columns=["conv_id", "turn", "so_far"])
+def _assemble(key, batches: Iterator[pd.DataFrame], state):
+    turn, text, held = state.get if state.exists else (0, "", "{}")
+    held = {int(t): x for t, x in json.loads(held).items()}
+    for pdf in batches:  # one piece of the group at a time
+        out = []
+        for t, chunk in zip(pdf["turn"], pdf["text"]):
+            if t >= turn and int(t) not in held:  # not a replay
+                held[int(t)] = chunk
+        while turn in held:
+            text += held.pop(turn) or ""
+            out.append((key[0], turn, text))
+            turn += 1
+        yield pd.DataFrame(out, columns=["conv_id", "turn", "so_far"])
+    state.update((turn, text, json.dumps(held)))
 
 
 def chunk_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                 max_files: int | None = None):
+                 max_files: int | None = None, bad_dir: str | None = None):
     """Per request (conv_id), the concatenation of its chunks after each
-    chunk.  State per key: last turn and text so far; chunks inside a
-    micro-batch are ordered by turn, replays are skipped."""
-    src = _source(spark, in_dir, "conv_id long, turn long, role string, text string", max_files)
-    out = src.groupBy("conv_id").applyInPandasWithState(
+    chunk; chunks are numbered 0, 1, 2 ...  State per key: the next number,
+    the text so far and the chunks that came before their predecessors, which
+    are held until these arrive.  Replays are skipped."""
+    src = _source(spark, in_dir, "conv_id long, turn long, role string, text string", max_files, bad_dir, checkpoint)
+    out = src.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(
         _assemble, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout)
     return _run(out, out_dir, checkpoint)
 
@@ -79,52 +99,71 @@ def chunk_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 # ---- I3: chat sessions -------------------------------------------------------
 
 SESSION_OUT = "user_id long, event_id long, segment long, text string"
-SESSION_STATE = "segment long, closed boolean"
+SESSION_STATE = "segment long, closed boolean, last_ts string, last_event long"
 
 
-def _sessions(key, batches, state):
+def _sessions(key, batches: Iterator[pd.DataFrame], state, closed_ttl_ms: int | None = None):
     from corpusmill.functions.text import WS
-    segment, closed = state.get if state.exists else (0, False)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    segment, closed, last_ts, last_event = state.get if state.exists else (0, False, "", -1)
+    # the rows of one user in one micro-batch (``max_files`` bounds it) are put in order
     pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"])
     out = []
-    for event_id, text in zip(pdf["event_id"], pdf["text"]):
+    for ts, event_id, text in zip(pdf["ts"], pdf["event_id"], pdf["text"]):
+        if (ts, event_id) < (last_ts, last_event):
+            raise ValueError(f"user {key[0]}: event {event_id} at {ts} came after event {last_event} at {last_ts}")
+        last_ts, last_event = ts, int(event_id)
         if closed:
-            break
+            continue
         if text == "exit":
             closed = True
         elif text == "clear":
             segment += 1
         elif text is not None and text.strip(WS):
             out.append((key[0], int(event_id), segment, text))
-    state.update((segment, closed))
+    state.update((segment, closed, last_ts, last_event))
+    if closed and closed_ttl_ms is not None:
+        state.setTimeoutDuration(closed_ttl_ms)
     yield pd.DataFrame(out, columns=["user_id", "event_id", "segment", "text"])
 
 
 def session_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                   max_files: int | None = None, ts_type: str = "timestamp_ntz"):
-    """E5 over a stream.  State per user: (segment, closed); rows of a
-    micro-batch are ordered by (ts, event_id).  Input must arrive in order
-    per user across micro-batches (there is no event-time rule to reorder).
-    ``ts`` is read as wall-clock time without a zone, so the session time
-    zone cannot reorder rows."""
-    src = _source(spark, in_dir, f"user_id long, ts {ts_type}, event_id long, text string", max_files)
+                   max_files: int | None = None, ts_type: str = "timestamp_ntz", bad_dir: str | None = None,
+                   closed_ttl_ms: int | None = None):
+    """E5 over a stream.  State per user: (segment, closed, last event);
+    rows of a micro-batch are ordered by (ts, event_id), and a row that comes
+    after a later one of an earlier micro-batch fails the job.  ``ts`` is read
+    as wall-clock time without a zone, so the session time zone cannot reorder
+    rows.
+
+    With ``closed_ttl_ms`` the state of an ended session is dropped after that
+    time; this takes a query that goes on, so the running query is returned.
+    Without it, all files are taken and the query ends."""
+    src = _source(spark, in_dir, f"user_id long, ts {ts_type}, event_id long, text string", max_files, bad_dir, checkpoint)
+    # wall-clock text with all digits sorts as the time does
+    src = src.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    timeout = GroupStateTimeout.NoTimeout if closed_ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     out = src.groupBy("user_id").applyInPandasWithState(
-        _sessions, SESSION_OUT, SESSION_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run(out, out_dir, checkpoint)
+        partial(_sessions, closed_ttl_ms=closed_ttl_ms), SESSION_OUT, SESSION_STATE, "append", timeout)
+    if closed_ttl_ms is None:
+        return _run(out, out_dir, checkpoint)
+    return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).start(out_dir)
 
 
 # ---- I4: running think statistics --------------------------------------------
 
 def stats_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, schema: str,
-                 max_files: int | None = None):
+                 max_files: int | None = None, bad_dir: str | None = None):
     """I4: F5 kept incrementally: a streaming global aggregate of sums
-    (complete mode, one state row); every micro-batch overwrites the one-row
-    table at ``out_dir``.  ``read_stats`` divides at read time."""
-    src = _source(spark, in_dir, schema, max_files)
+    (complete mode, one state row).  Every micro-batch writes its one row to a
+    folder of its own; ``read_stats`` reads the newest and divides."""
+    src = _source(spark, in_dir, schema, max_files, bad_dir, checkpoint)
     agg = think_features(src, pick_text_field(src)).agg(*think_stats_aggs())
 
-    def write(batch: DataFrame, _epoch: int):
-        batch.write.mode("overwrite").parquet(out_dir)
+    def write(batch: DataFrame, epoch: int):
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     q = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
          .foreachBatch(write).trigger(availableNow=True).start())
@@ -133,4 +172,7 @@ def stats_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str
 
 
 def read_stats(spark: SparkSession, out_dir: str) -> DataFrame:
-    return finish_think_stats(spark.read.parquet(out_dir))
+    """The statistics of the newest finished micro-batch."""
+    epochs = spark.read.parquet(out_dir)
+    newest = epochs.agg(F.max("epoch")).first()[0]
+    return finish_think_stats(epochs.filter(F.col("epoch") == newest))

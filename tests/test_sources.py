@@ -57,15 +57,30 @@ def test_dataset_subset_and_split(spark, tmp_dir):
     write_dataset(df, tmp_dir, "org/data", subset_col="lang")
     assert sorted(r.id for r in read_dataset(spark, tmp_dir, "org/data", subset="en").collect()) == [1, 3]
     assert read_dataset(spark, tmp_dir, "org/data").count() == 3
-    assert read_dataset(spark, tmp_dir, "org/data", split="test").count() == 0
-
-
-def test_write_pair_names_and_order(spark, tmp_dir):
-    from corpusmill.sources.datasets import write_pair
-    df = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
-    a, b = write_pair(df, df.withColumn("s", df.s), tmp_dir, "org/set", "train", "sub")
-    assert a.endswith("original_org_set_train_sub_2.jsonl") and b.endswith("code_switched_org_set_train_sub_2.jsonl")
-    assert read_jsonl(spark, b, SCHEMA).count() == 2
+    for wrong in ({"split": "test"}, {"subset": "de"}, {"subset": "en", "split": "test"}):
+        with pytest.raises(ValueError):
+            read_dataset(spark, tmp_dir, "org/data", **wrong)
+
+
+def test_dataset_without_folders(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "mine")], "id long, subset string")
+    df.write.parquet(f"{tmp_dir}/plain")
+    with pytest.raises(ValueError):
+        read_dataset(spark, tmp_dir, "plain")
+    assert read_dataset(spark, tmp_dir, "plain", split=None).collect() == df.collect()  # its own column stays
+    write_dataset(df, tmp_dir, "split-only")
+    assert read_dataset(spark, tmp_dir, "split-only").first().subset == "mine"
+    with pytest.raises(ValueError):
+        read_dataset(spark, tmp_dir, "split-only", subset="mine")
+
+
+def test_lines_as_the_standard_loader_reads_them(spark, tmp_dir):
+    lines = ['{"id": 1, "id": 2, "x": NaN}', '{"id": 3, "x": 1.5, "more": [1]}', '{"id": "text", "x": 1}', '{"id": 4} {"id": 5}',
+             '{"id": 6}, {"id": 7}', "{'id': 8}", '{"id": 9, "x": Infinity}', ' {"id": 10}', '{"id": 11} x', '{}']
+    _write(_local(tmp_dir), lines)
+    good, bad = read_jsonl(spark, _local(tmp_dir), "id long, x double", mode="report")
+    assert sorted((r.id or 0, str(r.x)) for r in good.collect()) == [(0, "None"), (2, "nan"), (3, "1.5"), (9, "inf"), (10, "None")]
+    assert sorted(r.value for r in bad.collect()) == sorted(lines[i] for i in (2, 3, 4, 5, 8))
 
 
 def test_dataset_json_format(spark, tmp_dir):

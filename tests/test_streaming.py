@@ -79,3 +79,71 @@ def test_stream_restart_processes_only_new_files(spark):
     got = spark.read.parquet(f"{base}/out").select("sample_id", "text")
     want = format_qa(drop_incomplete_qa(route_format(samples))).select("sample_id", "text")
     assert got.count() == want.count() and sorted(got.collect()) == sorted(want.collect())
+
+
+def _lines(spark, path, *files):
+    for lines in files:
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(path)
+
+
+def test_bad_lines_fail_the_stream_or_go_to_their_table(spark):
+    import pytest
+    base = scratch_path(spark, "t-bad")
+    _lines(spark, f"{base}/in", ['{"conv_id": 1, "turn": 0, "text": "A"}', "{bad", '[{"conv_id": 7}, {"conv_id": 8}]'],
+           ['{"conv_id": 1, "turn": 1, "text": "B"}', '{"conv_id": "x"}'])
+    with pytest.raises(Exception, match="invalid JSON line"):
+        chunk_stream(spark, f"{base}/in", f"{base}/out0", f"{base}/ckpt0")
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", max_files=1, bad_dir=f"{base}/bad")
+    assert sorted(r.so_far for r in spark.read.parquet(f"{base}/out").collect()) == ["A", "AB"]
+    bad = sorted(r.value for r in spark.read.parquet(f"{base}/bad").collect())
+    assert bad == ['[{"conv_id": 7}, {"conv_id": 8}]', '{"conv_id": "x"}', "{bad"]
+
+
+def test_late_chunks_are_held_and_replays_skipped(spark):
+    base = scratch_path(spark, "t-late")
+    line = '{"conv_id": 1, "turn": %d, "text": "%s"}'
+    _lines(spark, f"{base}/in", [line % (0, "A"), line % (2, "C")])
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    assert [r.so_far for r in spark.read.parquet(f"{base}/out").collect()] == ["A"]
+    _lines(spark, f"{base}/in", [line % (1, "B"), line % (3, "D"), line % (0, "A"), line % (2, "C")])
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    assert sorted(r.so_far for r in spark.read.parquet(f"{base}/out").collect()) == ["A", "AB", "ABC", "ABCD"]
+
+
+def test_disorder_between_batches_is_reported(spark):
+    import pytest
+    base = scratch_path(spark, "t-disorder")
+    line = '{"user_id": 1, "ts": "2024-01-01T00:00:%02d", "event_id": %d, "text": "t"}'
+    _lines(spark, f"{base}/in", [line % (5, 5)])
+    session_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    _lines(spark, f"{base}/in", [line % (4, 4)])
+    with pytest.raises(Exception, match="came after"):
+        session_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+
+
+def test_closed_sessions_expire(spark):
+    import time
+    base = scratch_path(spark, "t-expire")
+    line = '{"user_id": 1, "ts": "2024-01-01T00:00:%02d", "event_id": %d, "text": "%s"}'
+    _lines(spark, f"{base}/in", [line % (1, 1, "a"), line % (2, 2, "exit"), line % (3, 3, "ignored")])
+    q = session_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", closed_ttl_ms=1000)
+    try:
+        left = 1
+        for _ in range(120):
+            time.sleep(0.5)
+            done = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+            left = done[-1] if done else 1
+            if 1 in done and left == 0:
+                break
+        assert left == 0
+    finally:
+        q.stop()
+    assert [r.event_id for r in spark.read.parquet(f"{base}/out").collect()] == [1]
+
+
+def test_stats_keep_the_last_finished_batch(spark):
+    base = scratch_path(spark, "t-stats-last")
+    _lines(spark, f"{base}/in", ['{"text": "<think>a</think>"}'], ['{"text": "b"}'])
+    stats_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", "text string", max_files=1)
+    assert spark.read.parquet(f"{base}/out").count() == 2  # one row per micro-batch, none overwritten
+    assert read_stats(spark, f"{base}/out").first().total_samples == 2
