@@ -1,6 +1,6 @@
 """Rewrite job: select -> save originals -> rewrite -> accept -> save.
 
-spark-submit corpusmill/jobs/rewrite.py --input PATH --format parquet \
+spark-submit --py-files corpusmill.zip corpusmill/jobs/rewrite.py --input PATH --format parquet \
     --name org/dataset --split train --out OUT --n 1000 \
     --lexicon LEXICON_PARQUET | --transformer pkg.module:factory
 """
@@ -12,14 +12,12 @@ import logging
 
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import strip
 from corpusmill.jobs.common import load_object, load_table
-from corpusmill.operators.lexicon import collect_mapping
-from corpusmill.operators.rewrite import (LexiconTransformer, apply_verdict, choose_candidate, length_gain,
+from corpusmill.operators.rewrite import (apply_verdict, choose_candidate, gain_of_lengths, lexicon_attempts,
                                           load_system_prompt, rewrite_report, run_rewrite)
 from corpusmill.operators.select import shortest_n
 from corpusmill.operators.validate import REQUIRED_QA, missing_columns, rewritable
-from corpusmill.session import checkpoint_root, get_session
+from corpusmill.session import get_session, scratch_scope, scratch_table
 from corpusmill.sources.datasets import run_manifest, write_original, write_rewritten
 
 log = logging.getLogger("corpusmill.rewrite")
@@ -43,32 +41,38 @@ def main(argv=None) -> None:
     p.add_argument("--max-concurrent", type=int, default=5)
     p.add_argument("--retry-delay", type=float, default=1.0)
     a = p.parse_args(argv)
+    if not (a.lexicon or a.transformer):
+        p.error("--lexicon or --transformer is needed")
 
     spark = get_session()
-    checkpoint_root(spark)
+    with scratch_scope(spark):
+        run(spark, a)
+
+
+def run(spark, a) -> None:
     df = load_table(spark, a.input, a.format, a.schema)
     missing = missing_columns(df, REQUIRED_QA)
     if missing:
         log.warning("missing columns %s; available %s", missing, df.columns)
-    selected = shortest_n(df, a.n, cols=("solution",), tie=a.key).checkpoint(eager=True)
+    selected = scratch_table(shortest_n(df, a.n, cols=("solution",), tie=a.key), "selected")
     n_rows = selected.count()
     original = write_original(selected, a.out, a.name, a.split, a.subset, n_rows)
 
+    todo = selected.filter(rewritable())
     if a.transformer:
-        transformer = load_object(a.transformer)()
+        attempts = run_rewrite(todo, load_object(a.transformer)(), f"{a.out}/attempt_log",
+                               max_retries=a.max_retries, max_concurrent=a.max_concurrent,
+                               retry_delay=a.retry_delay, system=load_system_prompt(a.system_prompt), key=a.key)
     else:
-        transformer = LexiconTransformer(collect_mapping(spark.read.parquet(a.lexicon), limit=1_000_000) or {})
-    attempts = run_rewrite(selected.filter(rewritable()), transformer, f"{a.out}/attempt_log",
-                           max_retries=a.max_retries, max_concurrent=a.max_concurrent,
-                           retry_delay=a.retry_delay, system=load_system_prompt(a.system_prompt), key=a.key)
-    verdicts = choose_candidate(selected, attempts, a.max_retries, key=a.key, with_original=False).checkpoint(eager=True)
+        attempts = lexicon_attempts(todo, spark.read.parquet(a.lexicon), key=a.key)
+        attempts.write.mode("overwrite").parquet(f"{a.out}/attempt_log")
+        attempts = spark.read.parquet(f"{a.out}/attempt_log")
+    verdicts = scratch_table(choose_candidate(selected, attempts, a.max_retries, key=a.key, with_original=False), "verdicts")
     rewritten = apply_verdict(selected, verdicts, key=a.key)
     rewritten_path = write_rewritten(rewritten, a.out, a.name, a.split, a.subset, n_rows)
 
-    scored = verdicts.join(selected.select(a.key, "solution"), a.key).select(
-        "outcome", "n_calls", F.when(F.col("outcome") == "rewritten",
-                                     length_gain(strip("solution"), "chosen")).alias("gain"))
-    rewrite_report(scored).write.mode("overwrite").parquet(f"{a.out}/report")
+    gain = F.when(F.col("outcome") == "rewritten", gain_of_lengths("orig_len", F.length("chosen")))
+    rewrite_report(verdicts.select("outcome", "n_calls", gain.alias("gain"))).write.mode("overwrite").parquet(f"{a.out}/report")
     run_manifest(rewritten, n_input=df.count(), original_path=original, rewritten_path=rewritten_path,
                  columns="solution", model=a.transformer or "lexicon") \
         .write.mode("overwrite").json(f"{a.out}/manifest")

@@ -1,9 +1,10 @@
 """Conversation operators.
 
-``turn`` is the position of a message in its conversation (0, 1, 2, ...), so
-"the message that directly follows" is an equi-join on (conv, turn + 1):
-no window over a whole conversation, and a huge conversation spreads over
-many tasks by the composite key.
+``turn`` orders the messages of a conversation; it may start anywhere and have
+gaps.  "The message that directly follows" is found inside chunks of turns and,
+for the last message of a chunk, among the first messages of the chunks: no
+window over a whole conversation, and a huge conversation spreads over many
+tasks by (conversation, chunk).
 """
 
 from __future__ import annotations
@@ -50,16 +51,19 @@ def render_conversations(df: DataFrame, by: str = "conv_id", order: str = "turn"
                          add_generation_prompt: bool = False, think_mode: bool | None = None,
                          out: str = "rendered") -> DataFrame:
     """E1/E2 over a turns table without gathering a conversation's messages:
-    ``turn`` is the message position from 0, so each row's rendered piece
-    is known from the row alone (turn 0 carries the system header or the
-    default one), and the pieces are joined with ``ordered_concat``."""
+    the smallest turn of each conversation (partial aggregate) marks the first
+    message, which carries the system header or the default one; every other
+    piece is known from its row, and the pieces are joined with
+    ``ordered_concat``."""
     from corpusmill.functions.chat import DEFAULT_SYSTEM, IM_END, IM_START, generation_suffix, message_block
     default = DEFAULT_SYSTEM if default_system is None else default_system
-    r, t = F.col(role), F.col(order)
+    first = df.groupBy(by).agg(F.min(order).alias("_first"))
+    df = df.select(by, order, role, content).join(first, by)
+    r, starts = F.col(role), F.col(order) == F.col("_first")
     block = message_block(r, F.col(content))
-    shown = r.isin("user", "assistant") | ((r == "system") & (t > 0))
-    piece = (F.when((t == 0) & (r == "system"), block)
-             .when(t == 0, F.concat(F.lit(IM_START + "system\n" + default + IM_END + "\n"),
+    shown = r.isin("user", "assistant") | ((r == "system") & ~starts)
+    piece = (F.when(starts & (r == "system"), block)
+             .when(starts, F.concat(F.lit(IM_START + "system\n" + default + IM_END + "\n"),
                                     F.when(shown, block).otherwise(F.lit(""))))
              .when(shown, block).otherwise(F.lit("")))
     rendered = ordered_concat(df.select(by, order, piece.alias("_piece")), by, order, "_piece", out)
@@ -68,13 +72,20 @@ def render_conversations(df: DataFrame, by: str = "conv_id", order: str = "turn"
 
 
 def turn_pairs(df: DataFrame, by: str = "conv_id", order: str = "turn",
-               role: str = "role", content: str = "text") -> DataFrame:
-    """Each user message with the assistant reply at the next turn;
-    unanswered user messages (next turn missing or not an assistant) drop."""
-    users = df.filter(F.col(role) == "user").select(by, order, F.col(content).alias("user_text"))
-    replies = df.filter(F.col(role) == "assistant").select(
-        by, (F.col(order) - 1).alias(order), F.col(content).alias("reply_text"))
-    return users.join(replies, [by, order])
+               role: str = "role", content: str = "text", chunk: int = 256) -> DataFrame:
+    """Each user message with the assistant reply that directly follows
+    it; unanswered user messages (no next message, or not an assistant's)
+    drop."""
+    message = F.struct(F.col(order).alias("at"), F.col(role).alias("role"), F.col(content).alias("text"))
+    rows = df.select(by, order, role, content, F.floor(F.col(order) / chunk).alias("_chunk"), message.alias("_m"))
+    inside = F.lead("_m").over(Window.partitionBy(by, "_chunk").orderBy(order))
+    rows = rows.withColumn("_next", inside)
+    # one row per chunk: the first message of the chunk after it
+    firsts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(F.min(message).alias("_f"))
+    firsts = firsts.select(by, "_chunk", F.lead("_f").over(Window.partitionBy(by).orderBy("_chunk")).alias("_after"))
+    follows = rows.filter(F.col(role) == "user").join(firsts, [by, "_chunk"]).withColumn("_next", F.coalesce("_next", "_after"))
+    return follows.filter(F.col("_next.role") == "assistant").select(
+        by, order, F.col(content).alias("user_text"), F.col("_next.text").alias("reply_text"))
 
 
 def session_segments(df: DataFrame, by: str = "user_id", order=("ts", "event_id"),

@@ -14,11 +14,13 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col_of, is_blank, split_sentences, strip
-from corpusmill.operators.lexicon import rewrite_text
+from corpusmill.operators.lexicon import lexicon_rewrite_table, rewrite_text
+from corpusmill.session import scratch_path, scratch_table
 
 # Our own prompt wording; callers normally pass their own.
 DEFAULT_SYSTEM_PROMPT = (
@@ -158,24 +160,57 @@ def rewrite(df: DataFrame, transformer, max_retries: int = 3, max_concurrent: in
     return df.select(F.col(key).cast("bigint").alias(key), col).mapInPandas(run, LOG_SCHEMA)
 
 
-def run_rewrite(df: DataFrame, transformer, log_path: str, partitions: int | None = None, **kwargs) -> DataFrame:
-    """D3 with a persisted log and restart: rows already in the log are
-    skipped (left_anti on the key) so paid calls never repeat; new calls are
-    appended.  Rows are spread by count (round robin), not by key, because
-    text lengths are skewed."""
-    key = kwargs.get("key", "sample_id")
-    spark = df.sparkSession
-    todo = df
+# rows per committed slice of the call log, and rows per task of a slice
+SLICE_ROWS = 50_000
+TASK_ROWS = 500
+
+
+def read_log(spark, log_path: str) -> DataFrame | None:
+    """The call log, or None before its first slice."""
     try:
-        done = spark.read.parquet(log_path).select(F.col("sample_id").alias(key)).distinct()
-        todo = df.join(done, key, "left_anti")
-    except Exception:  # noqa: BLE001 - no log yet
-        pass
-    from corpusmill.session import _context
-    sc = _context(spark)
-    n = partitions or (sc.defaultParallelism if sc is not None else int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rewrite(todo.repartition(n), transformer, **kwargs).write.mode("append").parquet(log_path)
-    return spark.read.parquet(log_path)
+        return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def run_rewrite(df: DataFrame, transformer, log_path: str, slice_rows: int = SLICE_ROWS, task_rows: int = TASK_ROWS,
+                **kwargs) -> DataFrame:
+    """D3 with a persisted log and restart.
+
+    Rows already in the log are skipped.  The others are written once, cut
+    into slices of about ``slice_rows`` by a hash of the key, and every slice
+    is one committed append to the log: a failure loses the calls of the slice
+    it happens in and nothing else.  Inside a slice, rows are spread by count
+    over tasks of about ``task_rows``, whatever their lengths."""
+    key, col = kwargs.get("key", "sample_id"), kwargs.get("col", "solution")
+    spark = df.sparkSession
+    todo = df.select(key, col)
+    log = read_log(spark, log_path)
+    if log is not None:
+        todo = todo.join(log.select(F.col("sample_id").alias(key)).distinct(), key, "left_anti")
+    todo = scratch_table(todo, "calls-to-make")
+    n = todo.count()
+    slices = max(1, -(-n // slice_rows))
+    path = scratch_path(spark, "call-slices")
+    todo.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))).repartition(slices, "_slice") \
+        .write.partitionBy("_slice").parquet(path)
+    slots = spark.read.parquet(path).select("_slice").distinct().orderBy("_slice").collect()  # one row per slice
+    for slot in slots:
+        part = spark.read.schema(todo.schema).parquet(f"{path}/_slice={slot['_slice']}")
+        tasks = max(1, -(-min(n, slice_rows) // task_rows))
+        rewrite(part.repartition(tasks), transformer, **kwargs).write.mode("append").parquet(log_path)
+    done = read_log(spark, log_path)
+    return spark.createDataFrame([], LOG_SCHEMA) if done is None else done
+
+
+def lexicon_attempts(df: DataFrame, lexicon: DataFrame, key: str = "sample_id", col: str = "solution") -> DataFrame:
+    """The call log of the lexicon rewrite (D9) over a table: one ``ok`` call
+    per row, made by joins, whatever the size of the lexicon."""
+    done = lexicon_rewrite_table(df.select(key, strip(col).alias("_text")), "_text", key, lexicon)
+    return done.select(F.col(key).cast("bigint").alias("sample_id"), F.lit(0).alias("attempt"), F.lit("primary").alias("kind"),
+                       F.lit("ok").alias("status"), F.col("rewritten").alias("text"))
 
 
 class LexiconTransformer:
@@ -228,7 +263,8 @@ def call_verdict(attempt: Column, kind: Column, status: Column, text: Column, bu
 
 def choose_candidate(samples: DataFrame, attempts: DataFrame, max_retries: int = 3,
                      key: str = "sample_id", col: str = "solution", with_original: bool = True) -> DataFrame:
-    """One row per rewritable sample: (key, outcome, chosen, n_calls).
+    """One row per rewritable sample: (key, outcome, chosen, n_calls,
+    orig_len, the length of the stripped original).
 
     The first terminal call in (attempt, primary before focus) order decides;
     none within ``max_retries`` attempts -> failed.  kept_long carries the
@@ -248,13 +284,13 @@ def choose_candidate(samples: DataFrame, attempts: DataFrame, max_retries: int =
         F.count(F.lit(1)).alias("n_calls"),
         F.min(F.when(F.col("_outcome").isNotNull(), F.struct("_ord", "_outcome", "_text"))).alias("_first"))
     orig = strip(col) if with_original else F.lit(None).cast("string")
-    out = todo.select(key, orig.alias("_orig")).join(per, key, "left")
+    out = todo.select(key, orig.alias("_orig"), F.length(strip(col)).cast("bigint").alias("orig_len")).join(per, key, "left")
     outcome = F.coalesce(F.col("_first._outcome"), F.lit("failed"))
     return out.select(
         key, outcome.alias("outcome"),
         F.when(outcome == "rewritten", F.col("_first._text"))
          .when(outcome == "kept_long", F.col("_orig")).alias("chosen"),
-        F.coalesce(F.col("n_calls"), F.lit(0)).cast("bigint").alias("n_calls"))
+        F.coalesce(F.col("n_calls"), F.lit(0)).cast("bigint").alias("n_calls"), "orig_len")
 
 
 def apply_verdict(samples: DataFrame, chosen: DataFrame, key: str = "sample_id",
@@ -281,11 +317,15 @@ def apply_verdict(samples: DataFrame, chosen: DataFrame, key: str = "sample_id",
     return joined.select(*cols, outcome.alias("outcome"))
 
 
+def gain_of_lengths(orig_len, new_len) -> Column:
+    """D6 from lengths that are known already (``choose_candidate``)."""
+    o, n = col_of(orig_len).cast("double"), col_of(new_len).cast("double")
+    return F.try_divide(o - n, o) * 100.0
+
+
 def length_gain(orig, new) -> Column:
     """(orig_len - new_len) / orig_len * 100 as double."""
-    o = F.length(col_of(orig)).cast("double")
-    n = F.length(col_of(new)).cast("double")
-    return F.try_divide(o - n, o) * 100.0
+    return gain_of_lengths(F.length(col_of(orig)), F.length(col_of(new)))
 
 
 # ---- D7, D8, D11, D12: pair checks --------------------------------------------

@@ -63,8 +63,13 @@ def route_format(df: DataFrame) -> DataFrame:
 def drop_incomplete_qa(df: DataFrame) -> DataFrame:
     """A qa row with a blank question, solution or answer is dropped; it
     never falls through to another kind.  Unknown rows are dropped as well."""
-    complete = ~(is_blank("question") | is_blank("solution") | is_blank("answer"))
-    return df.filter((F.col("kind").isin("text", "io")) | ((F.col("kind") == "qa") & complete))
+    return df.filter(drop_reason(df).isNull())
+
+
+def drop_reason(df: DataFrame) -> Column:
+    """Why B4 drops a routed row: ``incomplete`` or ``unknown``; null: it stays."""
+    blank = is_blank(_opt(df, "question")) | is_blank(_opt(df, "solution")) | is_blank(_opt(df, "answer"))
+    return F.when(F.col("kind") == "unknown", F.lit("unknown")).when((F.col("kind") == "qa") & blank, F.lit("incomplete"))
 
 
 def _opt(df: DataFrame, name: str) -> Column:

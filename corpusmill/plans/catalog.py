@@ -36,6 +36,7 @@ ORDER = (
     "length_gain",
     "split_sentences",
     "sentence_alignment",
+    "sentence_alignment_rows",
     "lexicon_rewrite",
     "term_usage",
     "notation_preserved",

@@ -19,15 +19,15 @@ SELECT conv_id,
   || coalesce(string_agg(CASE WHEN role IN ('user', 'assistant') OR (role = 'system' AND turn > first_turn) THEN blk END, ''
                          ORDER BY turn), '') AS rendered
 FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first_turn,
-        '{IM_START}' || role || chr(10) || coalesce(text, '') || '{IM_END}' || chr(10) AS blk FROM turns)
+        '{IM_START}' || role || chr(10) || coalesce(text, '') || '{IM_END}' || chr(10) AS blk FROM sparse_turns)
 GROUP BY conv_id"""}
 
 
 def _rendered(spark, sf_dir, **kw):
-    return render_conversations(view(spark, sf_dir, "turns"), **kw)
+    return render_conversations(view(spark, sf_dir, "sparse_turns"), **kw)
 
 
-@query("render_chat", with_views(["turns"], "SELECT conv_id, rendered FROM rendered", RENDERED))
+@query("render_chat", with_views(["sparse_turns"], "SELECT conv_id, rendered FROM rendered", RENDERED))
 def q_render_chat(spark, sf_dir):
     return _rendered(spark, sf_dir)
 
@@ -36,11 +36,11 @@ def _suffix_sql(think):
     return Q.lit(generation_suffix(True, think))
 
 
-@query("generation_prompt", with_views(["turns"], f"""
+@query("generation_prompt", with_views(["sparse_turns"], f"""
 SELECT conv_id, rendered || {_suffix_sql(True)} AS p_on, rendered || {_suffix_sql(False)} AS p_off,
   rendered || {_suffix_sql(None)} AS p_unset FROM rendered""", RENDERED))
 def q_generation_prompt(spark, sf_dir):
-    r = render_conversations(view(spark, sf_dir, "turns"))
+    r = render_conversations(view(spark, sf_dir, "sparse_turns"))
     return r.select(
         "conv_id",
         *[F.concat("rendered", F.lit(generation_suffix(True, mode))).alias(name)
@@ -60,12 +60,13 @@ def q_collect_messages(spark, sf_dir):
                                        "\u0001")).alias("content_md5"))
 
 
-@query("turn_pairs", with_views(["turns"], """
-SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS reply_text
-FROM turns u JOIN turns a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-WHERE u.role = 'user' AND a.role = 'assistant'"""))
+@query("turn_pairs", with_views(["sparse_turns"], """
+SELECT conv_id, turn, text AS user_text, reply_text
+FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS reply_text FROM sparse_turns
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role = 'user' AND next_role = 'assistant'"""))
 def q_turn_pairs(spark, sf_dir):
-    return turn_pairs(view(spark, sf_dir, "turns"))
+    return turn_pairs(view(spark, sf_dir, "sparse_turns"))
 
 
 SEGMENTS_SQL = f"""

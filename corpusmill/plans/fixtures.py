@@ -15,11 +15,11 @@ BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "li
 VIEW_SQL = {
     "samples": """
 SELECT doc_id AS sample_id,
-  CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN ' ' || chr(10) ELSE 'Q: ' || substr(text, 1, 60) END AS question,
+  CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 13 = 1 THEN ' ' || chr(10) ELSE 'Q: ' || substr(text, 1, CAST(floor(length(text) / 2) AS INT)) END AS question,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 11 = 1 THEN ' ' || chr(10) WHEN doc_id % 11 = 2 THEN chr(10) || ' ' || text || ' ' ELSE text END AS solution,
   CASE WHEN doc_id % 17 = 0 THEN NULL ELSE source END AS answer,
   CASE WHEN doc_id % 5 = 0 THEN text END AS text,
-  CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 40) END AS input,
+  CASE WHEN doc_id % 3 = 0 THEN substr(text, CAST(floor(length(text) / 2) AS INT) + 1) END AS input,
   CASE WHEN doc_id % 3 = 0 THEN source END AS output,
   lang, source
 FROM {documents}""",
@@ -28,7 +28,7 @@ SELECT doc_id, lang, CASE doc_id % 7
   WHEN 0 THEN text
   WHEN 1 THEN '<think>' || text
   WHEN 2 THEN text || '</think>'
-  WHEN 3 THEN '<think>' || substr(text, 1, 50) || '</think> mid <think>  ' || substr(text, 51, 50) || '  </think> end'
+  WHEN 3 THEN '<think>' || substr(text, 1, CAST(floor(length(text) / 2) AS INT)) || '</think> mid <think>  ' || substr(text, CAST(floor(length(text) / 2) AS INT) + 1) || '  </think> end'
   WHEN 4 THEN '</think>' || text || '<think>'
   WHEN 5 THEN ''
   ELSE '<think>' || chr(10) || chr(10) || text || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) || source END AS text
@@ -49,6 +49,9 @@ FROM {documents}""",
     "turns": """
 SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 AND turn = 2 THEN 'tool' ELSE role END AS role, text
 FROM {conversations}""",
+    "sparse_turns": """
+SELECT conv_id, CASE conv_id % 4 WHEN 0 THEN turn WHEN 1 THEN turn + 1 WHEN 2 THEN turn * 300 + 2 ELSE turn * 3 END AS turn, role, text
+FROM {turns}""",
     "inputs": """
 SELECT user_id, ts, event_id, CASE
   WHEN event_type = 'signup' THEN 'clear'
@@ -57,9 +60,8 @@ SELECT user_id, ts, event_id, CASE
   ELSE props END AS text
 FROM {events}""",
     "lexicon": """
-SELECT * FROM (VALUES ('the', '그', NULL), ('with', '와', NULL), ('that', '그', NULL), ('this', '이', 'this인'), ('by', 'by', NULL), ('of', '의것', NULL)) AS t(term, target, hybrid)""",
-    "tokens": """
-SELECT * FROM (VALUES ('<|endoftext|>', 100), ('<|im_start|>', 101), ('<|im_end|>', 102), ('<think>', 103), ('</think>', 104), ('<tool_call>', 105), ('</tool_call>', 106), ('<|fim_prefix|>', 107), ('<|fim_suffix|>', 108), ('<|repo_name|>', 109)) AS t(token, token_id)""",
+SELECT * FROM (VALUES ('the', '그', NULL), ('with', '와', NULL), ('that', '그', NULL), ('this', '이', 'this인'), ('by', 'by', NULL), ('of', '의것', NULL),
+  ('of the', '의', NULL), ('in the', '안에서', 'in그'), ('let me', '내가', NULL), ('non-trivial', '비자명', 'non자명')) AS t(term, target, hybrid)""",
     "candidates": """
 SELECT sample_id, attempt, kind, CASE WHEN code = 'X' THEN 'error' ELSE 'ok' END AS status,
   CASE code WHEN 'S' THEN substr(solution, 1, 20) WHEN 'L' THEN solution || ' longer' WHEN 'E' THEN '' WHEN 'B' THEN ' ' || chr(10) END AS text
@@ -93,8 +95,8 @@ FROM (
 
 VIEW_DEPS = {
     "samples": ("documents",), "tagged": ("documents",), "fields": ("tagged",),
-    "noisy": ("documents",), "turns": ("conversations",), "inputs": ("events",),
-    "lexicon": (), "tokens": (), "candidates": ("samples",),
+    "noisy": ("documents",), "turns": ("conversations",), "sparse_turns": ("turns",), "inputs": ("events",),
+    "lexicon": (), "candidates": ("samples",),
 }
 
 

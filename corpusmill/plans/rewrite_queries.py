@@ -16,9 +16,9 @@ from corpusmill.operators.lexicon import (collect_mapping, lexicon_rewrite,
 from corpusmill.operators.rewrite import (BOXED, DEFAULT_FOCUS_TEMPLATE, DEFAULT_SYSTEM_PROMPT, LexiconTransformer,
                                           DEFAULT_TEMPLATE, FINAL_ANSWER, MATH_SPAN, OPERATORS,
                                           apply_verdict, build_focus_request, build_request,
-                                          choose_candidate, final_answer_kept, length_gain,
+                                          choose_candidate, final_answer_kept, gain_of_lengths,
                                           notation_preserved, pair_corpora, rewrite, rewrite_report,
-                                          sentence_alignment)
+                                          sentence_alignment, sentence_alignment_rows)
 from corpusmill.operators.validate import rewritable
 from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import table, view, with_views
@@ -31,22 +31,35 @@ SENT_SPLIT_SQL = "[.!?]+" + WS_CLASS + "+"
 # ---- SQL pieces --------------------------------------------------------------
 
 INF = "2147483647"
-SUBST_SQL = f"""
-SELECT term, chosen FROM (
-  SELECT term, CASE WHEN length(term) <= coalesce(length(target), {INF}) AND length(term) <= coalesce(length(hybrid), {INF}) THEN term
-                    WHEN length(target) <= coalesce(length(hybrid), {INF}) THEN target ELSE hybrid END AS chosen
-  FROM lexicon) WHERE chosen <> term"""
+LEX_SQL = f"""
+SELECT term, CASE WHEN length(term) <= coalesce(length(target), {INF}) AND length(term) <= coalesce(length(hybrid), {INF}) THEN term
+                  WHEN length(target) <= coalesce(length(hybrid), {INF}) THEN target ELSE hybrid END AS chosen
+FROM lexicon"""
 
 
-def rewrite_ctes(src: str, key: str, txt: str, name: str) -> dict[str, str]:
-    """CTEs computing ``name(key, rewritten)``: the lexicon rewrite of
-    ``src.txt``, by runs, position and an ordered string_agg."""
+def match_ctes(src: str, key: str, txt: str, name: str) -> dict[str, str]:
+    """CTEs computing ``name_hit(key, pos, run, phrase, word)``: per run the
+    chosen forms of the two-word term and of the word that start there.  The
+    fixture's phrases cannot overlap each other."""
     return {
-        "subst": SUBST_SQL,
+        "lex": LEX_SQL,
         f"{name}_runs": f"""SELECT {key}, generate_subscripts(r, 1) AS pos, unnest(r) AS run
             FROM (SELECT {key}, regexp_extract_all({txt}, '{WORD_RUNS}') AS r FROM {src})""",
-        f"{name}_agg": f"""SELECT {key}, string_agg(coalesce(s.chosen, x.run), '' ORDER BY x.pos) AS rewritten
-            FROM {name}_runs x LEFT JOIN subst s ON x.run = s.term GROUP BY {key}""",
+        f"{name}_three": f"""SELECT *, run || lead(run, 1) OVER w || lead(run, 2) OVER w AS three FROM {name}_runs
+            WINDOW w AS (PARTITION BY {key} ORDER BY pos)""",
+        f"{name}_both": f"""SELECT x.{key}, x.pos, x.run, p.chosen AS phrase, p.term AS phrase_term, s.chosen AS word, s.term AS word_term
+            FROM {name}_three x LEFT JOIN lex p ON x.three = p.term LEFT JOIN lex s ON x.run = s.term""",
+        f"{name}_hit": f"""SELECT *, lag(phrase, 1) OVER w IS NOT NULL OR lag(phrase, 2) OVER w IS NOT NULL AS inside FROM {name}_both
+            WINDOW w AS (PARTITION BY {key} ORDER BY pos)""",
+    }
+
+
+def rewrite_ctes(src: str, key: str, txt: str, name: str) -> dict[str, str]:
+    """CTEs computing ``name(key, rewritten)``: the lexicon rewrite of
+    ``src.txt``, by runs, position and an ordered string_agg."""
+    return match_ctes(src, key, txt, name) | {
+        f"{name}_agg": f"""SELECT {key}, string_agg(CASE WHEN inside THEN '' ELSE coalesce(phrase, word, run) END, '' ORDER BY pos) AS rewritten
+            FROM {name}_hit GROUP BY {key}""",
         name: f"""SELECT d.{key}, CASE WHEN d.{txt} IS NULL THEN NULL ELSE coalesce(a.rewritten, '') END AS rewritten
             FROM {src} d LEFT JOIN {name}_agg a USING ({key})""",
     }
@@ -125,8 +138,9 @@ def pairs(spark, sf_dir):
     return docs.select("doc_id", original.alias("original"), rewrite_col.alias("rewrite"))
 
 
-def verdicts(spark, sf_dir):
-    return choose_candidate(view(spark, sf_dir, "samples"), view(spark, sf_dir, "candidates"))
+def verdicts(spark, sf_dir, with_original=False):
+    """Verdicts with lengths; original texts only where a query returns them."""
+    return choose_candidate(view(spark, sf_dir, "samples"), view(spark, sf_dir, "candidates"), with_original=with_original)
 
 
 # ---- registered queries --------------------------------------------------------
@@ -166,7 +180,7 @@ def q_rewrite_batches(spark, sf_dir):
 
 @query("choose_candidate", with_views(["samples", "candidates"], "SELECT * FROM verdicts", VERDICTS))
 def q_choose_candidate(spark, sf_dir):
-    return verdicts(spark, sf_dir)
+    return verdicts(spark, sf_dir, with_original=True).select("sample_id", "outcome", "chosen", "n_calls")
 
 
 @query("apply_verdict", with_views(["samples", "candidates"], "SELECT * FROM applied", APPLIED))
@@ -179,12 +193,8 @@ SELECT v.sample_id, CAST(length(t.sol) AS BIGINT) AS orig_len, CAST(length(v.cho
   round((length(t.sol)::DOUBLE - length(v.chosen)::DOUBLE) / length(t.sol)::DOUBLE * 100.0, 4) AS gain
 FROM verdicts v JOIN todo t USING (sample_id) WHERE v.outcome = 'rewritten'""", VERDICTS))
 def q_length_gain(spark, sf_dir):
-    from corpusmill.functions.text import strip
-    todo = view(spark, sf_dir, "samples").select("sample_id", strip("solution").alias("_orig"))
-    v = verdicts(spark, sf_dir).filter("outcome = 'rewritten'").join(todo, "sample_id")
-    return v.select("sample_id", F.length("_orig").cast("bigint").alias("orig_len"),
-                    F.length("chosen").cast("bigint").alias("new_len"),
-                    F.round(length_gain("_orig", "chosen"), 4).alias("gain"))
+    v = verdicts(spark, sf_dir).filter("outcome = 'rewritten'").withColumn("new_len", F.length("chosen").cast("bigint"))
+    return v.select("sample_id", "orig_len", "new_len", F.round(gain_of_lengths("orig_len", "new_len"), 4).alias("gain"))
 
 
 @query("split_sentences", f"""
@@ -205,6 +215,15 @@ def q_sentence_alignment(spark, sf_dir):
     return sentence_alignment(pairs(spark, sf_dir)).select("doc_id", "n_orig", "n_new", "n_longer", "aligned")
 
 
+@query("sentence_alignment_rows", with_views(["lexicon"], f"""
+SELECT doc_id, CAST(i - 1 AS INT) AS pos, CAST(length(a[i]) AS INT) AS orig_len, CAST(length(b[i]) AS INT) AS new_len,
+  coalesce(length(b[i]) <= length(a[i]), false) AS ok
+FROM (SELECT doc_id, a, b, unnest(range(1, greatest(len(a), len(b)) + 1)) AS i
+      FROM (SELECT doc_id, {sql_sentences('original')} AS a, {sql_sentences('rewrite')} AS b FROM pairs))""", PAIRS))
+def q_sentence_alignment_rows(spark, sf_dir):
+    return sentence_alignment_rows(pairs(spark, sf_dir), "doc_id")
+
+
 _D9_CTES = dict(rewrite_ctes("documents", "doc_id", "text", "docs_rw"))
 
 
@@ -214,14 +233,11 @@ def q_lexicon_rewrite(spark, sf_dir):
     return lexicon_rewrite_table(docs, "text", "doc_id", view(spark, sf_dir, "lexicon")).select("doc_id", "rewritten")
 
 
-@query("term_usage", with_views(["lexicon"], f"""
+@query("term_usage", with_views(["lexicon"], """
 SELECT l.term, l.chosen, CAST(coalesce(c.n, 0) AS BIGINT) AS occurrences,
   CAST(coalesce(c.n, 0) * (length(l.term) - length(l.chosen)) AS BIGINT) AS saved_chars
-FROM (SELECT term, CASE WHEN length(term) <= coalesce(length(target), {INF}) AND length(term) <= coalesce(length(hybrid), {INF}) THEN term
-                        WHEN length(target) <= coalesce(length(hybrid), {INF}) THEN target ELSE hybrid END AS chosen
-      FROM lexicon) l
-LEFT JOIN (SELECT w AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)
-           WHERE w IN (SELECT term FROM lexicon) GROUP BY w) c USING (term)"""))
+FROM lex l LEFT JOIN (SELECT coalesce(phrase_term, word_term) AS term, count(*) AS n FROM docs_rw_hit WHERE NOT inside GROUP BY 1) c USING (term)""",
+    match_ctes("documents", "doc_id", "text", "docs_rw")))
 def q_term_usage(spark, sf_dir):
     return term_usage(table(spark, sf_dir, "documents"), "text", view(spark, sf_dir, "lexicon"))
 
@@ -266,12 +282,9 @@ SELECT CASE WHEN grouping(outcome) > 0 THEN 'total' ELSE outcome END AS outcome,
   round(avg(gain), 4) AS mean_gain
 FROM scored GROUP BY ROLLUP (outcome)""", _REPORT))
 def q_rewrite_report(spark, sf_dir):
-    from corpusmill.functions.text import strip
     samples = view(spark, sf_dir, "samples")
-    todo = samples.filter(rewritable()).select("sample_id", strip("solution").alias("_orig"))
-    v = verdicts(spark, sf_dir).join(todo, "sample_id")
-    scored = v.select("outcome", "n_calls",
-                      F.when(F.col("outcome") == "rewritten", length_gain("_orig", "chosen")).alias("gain"))
+    gain = F.when(F.col("outcome") == "rewritten", gain_of_lengths("orig_len", F.length("chosen")))
+    scored = verdicts(spark, sf_dir).select("outcome", "n_calls", gain.alias("gain"))
     blank = samples.filter(~rewritable()).select(F.lit("blank").alias("outcome"), F.lit(0).cast("bigint").alias("n_calls"),
                                                  F.lit(None).cast("double").alias("gain"))
     return rewrite_report(scored.unionByName(blank))

@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 
 
 def _chunk(df: DataFrame, ts: str, unit: str, size: int) -> Column:
-    """A chunk key that never decreases along ``ts``: ``date_trunc`` in the
-    column's own type for timestamps (no time-zone conversion, so no DST
-    reordering of TIMESTAMP_NTZ), ``floor(ts / size)`` for numbers."""
+    """A chunk key that never decreases along ``ts``: ``floor(ts / size)`` for
+    numbers, ``date_trunc`` (whose result is a TIMESTAMP) for times.  A
+    TIMESTAMP_NTZ is truncated as text of its wall-clock time, so that no time
+    zone takes part and no clock change can reorder rows."""
     kind = df.schema[ts].dataType.typeName()
+    if kind == "timestamp_ntz":
+        wide = {"year": 4, "month": 7, "day": 10, "hour": 13, "minute": 16, "second": 19}[unit]
+        return F.date_format(F.col(ts), "yyyy-MM-dd HH:mm:ss").substr(1, wide)
     if kind.startswith("timestamp") or kind == "date":
         return F.date_trunc(unit, F.col(ts))
     return F.floor(F.col(ts) / size).cast("bigint")

@@ -34,7 +34,7 @@ class Settings:
     think_coverage: float = 0.9
 
 
-# section -> key in the file -> Settings field
+# Sections and keys of the settings file -> Settings field
 _KEYS = {
     "model": {"max_length": "max_length"},
     "dataset": {"think_token_start": "think_start", "think_token_end": "think_end"},

@@ -50,3 +50,15 @@ def test_collect_messages_long_conversation_order(spark):
     rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(1000)]
     m = collect_messages(_turns(spark, rows)).first()
     assert [x.content for x in m.messages] == [f"m{t}" for t in range(1000)]
+
+
+def test_first_turn_and_gaps(spark):
+    """Conversations may start at any turn and leave turns out."""
+    from corpusmill.operators.conversations import render_conversations
+    rows = [(1, 3, "user", "a"), (1, 900, "assistant", "b"), (1, 901, "system", "s"), (2, 5, "system", "S"), (2, 256, "user", "u"),
+            (2, 5000, "tool", "t"), (2, 5001, "assistant", "x"), (3, 511, "user", "q"), (3, 512, "assistant", "r")]
+    df = _turns(spark, rows)
+    got = {r.conv_id: r.rendered for r in render_conversations(df, default_system="D").collect()}
+    assert got == {1: B("system", "D") + B("user", "a") + B("assistant", "b") + B("system", "s"),
+                   2: B("system", "S") + B("user", "u") + B("assistant", "x"), 3: B("system", "D") + B("user", "q") + B("assistant", "r")}
+    assert sorted(map(tuple, turn_pairs(df).collect())) == [(1, 3, "a", "b"), (3, 511, "q", "r")]

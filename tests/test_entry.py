@@ -20,7 +20,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle():
     assert set(catalog.QUERIES) == set(catalog.ORACLE)
-    assert len(catalog.QUERIES) == 66
+    assert len(catalog.QUERIES) == 67
     assert set(catalog.QUERIES) <= set(entry.queries())
 
 

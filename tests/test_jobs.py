@@ -1,5 +1,7 @@
 """The three spark-submit jobs, run in-process on sf0.001."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from corpusmill.jobs import prepare, report, rewrite
@@ -20,7 +22,36 @@ def test_prepare_job(spark):
     batches = spark.read.parquet(f"{base}/out/batches")
     assert batches.count() > 0
     assert batches.filter(F.size("input_ids") != F.col("padded_len")).count() == 0
-    assert spark.read.parquet(f"{base}/out/epochs").count() == 3 * batches.count()
+    plan = spark.read.parquet(f"{base}/out/epochs").select("sample_id", "epoch", F.col("micro_batch").alias("batch_id"))
+    assert sorted(batches.select("sample_id", "epoch", "batch_id").collect()) == sorted(plan.collect())
+    gate = spark.read.parquet(f"{base}/out/gate")
+    dropped = spark.read.parquet(f"{base}/out/dropped")
+    assert gate.count() + dropped.count() == view(spark, SF_SMALL, "samples").count()  # every row is accounted for
+    assert {r.drop_reason for r in dropped.collect()} == {"incomplete", "unknown"}
+
+
+def test_prepare_job_with_other_tags(spark, tmp_path):
+    """Tags, lists and checks of the settings file reach the whole job."""
+    base = scratch_path(spark, "job-tags")
+    rows = [(1, "q", "plain reasoning", "a"), (2, "q", "one <r> open", "a"), (3, "q", "<tool_call>x</tool_call> y", "a"), (4, "q", " ", "a")]
+    write_jsonl(spark.createDataFrame(rows, "sample_id long, question string, solution string, answer string"), f"{base}/in")
+    settings = tmp_path / "s.json"
+    settings.write_text(json.dumps({"dataset": {"think_token_start": "<r>", "think_token_end": "</r>"},
+                                    "special_tokens": {"keep_tokens": ["<r>", "</r>"], "remove_tokens": ["<tool_call>", "</tool_call>"]},
+                                    "training": {"num_train_epochs": 1}, "validation": {"check_think_token_balance": False}}))
+    prepare.main(["--input", f"{base}/in", "--schema", "sample_id long, question string, solution string, answer string", "--out", f"{base}/out",
+                  "--settings", str(settings), "--require-coverage"])
+    gate = {r.sample_id: (r.passed, list(r.reasons)) for r in spark.read.parquet(f"{base}/out/gate").collect()}
+    assert gate == {i: (True, []) for i in (1, 2, 3)}
+    assert [r.sample_id for r in spark.read.parquet(f"{base}/out/dropped").collect()] == [4]
+    vocab = {r.token: r for r in spark.read.parquet(f"{base}/out/vocab").collect()}
+    assert vocab["<r>"].freq == vocab["</r>"].freq == 4 and vocab["<r>"].is_special  # the open tag of row 2 was closed
+    assert "tool_call" not in vocab and "<tool_call>" not in vocab and "<|endoftext|>" in vocab
+    batches = {r.sample_id: r for r in spark.read.parquet(f"{base}/out/batches").collect()}
+    assert sorted(batches) == [1, 2, 3]
+    pad = vocab["<|endoftext|>"].token_id
+    assert all(list(r.input_ids[r.n_tokens:]) == [pad] * (r.padded_len - r.n_tokens) for r in batches.values())
+    assert spark.read.json(f"{base}/out/coverage").first().share == 1.0
 
 
 def test_rewrite_job(spark):

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +133,55 @@ def test_light_verdict_gives_same_rows(spark):
     light = sorted(apply_verdict(samples, choose_candidate(samples, log, with_original=False)).collect())
     assert full == light
     assert {r.sample_id: r.outcome for r in full} == {0: "rewritten", 2: "kept_long", 3: "kept_long", 4: "failed", 9: "blank"}
+
+
+class _DiesOnce:
+    """Counts its calls in a file; the worker process is lost at one sample
+    for as long as ``fuse`` exists."""
+
+    def __init__(self, log, fuse, at):
+        self.log, self.fuse, self.at = log, fuse, at
+
+    def __call__(self, request):
+        import os
+        if request["sample_id"] == self.at and os.path.exists(self.fuse):
+            os._exit(1)
+        with open(self.log, "a") as fh:
+            fh.write(f"{request['sample_id']}\n")
+        return "x"
+
+
+def test_finished_slices_are_not_called_again(spark, tmp_dir, tmp_path):
+    df = spark.createDataFrame([(i, "long enough text") for i in range(60)], "sample_id long, solution string")
+    slices = {r.sample_id: r.s for r in df.select("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(4)).alias("s")).collect()}
+    at = next(i for i in range(60) if slices[i] == 2)  # two of four slices end before it
+    log, fuse = str(tmp_path / "calls"), str(tmp_path / "fuse")
+    open(fuse, "w").close()
+    transformer = _DiesOnce(log, fuse, at)
+    with pytest.raises(Exception):
+        run_rewrite(df, transformer, tmp_dir, slice_rows=15, task_rows=5, max_concurrent=1)
+    kept = {r.sample_id for r in spark.read.parquet(tmp_dir).collect()}
+    assert kept == {i for i, s in slices.items() if s in (0, 1)}
+    os.truncate(log, 0)
+    os.unlink(fuse)
+    done = run_rewrite(df, transformer, tmp_dir, slice_rows=15, task_rows=5, max_concurrent=1)
+    called = sorted(int(x) for x in open(log).read().split())
+    assert called == sorted(i for i, s in slices.items() if s not in (0, 1))
+    assert sorted(r.sample_id for r in done.collect()) == list(range(60))
+
+
+def test_log_errors_are_not_taken_for_no_log(spark, tmp_path):
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "part-0.parquet").write_text("no parquet")
+    df = spark.createDataFrame([(1, "text")], "sample_id long, solution string")
+    with pytest.raises(Exception):
+        run_rewrite(df, ScriptedTransformer({}), str(tmp_path / "log"))
+
+
+def test_lexicon_attempts_equal_transformer_calls(spark):
+    from corpusmill.operators.lexicon import collect_mapping
+    from corpusmill.operators.rewrite import LexiconTransformer, lexicon_attempts
+    lex = spark.createDataFrame([("let me", "ME", None), ("the", "t", None)], "term string, target string, hybrid string")
+    df = spark.createDataFrame([(1, " the the let me "), (2, "none"), (3, "other")], "sample_id long, solution string")
+    want = rewrite(df, LexiconTransformer(collect_mapping(lex)), retry_delay=0.0, max_concurrent=1)
+    assert sorted(map(tuple, lexicon_attempts(df, lex).collect())) == sorted(map(tuple, want.collect()))

@@ -1,10 +1,9 @@
-"""The large-data code paths (taken above size thresholds) give the same
-rows as the small-data paths."""
-
-from pyspark.sql import functions as F
+"""The ways for data that do not fit a broadcast give the same rows."""
 
 import corpusmill.operators.batches as batches
 import corpusmill.operators.lexicon as lexicon
+import corpusmill.plans.sizes as sizes
+from corpusmill.operators.vocab import build_vocab
 from corpusmill.plans.fixtures import table, view
 
 from .conftest import SF_SMALL
@@ -14,46 +13,61 @@ def _docs(spark):
     return table(spark, SF_SMALL, "documents").select("doc_id", "text")
 
 
-def test_lexicon_join_path_equals_map_path(spark, monkeypatch):
-    lex = view(spark, SF_SMALL, "lexicon")
-    small = sorted(lexicon.lexicon_rewrite_table(_docs(spark), "text", "doc_id", lex).select("doc_id", "rewritten").collect())
-    monkeypatch.setattr(lexicon, "MAP_LITERAL_MAX_TERMS", 0)
-    monkeypatch.setattr(lexicon, "BROADCAST_MAX_TERMS", 0)
-    large = sorted(lexicon.lexicon_rewrite_table(_docs(spark), "text", "doc_id", lex).select("doc_id", "rewritten").collect())
-    assert small == large
+def _joins(df):
+    """How a plan joins, broadcast hints only."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("rightHint=(strategy=broadcast)")
 
 
-def test_term_usage_without_broadcast(spark, monkeypatch):
+def test_lexicon_without_broadcast(spark, monkeypatch):
     lex = view(spark, SF_SMALL, "lexicon")
-    a = sorted(lexicon.term_usage(_docs(spark), "text", lex).collect())
-    monkeypatch.setattr(lexicon, "BROADCAST_MAX_TERMS", 0)
-    assert sorted(lexicon.term_usage(_docs(spark), "text", lex).collect()) == a
+    hinted = lexicon.lexicon_rewrite_table(_docs(spark), "text", "doc_id", lex).select("doc_id", "rewritten")
+    small, used = sorted(hinted.collect()), sorted(lexicon.term_usage(_docs(spark), "text", lex).collect())
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 0)
+    shuffled = lexicon.lexicon_rewrite_table(_docs(spark), "text", "doc_id", lex).select("doc_id", "rewritten")
+    assert _joins(hinted) == 1 and _joins(shuffled) == 0
+    assert sorted(shuffled.collect()) == small
+    assert sorted(lexicon.term_usage(_docs(spark), "text", lex).collect()) == used
 
 
-def test_encode_shuffle_join_path(spark, monkeypatch):
-    from corpusmill.operators.vocab import build_vocab
+def test_encoder_tail_join(spark, monkeypatch):
     docs = _docs(spark).withColumnRenamed("doc_id", "sample_id")
     vocab = build_vocab(docs, "text")
     a = sorted((r.sample_id, list(r.input_ids)) for r in batches.encode(docs, vocab, max_length=300).collect())
-    monkeypatch.setattr(batches, "BROADCAST_VOCAB_ROWS", 0)
-    b = sorted((r.sample_id, list(r.input_ids)) for r in batches.encode(docs, vocab, max_length=300).collect())
-    assert a == b and all(len(ids) <= 300 for _, ids in a)
-
-
-def test_vocab_range_path_equals_single_task(spark, monkeypatch):
-    import corpusmill.plans.indexing as ix
-    from corpusmill.operators.vocab import build_vocab
-    docs = _docs(spark)
-    a = sorted(tuple(r) for r in build_vocab(docs, "text").collect())
-    monkeypatch.setattr(ix, "SINGLE_TASK_ROWS", 0)
-    b = sorted(tuple(r) for r in build_vocab(docs, "text").collect())
-    assert a == b
-
-
-def test_lexicon_paths_null_and_empty_text(spark, monkeypatch):
-    lex = spark.createDataFrame([("the", "X", None)], "term string, target string, hybrid string")
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "the.the"), (4, "...")], "doc_id long, text string")
-    small = sorted(tuple(r) for r in lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).select("doc_id", "rewritten").collect())
-    monkeypatch.setattr(lexicon, "MAP_LITERAL_MAX_TERMS", 0)
-    large = sorted(tuple(r) for r in lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).select("doc_id", "rewritten").collect())
-    assert small == large == [(1, None), (2, ""), (3, "X.X"), (4, "...")]
+    for name, value in (("HEAD_TOKENS", 0), ("HEAD_TOKENS", 50), ("HEAD_TOKEN_BYTES", 2)):
+        with monkeypatch.context() as m:
+            m.setattr(batches, name, value)  # no, a small and a short-token head
+            b = sorted((r.sample_id, list(r.input_ids)) for r in batches.encode(docs, vocab, max_length=300).collect())
+        assert a == b
+    ids = {r.token: r.token_id for r in vocab.collect()}
+    toks = {r.sample_id: list(r.tokens) for r in batches.tokenized(docs, "text", "sample_id").collect()}
+    assert dict(a) == {k: [ids[t] for t in ts[:300]] for k, ts in toks.items()}
+
+
+def test_lexicon_forms_agree(spark):
+    """Phrases, hyphens, unchanged terms, overlaps: Column, table and Python."""
+    rows = [("let me", "ME", None), ("let", "L", None), ("non-trivial", "hard", None), ("trivial", "easy", None), ("me go", "MG", None),
+            ("of the end", "fin", None), ("the", "the", None), ("a b c d e", "abcde", None), ("b c", "bc", None)]
+    lex = spark.createDataFrame(rows, "term string, target string, hybrid string")
+    mapping = lexicon.collect_mapping(lex)
+    texts = ["let me go", "let  me go", "a non-trivial, trivial non- trivial", "of the end of the", "a b c d", "a b c d e b c", "outlet me", "",
+             "...", None, "let let me me go", "letme", "the the of the endless end", "b c" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    table_form = {r.doc_id: r.rewritten for r in lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).collect()}
+    column_form = {r.doc_id: r.x for r in df.select("doc_id", lexicon.lexicon_rewrite("text", mapping).alias("x")).collect()}
+    assert table_form == column_form == {i: lexicon.rewrite_text(t, mapping) for i, t in enumerate(texts)}
+    assert table_form[0] == "ME go" and table_form[2] == "a hard, easy non- easy" and table_form[4] == "a bc d"
+    usage = {r.term: r.occurrences for r in lexicon.term_usage(df, "text", lex).collect()}
+    assert usage["let me"] == 2 and usage["me go"] == 2 and usage["non-trivial"] == 1 and usage["a b c d e"] == 1
+
+
+def test_bad_lexicons_are_refused(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "the")], "doc_id int, text string")
+    for rows in ([("the", "a", None), ("the", "b", None)], [("-x", "a", None)], [("", "a", None)], [(None, "a", None)]):
+        lex = spark.createDataFrame(rows, "term string, target string, hybrid string")
+        with pytest.raises(Exception, match="lexicon term"):
+            lexicon.lexicon_rewrite_table(df, "text", "doc_id", lex).collect()
+    with pytest.raises(ValueError):
+        lexicon.collect_mapping(view(spark, SF_SMALL, "lexicon"), limit=2)
+    empty = spark.createDataFrame([], "term string, target string, hybrid string")
+    assert lexicon.lexicon_rewrite_table(df, "text", "doc_id", empty).first().rewritten == "the"
