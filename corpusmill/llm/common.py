@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.session import scratch_path
+from corpusmill.session import scratch_table
 
 # a side of a join is broadcast only when its measured payload is below this
 BROADCAST_MAX_BYTES = 8 << 20
@@ -15,13 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spill_table(df: DataFrame, name: str) -> DataFrame:
+def spill_table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: cuts the lineage at files that survive a lost executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back: cuts the lineage at files that survive a lost executor.  ``few``: a
+    light table made by many tasks; a shuffle of its own lets AQE write it in
+    as few files as its size asks for."""
+    return scratch_table(df.hint("rebalance") if few else df, name)
 
 
 def payload_bytes(df: DataFrame, *text_cols: str) -> int:

@@ -254,5 +254,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     found = simhash_components(docs, key, text, width, max_bits)
     kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
     named = docs.where(F.col(key).isNotNull())
-    stay = named.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])
+    stay = named.join(kept, named[key] == kept["_kept"], "left_semi").dropDuplicates([key])
     return stay.unionByName(docs.where(F.col(key).isNull()))

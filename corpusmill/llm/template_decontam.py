@@ -101,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         side = F.broadcast(side)  # measured; beyond the bound the windows are shuffled by hash
     shared = doc_windows.join(side, "hash").groupBy("doc", "item", "variant").agg(F.size(F.collect_set("ipos")).alias("n_shared"))
     enough = shared.join(sizes, ["item", "variant"]).where(F.col("n_shared") >= F.col("n_windows") * similarity)
-    pairs = spill_table(enough.select("doc", "item", "variant", "n_windows"), "template-pairs")
+    pairs = spill_table(enough.select("doc", "item", "variant", "n_windows"), "template-pairs", few=True)
 
     # the slots of the candidate documents only
     candidates = named.join(pairs.select("doc").distinct(), "doc", "left_semi")
@@ -110,7 +110,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         "item", "variant", F.col("pos").alias("ipos"), "window", F.col("slots").alias("item_slots"))
     aligned = (pairs.join(item_slots, ["item", "variant"]).join(doc_slots, ["doc", "window"])
                .withColumn("shift", F.col("pos") - F.col("ipos")).select("doc", "item", "variant", "n_windows", "shift", "ipos", "item_slots", "doc_slots"))
-    aligned = spill_table(aligned, "template-aligned")
+    aligned = spill_table(aligned, "template-aligned", few=True)
     along = ["doc", "item", "variant", "shift"]
     values = aligned.select(*along, "ipos", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
         *along, "ipos", F.col("z.item_slots.type").alias("type"), F.col("z.item_slots.value").alias("from"), F.col("z.doc_slots.value").alias("to"))
@@ -134,5 +134,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; rows without
     an id stay."""
-    found = spill_table(contaminated(docs, benchmark, key, text).select(F.col(key).alias("_held")).distinct(), "contaminated")
-    return docs.join(found, F.col(key) == F.col("_held"), "left_anti")
+    found = spill_table(contaminated(docs, benchmark, key, text).select(F.col(key).alias("_held")).distinct(), "contaminated", few=True)
+    return docs.join(found, docs[key] == found["_held"], "left_anti")

@@ -14,7 +14,7 @@ largest key are responses and the others revisit it.
 Defined results: null payload is empty; null url has no target header; a null
 key sorts first, is never the response others revisit, and is a response
 unless its payload has one with a key; repeated rows are written as often as
-they occur (with the same record id); an empty table gives no files; only the
+they occur (with the same record id) and rows of one key stay in one shard; an empty table gives no files; only the
 named columns are read.
 """
 
