@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import spill_table
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -113,7 +115,8 @@ def scan_versions(versions: DataFrame, ledger: str, key: str = "doc_id", text: s
              .groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")))
     ranked = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("rank"),
                                                                      f["kind"].alias("kind"), f["end"].alias("end"))))
-    found = found.select("blob", ranked.alias("findings"))
+    # written, so that the join is one of two exchanges and AQE can split a hot blob
+    found = spill_table(found.select("blob", ranked.alias("findings")), "secret-findings", few=True)
     rows = versions.select(F.col(key).alias("key"), blob_of(F.col(text)).alias("blob"))
     return (rows.join(found, "blob", "left")
             .select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings")))
