@@ -1,7 +1,6 @@
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from corpusmill.functions.think import close_think, think_balanced
 from corpusmill.operators.think import (format_gate, max_think_length, tags_after_truncation, think_span_rows,

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import tokenize
 from corpusmill.operators.batches import encode, pad_batch, pad_token_id, padded_lengths
