@@ -47,13 +47,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts, decode the ids and keep both outcomes' proof: doc_id,
     n_tokens, ids, ids_sha256 and decoded_sha256."""
-    path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    coded = bpe_tree.encode_documents(docs, path, pattern).withColumn("kept_ids", F.col("ids"))
-    decoded = bpe_tree.decode_documents(coded, path, pattern)
-    return decoded.select(
-        "doc_id", F.size("kept_ids").cast("long").alias("n_tokens"), F.col("kept_ids").alias("ids"),
-        F.sha2(F.array_join(F.col("kept_ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("data", 256).alias("decoded_sha256"))
+    return bpe_tree.bpe_round_trip(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import text_batches
+
 LEAF_CHARS = 2048
 LEAF_BYTES = 1024
 SLICE_BYTES = 4 << 20  # texts handled at a time in a task
@@ -178,7 +180,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     schema = T.StructType([T.StructField("key", key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     light = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return light.mapInArrow(run, schema).select(F.col("key").alias(key), F.col("ids").alias(ids))
+    return text_batches(light).mapInArrow(run, schema).select(F.col("key").alias(key), F.col("ids").alias(ids))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", data: str = "data") -> DataFrame:
@@ -193,14 +195,30 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in others] + [pa.array(out, pa.binary())], others + [data])
 
     schema = T.StructType([encoded.schema[c] for c in others] + [T.StructField(data, T.BinaryType())])
-    return encoded.mapInArrow(run, schema)
+    return text_batches(encoded).mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, ids, data)``: both ways in one pass, so that a task has one
+    Python worker and the ids cross once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, pattern)
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                ids = [coder.encode(t) if t else [] for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.list_(pa.int32())),
+                                                  pa.array([coder.decode(x) for x in ids], pa.binary())], ["key", "ids", "data"])
+
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())),
+                           T.StructField("data", T.BinaryType())])
+    light = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return text_batches(light).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def bpe_round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, then decode the ids: key, n_tokens, ids (joined by commas) and
-    the decoded bytes as SHA-256 digests."""
-    coded = encode_documents(docs, path, pattern, key, text).select(
-        F.col(key).alias("key"), "ids", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    return decode_documents(coded, path, pattern).select(
-        F.col("key").alias(key), "n_tokens", "ids_sha256", F.sha2("data", 256).alias("decoded_sha256"))
+    """Encode, then decode the ids: key, ids, n_tokens, and the ids (joined by
+    commas) and the decoded bytes as SHA-256 digests."""
+    return encode_and_decode(docs, path, pattern, key, text).select(
+        key, "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"))

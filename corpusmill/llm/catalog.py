@@ -133,7 +133,7 @@ def op5_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe_tree")
 def op6_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
-                          public_tokenizers.PATTERN)
+                          public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 # ---- 10: SimHash near-duplicates -------------------------------------------

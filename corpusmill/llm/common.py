@@ -23,6 +23,21 @@ def spill_table(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     return scratch_table(df.hint("rebalance") if few else df, name)
 
 
+# rows of texts that travel to Python at a time
+TEXT_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches limited to TEXT_ROWS rows: at
+    the default of 10,000 the batches of a few tasks fill an executor's
+    memory outside the heap."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH, "10000")) <= TEXT_ROWS:
+        conf.set(_BATCH, str(TEXT_ROWS))
+    return df
+
+
 def payload_bytes(df: DataFrame, *text_cols: str) -> int:
     """Measured size of a table: 16 bytes a row plus the length of its texts
     (one distributed aggregate)."""

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import spill_table
+from corpusmill.llm.common import spill_table, text_batches
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 1000
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                     zip(*found), (pa.string(), pa.string(), pa.binary(), pa.binary()))], ["key", "lang", "at", "value"])
 
-    sample = rows.select("key", "lang", "text").mapInArrow(run, "key string, lang string, at binary, value binary").toArrow().to_pylist()
+    sample = text_batches(rows.select("key", "lang", "text")).mapInArrow(run, "key string, lang string, at binary, value binary").toArrow().to_pylist()
     sample.sort(key=lambda r: (r["key"], r["lang"], r["at"], r["value"]))
     sample = sample[:2 * sample_rows]  # ids that repeat without bound do not swell the fit
     x = np.zeros((len(sample), DIMENSIONS), np.float32)
@@ -204,7 +204,7 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
                                               pa.array([f[1] for f in found], pa.float64())], ["key", "lang_pred", "score"])
 
     light = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return light.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return text_batches(light).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -217,4 +217,4 @@ def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", la
             told = [model.predict(t.as_py())[0] != "und" for t in batch.column(at)]
             yield batch.filter(pa.array(told, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

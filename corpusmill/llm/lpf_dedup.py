@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import spill_table
+from corpusmill.llm.common import spill_table, text_batches
 
 LENGTH = 200
 GRAM = 32
@@ -272,7 +272,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     if length < GRAM + 1:
         raise ValueError(f"length must be over {GRAM}")
     named, plain = _identified(docs, key, text)
-    anchors = named.select("k", "t", "text").mapInArrow(
+    anchors = text_batches(named.select("k", "t", "text")).mapInArrow(
         _anchor_rows(length), "h long, c long, k long, t long, s int, e int, p int, n int")
     shared = spill_table(anchors.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "lpf-shared")
     rows = spill_table(anchors.join(shared, "h"), "lpf-anchors")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import text_batches
 from corpusmill.llm.spans import SPANS
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -139,7 +140,7 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, _arrow_spans())], ["key", "spans"])
 
     light = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return light.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return text_batches(light).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def _arrow_spans() -> pa.DataType:
@@ -172,4 +173,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             masked = pa.array([None if t is None else mask(t) for t in batch.column(text).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([masked if c == text else batch.column(c) for c in columns], columns)
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import spill_table
+from corpusmill.llm.common import spill_table, text_batches
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def _scan(todo: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("rules"), pa.array(found, pa.list_(item))],
                                              ["blob", "rules", "findings"])
 
-    return todo.select("blob", "rules", "text").mapInArrow(run, LEDGER)
+    return text_batches(todo.select("blob", "rules", "text")).mapInArrow(run, LEDGER)
 
 
 def scan_versions(versions: DataFrame, ledger: str, key: str = "doc_id", text: str = "text",

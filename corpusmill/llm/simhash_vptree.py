@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import spill_table
+from corpusmill.llm.common import spill_table, text_batches
 from corpusmill.llm.graph import components
 
 WIDTH = 4
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(fps.view(np.int64))], ["key", "fp"])
 
     light = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return light.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return text_batches(light).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 # ---- shards ----------------------------------------------------------------

@@ -8,7 +8,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusmill.llm.bpe_tree import TreeBpe, bpe_round_trip, load_ranks
+from corpusmill.llm.bpe_tree import TreeBpe, bpe_round_trip, decode_documents, encode_documents, load_ranks
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 RANKS = load_ranks(PATH)
@@ -57,3 +57,6 @@ def test_round_trip_rows(spark):
     got = bpe_round_trip(df, PATH, public_tokenizers.PATTERN).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe_round_trip(df.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
+    coded = encode_documents(df, PATH, public_tokenizers.PATTERN)
+    decoded = decode_documents(coded, PATH, public_tokenizers.PATTERN)
+    assert sorted((str(r.doc_id), bytes(r.data).decode()) for r in decoded.collect()) == sorted((str(i), t or "") for i, t in rows)
