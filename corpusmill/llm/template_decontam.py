@@ -39,37 +39,44 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot"
          "mph", "kmh", "degree", "degrees")
 
 
-def _is_number(token: Column) -> Column:
-    return F.substring(token, 1, 1).between("0", "9")
+def _template(tokens: Column) -> Column:
+    """The template word of every token, null for sentence marks.
 
+    Tokens are letter runs, numbers or marks, and only letters sort from 'A'
+    on (by bytes), so the common cases take one comparison each."""
+    def word(token: Column, at: Column) -> Column:
+        before = F.when(at > 0, F.element_at(tokens, at))  # element_at counts from 1
+        low = F.lower(token)
+        number = before.between("0", ":")
+        letters = (F.when(before >= "A", F.when(low != token, F.lit(NAME)).otherwise(low))
+                   .when(number & low.isin(*UNITS), F.lit(UNIT))
+                   .when(number & (low != token), F.lit(NAME))
+                   .otherwise(low))
+        return F.when(token >= "A", letters).when(token.between("0", ":"), F.lit(NUMBER))
 
-def _placeholder(tokens: Column, token: Column, at: Column) -> Column:
-    """The template word of a token; null for sentence marks."""
-    before = F.when(at > 0, F.element_at(tokens, at))  # element_at counts from 1
-    low = F.lower(token)
-    return (F.when(token.isin(*MARKS), F.lit(None))
-            .when(_is_number(token), F.lit(NUMBER))
-            .when(_is_number(before) & low.isin(*UNITS), F.lit(UNIT))
-            .when((low != token) & before.isNotNull() & ~before.isin(*MARKS), F.lit(NAME))
-            .otherwise(low))
+    return F.transform(tokens, word)
+
+
+def tokenized(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), 0))
 
 
 def template_words(rows: DataFrame, text: str) -> DataFrame:
     """``rows`` with ``words``: array of (w, the template word; r, the token)."""
-    tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), 0)
-    typed = F.transform("_tokens", lambda x, i: F.struct(_placeholder(F.col("_tokens"), x, i).alias("w"), x.alias("r")))
-    return (rows.withColumn("_tokens", tokens).withColumn("_typed", typed)
+    typed = F.zip_with(_template(F.col("_tokens")), F.col("_tokens"), lambda w, r: F.struct(w.alias("w"), r.alias("r")))
+    return (tokenized(rows, text).withColumn("_typed", typed)
             .withColumn("words", F.filter("_typed", lambda s: s["w"].isNotNull())).drop("_tokens", "_typed"))
 
 
-def _window_starts(width: int) -> Column:
-    size = F.size("words")
+def _window_starts(width: int, words: str = "words") -> Column:
+    size = F.size(words)
     return F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def window_hashes(rows: DataFrame, width: int, *keys: str) -> DataFrame:
-    """``(*keys, pos, hash)``: one row per window of ``words``."""
-    named = rows.select(*keys, F.col("words.w").alias("_w"), _window_starts(width).alias("_starts"))
+def window_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """``(*keys, pos, hash)``: one row per window of the template words."""
+    named = tokenized(rows, text).select(*keys, F.array_compact(_template(F.col("_tokens"))).alias("_w"))
+    named = named.select(*keys, "_w", _window_starts(width, "_w").alias("_starts"))
     hashed = F.transform("_starts", lambda i: F.xxhash64(F.slice("_w", i + 1, width)))
     return named.select(*keys, F.posexplode(hashed).alias("pos", "hash"))
 
@@ -92,10 +99,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     items = (benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull())
              .select(F.col(item).alias("item"), F.col(item_text).alias("text")).distinct().withColumn("variant", F.xxhash64("text")))
     item_words = spill_table(template_words(items, "text").select("item", "variant", "words"), "item-words")
-    item_windows = spill_table(window_hashes(item_words, width, "item", "variant"), "item-windows")
+    item_windows = spill_table(window_hashes(items, "text", width, "item", "variant"), "item-windows")
     sizes = item_windows.groupBy("item", "variant").agg(F.count(F.lit(1)).alias("n_windows"))
 
-    doc_windows = window_hashes(template_words(named, "text"), width, "doc")
+    doc_windows = window_hashes(named, "text", width, "doc")
     side = item_windows.select("hash", "item", "variant", F.col("pos").alias("ipos"))
     if side.count() * 48 <= BROADCAST_MAX_BYTES:
         side = F.broadcast(side)  # measured; beyond the bound the windows are shuffled by hash
