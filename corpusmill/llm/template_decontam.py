@@ -11,6 +11,13 @@ holds an item if at least ``similarity`` of the item's windows are in it with
 consistent slots, so verbatim and re-parameterised questions are both found.
 DataFrame functions only.
 
+What stands before a word decides whether it counts as a name, so the same
+words can read differently in an item and in a document.  Windows are therefore
+compared in more than one reading: ``typed``, as above, and ``plain``, the
+lower-cased words and numbers as they are.  An item's window counts if it is in
+the document in any reading; where the typed reading holds the item by itself,
+the figures are its own.
+
 Defined results: null or empty texts have no windows and match nothing; a text
 of fewer words than ``width`` is one window of all its words; rows without an
 id are not matched; rows that share a document id count as one document; items
@@ -29,6 +36,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 
 TOKEN = r"\p{L}+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
+TYPED, PLAIN = "typed", "plain"  # readings of a text
 MARKS = (".", "!", "?", "\n")
 NUMBER, UNIT, NAME = "#number", "#unit", "#name"
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
@@ -39,31 +47,37 @@ UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot"
          "mph", "kmh", "degree", "degrees")
 
 
-def _template(tokens: Column) -> Column:
-    """The template word of every token, null for sentence marks.
-
-    Tokens are letter runs, numbers or marks, and only letters sort from 'A'
+def _typed(token: Column, before: Column) -> Column:
+    """Tokens are letter runs, numbers or marks, and only letters sort from 'A'
     on (by bytes), so the common cases take one comparison each."""
-    def word(token: Column, at: Column) -> Column:
-        before = F.when(at > 0, F.element_at(tokens, at))  # element_at counts from 1
-        low = F.lower(token)
-        number = before.between("0", ":")
-        letters = (F.when(before >= "A", F.when(low != token, F.lit(NAME)).otherwise(low))
-                   .when(number & low.isin(*UNITS), F.lit(UNIT))
-                   .when(number & (low != token), F.lit(NAME))
-                   .otherwise(low))
-        return F.when(token >= "A", letters).when(token.between("0", ":"), F.lit(NUMBER))
+    low = F.lower(token)
+    number = before.between("0", ":")
+    letters = (F.when(before >= "A", F.when(low != token, F.lit(NAME)).otherwise(low))
+               .when(number & low.isin(*UNITS), F.lit(UNIT))
+               .when(number & (low != token), F.lit(NAME))
+               .otherwise(low))
+    return F.when(token >= "A", letters).when(token.between("0", ":"), F.lit(NUMBER))
+
+
+def _plain(token: Column, before: Column) -> Column:
+    return F.when((token >= "A") | token.between("0", ":"), F.lower(token))
 
-    return F.transform(tokens, word)
+
+READINGS = {TYPED: _typed, PLAIN: _plain}
+
+
+def _template(tokens: Column, reading: str) -> Column:
+    """The template word of every token, null for sentence marks."""
+    return F.transform(tokens, lambda token, at: READINGS[reading](token, F.when(at > 0, F.element_at(tokens, at))))  # element_at counts from 1
 
 
 def tokenized(rows: DataFrame, text: str) -> DataFrame:
     return rows.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), 0))
 
 
-def template_words(rows: DataFrame, text: str) -> DataFrame:
+def template_words(rows: DataFrame, text: str, reading: str) -> DataFrame:
     """``rows`` with ``words``: array of (w, the template word; r, the token)."""
-    typed = F.zip_with(_template(F.col("_tokens")), F.col("_tokens"), lambda w, r: F.struct(w.alias("w"), r.alias("r")))
+    typed = F.zip_with(_template(F.col("_tokens"), reading), F.col("_tokens"), lambda w, r: F.struct(w.alias("w"), r.alias("r")))
     return (tokenized(rows, text).withColumn("_typed", typed)
             .withColumn("words", F.filter("_typed", lambda s: s["w"].isNotNull())).drop("_tokens", "_typed"))
 
@@ -73,21 +87,40 @@ def _window_starts(width: int, words: str = "words") -> Column:
     return F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
-def window_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
-    """``(*keys, pos, hash)``: one row per window of the template words."""
-    named = tokenized(rows, text).select(*keys, F.array_compact(_template(F.col("_tokens"))).alias("_w"))
-    named = named.select(*keys, "_w", _window_starts(width, "_w").alias("_starts"))
-    hashed = F.transform("_starts", lambda i: F.xxhash64(F.slice("_w", i + 1, width)))
-    return named.select(*keys, F.posexplode(hashed).alias("pos", "hash"))
+def _hashes(reading: str, width: int) -> Column:
+    starts = _window_starts(width, f"_{reading}")
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(f"_{reading}", i + 1, width)))
+
 
+def _read(rows: DataFrame, text: str, *keys: str) -> DataFrame:
+    """``(*keys, _<reading>)``: the template words in every reading."""
+    return tokenized(rows, text).select(*keys, *[F.array_compact(_template(F.col("_tokens"), r)).alias(f"_{r}") for r in READINGS])
 
-def window_slots(rows: DataFrame, width: int, *keys: str) -> DataFrame:
-    """``(*keys, pos, window, slots)``: template words and (type, value) of each
-    placeholder of every window."""
-    starts = rows.select(*keys, "words", F.explode(_window_starts(width)).alias("pos"))
+
+def item_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """``(*keys, pos, hash)``: every window in every reading."""
+    hashed = F.arrays_zip(*[_hashes(r, width).alias(r) for r in READINGS])
+    windows = _read(rows, text, *keys).select(*keys, F.posexplode(hashed).alias("pos", "h"))
+    return windows.select(*keys, "pos", F.explode(F.array_distinct(F.array(*[F.col("h")[r] for r in READINGS]))).alias("hash"))
+
+
+def document_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """``(*keys, hash)``: the distinct windows of a row in all readings."""
+    hashed = F.array_distinct(F.concat(*[_hashes(r, width) for r in READINGS]))
+    return _read(rows, text, *keys).select(*keys, F.explode(hashed).alias("hash"))
+
+
+def window_slots(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+    """``(*keys, reading, pos, window, slots)``: template words and (type,
+    value) of each placeholder of every window in every reading."""
+    out = None
+    for reading in READINGS:
+        words = template_words(rows, text, reading).select(*keys, F.lit(reading).alias("reading"), "words")
+        out = words if out is None else out.unionByName(words)
+    starts = out.select(*keys, "reading", "words", F.explode(_window_starts(width)).alias("pos"))
     part = starts.withColumn("_part", F.slice("words", F.col("pos") + 1, width))
     slots = F.transform(F.filter("_part", lambda s: s["w"].isin(NUMBER, UNIT, NAME)), lambda s: F.struct(s["w"].alias("type"), s["r"].alias("value")))
-    return part.select(*keys, "pos", F.col("_part.w").alias("window"), slots.alias("slots"))
+    return part.select(*keys, "reading", "pos", F.col("_part.w").alias("window"), slots.alias("slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -96,14 +129,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     document and item it holds; n_changed: slot values of the item that stand
     for another value in the document (0: the slots are verbatim)."""
     named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    items = (benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull())
-             .select(F.col(item).alias("item"), F.col(item_text).alias("text")).distinct().withColumn("variant", F.xxhash64("text")))
-    item_words = spill_table(template_words(items, "text").select("item", "variant", "words"), "item-words")
-    item_windows = spill_table(window_hashes(items, "text", width, "item", "variant"), "item-windows")
-    sizes = item_windows.groupBy("item", "variant").agg(F.count(F.lit(1)).alias("n_windows"))
-
-    doc_windows = window_hashes(named, "text", width, "doc")
-    side = item_windows.select("hash", "item", "variant", F.col("pos").alias("ipos"))
+    items = spill_table(benchmark.where(F.col(item).isNotNull() & F.col(item_text).isNotNull())
+                        .select(F.col(item).alias("item"), F.col(item_text).alias("text")).distinct().withColumn("variant", F.xxhash64("text")), "items")
+    side = spill_table(item_hashes(items, "text", width, "item", "variant").withColumnRenamed("pos", "ipos"), "item-windows")
+    sizes = side.groupBy("item", "variant").agg(F.countDistinct("ipos").alias("n_windows"))
+
+    doc_windows = document_hashes(named, "text", width, "doc")
     if side.count() * 48 <= BROADCAST_MAX_BYTES:
         side = F.broadcast(side)  # measured; beyond the bound the windows are shuffled by hash
     shared = doc_windows.join(side, "hash").groupBy("doc", "item", "variant").agg(F.size(F.collect_set("ipos")).alias("n_shared"))
@@ -112,13 +143,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     # the slots of the candidate documents only
     candidates = named.join(pairs.select("doc").distinct(), "doc", "left_semi")
-    doc_slots = window_slots(template_words(candidates, "text"), width, "doc").select("doc", "pos", "window", F.col("slots").alias("doc_slots"))
-    item_slots = window_slots(item_words, width, "item", "variant").select(
-        "item", "variant", F.col("pos").alias("ipos"), "window", F.col("slots").alias("item_slots"))
-    aligned = (pairs.join(item_slots, ["item", "variant"]).join(doc_slots, ["doc", "window"])
-               .withColumn("shift", F.col("pos") - F.col("ipos")).select("doc", "item", "variant", "n_windows", "shift", "ipos", "item_slots", "doc_slots"))
+    doc_slots = window_slots(candidates, "text", width, "doc").select("doc", "reading", "pos", "window", F.col("slots").alias("doc_slots"))
+    item_slots = window_slots(items, "text", width, "item", "variant").select(
+        "item", "variant", "reading", F.col("pos").alias("ipos"), "window", F.col("slots").alias("item_slots"))
+    along = ["doc", "item", "variant", "reading", "shift"]
+    aligned = (pairs.join(item_slots, ["item", "variant"]).join(doc_slots, ["doc", "reading", "window"])
+               .withColumn("shift", F.col("pos") - F.col("ipos")).select(*along, "n_windows", "ipos", "item_slots", "doc_slots"))
     aligned = spill_table(aligned, "template-aligned", few=True)
-    along = ["doc", "item", "variant", "shift"]
     values = aligned.select(*along, "ipos", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
         *along, "ipos", F.col("z.item_slots.type").alias("type"), F.col("z.item_slots.value").alias("from"), F.col("z.doc_slots.value").alias("to"))
     seen = values.groupBy(*along, "type", "from", "to").agg(F.count(F.lit(1)).alias("n"))
@@ -126,10 +157,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     against = (values.join(chosen, [*along, "type", "from"]).where(F.col("to") != F.col("chosen"))
                .select(*along, "ipos").distinct())
     consistent = aligned.join(against, [*along, "ipos"], "left_anti")
-    changed = chosen.where(F.col("from") != F.col("chosen")).groupBy("doc", "item", "variant").agg(
-        F.size(F.collect_set(F.struct("type", "from"))).alias("n_changed"))
-    held = (consistent.groupBy("doc", "item", "variant", "n_windows").agg(F.size(F.collect_set("ipos")).alias("n_matched"))
-            .where(F.col("n_matched") >= F.col("n_windows") * similarity).join(changed, ["doc", "item", "variant"], "left"))
+
+    # the typed reading's figures where it holds the item by itself, else those of all readings
+    def both(value: Column, name: str) -> list[Column]:
+        return [F.size(F.collect_set(F.when(F.col("reading") == TYPED, value))).alias(f"typed_{name}"), F.size(F.collect_set(value)).alias(f"any_{name}")]
+
+    changed = (chosen.where(F.col("from") != F.col("chosen")).groupBy("doc", "item", "variant")
+               .agg(*both(F.struct("type", "from"), "changed")))
+    counted = consistent.groupBy("doc", "item", "variant", "n_windows").agg(*both(F.col("ipos"), "matched"))
+    alone = F.col("typed_matched") >= F.col("n_windows") * similarity
+    held = (counted.join(changed, ["doc", "item", "variant"], "left")
+            .withColumn("n_matched", F.when(alone, F.col("typed_matched")).otherwise(F.col("any_matched")))
+            .withColumn("n_changed", F.when(alone, F.col("typed_changed")).otherwise(F.col("any_changed")))
+            .where(F.col("n_matched") >= F.col("n_windows") * similarity))
     best = held.groupBy("doc", "item").agg(F.max(F.struct(
         (F.col("n_matched") / F.col("n_windows")).alias("similarity"), "n_windows", "n_matched",
         F.coalesce("n_changed", F.lit(0)).alias("n_changed"))).alias("b"))

@@ -100,6 +100,15 @@ def test_slots_must_agree(spark):
     assert [(r[0], r[4]) for r in got] == [(1, 1)]
 
 
+def test_short_items_are_found_behind_labels_and_quotes(spark):
+    items = spark.createDataFrame([(1, "What is the capital of France?"), (2, "How many legs does a spider have?")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Quiz. Q: What is the capital of France? A: Paris"), (2, 'They asked "How many legs does a spider have?" in class'),
+        (3, "3) What is the capital of France? (b) Question: How many legs does a spider have?"),
+        (4, "Lyon is a city of France and what has many legs is a spider")], "doc_id long, text string")
+    assert [(d, i, c) for d, i, _, _, c in found(td.contaminated(docs, items))] == [(1, 1, 0), (2, 2, 0), (3, 1, 0), (3, 2, 0)]
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     docs, items = frames(spark)
     want = found(td.contaminated(docs, items))
