@@ -13,10 +13,13 @@ DataFrame functions only.
 
 What stands before a word decides whether it counts as a name, so the same
 words can read differently in an item and in a document.  Windows are therefore
-compared in more than one reading: ``typed``, as above, and ``plain``, the
-lower-cased words and numbers as they are.  An item's window counts if it is in
-the document in any reading; where the typed reading holds the item by itself,
-the figures are its own.
+compared in more than one reading: ``typed``, as above; ``plain``, the
+lower-cased words and numbers as they are; and ``names``, in which every
+capitalised word is a name, also the first of a sentence.  There a word that
+more documents and items hold in lower case than capitalised inside a sentence
+('what', 'the') may not stand for another one.  An item's window counts if it
+is in the document in any reading; where the typed reading holds the item by
+itself, the figures are its own.
 
 Defined results: null or empty texts have no windows and match nothing; a text
 of fewer words than ``width`` is one window of all its words; rows without an
@@ -36,7 +39,7 @@ WIDTH = 5
 SIMILARITY = 0.8
 
 TOKEN = r"\p{L}+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]"
-TYPED, PLAIN = "typed", "plain"  # readings of a text
+TYPED, PLAIN, NAMES = "typed", "plain", "names"  # readings of a text
 MARKS = (".", "!", "?", "\n")
 NUMBER, UNIT, NAME = "#number", "#unit", "#name"
 UNITS = ("mm", "cm", "m", "km", "in", "ft", "yd", "mi", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles",
@@ -63,7 +66,15 @@ def _plain(token: Column, before: Column) -> Column:
     return F.when((token >= "A") | token.between("0", ":"), F.lower(token))
 
 
-READINGS = {TYPED: _typed, PLAIN: _plain}
+def _names(token: Column, before: Column) -> Column:
+    low = F.lower(token)
+    letters = (F.when(low != token, F.lit(NAME))
+               .when(before.between("0", ":") & low.isin(*UNITS), F.lit(UNIT))
+               .otherwise(low))
+    return F.when(token >= "A", letters).when(token.between("0", ":"), F.lit(NUMBER))
+
+
+READINGS = {TYPED: _typed, PLAIN: _plain, NAMES: _names}
 
 
 def _template(tokens: Column, reading: str) -> Column:
@@ -76,8 +87,11 @@ def tokenized(rows: DataFrame, text: str) -> DataFrame:
 
 
 def template_words(rows: DataFrame, text: str, reading: str) -> DataFrame:
-    """``rows`` with ``words``: array of (w, the template word; r, the token)."""
-    typed = F.zip_with(_template(F.col("_tokens"), reading), F.col("_tokens"), lambda w, r: F.struct(w.alias("w"), r.alias("r")))
+    """``rows`` with ``words``: array of (w, the template word; r, the token;
+    first, whether it begins a sentence)."""
+    first = F.transform("_tokens", lambda token, at: (at == 0) | F.element_at("_tokens", F.greatest(at, F.lit(1))).isin(*MARKS))
+    typed = F.transform(F.arrays_zip(_template(F.col("_tokens"), reading).alias("w"), F.col("_tokens").alias("r"), first.alias("first")),
+                        lambda s: F.struct(s["w"].alias("w"), s["r"].alias("r"), s["first"].alias("first")))
     return (tokenized(rows, text).withColumn("_typed", typed)
             .withColumn("words", F.filter("_typed", lambda s: s["w"].isNotNull())).drop("_tokens", "_typed"))
 
@@ -112,17 +126,32 @@ def document_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataF
 
 def window_slots(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
     """``(*keys, reading, pos, window, slots)``: template words and (type,
-    value) of each placeholder of every window in every reading."""
+    value, first) of each placeholder of every window in every reading."""
     out = None
     for reading in READINGS:
         words = template_words(rows, text, reading).select(*keys, F.lit(reading).alias("reading"), "words")
         out = words if out is None else out.unionByName(words)
     starts = out.select(*keys, "reading", "words", F.explode(_window_starts(width)).alias("pos"))
     part = starts.withColumn("_part", F.slice("words", F.col("pos") + 1, width))
-    slots = F.transform(F.filter("_part", lambda s: s["w"].isin(NUMBER, UNIT, NAME)), lambda s: F.struct(s["w"].alias("type"), s["r"].alias("value")))
+    slots = F.transform(F.filter("_part", lambda s: s["w"].isin(NUMBER, UNIT, NAME)), 
+                        lambda s: F.struct(s["w"].alias("type"), s["r"].alias("value"), s["first"].alias("first")))
     return part.select(*keys, "reading", "pos", F.col("_part.w").alias("window"), slots.alias("slots"))
 
 
+def ordinary_words(words: DataFrame, *texts: DataFrame) -> DataFrame:
+    """Those of ``words`` (column ``word``, lower case) that more of the texts
+    hold in lower case than capitalised inside a sentence."""
+    out = None
+    for rows in texts:
+        # a name inside a sentence is marked, lower-cased; other capitalised words tell nothing
+        told = F.zip_with(_template(F.col("_tokens"), TYPED), F.col("_tokens"), lambda w, r: F.when(w == NAME, F.concat(F.lit("#"), F.lower(r))).when(w == r, r))
+        forms = tokenized(rows, "text").select(F.explode(F.array_distinct(F.array_compact(told))).alias("form"))
+        forms = forms.select(F.ltrim("form", F.lit("#")).alias("word"), F.col("form").startswith("#").alias("name"))
+        out = forms if out is None else out.unionByName(forms)
+    return (out.join(words, "word", "left_semi").groupBy("word").agg(F.count_if("name").alias("names"), F.count(F.lit(1)).alias("n"))
+            .where("n > 2 * names").select("word"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
                  item_text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``(key, item, n_windows, n_matched, similarity, n_changed)`` of every
@@ -151,7 +180,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                .withColumn("shift", F.col("pos") - F.col("ipos")).select(*along, "n_windows", "ipos", "item_slots", "doc_slots"))
     aligned = spill_table(aligned, "template-aligned", few=True)
     values = aligned.select(*along, "ipos", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("z")).select(
-        *along, "ipos", F.col("z.item_slots.type").alias("type"), F.col("z.item_slots.value").alias("from"), F.col("z.doc_slots.value").alias("to"))
+        *along, "ipos", F.col("z.item_slots.type").alias("type"), F.col("z.item_slots.value").alias("from"), F.col("z.doc_slots.value").alias("to"),
+        (F.col("z.item_slots.first") | F.col("z.doc_slots.first")).alias("first"))
+    # at the start of a sentence an ordinary word is no name that may change
+    swapped = values.where((F.col("reading") == NAMES) & (F.col("type") == NAME) & F.col("first") & (F.col("from") != F.col("to")))
+    swapped = spill_table(swapped.select(*along, "ipos", F.explode(F.array(F.lower("from"), F.lower("to"))).alias("word")).distinct(), "template-swapped", few=True)
+    if not swapped.isEmpty():
+        ordinary = spill_table(ordinary_words(swapped.select("word").distinct(), named, items), "ordinary-words", few=True)
+        barred = spill_table(swapped.join(ordinary, "word").select(*along, "ipos").distinct(), "template-barred", few=True)
+        aligned, values = (rows.join(barred, [*along, "ipos"], "left_anti") for rows in (aligned, values))
     seen = values.groupBy(*along, "type", "from", "to").agg(F.count(F.lit(1)).alias("n"))
     chosen = seen.groupBy(*along, "type", "from").agg(F.max(F.struct("n", "to"))["to"].alias("chosen"))
     against = (values.join(chosen, [*along, "type", "from"]).where(F.col("to") != F.col("chosen"))

@@ -109,6 +109,17 @@ def test_short_items_are_found_behind_labels_and_quotes(spark):
     assert [(d, i, c) for d, i, _, _, c in found(td.contaminated(docs, items))] == [(1, 1, 0), (2, 2, 0), (3, 1, 0), (3, 2, 0)]
 
 
+def test_names_at_the_start_of_a_sentence(spark):
+    item = "Tom has 3 apples. Mary has 4 apples. Bob has twice as many apples. How many apples do they have together?"
+    items = spark.createDataFrame([(1, item), (2, "What is the capital of France?")], "item_id long, text string")
+    other = item
+    for a, b in (("Tom", "Ina"), ("Mary", "Carl"), ("Bob", "Eve"), ("3", "8"), ("4", "6")):
+        other = other.replace(a, b)
+    docs = spark.createDataFrame([(1, "Task. " + other + " Think."), (2, "They know what Paris is. Paris is the capital of France."),
+                                  (3, other.replace("Eve", "Tim").replace("twice", "half").replace("together", "now").replace("has", "sold"))], "doc_id long, text string")
+    assert [(d, i, c) for d, i, _, _, c in found(td.contaminated(docs, items))] == [(1, 1, 5)]
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     docs, items = frames(spark)
     want = found(td.contaminated(docs, items))
