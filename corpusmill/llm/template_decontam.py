@@ -22,7 +22,9 @@ is in the document in any reading; where the typed reading holds the item by
 itself, the figures are its own.
 
 Defined results: null or empty texts have no windows and match nothing; a text
-of fewer words than ``width`` is one window of all its words; rows without an
+of fewer words than ``width`` is one window of all its words, and such an item
+is also looked for, literally (plain reading), among the windows of its length
+of every document; rows without an
 id are not matched; rows that share a document id count as one document; items
 that share an id count separately and the best match is reported; empty tables
 give an empty table; columns other than id and text are not read.
@@ -96,7 +98,7 @@ def template_words(rows: DataFrame, text: str, reading: str) -> DataFrame:
             .withColumn("words", F.filter("_typed", lambda s: s["w"].isNotNull())).drop("_tokens", "_typed"))
 
 
-def _window_starts(width: int, words: str = "words") -> Column:
+def _window_starts(width: int | Column, words: str = "words") -> Column:
     size = F.size(words)
     return F.when(size > 0, F.sequence(F.lit(0), F.greatest(size - width, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
@@ -113,26 +115,37 @@ def _read(rows: DataFrame, text: str, *keys: str) -> DataFrame:
 
 def item_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
     """``(*keys, pos, hash)``: every window in every reading."""
-    hashed = F.arrays_zip(*[_hashes(r, width).alias(r) for r in READINGS])
+    none = F.array().cast("array<bigint>")  # in few words a name is no evidence
+    hashed = F.arrays_zip(*[(F.when(F.size("_names") >= width, _hashes(r, width)).otherwise(none) if r == NAMES else _hashes(r, width)).alias(r) for r in READINGS])
     windows = _read(rows, text, *keys).select(*keys, F.posexplode(hashed).alias("pos", "h"))
-    return windows.select(*keys, "pos", F.explode(F.array_distinct(F.array(*[F.col("h")[r] for r in READINGS]))).alias("hash"))
+    return windows.select(*keys, "pos", F.explode(F.array_distinct(F.array_compact(F.array(*[F.col("h")[r] for r in READINGS])))).alias("hash"))
 
 
-def document_hashes(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
-    """``(*keys, hash)``: the distinct windows of a row in all readings."""
-    hashed = F.array_distinct(F.concat(*[_hashes(r, width) for r in READINGS]))
+def short_lengths(rows: DataFrame, text: str, width: int) -> list[int]:
+    """The numbers of words below ``width`` that occur among ``rows``."""
+    size = F.size(F.array_compact(_template(F.col("_tokens"), PLAIN))).alias("k")
+    return sorted(r.k for r in tokenized(rows, text).select(size).distinct().where(F.col("k").between(1, width - 1)).collect())
+
+
+def document_hashes(rows: DataFrame, text: str, width: int, short: list[int], *keys: str) -> DataFrame:
+    """``(*keys, hash)``: the distinct windows of a row in all readings, and
+    the plain ones of the ``short`` lengths."""
+    hashed = F.array_distinct(F.concat(*[_hashes(r, width) for r in READINGS], *[_hashes(PLAIN, k) for k in short]))
     return _read(rows, text, *keys).select(*keys, F.explode(hashed).alias("hash"))
 
 
-def window_slots(rows: DataFrame, text: str, width: int, *keys: str) -> DataFrame:
+def window_slots(rows: DataFrame, text: str, width: int, short: list[int], *keys: str) -> DataFrame:
     """``(*keys, reading, pos, window, slots)``: template words and (type,
-    value, first) of each placeholder of every window in every reading."""
+    value, first) of each placeholder of every window in every reading, and of
+    the plain ones of the ``short`` lengths."""
     out = None
     for reading in READINGS:
         words = template_words(rows, text, reading).select(*keys, F.lit(reading).alias("reading"), "words")
         out = words if out is None else out.unionByName(words)
-    starts = out.select(*keys, "reading", "words", F.explode(_window_starts(width)).alias("pos"))
-    part = starts.withColumn("_part", F.slice("words", F.col("pos") + 1, width))
+    widths = F.when(F.col("reading") == PLAIN, F.array(*[F.lit(k) for k in [width, *short]])).otherwise(F.array(F.lit(width)))
+    out = out.select(*keys, "reading", "words", F.explode(widths).alias("width"))
+    starts = out.select(*keys, "reading", "words", "width", F.explode(_window_starts(F.col("width"))).alias("pos"))
+    part = starts.withColumn("_part", F.slice("words", F.col("pos") + 1, F.col("width")))
     slots = F.transform(F.filter("_part", lambda s: s["w"].isin(NUMBER, UNIT, NAME)), 
                         lambda s: F.struct(s["w"].alias("type"), s["r"].alias("value"), s["first"].alias("first")))
     return part.select(*keys, "reading", "pos", F.col("_part.w").alias("window"), slots.alias("slots"))
@@ -163,7 +176,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     side = spill_table(item_hashes(items, "text", width, "item", "variant").withColumnRenamed("pos", "ipos"), "item-windows")
     sizes = side.groupBy("item", "variant").agg(F.countDistinct("ipos").alias("n_windows"))
 
-    doc_windows = document_hashes(named, "text", width, "doc")
+    short = short_lengths(items, "text", width)
+    doc_windows = document_hashes(named, "text", width, short, "doc")
     if side.count() * 48 <= BROADCAST_MAX_BYTES:
         side = F.broadcast(side)  # measured; beyond the bound the windows are shuffled by hash
     shared = doc_windows.join(side, "hash").groupBy("doc", "item", "variant").agg(F.size(F.collect_set("ipos")).alias("n_shared"))
@@ -172,8 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     # the slots of the candidate documents only
     candidates = named.join(pairs.select("doc").distinct(), "doc", "left_semi")
-    doc_slots = window_slots(candidates, "text", width, "doc").select("doc", "reading", "pos", "window", F.col("slots").alias("doc_slots"))
-    item_slots = window_slots(items, "text", width, "item", "variant").select(
+    doc_slots = window_slots(candidates, "text", width, short, "doc").select("doc", "reading", "pos", "window", F.col("slots").alias("doc_slots"))
+    item_slots = window_slots(items, "text", width, [], "item", "variant").where((F.col("reading") != NAMES) | (F.size("window") >= width)).select(
         "item", "variant", "reading", F.col("pos").alias("ipos"), "window", F.col("slots").alias("item_slots"))
     along = ["doc", "item", "variant", "reading", "shift"]
     aligned = (pairs.join(item_slots, ["item", "variant"]).join(doc_slots, ["doc", "reading", "window"])

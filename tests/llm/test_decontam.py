@@ -120,6 +120,14 @@ def test_names_at_the_start_of_a_sentence(spark):
     assert [(d, i, c) for d, i, _, _, c in found(td.contaminated(docs, items))] == [(1, 1, 5)]
 
 
+def test_items_below_the_width_are_found_inside_documents(spark):
+    items = spark.createDataFrame([(1, "What is 7 + 5?"), (2, "\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f"), (3, "Name three colours")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "Some sums for today. Q: What is 7 + 5? A: 12"), (2, "\u95ee\u9898\uff1a\u4e2d\u56fd\u7684\u9996\u90fd\u662f\u54ea\u91cc\uff1f\u5317\u4eac\uff0c a b c d e"),
+        (3, "Here the sum asked for what is 8 + 5 and no more, and name two colours"), (4, "Name three colours"), (5, "Call Three Colours")], "doc_id long, text string")
+    assert found(td.contaminated(docs, items)) == [(1, 1, 1, 1, 0), (2, 2, 1, 1, 0), (4, 3, 1, 1, 0)]
+
+
 def test_large_benchmarks_are_shuffled(spark, monkeypatch):
     docs, items = frames(spark)
     want = found(td.contaminated(docs, items))
