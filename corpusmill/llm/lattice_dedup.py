@@ -1,7 +1,7 @@
 """Embedding near-duplicates by E8 lattice hashing.
 
 Vectors are scaled to length 1 and, per table, projected to eight random
-orthonormal directions, scaled, shifted and decoded to the nearest point of
+orthonormal directions, scaled (by the cosine and the dimension), shifted and decoded to the nearest point of
 the E8 lattice, their home cell.  Each vector also visits the ``PROBES``
 neighbouring cells nearest to it.  Two vectors meet in a cell that is home to
 one and home to, or visited by, the other; the cosine of every pair that meets
@@ -38,7 +38,7 @@ from corpusmill.llm.simhash_vptree import _spanning
 COSINE = 0.98
 TABLES = 4
 PROBES = 4
-SCALE = 10.0
+SPREAD = 0.2  # length, in the lattice, of the expected projection of a threshold pair, divided by sqrt(8)
 CELL_ROWS = 4096
 CHUNK_ROWS = 8192  # rows handled at a time in a task, whole cells
 PAIRS = 1 << 16  # pairs tested at a time
@@ -91,11 +91,18 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def cells(units: np.ndarray, table: int, probes: int = PROBES, scale: float = SCALE) -> tuple[np.ndarray, np.ndarray]:
+def cell_scale(dim: int, cosine: float = COSINE) -> float:
+    """Vectors at the threshold cosine lie sqrt(2 - 2 cosine) apart, of which
+    eight of ``dim`` directions keep sqrt(8 / dim) on average: the scale makes
+    that the same share of a cell for every cosine and dimension."""
+    return SPREAD * float(np.sqrt(max(dim, 8) / max(2 - 2 * cosine, 1e-6)))
+
+
+def cells(units: np.ndarray, table: int, probes: int = PROBES, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """(home, visited): keys of the home cell and of the nearest neighbours."""
     q, shift = _projection(units.shape[1], table)
     # one dot product at a time and rounded scores: the same cells in whatever batch a vector stands
-    x = np.stack([np.einsum("ij,j->i", units, q[:, k]) for k in range(8)], axis=1) * scale + shift
+    x = np.stack([np.einsum("ij,j->i", units, q[:, k]) for k in range(8)], axis=1) * cell_scale(units.shape[1], cosine) + shift
     home = nearest_e8(x)
     toward = np.round((x - home / 2) @ _NEIGHBOURS.T.astype(np.float64), 9)
     best = np.argsort(-toward, axis=1, kind="stable")[:, :probes]
@@ -113,13 +120,13 @@ def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> DataFra
             .where(sound).groupBy("label", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("size")))
 
 
-def _address(tables: int, probes: int, scale: float):
+def _address(tables: int, probes: int, cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
             for rows, units in _by_length(batch.column("vector")):
                 for t in range(tables):
-                    home, visited = cells(units, t, probes, scale)
+                    home, visited = cells(units, t, probes, cosine)
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate([home, visited.ravel()])), pa.array(np.full(n * (1 + probes), t, np.int32)),
@@ -155,14 +162,14 @@ def _pairs(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np
         at = stop
 
 
-def _meet(tables: int, probes: int, scale: float, cosine: float):
+def _meet(tables: int, probes: int, cosine: float):
     def chunk_links(group, tab, label, home, ids, sizes, units) -> tuple:
         """Counts and spanning links of whole groups: homes against all."""
         by = np.lexsort((~home, group))
         group, tab, label, home, ids = group[by], tab[by], label[by], home[by], ids[by]
         names, one, u = np.unique(ids, return_index=True, return_inverse=True)
         size, units = sizes[by][one], units[by][one]  # each vector once
-        known = [cells(units, t, probes, scale) for t in range(tables)]
+        known = [cells(units, t, probes, cosine) for t in range(tables)]
         add, links = np.zeros(len(names), np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
         for i, j in _pairs(group, home):
             here = (ids[i] != ids[j]) & (~home[i] | (ids[i] > ids[j])) & (tab[i] == tab[j]) & (label[i] == label[j])
@@ -217,10 +224,10 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def lattice_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE,
-                  tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, cell_rows: int = CELL_ROWS) -> DataFrame:
+                  tables: int = TABLES, probes: int = PROBES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(key, n_links, component_id, kept)`` of every row of ``vectors``."""
     kinds = spill_table(classes_of(vectors, key, vector, label), "vector-classes")
-    spots = kinds.select("id", "vector").mapInArrow(_address(tables, probes, scale), "cell long, tab int, home boolean, id long")
+    spots = kinds.select("id", "vector").mapInArrow(_address(tables, probes, cosine), "cell long, tab int, home boolean, id long")
     labelled = spill_table(spots.join(kinds.select("id", "label"), "id").select("tab", "label", "cell", "home", "id"), "cells")
     # a cell matters if it is home to a vector and another one meets it there
     busy = spill_table(labelled.groupBy("tab", "label", "cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
@@ -232,7 +239,7 @@ def lattice_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedd
     met = met.select("tab", F.xxhash64("tab", "label", "cell", "block").alias("grp"), (F.col("home") & own).alias("home"), "id")
     full = met.join(kinds, "id").select("grp", "tab", "label", "home", "id", "size", "vector")
     found = spill_table(full.repartition("grp").sortWithinPartitions("grp").mapInArrow(
-        _meet(tables, probes, scale, cosine), "id long, n long, other long"), "vector-links")
+        _meet(tables, probes, cosine), "id long, n long, other long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     roots = components(found.where("id <> other").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = spill_table(

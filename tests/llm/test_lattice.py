@@ -75,6 +75,24 @@ def test_recall_on_the_given_table(spark):
     assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.99 * sum(want.values())
 
 
+def planted_recall(dim, low, high, cosine=0.98, n=20_000):
+    """Share of random pairs at a cosine between low and high that meet."""
+    rng = np.random.default_rng(dim)
+    a, b = lat.unit(rng.normal(size=(n, dim))), rng.normal(size=(n, dim))
+    b = lat.unit(b - (a * b).sum(axis=1)[:, None] * a)
+    c = rng.uniform(low, high, n)[:, None]
+    b, met = c * a + np.sqrt(1 - c * c) * b, np.zeros(n, bool)
+    for t in range(lat.TABLES):
+        (ha, va), (hb, vb) = (lat.cells(x, t, cosine=cosine) for x in (a, b))
+        met |= (ha == hb) | (va == hb[:, None]).any(axis=1) | (vb == ha[:, None]).any(axis=1)
+    return met.mean()
+
+
+@pytest.mark.parametrize("dim", [4, 8, 16, 32, 64, 256])
+def test_recall_at_the_threshold(dim):
+    assert planted_recall(dim, 0.98, 0.985) >= 0.99 and planted_recall(dim, 0.9, 0.91, 0.9) >= 0.99
+
+
 def test_edge_rows(spark):
     e = [1.0, 2.0, 3.0]
     rows = [(1, e, 0), (2, e, None), (3, None, 0), (4, [0.0, 0.0, 0.0], 0), (5, [1.0, None, 3.0], 0), (6, [1.0, float("nan"), 3.0], 0),
