@@ -11,7 +11,9 @@ Equal vectors of one label are one class with a size, so copies never meet.  A
 pair that meets in several cells is counted in one of them only, decided from
 the two vectors alone: the first table in which they meet and, there, the
 shared home or else the cell in which the larger id is the visitor.  A cell
-with more than ``CELL_ROWS`` homes is dealt out in blocks.
+with more than ``CELL_ROWS`` rows is dealt out as a grid: blocks of about so
+many homes against blocks of about so many rows, so that no group grows with
+the cell.
 
 Defined results: null, empty or zero vectors, vectors with null or non-finite
 components, and rows without a label link with nothing; vectors of different
@@ -28,7 +30,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import spill_table
@@ -145,13 +147,13 @@ def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, unit(flat[(ends[rows] - d)[:, None] + np.arange(d)])
 
 
-def _pairs(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of all rows i with all homes j of the same group, in bounded
-    pieces; rows are sorted by group, homes first."""
+def _pairs(group: np.ndarray, home: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of all marked rows i with all homes j of the same group, in
+    bounded pieces; rows are sorted by group, homes first."""
     start = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1])
     size = np.diff(np.append(start, len(group)))
     homes = np.add.reduceat(home.astype(np.int64), start)
-    first, n = np.repeat(start, size), np.repeat(homes, size)
+    first, n = np.repeat(start, size), np.repeat(homes, size) * row
     ends = np.cumsum(n)
     at = 0
     while at < len(n):
@@ -163,15 +165,15 @@ def _pairs(group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 
 def _meet(tables: int, probes: int, cosine: float):
-    def chunk_links(group, tab, label, home, ids, sizes, units) -> tuple:
+    def chunk_links(group, tab, label, home, row, ids, sizes, units) -> tuple:
         """Counts and spanning links of whole groups: homes against all."""
         by = np.lexsort((~home, group))
-        group, tab, label, home, ids = group[by], tab[by], label[by], home[by], ids[by]
+        group, tab, label, home, row, ids = group[by], tab[by], label[by], home[by], row[by], ids[by]
         names, one, u = np.unique(ids, return_index=True, return_inverse=True)
         size, units = sizes[by][one], units[by][one]  # each vector once
         known = [cells(units, t, probes, cosine) for t in range(tables)]
         add, links = np.zeros(len(names), np.int64), (np.empty(0, np.int64), np.empty(0, np.int64))
-        for i, j in _pairs(group, home):
+        for i, j in _pairs(group, home, row):
             here = (ids[i] != ids[j]) & (~home[i] | (ids[i] > ids[j])) & (tab[i] == tab[j]) & (label[i] == label[j])
             i, j = i[here], j[here]
             near = np.einsum("ij,ij->i", units[u[i]], units[u[j]]) >= cosine
@@ -182,7 +184,7 @@ def _meet(tables: int, probes: int, cosine: float):
                 ij, ji = (v[i] == h[j][:, None]).any(axis=1), (v[j] == h[i][:, None]).any(axis=1)
                 same = h[i] == h[j]
                 new &= ~((t > k) & (ij | ji | same))  # met in an earlier table
-                # one home, in two blocks, or visits both ways: the larger id is the visitor
+                # one home, met from both sides, or visits both ways: the larger id is the visitor
                 new &= ~((t == k) & (same | ji)) | (names[i] > names[j])
             np.add.at(add, i[new], size[j[new]])
             np.add.at(add, j[new], size[i[new]])
@@ -195,9 +197,9 @@ def _meet(tables: int, probes: int, cosine: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            plain = {c: table.column(c).to_numpy() for c in ("grp", "tab", "label", "home", "id", "size")}
+            plain = {c: table.column(c).to_numpy() for c in ("grp", "tab", "label", "home", "row", "id", "size")}
             for rows, units in _by_length(table.column("vector").combine_chunks()):
-                out = chunk_links(*(plain[c][rows] for c in ("grp", "tab", "label", "home", "id", "size")), units)
+                out = chunk_links(*(plain[c][rows] for c in ("grp", "tab", "label", "home", "row", "id", "size")), units)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["id", "n", "other"])
 
     return run
@@ -223,21 +225,35 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def deal(labelled: DataFrame, cell_rows: int) -> DataFrame:
+    """``(tab, grp, home, row, id)``: each cell as a grid of groups of about
+    ``cell_rows`` homes (``home``) and ``cell_rows`` rows (``row``); every row
+    of the cell meets every home of it in exactly one group."""
+    # a cell matters if it is home to a vector and another one meets it there
+    busy = spill_table(labelled.groupBy("tab", "label", "cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
+                       .where("homes > 0 and n > 1").select("tab", "label", "cell", F.ceil(F.col("homes") / cell_rows).cast("int").alias("blocks"),
+                                                            F.ceil(F.col("n") / cell_rows).cast("int").alias("row_blocks")), "busy-cells")
+    met = labelled.join(busy, ["tab", "label", "cell"])
+    met = met.withColumn("hb", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("rb", F.pmod(F.xxhash64("id", F.lit(1)), F.col("row_blocks")).cast("int"))
+
+    def spot(h: Column, r: Column, home: Column, row: Column) -> Column:
+        return F.struct(h.alias("h"), r.alias("r"), home.alias("home"), row.alias("row"))
+
+    as_row = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda h: spot(h, F.col("rb"), F.col("home") & (h == F.col("hb")), F.lit(True)))
+    others = F.filter(F.sequence(F.lit(0), F.col("row_blocks") - 1), lambda r: F.col("home") & (r != F.col("rb")))
+    as_home = F.transform(others, lambda r: spot(F.col("hb"), r, F.lit(True), F.lit(False)))
+    met = met.select("tab", "label", "cell", "id", F.explode(F.concat(as_row, as_home)).alias("s"))
+    return met.select("tab", F.xxhash64("tab", "label", "cell", "s.h", "s.r").alias("grp"), "s.home", "s.row", "id")
+
+
 def lattice_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE,
                   tables: int = TABLES, probes: int = PROBES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """``(key, n_links, component_id, kept)`` of every row of ``vectors``."""
     kinds = spill_table(classes_of(vectors, key, vector, label), "vector-classes")
     spots = kinds.select("id", "vector").mapInArrow(_address(tables, probes, cosine), "cell long, tab int, home boolean, id long")
     labelled = spill_table(spots.join(kinds.select("id", "label"), "id").select("tab", "label", "cell", "home", "id"), "cells")
-    # a cell matters if it is home to a vector and another one meets it there
-    busy = spill_table(labelled.groupBy("tab", "label", "cell").agg(F.count_if("home").alias("homes"), F.count(F.lit(1)).alias("n"))
-                       .where("homes > 0 and n > 1").select("tab", "label", "cell", F.ceil(F.col("homes") / cell_rows).cast("int").alias("blocks")), "busy-cells")
-    met = labelled.join(busy, ["tab", "label", "cell"])
-    block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-    met = met.select("tab", "label", "cell", "home", "id", "blocks", block)
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block")
-    met = met.select("tab", F.xxhash64("tab", "label", "cell", "block").alias("grp"), (F.col("home") & own).alias("home"), "id")
-    full = met.join(kinds, "id").select("grp", "tab", "label", "home", "id", "size", "vector")
+    met = deal(labelled, cell_rows)
+    full = met.join(kinds, "id").select("grp", "tab", "label", "home", "row", "id", "size", "vector")
     found = spill_table(full.repartition("grp").sortWithinPartitions("grp").mapInArrow(
         _meet(tables, probes, cosine), "id long, n long, other long"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

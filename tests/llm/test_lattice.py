@@ -75,6 +75,18 @@ def test_recall_on_the_given_table(spark):
     assert all(got[k] <= want[k] for k in want) and sum(got.values()) >= 0.99 * sum(want.values())
 
 
+def test_groups_are_bounded_on_both_sides(spark):
+    rows = [(0, 0, 7, i < 300, i) for i in range(400)]  # a hot cell: 300 homes, 100 visitors
+    cell = spark.createDataFrame(rows, "tab int, label int, cell long, home boolean, id long")
+    groups, pairs = {}, []
+    for r in lat.deal(cell, 20).collect():
+        groups.setdefault(r.grp, []).append(r)
+    for rs in groups.values():
+        pairs += [(a.id, b.id) for a in rs if a.row for b in rs if b.home]
+    assert max(map(len, groups.values())) <= 100
+    assert sorted(pairs) == [(a, b) for a in range(400) for b in range(300)]
+
+
 def planted_recall(dim, low, high, cosine=0.98, n=20_000):
     """Share of random pairs at a cosine between low and high that meet."""
     rng = np.random.default_rng(dim)
