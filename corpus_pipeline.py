@@ -7,8 +7,8 @@ documents; the last one adds the tokens of the texts that are left.
 
 Defined results: a document without an id is never linked or matched, so only
 language identification can drop it; null texts go with language
-identification; of rows that repeat an id SimHash near-dedup keeps one; empty
-tables pass through; extra columns of documents are carried along.
+identification; of rows that repeat an id SimHash near-dedup keeps one
+for each group of near copies they lead; empty tables pass through; extra columns of documents are carried along.
 """
 
 from __future__ import annotations

@@ -250,9 +250,12 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,
              max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest
-    key (of rows that repeat a key, one).  Rows without a key stay."""
-    found = simhash_components(docs, key, text, width, max_bits)
-    kept = found.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_kept")).distinct()
+    key (of rows that repeat a key with different texts, the one with the
+    smallest text hash; of rows that repeat both, one).  Rows without a key
+    stay."""
     named = docs.where(F.col(key).isNotNull())
-    stay = named.join(kept, named[key] == kept["_kept"], "left_semi").dropDuplicates([key])
+    row = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    found = simhash_components(named.select(row.alias("_row"), F.col(text).alias("_text")), "_row", "_text", width, max_bits)
+    kept = found.where("_row = component_id").select(F.col("_row.k").alias("_kept"), F.col("_row.h").alias("_kept_text")).distinct()
+    stay = named.join(kept, (named[key] == kept["_kept"]) & (F.xxhash64(named[text]) == kept["_kept_text"]), "left_semi").dropDuplicates([key, text])
     return stay.unionByName(docs.where(F.col(key).isNull()))

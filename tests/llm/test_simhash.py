@@ -117,3 +117,11 @@ def test_documents(spark):
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, first.values()), "None"])
     assert sim.simhash_components(df.limit(0)).collect() == []
+
+
+def test_keep_one_where_ids_repeat_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "y"), (0, b, "x"), (2, c, "x"), (2, c, "x"), (3, None, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(((r.doc_id, r.text) for r in sim.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (0, b), (2, c), (3, None), (None, a)], key=str)
