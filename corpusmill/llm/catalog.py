@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from corpusmill.llm import language_id, pii_anchors, secret_ledger
 from corpusmill.llm.bpe_tree import bpe_round_trip
 from corpusmill.llm.common import table
+from corpusmill.llm.importance import resample
 from corpusmill.llm.lattice_dedup import lattice_links
+from corpusmill.llm.line_dedup import MIN_CHARS, MIN_DOCUMENTS, drop_lines
 from corpusmill.llm.lpf_dedup import repeated_spans
+from corpusmill.llm.middle_fill import FIM_PERCENT, MIDDLE, PREFIX, SEED, SPM_PERCENT, SUFFIX, fill_in_middle
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
 from corpusmill.llm.template_decontam import MARKS, NAME, NUMBER, SIMILARITY, TOKEN, UNIT, UNITS, WIDTH, contaminated
@@ -164,3 +167,44 @@ def op9_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), out)
     return read_warc(spark, out).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ---- 11: line dedup --------------------------------------------------------
+
+@query("op11_line_dedup", f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM t),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{UPPER.lower()}') AS key FROM l),
+f AS (SELECT key, true AS gone FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCUMENTS})
+SELECT doc_id, count(*) AS n_lines, count(gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY rid, doc_id""")
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---- 12: importance resampling ---------------------------------------------
+
+@query("op12_importance_resampling")
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# ---- 13: fill in the middle ------------------------------------------------
+
+@query("op13_fill_in_middle", f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+    CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '{PREFIX}') OR contains(t, '{SUFFIX}') OR contains(t, '{MIDDLE}') OR h3 % 100 >= {FIM_PERCENT} THEN 'plain'
+        WHEN h4 % 100 < {SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '{PREFIX}' || pre || '{SUFFIX}' || suf || '{MIDDLE}' || mid
+        ELSE '{SUFFIX}' || suf || '{PREFIX}' || pre || '{MIDDLE}' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return fill_in_middle(table(spark, sf_dir, "documents")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digest)
