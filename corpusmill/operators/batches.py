@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import SPECIAL_TOKENS, tokenize
 from corpusmill.plans.indexing import dense_index
+from corpusmill.plans.scan import spread
 from corpusmill.session import scratch_table
 
 # settings (defaults of the training settings file)
@@ -20,7 +21,7 @@ UNK_ID = -1
 PAD_TOKEN = "<|endoftext|>"
 # the most frequent tokens (smallest ids), of at most so many bytes each, go to
 # every task; their number and size are fixed, whatever the vocabulary
-HEAD_TOKENS = 4096
+HEAD_TOKENS = 1 << 16
 HEAD_TOKEN_BYTES = 64
 
 
@@ -30,28 +31,26 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "samp
     """H3: tokens -> ids, cut on the right to ``max_length``; (key, input_ids).
     ``key`` must be unique.
 
-    Each row's *distinct* tokens are looked up: those of the vocabulary's head
-    in a broadcast table of fixed size, the others in one shuffle join, which
-    frequent tokens therefore never reach.  The answers return per row as a
-    small map, most frequent token first, and the ids are rebuilt in place
-    over the token array.  ``tokens_col`` reuses a tokenized column."""
+    Every token is looked up once, as a row of its own: those of the
+    vocabulary's head in a broadcast table of fixed size, the others in one
+    shuffle join, which frequent tokens therefore never reach.  What returns
+    per row are numbers, the position in the high half and the id in the low
+    half; sorting them merges both sides into the ids.  ``tokens_col`` reuses a
+    tokenized column."""
     if tokens_col is None:
         df, tokens_col = tokenized(df, text, key, special), "tokens"
-    rows = df.select(key, F.slice(tokens_col, 1, max_length).alias("_tokens"))
     # bytes first, count second: a long token must not use up the head's places
     known = vocab.select("token", F.col("token_id").cast("int").alias("id"))
     in_head = (F.col("id") < HEAD_TOKENS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
-    wanted = rows.select(key, F.explode(F.array_distinct("_tokens")).alias("token"))
+    tokens = df.select(key, F.posexplode_outer(F.slice(tokens_col, 1, max_length)).alias("at", "token"))
     head = known.filter(in_head).select("token", F.col("id").alias("_head"))
-    first = wanted.join(F.broadcast(head), "token", "left")
-    tail = (first.filter(F.col("_head").isNull()).select(key, "token")
-            .join(known.filter(~in_head), "token").select(key, "token", "id"))
-    found = first.filter(F.col("_head").isNotNull()).select(key, "token", F.col("_head").alias("id")).unionByName(tail)
-    maps = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("id", "token"))).alias("_found"))
-    maps = maps.select(key, F.map_from_arrays("_found.token", "_found.id").alias("_ids"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
-    both = rows.join(maps, key, "left").withColumn("_ids", F.coalesce("_ids", none))
-    return both.select(key, F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("_ids", t), F.lit(unk_id))).alias("input_ids"))
+    first = tokens.join(F.broadcast(head), "token", "left")
+    done = F.col("token").isNull() | F.col("_head").isNotNull()  # a row without tokens has one without a position
+    code = F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.coalesce("id", F.lit(unk_id)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    tail = first.filter(~done).select(key, "at", "token").join(known.filter(~in_head), "token", "left").select(key, code.alias("c"))
+    codes = first.filter(done).select(key, "at", F.col("_head").alias("id")).select(key, code.alias("c")).unionByName(tail)
+    merged = codes.groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("_codes"))
+    return merged.select(key, F.transform("_codes", lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")).alias("input_ids"))
 
 
 def with_labels(df: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def tokenized(df: DataFrame, text: str, key: str, special=SPECIAL_TOKENS, out: s
     """(key, tokens) computed once and written to the shared folder, so the
     vocabulary and the encoder read it instead of tokenizing twice (the regex
     pass is the costly part)."""
-    return scratch_table(df.select(key, tokenize(text, special).alias(out)), "tokens")
+    return scratch_table(spread(df.select(key, F.col(text).alias("_text"))).select(key, tokenize("_text", special).alias(out)), "tokens")
 
 
 def pad_token_id(vocab: DataFrame, token: str = PAD_TOKEN) -> int:
@@ -94,9 +93,10 @@ def padded_lengths(lengths: DataFrame, plan: DataFrame, key: str = "sample_id",
 def pad_batch(df: DataFrame, batches: DataFrame, pad_id: int, key: str = "sample_id", label_pad: int = LABEL_PAD) -> DataFrame:
     """H5: every row of ``batches`` (``padded_lengths``) with its arrays padded:
     ids with ``pad_id``, labels with ``label_pad``, mask with 0."""
-    if "labels" not in df.columns:
-        df = with_labels(df)
-    out = df.select(key, "input_ids", "labels").join(batches, key)
+    own = [c for c in ("labels",) if c in df.columns]  # a copy of the ids is made after the join
+    out = df.select(key, "input_ids", *own).join(batches, key)
+    if not own:
+        out = with_labels(out)
     k = (F.col("padded_len") - F.col("n_tokens")).cast("int")
     return out.select(
         key, "epoch", "batch_id", "n_tokens", "padded_len",

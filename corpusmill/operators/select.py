@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from corpusmill.plans.indexing import dense_index
 
 
 def total_length(df: DataFrame, cols=None) -> Column:
@@ -23,11 +22,43 @@ def total_length(df: DataFrame, cols=None) -> Column:
     return total
 
 
+# keys that one aggregate may hold, and how finely a range of keys is counted
+KEYS_AT_ONCE = 10_000
+CUTS = 64
+
+
+def kth_smallest(keys: DataFrame, k: int, n: int):
+    """The ``k``-th smallest (from 1) of the ``n`` keys in the one column of
+    ``keys``: an order-statistic selection.
+
+    While the range in question holds more than ``KEYS_AT_ONCE`` keys, cut
+    points (keys picked by hash, so any order type will do) divide it, one
+    counting pass tells the interval that holds the key, and the range shrinks
+    to it; about log(n) / log(CUTS) passes over keys alone.  Nothing is sorted,
+    shuffled by key or written."""
+    name, rounds = keys.columns[0], 0
+    key = F.col(name)
+    while n > KEYS_AT_ONCE:
+        rounds += 1
+        picked = F.pmod(F.xxhash64(F.lit(rounds), key), F.lit(max(1, n // (2 * CUTS)))) == 0
+        cuts = sorted(r[0] for r in keys.filter(picked).limit(4 * CUTS).collect())[::2]  # any keys are right as cuts
+        interval = sum((F.when(key > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        counts = keys.groupBy(interval.alias("_i")).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).orderBy("_i").collect()
+        for c in counts:
+            if k <= c.n:
+                break
+            k -= c.n
+        if c.lo == c.hi:
+            return c.lo
+        keys, n = keys.filter(key.between(c.lo, c.hi)), c.n
+    return keys.agg(F.sort_array(F.collect_list(key)).alias("k")).first()["k"][k - 1]
+
+
 def _cut(scored: DataFrame, n: int, tie: str):
     """(length, key): rows shorter than ``length`` are in, and those of that
     length up to ``key`` (None: all of them); None if there are at most ``n``
     rows.  Rows are counted per length (partial counts; as many rows as there
-    are lengths), and only the keys of the cut length are put in order."""
+    are lengths), then the key is selected among those of the cut length."""
     counts = scored.groupBy("_len").agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(Window.orderBy("_len").rowsBetween(Window.unboundedPreceding, 0))
     at = counts.withColumn("_upto", upto).filter(F.col("_upto") >= n).agg(F.min(F.struct("_len", "_n", "_upto")).alias("c")).first()["c"]
@@ -36,8 +67,7 @@ def _cut(scored: DataFrame, n: int, tie: str):
     wanted = n - (at["_upto"] - at["_n"])
     if wanted == at["_n"]:
         return at["_len"], None
-    ties = dense_index(scored.filter(F.col("_len") == at["_len"]).select(tie), [tie], "_pos")
-    return at["_len"], ties.filter(F.col("_pos") == wanted - 1).first()[tie]
+    return at["_len"], kth_smallest(scored.filter(F.col("_len") == at["_len"]).select(tie), wanted, at["_n"])
 
 
 def shortest_n(df: DataFrame, n: int | None, cols=("solution",), tie: str = "sample_id",

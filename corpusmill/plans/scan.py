@@ -63,3 +63,16 @@ def running_totals(df: DataFrame, by, ts: str, tie: str, sums: dict[str, Column]
         out = out.withColumn(k, F.when(F.col(f"_p_{k}").isNull(), inner).otherwise(F.greatest(F.col(f"_p_{k}"), inner)))
     drop = ["_chunk"] + [f"_{p}_{k}" for k in sums for p in ("s", "o")] + [f"_{p}_{k}" for k in maxes for p in ("m", "p")]
     return out.drop(*drop)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that costs far more per byte than a shuffle (regular
+    expressions over texts): rows that stand in fewer partitions than there are
+    cores, as those of few files or row groups do, are dealt out evenly.  A
+    table of many files is left as it is, without looking at it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= 2 * cores:
+        return df
+    used = df.select(F.spark_partition_id().alias("p")).distinct().count()
+    return df.repartition(2 * cores) if used < cores else df

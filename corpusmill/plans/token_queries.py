@@ -20,6 +20,7 @@ from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import view, with_views
 from corpusmill.plans.prepare_queries import EFFECTIVE, prepared
 from corpusmill.plans.registry import query
+from corpusmill.plans.scan import spread
 from corpusmill.session import scratch_table
 
 SEED = 42
@@ -86,7 +87,7 @@ def h_batches(toks):
 
 
 def _ids_text(c):
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return F.array_join(F.col(c).cast("array<string>"), " ")
 
 
 @query("keep_essential", with_views(["noisy"], f"""
@@ -146,7 +147,7 @@ def q_tokenize(spark, sf_dir):
 
 @query("build_vocab", with_views(["samples"], "SELECT * FROM hvocab", H_CTES))
 def q_build_vocab(spark, sf_dir):
-    return build_vocab(h_corpus(spark, sf_dir), "eff_text")
+    return build_vocab(spread(h_corpus(spark, sf_dir)), "eff_text")
 
 
 @query("encode", with_views(["samples"], """

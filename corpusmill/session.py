@@ -20,6 +20,9 @@ DEFAULT_CONF = {
     # only when its materialized (measured) size is under the limit
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
+    # lists of about a row's size are gathered for so many keys at a time
+    # before the aggregate falls back to sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # checkpoint files are removed once their DataFrames are out of scope

@@ -45,3 +45,28 @@ def test_dense_index_is_exact(spark):
         rows = dense_index(df, ["k"], "idx", num_partitions=parts).collect()
         assert sorted((r.k, r.idx) for r in rows) == [(i, i) for i in range(5000)]
     assert dense_index(df.limit(0), ["k"]).collect() == []
+
+
+def test_kth_smallest_by_counting(spark, monkeypatch):
+    """Numbers and strings; also when many passes are needed."""
+    from corpusmill.operators import select
+    df = spark.range(0, 3000).select((F.col("id") * 7919 % 3001 - 1500).alias("n"))
+    df = df.withColumn("s", F.concat(F.lit("k"), F.col("n").cast("string")))
+    want = {c: sorted(r[0] for r in df.select(c).collect()) for c in ("n", "s")}
+    for limit in (10_000, 50):
+        monkeypatch.setattr(select, "KEYS_AT_ONCE", limit)
+        for c in ("n", "s"):
+            for k in (1, 777, 3000):
+                assert select.kth_smallest(df.select(c), k, 3000) == want[c][k - 1]
+    same = spark.range(0, 500).select(F.lit(4).alias("n"))  # keys that repeat without end
+    assert select.kth_smallest(same, 300, 500) == 4
+
+
+def test_selection_writes_nothing(spark, monkeypatch):
+    from corpusmill.operators import select
+    from corpusmill import session
+    monkeypatch.setattr(session, "scratch_path", lambda *a: 1 / 0)
+    monkeypatch.setattr(select, "KEYS_AT_ONCE", 20)
+    df = spark.range(0, 2000).select(F.col("id").alias("sample_id"), F.repeat(F.lit("x"), (F.col("id") % 3).cast("int")).alias("solution"))
+    got = {r.sample_id for r in shortest_n(df, 1000).collect()}
+    assert got == {r.sample_id for r in df.orderBy(F.length("solution"), "sample_id").limit(1000).collect()}

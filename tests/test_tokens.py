@@ -26,6 +26,18 @@ def test_encode_cut_and_unknown(spark):
     assert got[1] == [0, 1, -1]
 
 
+def test_encode_repeats_and_hot_unknown_tokens(spark):
+    """Positions of repeated tokens in and outside the head, long rows."""
+    import random
+    rnd = random.Random(2)
+    texts = {i: [rnd.choice(["a", "b", "rare", "zz", "x"]) for _ in range(n)] for i, n in enumerate([0, 1, 7, 300, 9000])}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "sample_id long, text string")
+    ids = {"a": 0, "b": 1, "rare": 70_000, "zz": 70_001}
+    vocab = spark.createDataFrame(list(ids.items()), "token string, token_id long")
+    got = {r.sample_id: list(r.input_ids) for r in encode(df, vocab, max_length=8000).collect()}
+    assert got == {i: [ids.get(t, -1) for t in ts[:8000]] for i, ts in texts.items()}
+
+
 def test_pad_batch_lengths(spark):
     rows = [(1, list(range(8))), (2, [1]), (3, list(range(9))), (4, []), (5, []), (6, [])]
     df = spark.createDataFrame(rows, "sample_id long, input_ids array<int>")
