@@ -21,6 +21,7 @@ from corpusmill.functions.tokens import strip_tokens
 from corpusmill.jobs.common import load_table
 from corpusmill.operators.batches import (PAD_TOKEN, encode, epoch_plan, pad_batch, pad_token_id, padded_lengths,
                                           token_lengths, tokenized)
+from corpusmill.operators.external import external_ids
 from corpusmill.operators.think import coverage_gate, format_gate
 from corpusmill.operators.validate import drop_reason, effective_text, format_qa, route_format, validate_required
 from corpusmill.operators.vocab import add_special_tokens, build_vocab
@@ -40,8 +41,12 @@ def main(argv=None) -> None:
     p.add_argument("--vocab", help="existing vocabulary parquet (token, token_id)")
     p.add_argument("--settings", help="YAML/JSON settings file")
     p.add_argument("--max-length", type=int)
+    p.add_argument("--tokenizer", help="package.module:factory of an external tokenizer (texts -> ids); replaces the vocabulary")
+    p.add_argument("--pad-id", type=int, help="padding id of the external tokenizer")
     p.add_argument("--require-coverage", action="store_true", help="fail when too few rows hold think tags")
     a = p.parse_args(argv)
+    if a.tokenizer and (a.vocab or a.pad_id is None):
+        p.error("--tokenizer needs --pad-id and takes no --vocab")
     cfg = load_settings(a.settings)
     spark = get_session()
     with scratch_scope(spark):
@@ -76,18 +81,24 @@ def run(spark, a, cfg) -> None:
             raise SystemExit(f"think-tag coverage {coverage.share} is below {cfg.think_coverage}")
         log.warning("think-tag coverage %s is below %s", coverage.share, cfg.think_coverage)
     text = strip_tokens(effective_text(kept), cfg.remove_tokens) if cfg.remove_tokens else effective_text(kept)
-    toks = tokenized(kept.select(a.key, text.alias("eff_text")), "eff_text", a.key, special)
-    if a.vocab:
-        vocab = spark.read.parquet(a.vocab)
+    texts = kept.select(a.key, text.alias("eff_text"))
+    if a.tokenizer:
+        # cut already, written once: lengths, plan and batches read the same ids
+        toks = scratch_table(external_ids(texts, a.tokenizer, "eff_text", a.key, max_length), "ids")
+        ids, pad_id, counted = toks, a.pad_id, "input_ids"
     else:
-        add_special_tokens(build_vocab(toks, special=special, tokens_col="tokens"), (PAD_TOKEN,)) \
-            .write.mode("overwrite").parquet(f"{a.out}/vocab")
-        vocab = spark.read.parquet(f"{a.out}/vocab")
+        toks, counted = tokenized(texts, "eff_text", a.key, special), "tokens"
+        if a.vocab:
+            vocab = spark.read.parquet(a.vocab)
+        else:
+            add_special_tokens(build_vocab(toks, special=special, tokens_col="tokens"), (PAD_TOKEN,)) \
+                .write.mode("overwrite").parquet(f"{a.out}/vocab")
+            vocab = spark.read.parquet(f"{a.out}/vocab")
+        ids, pad_id = encode(toks, vocab, key=a.key, tokens_col="tokens", max_length=max_length), pad_token_id(vocab)
     plan = epoch_plan(toks, key=a.key, epochs=cfg.epochs, batch_size=cfg.batch_size, accum=cfg.grad_accum, seed=cfg.seed)
     plan.write.mode("overwrite").parquet(f"{a.out}/epochs")
-    batches = padded_lengths(token_lengths(toks, a.key, max_length=max_length), spark.read.parquet(f"{a.out}/epochs"), a.key)
-    ids = encode(toks, vocab, key=a.key, tokens_col="tokens", max_length=max_length)
-    pad_batch(ids, batches, pad_token_id(vocab), key=a.key).write.mode("overwrite").parquet(f"{a.out}/batches")
+    batches = padded_lengths(token_lengths(toks, a.key, counted, max_length), spark.read.parquet(f"{a.out}/epochs"), a.key)
+    pad_batch(ids, batches, pad_id, key=a.key).write.mode("overwrite").parquet(f"{a.out}/batches")
 
 
 if __name__ == "__main__":

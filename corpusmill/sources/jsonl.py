@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -19,6 +19,26 @@ def text_lines(raw: DataFrame) -> DataFrame:
     return raw.select("value", F.col("_metadata.file_path").alias("file")).filter(~is_blank("value"))
 
 
+def placed_lines(raw: DataFrame) -> DataFrame:
+    """(value, file, block, row): every line of a batch text source with the
+    input split it was read from and its number among the task's rows."""
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("at"))
+
+
+def numbered(some: DataFrame, raw: DataFrame) -> DataFrame:
+    """``some`` lines of ``placed_lines(raw)`` with ``line``, counted from 1 in
+    their file.  A split is read in order by one task, so a line's number is
+    the number of lines in earlier splits of its file (prefix sums over one row
+    per split) plus its distance from the split's first row.  Blank lines
+    count."""
+    splits = placed_lines(raw).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("before"))
+    return (some.join(splits, ["file", "block"])
+            .withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).drop("before", "first"))
+
+
 def parse_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
     """(value, file, row, bad): ``row`` by the schema; ``bad`` if the line is
     not one JSON object with values of the declared types.  Works on batches
@@ -34,28 +54,35 @@ def parse_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
     return out.withColumn("bad", F.coalesce(bad, F.lit(True))).withColumn("row", F.col("row").dropFields(_BAD))
 
 
+def _fail(bad: Column, place: Column) -> Column:
+    return F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON line in "), place, F.lit(": "), F.substring("value", 1, 200)))).otherwise(F.lit(True))
+
+
 def strict_rows(parsed: DataFrame) -> DataFrame:
     """The rows; the job fails on the first bad line it meets, naming the file
-    and the line text (Spark has no global line number)."""
-    checked = parsed.filter(F.when(F.col("bad"), F.raise_error(F.concat(
-        F.lit("invalid JSON line in "), F.col("file"), F.lit(": "), F.substring("value", 1, 200))))
-        .otherwise(F.lit(True)))
-    return checked.select("row.*")
+    and the line text (a stream has no line numbers)."""
+    return parsed.filter(_fail(F.col("bad"), F.col("file"))).select("row.*")
 
 
 def read_jsonl(spark: SparkSession, path, schema: StructType | str, mode: str = "strict"):
     """A1: one JSON object per line, UTF-8, declared schema.
 
-    strict: the job fails on the first bad line.  report: returns ``(rows,
-    bad_lines)``; ``bad_lines`` has (file, value).  A value of another type
-    than declared makes a line bad.  A missing path fails at once.  JSON null
-    stays null."""
-    parsed = parse_lines(text_lines(spark.read.text(path)), schema)
-    if mode == "strict":
-        return strict_rows(parsed)
-    if mode != "report":
+    strict: the job fails on a bad line, naming file and line number.  report:
+    returns ``(rows, bad_lines)``; ``bad_lines`` has (file, line, value).  A
+    value of another type than declared makes a line bad.  A missing path fails
+    at once.  JSON null stays null.  Line numbers cost a pass that counts lines
+    per split; it runs only with what reads the bad lines."""
+    raw = spark.read.text(path)
+    parsed = parse_lines(placed_lines(raw).filter(~is_blank("value")), schema)
+    if mode not in ("strict", "report"):
         raise ValueError("mode must be 'strict' or 'report'")
-    return parsed.filter(~F.col("bad")).select("row.*"), parsed.filter("bad").select("file", "value")
+    rows, bad = parsed.filter(~F.col("bad")).select("row.*"), parsed.filter("bad")
+    if mode == "report":
+        return rows, numbered(bad.select("file", "block", "at", "value"), raw).select("file", "line", "value")
+    # the lines that are bad fail the job with their number; usually there are none
+    place = F.concat(F.col("file"), F.lit(" line "), F.col("line").cast("string"))
+    failing = numbered(bad.select("file", "block", "at", "value", "row"), raw).filter(_fail(F.col("line") > 0, place))
+    return rows.unionByName(failing.select("row.*"))
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:

@@ -70,3 +70,53 @@ def test_report_job(spark):
     view(spark, SF_SMALL, "tagged").write.parquet(f"{base}/in")
     report.main(["--input", f"{base}/in", "--out", f"{base}/out", "--by", "lang"])
     assert spark.read.json(f"{base}/out/think_stats_by").count() == 5
+
+
+def byte_pairs():
+    """The tokenizer of a user: a public rank file with its library."""
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+    coder = tiktoken.Encoding("user", pat_str=public_tokenizers.PATTERN, special_tokens={},
+                              mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    return coder.encode_ordinary_batch
+
+
+def test_prepare_job_with_an_external_tokenizer(spark):
+    base = scratch_path(spark, "job-external")
+    write_jsonl(view(spark, SF_SMALL, "samples"), f"{base}/in")
+    prepare.main(["--input", f"{base}/in", "--schema", SCHEMA, "--out", f"{base}/out", "--max-length", "300",
+                  "--tokenizer", "tests.test_jobs:byte_pairs", "--pad-id", "50000"])
+    batches = {r.sample_id: r for r in spark.read.parquet(f"{base}/out/batches").filter("epoch = 1").collect()}
+    from corpusmill.operators.validate import drop_incomplete_qa, effective_text, format_qa, route_format
+    from corpusmill.functions.think import close_think
+    from corpusmill.functions.tokens import REMOVE_TOKENS, strip_tokens
+    kept = format_qa(drop_incomplete_qa(route_format(view(spark, SF_SMALL, "samples").withColumn("solution", close_think("solution")[0]))))
+    texts = {r.sample_id: r.t for r in kept.select("sample_id", strip_tokens(effective_text(kept), REMOVE_TOKENS).alias("t")).collect()}
+    encode = byte_pairs()
+    assert len(batches) > 50 and set(batches) <= set(texts)
+    for key, r in batches.items():
+        ids = encode([texts[key]])[0][:300]
+        assert list(r.input_ids) == ids + [50000] * (r.padded_len - len(ids)) and r.n_tokens == len(ids)
+
+
+def test_external_tokens_feed_vocabulary_and_encoder(spark):
+    from corpusmill.operators.batches import encode
+    from corpusmill.operators.external import external_ids, external_tokens
+    from corpusmill.operators.vocab import build_vocab
+    df = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "c " * 500)], "sample_id long, text string")
+
+    def words():
+        return lambda texts: [t.split() for t in texts]
+
+    toks = external_tokens(df, words, slice_bytes=3)
+    vocab = build_vocab(toks, special=(), tokens_col="tokens")
+    got = {r.sample_id: list(r.input_ids) for r in encode(toks, vocab, tokens_col="tokens").collect()}
+    assert got == {1: [1, 2, 1], 2: [], 3: [], 4: [0] * 500}
+
+    def broken():
+        return lambda texts: [[1]] * (len(texts) + 1)
+
+    import pytest
+    with pytest.raises(Exception, match="answers for"):
+        external_ids(df, broken).collect()

@@ -97,3 +97,30 @@ def test_sanitize_random_matches_python(spark):
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     got = {r.i: r.x for r in df.select("i", sanitize_name("n").alias("x")).collect()}
     assert got == {i: sanitize_name_py(n) for i, n in enumerate(names)}
+
+
+def test_bad_lines_are_numbered_over_several_splits(spark, tmp_path):
+    import json
+    import re
+
+    import pytest
+
+    from corpusmill.sources.jsonl import read_jsonl
+    bad = {7, 1500, 2999, 3000}
+    for name in ("a", "b"):
+        lines = ["{broken" if i in bad and name == "b" else "" if i % 100 == 50 else json.dumps({"x": i, "t": "y" * (i % 90)}) for i in range(1, 3001)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows, found = read_jsonl(spark, str(tmp_path), "x long, t string", mode="report")
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        assert sorted((r.file[-7:], r.line, r.value) for r in found.collect()) == [("b.jsonl", i, "{broken") for i in sorted(bad)]
+        assert rows.count() == 2 * 3000 - 4 - 2 * 30 + sum(i % 100 == 50 for i in bad)
+        with pytest.raises(Exception, match=r"b\.jsonl line \d+: \{broken") as caught:
+            read_jsonl(spark, str(tmp_path), "x long, t string").count()
+        assert int(re.search(r"line (\d+): \{broken", str(caught.value)).group(1)) in bad
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
