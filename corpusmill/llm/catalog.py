@@ -22,7 +22,7 @@ from corpusmill.llm.lpf_dedup import repeated_spans
 from corpusmill.llm.middle_fill import FIM_PERCENT, MIDDLE, PREFIX, SEED, SPM_PERCENT, SUFFIX, fill_in_middle
 from corpusmill.llm.simhash_vptree import simhash_components
 from corpusmill.llm.spans import span_columns
-from corpusmill.llm.template_decontam import MARKS, NAME, NUMBER, SIMILARITY, TOKEN, UNIT, UNITS, WIDTH, contaminated
+from corpusmill.llm.template_decontam import LITERALS, MARKS, NAME, NUMBER, SIMILARITY, TOKEN, UNIT, UNITS, WIDTH, contaminated
 from corpusmill.llm.url_rules import UPPER, judge_urls
 from corpusmill.llm.warc_shards import read_warc, write_warc
 from corpusmill.session import scratch_path
@@ -42,34 +42,66 @@ def query(key: str, sql: str | None = None):
 
 # ---- 1: benchmark decontamination ------------------------------------------
 
-def _template_sql(source: str, key: str) -> str:
-    """DuckDB: (key, pos, window, slots) of every window of a table's texts."""
-    marks = ", ".join("chr(10)" if m == "\n" else f"'{m}'" for m in MARKS)
+_MARKS = ", ".join("chr(10)" if m == "\n" else f"'{m}'" for m in MARKS)
+_HOLDERS = f"('{NUMBER}', '{UNIT}', '{NAME}')"
+
+
+def _words_sql(source: str, key: str) -> str:
+    """DuckDB: (k, id, words) of every distinct text; a word has its template
+    form n, its plain form p, the token r and whether it begins a sentence, f."""
     units = ", ".join(f"'{u}'" for u in UNITS)
-    word = f"""CASE WHEN x IN ({marks}) THEN NULL WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}'
-        WHEN i > 1 AND tk[i - 1][1] BETWEEN '0' AND '9' AND lower(x) IN ({units}) THEN '{UNIT}'
-        WHEN i > 1 AND lower(x) <> x AND tk[i - 1] NOT IN ({marks}) THEN '{NAME}' ELSE lower(x) END"""
-    return f"""SELECT {key}, pos, [s.w FOR s IN part] AS win,
-    [{{'t': s.w, 'v': s.r}} FOR s IN part IF s.w IN ('{NUMBER}', '{UNIT}', '{NAME}')] AS slots
-  FROM (SELECT {key}, pos, words[pos + 1:pos + {WIDTH}] AS part
-    FROM (SELECT {key}, words, unnest(range(greatest(len(words) - {WIDTH - 1}, 1))) AS pos
-      FROM (SELECT {key}, list_filter(list_transform(tk, lambda x, i: {{'w': {word}, 'r': x}}), lambda s: s.w IS NOT NULL) AS words
-        FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS tk FROM {source})) WHERE len(words) > 0))"""
+    name = f"""CASE WHEN x[1] BETWEEN '0' AND '9' THEN '{NUMBER}' WHEN lower(x) <> x THEN '{NAME}'
+        WHEN i > 1 AND tk[i - 1][1] BETWEEN '0' AND '9' AND lower(x) IN ({units}) THEN '{UNIT}' ELSE lower(x) END"""
+    return f"""SELECT k, id, list_filter(list_transform(tk, lambda x, i: {{'n': {name}, 'p': CASE WHEN x NOT IN ({_MARKS}) THEN lower(x) END, 'r': x,
+      'f': i = 1 OR tk[i - 1] IN ({_MARKS})}}), lambda s: s.p IS NOT NULL) AS words
+  FROM (SELECT k, row_number() OVER () AS id, regexp_extract_all(text, '{TOKEN}') AS tk
+    FROM (SELECT DISTINCT {key} AS k, coalesce(text, '') AS text FROM {source} WHERE {key} IS NOT NULL))"""
+
+
+def _windows_sql(words: str, lengths: str, names: str) -> str:
+    """(k, id, reading, pos, win, slots): plain windows of the lengths, and
+    those of the names reading that ``names`` admits."""
+    return f"""SELECT k, id, 'plain' AS reading, pos, [s.p FOR s IN part] AS win, NULL AS slots
+  FROM (SELECT k, id, pos, words[pos + 1:pos + w] AS part FROM (
+    SELECT k, id, words, w, unnest(range(greatest(len(words) - w + 1, 1))) AS pos FROM (SELECT k, id, words, unnest({lengths}) AS w FROM {words}) WHERE len(words) > 0))
+  UNION ALL SELECT k, id, 'names', pos, [s.n FOR s IN part], [{{'t': s.n, 'v': s.r, 'f': s.f}} FOR s IN part IF s.n IN {_HOLDERS}]
+  FROM (SELECT k, id, pos, words[pos + 1:pos + {WIDTH}] AS part FROM (
+    SELECT k, id, words, unnest(range(len(words) - {WIDTH - 1})) AS pos FROM {words} WHERE len(words) >= {WIDTH})) WHERE {names}"""
 
 
 @query("op1_template_decontam", f"""
-WITH d AS ({_template_sql("documents", "doc_id")}), b AS ({_template_sql("benchmark", "item_id")}),
-sizes AS (SELECT item_id, count(*) AS n_windows FROM b GROUP BY 1),
-al AS (SELECT doc_id, item_id, d.pos - b.pos AS shift, b.pos AS ipos, b.slots AS islots, d.slots AS dslots FROM d JOIN b USING (win)),
-vals AS (SELECT doc_id, item_id, shift, ipos, unnest(list_zip(islots, dslots)) AS z FROM al),
-val AS (SELECT doc_id, item_id, shift, ipos, z[1].t AS t, z[1].v AS f, z[2].v AS g FROM vals),
-cnt AS (SELECT doc_id, item_id, shift, t, f, g, count(*) AS n FROM val GROUP BY ALL),
-pick AS (SELECT doc_id, item_id, shift, t, f, max({{'n': n, 'g': g}}).g AS g FROM cnt GROUP BY ALL),
-bad AS (SELECT DISTINCT v.doc_id, v.item_id, v.shift, v.ipos FROM val v JOIN pick p USING (doc_id, item_id, shift, t, f) WHERE v.g <> p.g),
-ok AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_matched FROM al ANTI JOIN bad USING (doc_id, item_id, shift, ipos) GROUP BY ALL),
-changed AS (SELECT doc_id, item_id, count(DISTINCT (t, f)) AS n_changed FROM pick WHERE f <> g GROUP BY ALL)
-SELECT doc_id, item_id, n_windows, n_matched, n_matched / n_windows AS similarity, coalesce(n_changed, 0) AS n_changed
-FROM ok JOIN sizes USING (item_id) LEFT JOIN changed USING (doc_id, item_id) WHERE n_matched >= n_windows * {SIMILARITY}""")
+WITH dw AS MATERIALIZED ({_words_sql("documents", "doc_id")}),
+bw AS MATERIALIZED ({_words_sql("(SELECT * FROM benchmark WHERE text IS NOT NULL)", "item_id")}),
+b AS MATERIALIZED ({_windows_sql("bw", f"[{WIDTH}]", f"len([s.n FOR s IN part IF s.n NOT IN {_HOLDERS}]) > 0 AND len([s.n FOR s IN part IF s.n NOT IN ('{NUMBER}', '{NAME}')]) >= {LITERALS}")}),
+lens AS (SELECT list_distinct([{WIDTH}] || coalesce(list(len(words)) FILTER (WHERE len(words) BETWEEN 1 AND {WIDTH - 1}), [])) AS ls FROM bw),
+d AS MATERIALIZED ({_windows_sql("dw", "(SELECT ls FROM lens)", "true")}),
+sizes AS (SELECT id AS bid, count(*) AS n FROM b WHERE reading = 'plain' GROUP BY 1),
+met AS MATERIALIZED (SELECT d.k AS doc_id, d.id AS did, b.k AS item_id, b.id AS bid, reading, d.pos, b.pos AS ipos, d.slots AS ds, b.slots AS bs FROM d JOIN b USING (reading, win)),
+counts AS (SELECT doc_id, did, item_id, bid, n, count(DISTINCT ipos) FILTER (WHERE reading = 'plain') AS n_plain, count(DISTINCT ipos) AS n_any
+  FROM met JOIN sizes USING (bid) GROUP BY ALL),
+todo AS (SELECT did, bid FROM counts WHERE n_any >= n * {SIMILARITY} AND n_plain < n * {SIMILARITY}),
+al AS MATERIALIZED (SELECT did, bid, pos - ipos AS shift, ipos, bs, ds FROM met JOIN todo USING (did, bid) WHERE reading = 'names'),
+val0 AS (SELECT did, bid, shift, ipos, z[1].t AS t, z[1].v AS f, z[2].v AS g, z[1].f OR z[2].f AS first FROM (SELECT did, bid, shift, ipos, unnest(list_zip(bs, ds)) AS z FROM al)),
+swapped AS (SELECT did, bid, shift, ipos, unnest([lower(f), lower(g)]) AS word FROM val0 WHERE t = '{NAME}' AND first AND f <> g),
+texts AS (SELECT coalesce(text, '') AS text FROM documents WHERE doc_id IS NOT NULL UNION ALL SELECT text FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)),
+forms AS (SELECT unnest(list_distinct(list_filter(list_transform(tk, lambda x, i: CASE WHEN x IN ({_MARKS}) OR x[1] BETWEEN '0' AND '9' THEN NULL
+    WHEN lower(x) = x THEN x WHEN i > 1 AND tk[i - 1] NOT IN ({_MARKS}) THEN '#' || lower(x) END), lambda x: x IS NOT NULL))) AS form
+  FROM (SELECT regexp_extract_all(text, '{TOKEN}') AS tk FROM texts WHERE EXISTS (SELECT 1 FROM swapped))),
+ordinary AS (SELECT ltrim(form, '#') AS word FROM forms GROUP BY 1 HAVING count(*) > 2 * count(*) FILTER (WHERE form[1] = '#')),
+barred AS (SELECT DISTINCT did, bid, shift, ipos FROM swapped JOIN ordinary USING (word)),
+val AS (SELECT * FROM val0 ANTI JOIN barred USING (did, bid, shift, ipos)),
+cnt AS (SELECT did, bid, shift, t, f, g, count(*) AS n FROM val GROUP BY ALL),
+pick AS (SELECT did, bid, shift, t, f, max({{'n': n, 'g': g}}).g AS g FROM cnt GROUP BY ALL),
+bad AS (SELECT DISTINCT v.did, v.bid, v.shift, v.ipos FROM val v JOIN pick p USING (did, bid, shift, t, f) WHERE v.g <> p.g),
+good AS (SELECT did, bid, ipos FROM al ANTI JOIN barred USING (did, bid, shift, ipos) ANTI JOIN bad USING (did, bid, shift, ipos)
+  UNION SELECT did, bid, ipos FROM met JOIN todo USING (did, bid) WHERE reading = 'plain'),
+ok AS (SELECT did, bid, count(DISTINCT ipos) AS m FROM good GROUP BY ALL),
+changed AS (SELECT did, bid, count(DISTINCT (t, f)) AS c FROM pick WHERE f <> g GROUP BY ALL),
+held AS (SELECT doc_id, item_id, n, n_plain AS m, 0 AS c FROM counts WHERE n_plain >= n * {SIMILARITY}
+  UNION ALL SELECT doc_id, item_id, n, ok.m, coalesce(changed.c, 0) FROM counts JOIN ok USING (did, bid) LEFT JOIN changed USING (did, bid)
+  WHERE n_plain < n * {SIMILARITY} AND ok.m >= n * {SIMILARITY})
+SELECT doc_id, item_id, x.n AS n_windows, x.m AS n_matched, x.s AS similarity, x.c AS n_changed
+FROM (SELECT doc_id, item_id, max({{'s': m / n, 'n': n, 'm': m, 'c': c}}) AS x FROM held GROUP BY ALL)""")
 def op1_template_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

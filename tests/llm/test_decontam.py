@@ -11,50 +11,73 @@ from corpusmill.llm import template_decontam as td
 from ..conftest import SF_SMALL
 
 
+HOLDERS = (td.NUMBER, td.UNIT, td.NAME)
+
+
+def tokens(text):
+    return re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]", text or "")
+
+
 def words(text):
-    tokens = re.findall(r"[^\W\d_]+|[0-9]+(?:[.,][0-9]+)*|[.!?\n]", text or "")
-    out = []
-    for i, x in enumerate(tokens):
-        before = tokens[i - 1] if i else None
+    """(template word, plain word, token, begins a sentence)."""
+    tk, out = tokens(text), []
+    for i, x in enumerate(tk):
+        before = tk[i - 1] if i else None
         if x in td.MARKS:
             continue
         if x[0] in "0123456789":
             w = td.NUMBER
-        elif before and before[0] in "0123456789" and x.lower() in td.UNITS:
-            w = td.UNIT
-        elif x.lower() != x and before is not None and before not in td.MARKS:
+        elif x.lower() != x:
             w = td.NAME
+        elif before and before[0] in "0123456789" and x in td.UNITS:
+            w = td.UNIT
         else:
-            w = x.lower()
-        out.append((w, x))
+            w = x
+        out.append((w, x.lower(), x, before is None or before in td.MARKS))
     return out
 
 
-def windows(text):
-    ws = words(text)
-    return [ws[i:i + 5] for i in range(max(1, len(ws) - 4))] if ws else []
+def windows(ws, width):
+    return [ws[i:i + width] for i in range(max(1, len(ws) - width + 1))] if ws else []
+
+
+def ordinary(docs, items):
+    lower, name = Counter(), Counter()
+    for _, text in [r for r in docs if r[0] is not None] + [r for r in dict.fromkeys(items) if None not in r]:
+        tk = [t for t in tokens(text)]
+        lower.update({x for x in tk if x[0].isalpha() and x.lower() == x})
+        name.update({x.lower() for i, x in enumerate(tk) if x[0].isalpha() and x.lower() != x and i and tk[i - 1] not in td.MARKS})
+    return {w for w in lower if lower[w] > name[w]}
 
 
 def plain(docs, items):
-    out = []
-    for d, dt in docs:
+    common, best = ordinary(docs, items), {}
+    items = [r for r in dict.fromkeys(items) if None not in r]
+    for d, dt in dict.fromkeys(docs):
         for b, bt in items:
-            if d is None or b is None:
+            dw, bw = words(dt), words(bt)
+            iw = windows(bw, 5)
+            if d is None or not iw:
                 continue
-            bw, by = windows(bt), defaultdict(list)
-            for p, w in enumerate(windows(dt)):
-                by[tuple(x for x, _ in w)].append((p, w))
-            al = [(p - i, i, w, v) for i, w in enumerate(bw) for p, v in by[tuple(x for x, _ in w)]]
-            votes = defaultdict(Counter)
-            for s, _, w, v in al:
-                for (t, f), (_, g) in zip(w, v):
-                    if t in (td.NUMBER, td.UNIT, td.NAME):
+            exact = {tuple(w[1] for w in x) for x in windows(dw, len(bw) if len(bw) < 5 else 5)}
+            literal = {i for i, w in enumerate(iw) if tuple(x[1] for x in w) in exact}
+            found, changed = literal, 0
+            if len(literal) < 0.8 * len(iw) and min(len(dw), len(bw)) >= 5:
+                al = [(p - i, i, w, v) for i, w in enumerate(iw) for p, v in enumerate(windows(dw, 5))
+                      if [x[0] for x in w] == [x[0] for x in v] and any(x[0] not in HOLDERS for x in w) and sum(x[0] not in (td.NUMBER, td.NAME) for x in w) >= td.LITERALS]
+                slots = lambda w, v: [(x[0], x[2], y[2], x[3] or y[3]) for x, y in zip(w, v) if x[0] in HOLDERS]
+                al = [(s, i, slots(w, v)) for s, i, w, v in al]
+                al = [x for x in al if not any(t == td.NAME and first and f != g and {f.lower(), g.lower()} & common for t, f, g, first in x[2])]
+                votes = defaultdict(Counter)
+                for s, _, sl in al:
+                    for t, f, g, _ in sl:
                         votes[s, t, f][g] += 1
-            pick = {k: max(c.items(), key=lambda x: (x[1], x[0]))[0] for k, c in votes.items()}
-            ok = {i for s, i, w, v in al if all(pick.get((s, t, f), g) == g for (t, f), (_, g) in zip(w, v))}
-            if bw and len(ok) >= 0.8 * len(bw):
-                out.append((d, b, len(bw), len(ok), len({(t, f) for (_, t, f), g in pick.items() if f != g})))
-    return sorted(out)
+                pick = {k: max(c.items(), key=lambda x: (x[1], x[0]))[0] for k, c in votes.items()}
+                found = literal | {i for s, i, sl in al if all(pick[s, t, f] == g for t, f, g, _ in sl)}
+                changed = len({(t, f) for (_, t, f), g in pick.items() if f != g})
+            if len(found) >= 0.8 * len(iw):
+                best[d, b] = max(best.get((d, b), (0,)), (len(found) / len(iw), len(iw), len(found), changed))
+    return sorted((d, b, *v[1:]) for (d, b), v in best.items())
 
 
 ITEM = "Tom has 5 apples and gives 2 to Anna near the old mill. How many apples are left after 3 days if Tom eats 5 kg?"
@@ -81,7 +104,7 @@ def found(df):
 def test_equals_restatement(spark):
     docs, items = frames(spark)
     got = found(td.contaminated(docs, items))
-    assert got == plain([r for r in dict.fromkeys(ROWS)], ITEMS)
+    assert got == plain(ROWS, ITEMS)
     held = {(d, i): c for d, i, _, _, c in got}
     assert held[1, 1] == 0 and held[2, 1] > 0 and (7, 2) in held and (4, 1) not in held
     kept = td.drop_contaminated(docs, items)
@@ -153,3 +176,58 @@ def test_registered_queries_match_their_sql(spark):
         at = [[c[0] for c in want.description].index(c) for c in columns]
         assert sorted((tuple(clean(r)[i] for i in at) for r in want.fetchall()), key=str) == sorted(
             map(clean, map(tuple, got.select(*columns).collect())), key=str), name
+
+
+MANY = [ITEM, "What is the capital of France?", "How many legs does a spider have?", "What is 7 + 5?", "Name three colours",
+        "Tom has 3 apples. Mary has 4 apples. Bob has twice as many apples. How many apples do they have together?",
+        "1 2 3 4 5 6", "Who wrote Old Man And Sea Of Life", "the number of birds in a big tree is 5 km from the old mill"]
+
+
+def varied(n):
+    """Items behind labels, in quotes, re-parameterised, damaged, twice."""
+    import random
+    rng, out = random.Random(11), []
+    for i in range(n):
+        text = " ".join(rng.sample(MANY, rng.randint(0, 3)))
+        for a, b in rng.sample([("Tom", "Ina"), ("Mary", "Carl"), ("Bob", "Eve"), ("3", "8"), ("4", "6"), ("5", "9"), ("How", "What"), ("France", "Spain"),
+                                ("apples", "pears"), ("kg", "lb"), ("What", "Paris"), ("is", "IS"), ("old", "very old")], rng.randint(0, 4)):
+            text = text.replace(a, b)
+        text = rng.choice(["", "Q: ", "3) ", '"', "A long story. ", "the end "]) + text
+        out.append((i if rng.random() < 0.9 else i // 2, text.upper() if rng.random() < 0.1 else text))
+    return out
+
+
+def test_all_readings_equal_restatement_and_sql(spark):
+    rows, items = varied(150) + ROWS, [*enumerate(MANY), *[(100 + i, t) for i, t in ITEMS if i]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain(rows, items)
+    assert found(td.contaminated(docs, bench)) == want and any(r[4] for r in want)
+    con = duckdb.connect()
+    for name, data, cols in (("documents", rows, "doc_id"), ("benchmark", items, "item_id")):
+        con.execute(f"CREATE TABLE {name} ({cols} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", data)
+    got = con.execute(f"SELECT doc_id, item_id, n_windows, n_matched, n_changed FROM ({catalog.ORACLE['op1_template_decontam']})").fetchall()
+    assert sorted(got) == want
+
+
+def test_placeholders_are_no_evidence(spark):
+    items = spark.createDataFrame([(1, "1 2 3 4 5 6"), (2, "Who wrote Old Man And Sea Of Life")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Table of sales: 10 20 30 40 50 60 70 80"), (2, "Tom wrote Harry Potter And Goblet Of Fire"),
+                                  (3, "count: 1 2 3 4 5 6 7")], "doc_id long, text string")
+    assert [(d, i) for d, i, *_ in found(td.contaminated(docs, items))] == [(3, 1)]
+
+
+def test_texts_of_one_id_are_judged_one_by_one(spark):
+    half = len(ITEM) // 2
+    rows = [(1, ITEM), (1, "clean text of the same id"), (2, ITEM[:half]), (2, ITEM[half:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = td.drop_contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert sorted(map(tuple, kept.collect())) == sorted(rows[1:])
+
+
+def test_very_long_text(spark):
+    long = "word after Word 12 times. " * 60_000
+    docs = spark.createDataFrame([(1, long), (2, long + "Q: " + ITEM)], "doc_id long, text string")
+    got = found(td.contaminated(docs, spark.createDataFrame([(1, ITEM)], "item_id long, text string")))
+    assert [(d, i, c) for d, i, _, _, c in got] == [(2, 1, 0)]
