@@ -6,9 +6,12 @@ the larger sum of margins).  Features are hashed counts of byte 1-, 2- and
 3-grams of the lower-cased letters, scaled to length 1.
 
 The machines are fitted on a bounded sample: per language the
-``min(per_language, sample_rows / languages)`` labelled documents that come
-first by a hash of their id.  Prediction reads every text whole and uses
-nothing but the text.
+``min(per_language, sample_rows / languages)``, at least 1, distinct labelled
+documents that come first by a hash of id and text.  A threshold of that hash,
+taken from the counts per language, is applied before anything is shuffled, so
+neither a frequent language nor a repeated id meets in one task, and no language
+can crowd out another.  Prediction reads every text whole, of any length, and
+uses nothing but the text.
 
 Defined results: null text, or one without a letter, is ``und`` with score 0;
 without labelled rows everything is ``und``; with one language every other
@@ -34,6 +37,8 @@ from corpusmill.llm.common import spill_table, text_batches
 DIMENSIONS = 4096
 PER_LANGUAGE = 1000
 SAMPLE_ROWS = 20_000
+# a winner of both levels scores 0.25 or more; the pipeline rejects what is near a tie on both
+MIN_SCORE = 0.3
 FAMILY_ROWS = 4000  # of the sample, at most so many fit one machine between families
 
 # families of languages; a language not listed here is a family of its own
@@ -162,30 +167,31 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from the labelled rows that are not held out (bounded sample)."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key)))
-    named = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    languages = named.select("lang").distinct().count()
-    each = max(1, min(per_language, sample_rows // max(1, languages)))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = spill_table(named.select("key", "lang").withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= each)
-                         .select("key", "lang").distinct(), "lid-sample")
-    # at most sample_rows keys: a proven bound
-    rows = named.join(F.broadcast(chosen), ["lang", "key"], "left_semi")
+    named = labelled.select(F.xxhash64(key, text).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    languages = spill_table(named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "lid-languages")
+    each = max(1, min(per_language, sample_rows // max(1, languages.count())))
+    # about 4 times as many as wanted pass (of few documents all do), exactly ``each`` of them are taken
+    share = F.col("n") / F.lit(4.0 * each + 64)
+    passed = named.select("lang", "h").join(F.broadcast(languages), "lang").where((share <= 1) | (F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) / share))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = spill_table(passed.select("lang", "h").distinct().withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= each).select("lang", "h"), "lid-sample")
+    # at most ``each`` per language: a proven bound, also of what reaches the driver
+    rows = named.join(F.broadcast(chosen), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for k, name, t in zip(*(batch.column(c).to_pylist() for c in ("key", "lang", "text"))):
+            for k, name, t in zip(*(batch.column(c).to_pylist() for c in ("h", "lang", "text"))):
                 if has_letter(t):
                     v = counts(t)
                     at = np.nonzero(v)[0].astype(np.int16)
-                    found.append((str(k), name, at.tobytes(), v[at].astype(np.float32).tobytes()))
+                    found.append((k, name, at.tobytes(), v[at].astype(np.float32).tobytes()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                    zip(*found), (pa.string(), pa.string(), pa.binary(), pa.binary()))], ["key", "lang", "at", "value"])
+                    zip(*found), (pa.int64(), pa.string(), pa.binary(), pa.binary()))], ["h", "lang", "at", "value"])
 
-    sample = text_batches(rows.select("key", "lang", "text")).mapInArrow(run, "key string, lang string, at binary, value binary").toArrow().to_pylist()
-    sample.sort(key=lambda r: (r["key"], r["lang"], r["at"], r["value"]))
-    sample = sample[:2 * sample_rows]  # ids that repeat without bound do not swell the fit
+    sample = text_batches(rows.select("h", "lang", "text")).mapInArrow(run, "h long, lang string, at binary, value binary").toArrow().to_pylist()
+    sample.sort(key=lambda r: (r["h"], r["lang"]))
     x = np.zeros((len(sample), DIMENSIONS), np.float32)
     for i, r in enumerate(sample):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["value"], np.float32)
@@ -207,14 +213,19 @@ def predict(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: st
     return text_batches(light).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` without those whose language cannot be told (``und``)."""
+def keep_identified(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: float = MIN_SCORE) -> DataFrame:
+    """``docs`` without those whose language cannot be told: ``und``, or a
+    prediction with a score below ``least``.  A null language is filled with
+    the predicted one; a given one stays."""
     model, columns = fit(docs, key, text, lang), docs.columns
-    at = columns.index(text)
+    at, named = columns.index(text), columns.index(lang)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            told = [model.predict(t.as_py())[0] != "und" for t in batch.column(at)]
-            yield batch.filter(pa.array(told, pa.bool_()))
+            told = [model.predict(t.as_py()) for t in batch.column(at)]
+            given = batch.column(named)
+            filled = [old.as_py() if old.is_valid else new for old, (new, _) in zip(given, told)]
+            out = batch.set_column(named, batch.schema.field(named), pa.array(filled, given.type))
+            yield out.filter(pa.array([new != "und" and score >= least for new, score in told], pa.bool_()))
 
     return text_batches(docs).mapInArrow(run, docs.schema)
