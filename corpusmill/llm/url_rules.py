@@ -1,10 +1,12 @@
 """URL filter: host-suffix and path-prefix expressions against a rule table.
 
-Every URL is expanded into the expressions ``host suffix + path prefix`` of the
-shapes (host labels, path length) that occur among the rules.  The distinct
-expressions are equi-joined with the rules on a short hash prefix, a hit is
-confirmed by the full digest, and the confirmed rules are ranked by length.
-DataFrame functions only.
+Every URL is expanded into its host suffixes, which meet the hosts of the rules
+on a short hash prefix (confirmed by the full digest); a suffix that rules know
+is expanded into the path prefixes of the lengths they have there.  The
+expressions ``host suffix + path prefix`` are equi-joined with the rules in the
+same way, and the confirmed rules are ranked by length.  Nothing depends on the
+number of rules or of their shapes: hosts and rules are tables, broadcast only
+if measured small.  DataFrame functions only.
 
 Defined results:
 
@@ -27,8 +29,6 @@ from corpusmill.llm.common import small_side, spill_table
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # hex digits of the digest used as the join key
 PREFIX_DIGITS = 8
-# a rule list with more distinct (host labels, path length) shapes is refused
-MAX_SHAPES = 4096
 
 
 def url_host(url: Column) -> Column:
@@ -49,12 +49,17 @@ def _digest(expr: Column) -> Column:
     return F.sha2(expr.cast("binary"), 256)
 
 
+def _keyed(rows: DataFrame, expr: Column, digest: str, prefix: str) -> DataFrame:
+    """``rows`` with the digest of ``expr`` and its first digits, the join key."""
+    return rows.withColumn(digest, _digest(expr)).withColumn(prefix, F.substring(digest, 1, PREFIX_DIGITS))
+
+
 def prepare_rules(rules: DataFrame) -> DataFrame:
     """One row per (host, path): rule text, action, digest, shape, rank."""
     text = F.concat("host", "path")
     return (rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & F.col("action").isNotNull())
             .groupBy("host", "path").agg(F.max("action").alias("action"))  # 'block' > 'allow'
-            .select(text.alias("rule"), "action", _digest(text).alias("digest"),
+            .select("host", text.alias("rule"), "action", _digest(text).alias("digest"),
                     F.size(F.split("host", r"\.")).alias("labels"),
                     F.length("path").alias("path_len"), F.length(text).alias("rank")))
 
@@ -66,34 +71,28 @@ def judge_urls(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str
     ``rules``: host, path, action ('allow' or 'block').  A rule fits its host
     and every subdomain when the url's path starts with the rule's path; the
     longest rule text wins."""
-    spec = prepare_rules(rules)
-    # bounded by MAX_SHAPES, whatever the number of rules
-    shapes = [(r["labels"], r["path_len"]) for r in
-              spec.select("labels", "path_len").distinct().limit(MAX_SHAPES + 1).collect()]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"more than {MAX_SHAPES} distinct rule shapes")
+    spec = spill_table(prepare_rules(rules), "url-rules")
+    deepest, longest = spec.agg(F.max("labels"), F.max("path_len")).first()
     parsed = urls.select(F.col(key).alias("_key"), url_host(F.col(url)).alias("_host"), url_path(F.col(url)).alias("_path"))
-    if not shapes:
+    if deepest is None:
         return parsed.select(F.col("_key").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"),
                              F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     # what the rules can see of a url: its last labels and its first path characters
-    deepest, longest = max(k for k, _ in shapes), max(n for _, n in shapes)
     tail = F.substring_index("_host", ".", -(deepest + 1))
     view = parsed.withColumns({"_tail": tail, "_head": F.substring("_path", 1, longest)})
-
-    labels = F.size(F.split("_tail", r"\."))
-    expressions = F.array(*[
-        F.when((labels >= k) & (F.length("_head") >= n),
-               F.concat(F.substring_index("_tail", ".", -k), F.substring("_head", 1, n)))
-        for k, n in sorted(shapes)])
-    # hot hosts meet once: distinct (partial) views before the join
+    # hot hosts meet once: distinct (partial) views before the joins
     views = view.select("_tail", "_head").distinct()
-    expanded = (views.select("_tail", "_head", F.explode(F.array_distinct(F.array_compact(expressions))).alias("_expr"))
-                .withColumn("_full", _digest(F.col("_expr")))
-                .withColumn("_prefix", F.substring("_full", 1, PREFIX_DIGITS)))
-    keyed = small_side(spec.withColumn("_prefix", F.substring("digest", 1, PREFIX_DIGITS)), "rule")
-    hits = (expanded.join(keyed, "_prefix").where(F.col("_full") == F.col("digest"))
+
+    suffixes = F.expr(f"transform(sequence(1, least(size(split(_tail, '[.]')), {deepest})), k -> substring_index(_tail, '.', -k))")
+    hosts = spec.groupBy(F.col("host").alias("_rule_host")).agg(F.collect_set("path_len").alias("_lengths"))
+    hosts = _keyed(hosts, F.col("_rule_host"), "_host_digest", "_host_prefix")
+    suffixed = _keyed(views.select("_tail", "_head", F.explode(suffixes).alias("_suffix")), F.col("_suffix"), "_full", "_host_prefix")
+    known = (suffixed.join(small_side(hosts, "_rule_host"), "_host_prefix").where(F.col("_full") == F.col("_host_digest"))
+             .select("_tail", "_head", "_suffix", F.explode("_lengths").alias("_n")).where(F.length("_head") >= F.col("_n")))
+    expressed = known.select("_tail", "_head", F.concat("_suffix", F.expr("substring(_head, 1, _n)")).alias("_expr"))
+    keyed = small_side(spec.select("rule", "action", "rank", "digest", F.substring("digest", 1, PREFIX_DIGITS).alias("_prefix")), "rule")
+    hits = (_keyed(expressed, F.col("_expr"), "_full", "_prefix").join(keyed, "_prefix").where(F.col("_full") == F.col("digest"))
             .groupBy("_tail", "_head")
             .agg(F.max(F.struct("rank", "rule", "action")).alias("_best")))
     hits = spill_table(hits, "url-hits")  # its own exchange, so that AQE can split hot views

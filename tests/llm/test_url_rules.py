@@ -31,3 +31,11 @@ def test_rules(spark):
         assert sorted(((str(r.page_id), r.host, r.path, r.rule, r.verdict) for r in got), key=str) == sorted(
             ((str(i), *plain(u, [(h, p, a) for (h, p), a in one.items()])) for i, u, _ in rows), key=str)
     assert url_rules.judge_urls(urls.limit(0), rules).collect() == []
+
+
+def test_ten_thousand_shapes(spark):
+    """Hosts of many depths with paths of many lengths."""
+    rules = [(".".join(["a"] * (d % 100 + 1)), "/" + "p" * n, "block" if (d + n) % 3 else "allow") for d in range(100) for n in range(100)]
+    urls = [(i, f"http://{'.'.join(['a'] * (i * 7 % 130 + 1))}/{'p' * (i * 11 % 150)}q") for i in range(60)]
+    got = url_rules.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string"))
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.collect()) == sorted((i, *plain(u, rules)) for i, u in urls)
