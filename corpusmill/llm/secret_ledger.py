@@ -44,13 +44,17 @@ class Rule:
         return [m.span() for m in re.finditer(self.pattern, text, re.ASCII) if len(m[self.group]) >= self.least]
 
 
+# unseen blobs are broadcast to the texts up to this measured size
+UNSEEN_BYTES = 32 << 20
+
 BASE_KINDS = ("assign", "access", "hex")
 RULES = (
     Rule("assign", 1, r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", 1, r"[0-9a-f]{24,}"),  # leftmost runs of 24 or more: whole runs
     Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("signed_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # starts where a run of its characters starts, so no run is read more than a few times
+    Rule("signed_token", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
 
 FINDINGS = T.ArrayType(T.StructType([
@@ -103,20 +107,22 @@ def scan_versions(versions: DataFrame, ledger: str, key: str = "doc_id", text: s
     if known is None:
         todo = texts.dropDuplicates(["blob"]).withColumn("rules", current)
     else:
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = (texts.join(seen, "blob", "left").dropDuplicates(["blob"])
-                .withColumn("rules", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))))
-                .where(F.size("rules") > 0))
+        # digests and rule versions first; a text moves only if one is unseen
+        seen = known.select("blob", F.explode("rules").alias("rule")).distinct().groupBy("blob").agg(F.collect_list("rule").alias("seen"))
+        unseen = texts.select("blob").distinct().join(seen, "blob", "left").select(
+            "blob", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+        unseen = spill_table(unseen, "unseen-blobs", few=True)
+        small = unseen.count() * (64 + 32 * len(names)) <= UNSEEN_BYTES
+        todo = texts.join(F.broadcast(unseen) if small else unseen, "blob").dropDuplicates(["blob"])
     _scan(todo, rules).write.mode("append").parquet(ledger)
 
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     wanted = F.filter("findings", lambda f: F.concat(f["kind"], F.lit("@"), f["version"].cast("string")).isin(*names))
-    found = (read_ledger(spark, ledger).select("blob", wanted.alias("findings")).where(F.size("findings") > 0)
-             .groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings")))
-    ranked = F.array_sort(F.transform("findings", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("rank"),
-                                                                     f["kind"].alias("kind"), f["end"].alias("end"))))
+    # distinct: runs at the same time may have entered a blob more than once
+    found = read_ledger(spark, ledger).select("blob", F.explode(wanted).alias("f")).select("blob", "f.start", "f.kind", "f.end").distinct()
+    ranked = F.array_sort(F.collect_list(F.struct("start", order[F.col("kind")].alias("rank"), "kind", "end")))
     # written, so that the join is one of two exchanges and AQE can split a hot blob
-    found = spill_table(found.select("blob", ranked.alias("findings")), "secret-findings", few=True)
+    found = spill_table(found.groupBy("blob").agg(ranked.alias("findings")), "secret-findings", few=True)
     rows = versions.select(F.col(key).alias("key"), blob_of(F.col(text)).alias("blob"))
     return (rows.join(found, "blob", "left")
             .select(F.col("key").alias(key), "blob", F.coalesce("findings", F.array().cast(found.schema["findings"].dataType)).alias("findings")))

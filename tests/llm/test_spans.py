@@ -96,3 +96,41 @@ def test_ledger_is_incremental(spark, tmp_dir):
     got = ledger.scan_versions(more, tmp_dir, rules=newer)
     assert {r.doc_id: [(f.kind, f.start, f.end) for f in r.findings] for r in got.collect()} == {5: [], 6: [("assign", 0, 14)]}
     assert ledger.scan_versions(df.limit(0), tmp_dir).collect() == []
+
+
+def test_entries_made_twice_count_once(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "token = abcdef1 AKIA" + "A" * 16)], "doc_id long, text string")
+    ledger.scan_versions(df, tmp_dir)
+    rows = ledger.read_ledger(spark, tmp_dir).collect()
+    spark.createDataFrame(rows, ledger.LEDGER).write.mode("append").parquet(tmp_dir)  # another run at the same time
+    assert [(f.kind, f.start) for f in ledger.scan_versions(df, tmp_dir).first().findings] == [("assign", 0), ("access", 16)]
+
+
+def test_known_texts_are_not_shuffled(spark, tmp_dir, monkeypatch):
+    """The second run's texts: only those of unseen blobs reach the scan."""
+    old = spark.range(300).selectExpr("id AS doc_id", "concat('token = abcdef', id, repeat(' x', 3000)) AS text")
+    ledger.scan_versions(old, tmp_dir)
+    scanned = []
+    real = ledger._scan
+    monkeypatch.setattr(ledger, "_scan", lambda todo, rules: (scanned.append(todo), real(todo, rules))[1])
+    new = old.unionByName(spark.createDataFrame([(999, "secret: abcdefg")], "doc_id long, text string"))
+    got = ledger.scan_versions(new, tmp_dir).where("size(findings) = 1").count()
+    assert got == 301
+    plan = scanned[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and ledger.read_ledger(spark, tmp_dir).count() == 301
+
+
+def test_linear_time_on_hostile_texts():
+    import time
+    n = 1 << 20
+    texts = ["eyJ" * (n // 3), "eyJabcdefgh." * (n // 12), "token" * (n // 5), "token:" + " " * n, "AKIA" * (n // 4), "deadbeef " * (n // 9),
+             "-----BEGIN " * (n // 11), "0123456789abcdef0123456" * (n // 23), "a@" * (n // 2), "+1 " * (n // 3), "1." * (n // 2), "1 " * (n // 2), "http://" * (n // 7)]
+    start = time.time()
+    for text in texts:
+        for rule in ledger.RULES:
+            rule.spans(text)
+    assert time.time() - start < 60
+    start = time.time()
+    for text in texts:
+        pii.find_spans(text)
+    assert time.time() - start < 120
