@@ -53,18 +53,22 @@ def ordinary(docs, items):
 def plain(docs, items):
     common, best = ordinary(docs, items), {}
     items = [r for r in dict.fromkeys(items) if None not in r]
+    read = [(b, words(bt)) for b, bt in items]
     for d, dt in dict.fromkeys(docs):
-        for b, bt in items:
-            dw, bw = words(dt), words(bt)
+        dw, by = words(dt), defaultdict(list)
+        for p, v in enumerate(windows(dw, 5)):
+            by[tuple(x[0] for x in v)].append((p, v))
+        exacts = {n: {tuple(w[1] for w in x) for x in windows(dw, n)} for n in {min(len(bw), 5) for _, bw in read} - {0}}
+        for b, bw in read:
             iw = windows(bw, 5)
             if d is None or not iw:
                 continue
-            exact = {tuple(w[1] for w in x) for x in windows(dw, len(bw) if len(bw) < 5 else 5)}
+            exact = exacts[min(len(bw), 5)]
             literal = {i for i, w in enumerate(iw) if tuple(x[1] for x in w) in exact}
             found, changed = literal, 0
             if len(literal) < 0.8 * len(iw) and min(len(dw), len(bw)) >= 5:
-                al = [(p - i, i, w, v) for i, w in enumerate(iw) for p, v in enumerate(windows(dw, 5))
-                      if [x[0] for x in w] == [x[0] for x in v] and any(x[0] not in HOLDERS for x in w) and sum(x[0] not in (td.NUMBER, td.NAME) for x in w) >= td.LITERALS]
+                al = [(p - i, i, w, v) for i, w in enumerate(iw) for p, v in by[tuple(x[0] for x in w)]
+                      if any(x[0] not in HOLDERS for x in w) and sum(x[0] not in (td.NUMBER, td.NAME) for x in w) >= td.LITERALS]
                 slots = lambda w, v: [(x[0], x[2], y[2], x[3] or y[3]) for x, y in zip(w, v) if x[0] in HOLDERS]
                 al = [(s, i, slots(w, v)) for s, i, w, v in al]
                 al = [x for x in al if not any(t == td.NAME and first and f != g and {f.lower(), g.lower()} & common for t, f, g, first in x[2])]

@@ -19,7 +19,8 @@ def test_pipeline_equals_restatement(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     model = language_id.fit(docs)
-    kept = [i for i, r in sorted(rows.items()) if model.predict(r.text)[0] != "und"]
+    told = {i: model.predict(r.text) for i, r in rows.items()}
+    kept = [i for i, (lang, score) in sorted(told.items()) if lang != "und" and score >= language_id.MIN_SCORE]
     roots = components_of([fingerprint(rows[i].text) for i in kept], 4)
     first = {}
     for i, r in zip(kept, roots):
