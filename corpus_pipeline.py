@@ -5,10 +5,13 @@ and returns a DataFrame that ``run`` writes as Parquet and reads back as the
 next stage's ``docs``.  All stages but the last return the columns of
 documents; the last one adds the tokens of the texts that are left.
 
-Defined results: a document without an id is never linked or matched, so only
-language identification can drop it; null texts go with language
-identification; of rows that repeat an id SimHash near-dedup keeps one
-for each group of near copies they lead; empty tables pass through; extra columns of documents are carried along.
+Defined results: language identification drops null texts, texts without a
+letter and those it predicts with a score below ``language_id.MIN_SCORE``, and
+fills a null lang with the prediction; a document without an id is never linked
+or matched, so no other stage can drop it; of rows that repeat an id SimHash
+near-dedup keeps one for each group of near copies they lead, and
+decontamination judges their texts one by one; empty tables pass through; extra
+columns of documents are carried along.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told."""
+    """Drop documents whose language cannot be told, or not with confidence;
+    fill a null lang with the prediction."""
     return language_id.keep_identified(docs)
 
 
@@ -34,7 +38,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item, verbatim or re-parameterised."""
     return template_decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
