@@ -86,21 +86,23 @@ def counts(text: str) -> np.ndarray:
 def fit_machine(x: np.ndarray, y: np.ndarray, weight_decay: float = 1e-4, steps: int = 200) -> np.ndarray:
     """Linear support vector machine with squared hinge loss (accelerated
     gradient steps); y is +1 or -1, both classes weigh the same."""
+    # single precision and one copy of the rows: the driver's memory is small
     n_plus = max(1, int((y > 0).sum()))
-    share = np.where(y > 0, 0.5 / n_plus, 0.5 / max(1, len(y) - n_plus))
-    z = x * y[:, None]
-    u = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
+    share = np.where(y > 0, 0.5 / n_plus, 0.5 / max(1, len(y) - n_plus)).astype(np.float32)
+    z = x.astype(np.float32)
+    z *= y.astype(np.float32)[:, None]
+    u = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), np.float32)
     for _ in range(20):  # largest curvature
         u = z.T @ (share * (z @ u))
-        u /= np.linalg.norm(u) or 1.0
-    step = 1 / (weight_decay + 2 * (u @ (z.T @ (share * (z @ u)))) + 1e-12)
-    w = v = np.zeros(x.shape[1])
+        u /= np.linalg.norm(u) or np.float32(1)
+    step = 1 / (weight_decay + 2 * float(u @ (z.T @ (share * (z @ u)))) + 1e-12)
+    w = v = np.zeros(z.shape[1], np.float32)
     for t in range(steps):
         slack = np.maximum(0, 1 - z @ v)
         new = v - step * (weight_decay * v - 2 * (z.T @ (share * slack)))
         v = new + t / (t + 3) * (new - w)
         w = new
-    return w
+    return w.astype(np.float64)
 
 
 @dataclass
