@@ -6,15 +6,23 @@ set in over half of the shingles.
 
 Links: distinct fingerprints at ``max_bits`` or fewer differing bits.  The root
 of the forest cuts the 64 bits into ``max_bits + 1`` blocks: of any linked pair
-at least one block has Hamming distance 0, so each block gives one tree whose
-first level sends a fingerprint to the shard at distance 0.  A shard with more
-than ``SHARD_ROWS`` fingerprints is split around a vantage point at a cut
-``mu``: the inner shard takes distances up to ``mu + max_bits`` (it holds the
-boundary of the outer one), the outer shard those beyond ``mu``; by the
-triangle bound no linked pair is parted.  Inside a shard the same cuts go on in
-memory; fingerprints within ``max_bits`` of a vantage point are one component
-through it and leave the tree.  Every link is tested exactly; a shard emits
-only as many links as its components need.
+at least one block has Hamming distance 0, so each block gives one forest whose
+first level sends a fingerprint to the shard at distance 0.  (Vantage points
+over all 64 bits from the root on find the same links, but random fingerprints
+lie at 32 +- 4 bits, so two thirds of a node are its boundary: copies grow with
+the power 0.75 of the rows, where blocks make five at every size.)
+
+Below the root there are vantage-point trees.  A node sends a fingerprint home to
+its inner child at distance up to ``mu`` from the vantage point, to its outer
+child beyond; one of the outer child within ``max_bits`` of the cut also visits
+the inner one, and visitors go on wherever the triangle bound lets them have
+partners.  Each node has a vantage point of its own, so the path to a leaf is a
+vector of distances that all prune, and a linked pair meets in exactly one leaf
+of a tree.  Spark makes these cuts for shards with more than ``SHARD_ROWS``
+homes; inside a shard they go on in memory down to leaves of LEAF homes.
+Fingerprints within ``max_bits`` of a vantage point are one component through it
+and leave the tree.  Every link is tested exactly; a shard emits only as many
+links as its components need.
 
 Defined results: null or blank text has fingerprint 0, linked like any other;
 a null key has a fingerprint but takes no part in links (component null);
@@ -40,8 +48,8 @@ from corpusmill.llm.graph import components
 WIDTH = 4
 MAX_BITS = 4
 SEED = 42
-SHARD_ROWS = 16_384  # a larger shard is split by Spark before it meets one task
-LEAF = 512
+SHARD_ROWS = 65_536  # a shard with more homes is split by Spark before it meets one task
+LEAF = 64
 MAX_ROUNDS = 64
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -83,45 +91,85 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width
 
 # ---- shards ----------------------------------------------------------------
 
+def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
+    return np.bitwise_count(points ^ vantage)
+
+
+def _vantage(points: np.ndarray) -> np.uint64:
+    """The point nearest to the bitwise majority of 255 of them: in a dense
+    ball one whose own ball holds most of it."""
+    some = points[np.linspace(0, len(points) - 1, 255).astype(int)]
+    ones = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return points[np.argmin(_distance(points, np.packbits(ones > 127, bitorder="little").view(np.uint64)[0]))]
+
+
+def _cut(homes: np.ndarray, visitors: np.ndarray, r: int) -> tuple[int, int, int]:
+    """Distance to cut at, rows of the larger child and fewest homes of a
+    child, from the distances of the homes and the visitors of a node."""
+    h, v = np.cumsum(np.bincount(homes, minlength=65)), np.cumsum(np.bincount(visitors, minlength=65))
+    mu = np.arange(64)
+    upto = np.minimum(mu + r, 64)
+    beyond = np.where(mu - r >= 0, v[np.maximum(mu - r, 0)], 0)
+    most = np.maximum(h[upto] + v[upto], (h[-1] - h[mu]) + (v[-1] - beyond))
+    fewest = np.minimum(h[mu], h[-1] - h[mu])
+    most = np.where(fewest * 10 >= h[-1], most, np.iinfo(np.int64).max)
+    at = int(np.argmin(most))
+    return at, int(most[at]), int(fewest[at])
+
+
+def _divide(homes: np.ndarray, visitors: np.ndarray, dh: np.ndarray, dv: np.ndarray, mu: int, r: int):
+    """The two children (homes, visitors) of a cut.  A home goes to one child.
+    The boundary visits: a home outside the cut by at most ``r`` visits the
+    inner child, a visitor goes wherever the triangle bound lets it have
+    partners.  Of any linked pair, one meets the other's home once."""
+    inside = dh <= mu
+    boundary = ~inside & (dh <= mu + r)
+    inner = homes[inside], np.concatenate([homes[boundary], visitors[dv <= mu + r]])
+    return inner, (homes[~inside], visitors[dv > mu - r])
+
+
 def first_shards(fps: DataFrame, max_bits: int) -> DataFrame:
-    """``(shard, fp)``: one row per block of each distinct fingerprint."""
+    """``(shard, fp, home)``: one row per block of each distinct fingerprint, at
+    home everywhere."""
     blocks, at, keys = max_bits + 1, 0, []
     for i in range(blocks):
         size = (64 - at) // (blocks - i)
         value = F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << size) - 1))
         keys.append(F.xxhash64(F.lit(i), value))
         at += size
-    return fps.select(F.explode(F.array(*keys)).alias("shard"), "fp")
+    return fps.select(F.explode(F.array(*keys)).alias("shard"), "fp", F.lit(True).alias("home"))
 
 
 def split_shards(rows: DataFrame, max_bits: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Split shards of more than ``shard_rows`` fingerprints at vantage points
+    """Split shards with more than ``shard_rows`` homes at further vantage points
     until each is small, or no cut makes it smaller (a dense ball, which one
     task handles in linear time)."""
     done: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
-        full = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(level))).alias("vantage"))
+        homes = F.count(F.when(F.col("home"), 1))
+        full = rows.groupBy("shard").agg(homes.alias("n"), F.min_by("fp", F.when(F.col("home"), F.xxhash64("fp", F.lit(level)))).alias("vantage"))
         full = spill_table(full.where(F.col("n") > shard_rows), "full-shards")
         if full.isEmpty():
             break
         done.append(rows.join(full.select("shard"), "shard", "left_anti"))
         large = rows.join(full, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))))
-        large = spill_table(large.select("shard", "fp", "n", "d"), "large-shards")
-        # at most 65 distances a shard
-        shells = large.groupBy("shard", "n", "d").agg(F.count(F.lit(1)).alias("c"))
-        by_d = Window.partitionBy("shard").orderBy("d")
-        inner = F.sum("c").over(by_d.rangeBetween(Window.unboundedPreceding, max_bits))
-        outer = F.col("n") - F.sum("c").over(by_d.rangeBetween(Window.unboundedPreceding, 0))
-        cut = (shells.withColumn("worst", F.greatest(inner, outer))
+        large = spill_table(large.select("shard", "fp", "home", "n", "d"), "large-shards")
+        # at most 65 distances a shard; the cut that parts its homes most evenly
+        shells = large.where("home").groupBy("shard", "n", "d").agg(F.count(F.lit(1)).alias("c"))
+        inner = F.sum("c").over(Window.partitionBy("shard").orderBy("d"))
+        cut = (shells.withColumn("worst", F.greatest(inner, F.col("n") - inner))
                .groupBy("shard").agg(F.min_by("d", "worst").alias("mu"), F.min("worst").alias("worst"))
                .withColumnRenamed("shard", "cut_shard"))
         cut = spill_table(cut, "shard-cuts")
         placed = large.join(cut, F.col("shard") == F.col("cut_shard"))
         smaller = F.col("worst") <= F.col("n") * 0.9
-        done.append(placed.where(~smaller).select("shard", "fp"))
-        halves = F.array(F.when(F.col("d") <= F.col("mu") + max_bits, F.xxhash64("shard", F.lit(0))),
-                         F.when(F.col("d") > F.col("mu"), F.xxhash64("shard", F.lit(1))))
-        rows = spill_table(placed.where(smaller).select(F.explode(F.array_compact(halves)).alias("shard"), "fp"), "split-shards")
+        done.append(placed.where(~smaller).select("shard", "fp", "home"))
+        inside, d, mu = F.col("d") <= F.col("mu"), F.col("d"), F.col("mu")
+        children = F.array(
+            F.when(d <= mu + max_bits, F.struct(F.xxhash64("shard", F.lit(0)).alias("shard"), (F.col("home") & inside).alias("home"))),
+            F.when(F.when(F.col("home"), ~inside).otherwise(d > mu - max_bits), F.struct(F.xxhash64("shard", F.lit(1)).alias("shard"), F.col("home").alias("home"))))
+        split = placed.where(smaller).select(F.explode(F.array_compact(children)).alias("child"), "fp")
+        rows = spill_table(split.select("child.shard", "fp", "child.home"), "split-shards")
     for part in done:
         rows = rows.unionByName(part)
     return rows
@@ -129,22 +177,26 @@ def split_shards(rows: DataFrame, max_bits: int, shard_rows: int = SHARD_ROWS) -
 
 # ---- inside a shard --------------------------------------------------------
 
-def _distance(points: np.ndarray, vantage: np.uint64) -> np.ndarray:
-    return np.bitwise_count(points ^ vantage)
-
-
-def _leaf_links(p: np.ndarray, r: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a leaf, in blocks; a dense block gives its spanning links."""
+def _leaf_links(p: np.ndarray, q: np.ndarray, r: int, tested: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a leaf's homes, and of homes with visitors, in blocks; a
+    dense block gives its spanning links."""
     out = []
     for at in range(0, len(p), LEAF):
         block = p[at:at + LEAF]
-        near = np.bitwise_count(block[:, None] ^ p[None, at:]) <= r
-        i, j = np.nonzero(near)
-        new = j > i
-        i, j = i[new], j[new]
-        if len(i) > 4 * len(p):
-            i, j = _spanning(i, j, len(p) - at)
-        out.append((p[at + i], p[at + j]))
+        for others, own in ((p[at:], True), (q, False)):
+            for lo in range(0, len(others), 65_536):
+                part = others[lo:lo + 65_536]
+                tested.append(len(block) * len(part))
+                i, j = np.nonzero(np.bitwise_count(block[:, None] ^ part[None, :]) <= r)
+                if own:
+                    new = j + lo > i
+                    i, j = i[new], j[new]
+                if len(i) > 4 * (len(block) + len(part)):
+                    i, j = _spanning(i, j + len(block), len(block) + len(part))
+                    both = np.concatenate([block, part])
+                    out.append((both[i], both[j]))
+                else:
+                    out.append((block[i], part[j]))
     return out
 
 
@@ -164,47 +216,54 @@ def _spanning(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
     return moved, label[moved]
 
 
-def shard_links(points: np.ndarray, r: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect exactly the linked components of distinct points."""
+def shard_links(points: np.ndarray, r: int, visitors: np.ndarray | None = None,
+                tested: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect exactly the linked components of distinct points, and
+    of these with visitors; ``tested`` gathers how many pairs were compared."""
+    tested = [] if tested is None else tested
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    stack = [points]
+    stack = [(points, points[:0] if visitors is None else visitors)]
     while stack:
-        p = stack.pop()
+        p, q = stack.pop()
         if len(p) <= LEAF:
-            if len(p) > 1:
-                out += _leaf_links(p, r)
+            if len(p) and len(p) + len(q) > 1:
+                out += _leaf_links(p, q, r, tested)
             continue
-        vantage = p[len(p) // 2]
-        d = _distance(p, vantage)
-        near = d <= r
-        ball, rest, dr = p[near], p[~near], d[~near]
+        vantage = _vantage(p)
+        dp, dq = _distance(p, vantage), _distance(q, vantage)
+        tested.append(len(p) + len(q))
+        ball = p[dp <= r]
         out.append((ball, np.full(len(ball), vantage)))
-        # the ball is one component; a point of the shell needs one link to it
-        shell = rest[dr <= 2 * r]
+        # the ball is one component; another point needs one link to it
+        shell = np.concatenate([p[(dp > r) & (dp <= 2 * r)], q[dq <= 2 * r]])
         for at in range(0, len(ball), LEAF):
             if not len(shell):
                 break
-            hit = np.bitwise_count(shell[:, None] ^ ball[None, at:at + LEAF]) <= r
-            found = hit.any(axis=1)
-            out.append((shell[found], ball[at + hit[found].argmax(axis=1)]))
-            shell = shell[~found]
-        shells = np.bincount(dr, minlength=65)
-        upto = np.cumsum(shells)
-        inner = upto[np.minimum(np.arange(65) + r, 64)]
-        mu = int(np.argmin(np.maximum(inner, len(rest) - upto)))
-        if max(inner[mu], len(rest) - upto[mu]) <= 0.7 * len(rest):
-            stack += [rest[dr <= mu + r], rest[dr > mu]]
+            part = ball[at:at + LEAF]
+            tested.append(len(shell) * len(part))
+            missed = []
+            for lo in range(0, len(shell), 65_536):
+                some = shell[lo:lo + 65_536]
+                hit = np.bitwise_count(some[:, None] ^ part[None, :]) <= r
+                found = hit.any(axis=1)
+                out.append((some[found], part[hit[found].argmax(axis=1)]))
+                missed.append(some[~found])
+            shell = np.concatenate(missed)
+        p, dp = p[dp > r], dp[dp > r]
+        mu, _, fewest = _cut(dp, dq, r)
+        if fewest * 10 >= len(p) > 0:
+            stack += _divide(p, q, dp, dq, mu, r)
         elif len(ball) * 50 > len(p):
-            stack.append(rest)
+            stack.append((p, q))
         else:
-            out += _leaf_links(rest, r)
+            out += _leaf_links(p, q, r, tested)
     return out
 
 
 def _link_shards(max_bits: int):
-    def of(shards: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+    def of(shards: np.ndarray, fps: np.ndarray, home: np.ndarray) -> pa.RecordBatch:
         cuts = np.nonzero(np.diff(shards))[0] + 1
-        found = [x for p in np.split(fps, cuts) if len(p) > 1 for x in shard_links(p, max_bits)]
+        found = [x for p, own in zip(np.split(fps, cuts), np.split(home, cuts)) for x in shard_links(p[own], max_bits, p[~own])]
         a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
         b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.uint64)
         real = a != b
@@ -212,16 +271,17 @@ def _link_shards(max_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # sorted by shard: whole shards leave as soon as the next one begins
-        shards, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: list[tuple] = []
         for batch in batches:
-            shards = np.concatenate([shards, batch.column("shard").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            if len(shards) and shards[0] != shards[-1]:
+            shards, fps, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fp", "home"))
+            held.append((shards, fps.view(np.uint64), home))
+            if len(shards) and held[0][0][0] != shards[-1]:
+                shards, fps, home = (np.concatenate(x) for x in zip(*held))
                 last = int(np.searchsorted(shards, shards[-1]))
-                yield of(shards[:last], fps[:last])
-                shards, fps = shards[last:], fps[last:]
-        if len(shards):
-            yield of(shards, fps)
+                yield of(shards[:last], fps[:last], home[:last])
+                held = [(shards[last:], fps[last:], home[last:])]
+        if held:
+            yield of(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 

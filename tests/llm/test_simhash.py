@@ -73,6 +73,46 @@ def test_shard_links_equal_brute_force(monkeypatch):
             r: sorted(p for p in got if got[p] == r) for r in set(got.values())}
 
 
+def test_trees_prune():
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (2000, 8000, 32_000):  # one block alike, as in a shard, the other bits random
+        points = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) & ~np.uint64(0x1FFF)
+        tested = []
+        assert not sum(len(a) for a, b in sim.shard_links(np.unique(points), 4, None, tested) if (a != b).any())
+        shares.append(sum(tested) / (n * (n - 1) / 2))
+    assert shares == sorted(shares, reverse=True) and shares[1] < 0.4 and shares[2] < 0.25
+    for n in (2000, 8000, 32_000):
+        points = clustered(rng, n, n // 100, 3)
+        tested = []
+        sim.shard_links(points, 4, None, tested)
+        assert sum(tested) < 0.4 * len(points) * (len(points) - 1) / 2
+    ball = clustered(rng, 20_000, 1, 4)  # one dense ball: about linear
+    tested = []
+    sim.shard_links(ball, 4, None, tested)
+    assert sum(tested) < 400 * len(ball)
+
+
+def test_visitors_meet_homes_once_and_never_each_other(monkeypatch):
+    rng = np.random.default_rng(9)
+    monkeypatch.setattr(sim, "LEAF", 8)
+    for centres, flips in ((1, 3), (20, 3), (200, 1)):
+        points = clustered(rng, 300, centres, flips)
+        homes, visitors = points[::2], points[1::2]
+        pairs = [(int(x), int(y)) for a, b in sim.shard_links(homes, 4, visitors) for x, y in zip(a, b) if x != y]
+        assert all((a ^ b).bit_count() <= 4 for a, b in pairs)
+        own = set(map(int, homes))
+        assert all(a in own or b in own for a, b in pairs)
+        got = label(points, pairs)
+        want = {int(p): int(p) for p in points}
+        for a in map(int, homes):
+            for b in map(int, points):
+                if a != b and (a ^ b).bit_count() <= 4:
+                    x, y = want[a], want[b]
+                    want = {k: min(x, y) if v in (x, y) else v for k, v in want.items()}
+        assert got == want
+
+
 def test_spark_shards_split_at_vantage_points(spark):
     rng = np.random.default_rng(6)
     far = clustered(rng, 200, 400, 0) & ~np.uint64(0x1FFF)  # one block alike, the rest random
