@@ -10,17 +10,24 @@ and the accept rule is then evaluated relationally (``choose_candidate``).
 
 from __future__ import annotations
 
+import hashlib
+import re
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col_of, is_blank, split_sentences, strip
 from corpusmill.operators.lexicon import lexicon_rewrite_table, rewrite_text
-from corpusmill.session import scratch_path, scratch_table
+from corpusmill.session import scratch_table
 
 # Our own prompt wording; callers normally pass their own.
 DEFAULT_SYSTEM_PROMPT = (
@@ -35,6 +42,8 @@ DEFAULT_FOCUS_TEMPLATE = (
     "return exactly {n_sentences} sentences and at most {budget} characters in total.\n\nReasoning:\n{text}")
 
 LOG_SCHEMA = "sample_id bigint, attempt int, kind string, status string, text string"
+LOG_ARROW = pa.schema({"sample_id": pa.int64(), "attempt": pa.int32(), "kind": pa.string(), "status": pa.string(), "text": pa.string()})
+LOG_COLUMNS = LOG_ARROW.names
 
 
 # ---- D1, D2: requests -------------------------------------------------------
@@ -88,7 +97,6 @@ def _fill_py(template: str, **values) -> str:
 
 
 def _sentences_py(text: str) -> int:
-    import re
     from corpusmill.functions.text import WS
     ws = "[" + re.escape(WS) + "]"
     return len([p for p in (x.strip() for x in re.split("[.!?]+" + ws + "+", text.strip())) if p])
@@ -132,41 +140,43 @@ def call_sequence(sample_id: int, solution: str, transformer, max_retries: int,
     return log
 
 
-def rewrite(df: DataFrame, transformer, max_retries: int = 3, max_concurrent: int = 5,
-            retry_delay: float = 1.0, system: str = DEFAULT_SYSTEM_PROMPT, template: str = DEFAULT_TEMPLATE,
-            focus_template: str = DEFAULT_FOCUS_TEMPLATE, key: str = "sample_id",
-            col: str = "solution") -> DataFrame:
+def _caller(transformer, max_retries: int = 3, max_concurrent: int = 5, retry_delay: float = 1.0,
+            system: str = DEFAULT_SYSTEM_PROMPT, template: str = DEFAULT_TEMPLATE,
+            focus_template: str = DEFAULT_FOCUS_TEMPLATE):
+    """``(pool, log)`` of a task: a context with ``max_concurrent`` threads and
+    the function that makes the calls of a frame (key, text) in it."""
+    def calls(k, s):
+        return call_sequence(int(k), s, transformer, max_retries, retry_delay, system, template, focus_template)
+
+    def log(pool, pdf):
+        done = (pool.map if pool else map)(calls, pdf.iloc[:, 0], pdf.iloc[:, 1])
+        return pd.DataFrame([row for rows in done for row in rows], columns=LOG_COLUMNS).astype({"sample_id": "int64", "attempt": "int32"})
+
+    return (lambda: ThreadPoolExecutor(max_workers=max_concurrent)) if max_concurrent > 1 else nullcontext, log
+
+
+def rewrite(df: DataFrame, transformer, key: str = "sample_id", col: str = "solution", **kwargs) -> DataFrame:
     """D3: the attempt log.  Rows are processed by Spark tasks, each with a
     pool of ``max_concurrent`` threads (total concurrency = running tasks x
-    max_concurrent).  Run it once and persist the log (``run_rewrite``);
-    Spark may evaluate a plan more than once."""
-    def run(batches):
-        def calls(k, s):
-            return call_sequence(int(k), s, transformer, max_retries, retry_delay, system, template, focus_template)
-
-        def frame(rows):
-            return pd.DataFrame(rows, columns=["sample_id", "attempt", "kind", "status", "text"]) \
-                .astype({"sample_id": "int64", "attempt": "int32"})
+    max_concurrent); the other options are those of ``_caller``.  Spark may
+    evaluate a plan more than once; ``run_rewrite`` calls once and keeps the log."""
+    open_pool, log = _caller(transformer, **kwargs)
 
-        if max_concurrent <= 1:
-            for pdf in batches:
-                yield frame([row for k, s in zip(pdf[key], pdf[col]) for row in calls(k, s)])
-            return
-        with ThreadPoolExecutor(max_workers=max_concurrent) as pool:
+    def run(batches):
+        with open_pool() as pool:
             for pdf in batches:
-                futures = [pool.submit(calls, k, s) for k, s in zip(pdf[key], pdf[col])]
-                yield frame([row for f in futures for row in f.result()])
+                yield log(pool, pdf)
 
     return df.select(F.col(key).cast("bigint").alias(key), col).mapInPandas(run, LOG_SCHEMA)
 
 
-# rows per committed slice of the call log, and rows per task of a slice
-SLICE_ROWS = 50_000
-TASK_ROWS = 500
+TASK_ROWS = 500  # rows per task, up to MAX_TASKS tasks; beyond that tasks are longer
+MAX_TASKS = 10_000
+COMMIT_ROWS = 2000  # at most so many rows per committed file of the log
 
 
 def read_log(spark, log_path: str) -> DataFrame | None:
-    """The call log, or None before its first slice."""
+    """The call log, or None before its first commit."""
     try:
         return spark.read.schema(LOG_SCHEMA).parquet(log_path)
     except AnalysisException as error:
@@ -175,34 +185,53 @@ def read_log(spark, log_path: str) -> DataFrame | None:
         return None
 
 
-def run_rewrite(df: DataFrame, transformer, log_path: str, slice_rows: int = SLICE_ROWS, task_rows: int = TASK_ROWS,
-                **kwargs) -> DataFrame:
+def _commits(log_uri: str, open_pool, log, commit_rows: int):
+    """Make the calls of a task piece by piece.  A piece is one file of the log,
+    named by its keys, written under a temporary name (which readers skip) and
+    renamed; one that an earlier run of the task has left is not called again."""
+    def run(batches):
+        fs, root = pafs.FileSystem.from_uri(log_uri)
+        with open_pool() as pool:
+            for pdf in batches:
+                for at in range(0, len(pdf), commit_rows):
+                    piece = pdf.iloc[at:at + commit_rows]
+                    keys = hashlib.sha256(",".join(map(str, piece.iloc[:, 0])).encode()).hexdigest()
+                    name = f"{root}/calls-{keys}.parquet"
+                    if fs.get_file_info(name).type == pafs.FileType.NotFound:
+                        made = pa.Table.from_pandas(log(pool, piece), LOG_ARROW, preserve_index=False)
+                        temporary = f"{root}/_{keys}-{uuid.uuid4().hex}"
+                        pq.write_table(made, temporary, filesystem=fs)
+                        fs.move(temporary, name)
+                    yield pd.DataFrame({"n": [len(piece)]})
+
+    return run
+
+
+def run_rewrite(df: DataFrame, transformer, log_path: str, task_rows: int = TASK_ROWS, commit_rows: int = COMMIT_ROWS,
+                key: str = "sample_id", col: str = "solution", **kwargs) -> DataFrame:
     """D3 with a persisted log and restart.
 
-    Rows already in the log are skipped.  The others are written once, cut
-    into slices of about ``slice_rows`` by a hash of the key, and every slice
-    is one committed append to the log: a failure loses the calls of the slice
-    it happens in and nothing else.  Inside a slice, rows are spread by count
-    over tasks of about ``task_rows``, whatever their lengths."""
-    key, col = kwargs.get("key", "sample_id"), kwargs.get("col", "solution")
+    Rows already in the log are skipped.  The others are written once, dealt by
+    key to tasks of about ``task_rows`` and called in one job by the whole
+    cluster.  Every task commits its pieces of at most ``commit_rows`` to the log
+    by itself, so a failure, of a task or of the job, loses the calls of the
+    pieces at work and nothing else.  The log folder must be on storage that
+    ``pyarrow.fs`` opens."""
     spark = df.sparkSession
-    todo = df.select(key, col)
+    todo = df.select(F.col(key).cast("bigint").alias(key), col)
     log = read_log(spark, log_path)
     if log is not None:
         todo = todo.join(log.select(F.col("sample_id").alias(key)).distinct(), key, "left_anti")
     todo = scratch_table(todo, "calls-to-make")
-    n = todo.count()
-    slices = max(1, -(-n // slice_rows))
-    path = scratch_path(spark, "call-slices")
-    todo.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices))).repartition(slices, "_slice") \
-        .write.partitionBy("_slice").parquet(path)
-    slots = spark.read.parquet(path).select("_slice").distinct().orderBy("_slice").collect()  # one row per slice
-    for slot in slots:
-        part = spark.read.schema(todo.schema).parquet(f"{path}/_slice={slot['_slice']}")
-        tasks = max(1, -(-min(n, slice_rows) // task_rows))
-        rewrite(part.repartition(tasks), transformer, **kwargs).write.mode("append").parquet(log_path)
-    done = read_log(spark, log_path)
-    return spark.createDataFrame([], LOG_SCHEMA) if done is None else done
+    # an empty part makes the folder and tells its address in full
+    spark.createDataFrame([], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
+    log_uri = spark.read.schema(LOG_SCHEMA).parquet(log_path).inputFiles()[0].rpartition("/")[0]
+    log_uri = re.sub("^s3[an]:", "s3:", log_uri)
+    tasks = min(MAX_TASKS, max(1, -(-todo.count() // task_rows)))
+    # the same rows in the same order whenever a task is run again
+    dealt = todo.repartition(tasks, key).sortWithinPartitions(key, col)
+    dealt.mapInPandas(_commits(log_uri, *_caller(transformer, **kwargs), commit_rows), "n bigint").agg(F.sum("n")).collect()
+    return read_log(spark, log_path)
 
 
 def lexicon_attempts(df: DataFrame, lexicon: DataFrame, key: str = "sample_id", col: str = "solution") -> DataFrame:
@@ -224,22 +253,6 @@ class LexiconTransformer:
         return rewrite_text(request["text"], self.mapping)
 
 
-class ScriptedTransformer:
-    """Test transformer: per sample a list of answers consumed in call order;
-    an Exception instance is raised instead of returned."""
-
-    def __init__(self, script: dict[int, list]):
-        self.script = script
-
-    def __call__(self, request):
-        seq = self.script.get(request["sample_id"], [])
-        idx = request["attempt"] * 2 + (1 if request["kind"] == "focus" else 0)
-        answer = seq[idx] if idx < len(seq) else None
-        if isinstance(answer, Exception):
-            raise answer
-        return answer
-
-
 # ---- D4-D6: accept rule ------------------------------------------------------
 
 OUTCOMES = ("rewritten", "kept_long", "failed", "blank")

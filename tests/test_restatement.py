@@ -7,7 +7,8 @@ import random
 from corpusmill.functions.chat import render_chat
 from corpusmill.operators.batches import epoch_plan, pad_batch, padded_lengths
 from corpusmill.operators.conversations import collect_messages
-from corpusmill.operators.rewrite import ScriptedTransformer, choose_candidate, rewrite
+from corpusmill.operators.rewrite import choose_candidate, rewrite
+from tests.scripted import ScriptedTransformer
 
 
 def _py_accept(script, original, max_retries):

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators.lexicon import rewrite_text
-from corpusmill.operators.rewrite import (ScriptedTransformer, apply_verdict, call_sequence, choose_candidate, rewrite_report,
+from corpusmill.operators.rewrite import (apply_verdict, call_sequence, choose_candidate, rewrite_report,
                                           rewrite, run_rewrite)
+from tests.scripted import ScriptedTransformer
 
 SOL = "Step one is long. Step two is long."
 
@@ -151,23 +152,42 @@ class _DiesOnce:
         return "x"
 
 
-def test_finished_slices_are_not_called_again(spark, tmp_dir, tmp_path):
-    df = spark.createDataFrame([(i, "long enough text") for i in range(60)], "sample_id long, solution string")
-    slices = {r.sample_id: r.s for r in df.select("sample_id", F.pmod(F.xxhash64("sample_id"), F.lit(4)).alias("s")).collect()}
-    at = next(i for i in range(60) if slices[i] == 2)  # two of four slices end before it
-    log, fuse = str(tmp_path / "calls"), str(tmp_path / "fuse")
+def test_committed_pieces_are_not_called_again(spark, tmp_dir, tmp_path):
+    df = spark.createDataFrame([(i, "long enough text") for i in range(400)], "sample_id long, solution string")
+    calls, fuse = str(tmp_path / "calls"), str(tmp_path / "fuse")
     open(fuse, "w").close()
-    transformer = _DiesOnce(log, fuse, at)
+    dealt = df.repartition(20, "sample_id").withColumn("part", F.spark_partition_id()).collect()
+    part = {r.sample_id: r.part for r in dealt}
+    at = max(i for i in part if part[i] == 19)  # the last row of the last task
+    transformer = _DiesOnce(calls, fuse, at)
     with pytest.raises(Exception):
-        run_rewrite(df, transformer, tmp_dir, slice_rows=15, task_rows=5, max_concurrent=1)
-    kept = {r.sample_id for r in spark.read.parquet(tmp_dir).collect()}
-    assert kept == {i for i, s in slices.items() if s in (0, 1)}
-    os.truncate(log, 0)
+        run_rewrite(df, transformer, tmp_dir, task_rows=20, commit_rows=5, max_concurrent=1)
+    kept = [r.sample_id for r in spark.read.parquet(tmp_dir).collect()]
+    assert len(kept) == len(set(kept)) and at not in kept
+    own = sorted(i for i in part if part[i] == 19)
+    assert set(own[:(len(own) - 1) // 5 * 5]) <= set(kept)  # all pieces of the lost task but the one at work
+    os.truncate(calls, 0)
     os.unlink(fuse)
-    done = run_rewrite(df, transformer, tmp_dir, slice_rows=15, task_rows=5, max_concurrent=1)
-    called = sorted(int(x) for x in open(log).read().split())
-    assert called == sorted(i for i, s in slices.items() if s not in (0, 1))
-    assert sorted(r.sample_id for r in done.collect()) == list(range(60))
+    done = run_rewrite(df, transformer, tmp_dir, task_rows=20, commit_rows=5, max_concurrent=1)
+    assert sorted(int(x) for x in open(calls).read().split()) == sorted(set(part) - set(kept))
+    assert sorted(r.sample_id for r in done.collect()) == list(range(400))
+    again = run_rewrite(df, transformer, tmp_dir, task_rows=20, commit_rows=5, max_concurrent=1)
+    assert again.count() == 400 and len(open(calls).read().split()) == 400 - len(kept)
+
+
+def test_a_task_run_again_keeps_its_committed_pieces(tmp_path):
+    import pandas as pd
+
+    from corpusmill.operators.rewrite import _caller, _commits
+    calls, fuse = str(tmp_path / "calls"), str(tmp_path / "fuse")
+    (tmp_path / "log").mkdir()
+    run = _commits((tmp_path / "log").as_uri(), *_caller(_DiesOnce(calls, fuse, -1), max_concurrent=3), 4)
+    frame = pd.DataFrame({"sample_id": range(10), "solution": ["some text"] * 10})
+    first = run([frame])
+    assert next(first).n[0] == 4  # lost after its first piece
+    assert [int(p.n[0]) for p in run([frame])] == [4, 4, 2]
+    assert sorted(int(x) for x in open(calls).read().split()) == list(range(10))
+    assert not [p for p in os.listdir(tmp_path / "log") if p.startswith("_")]
 
 
 def test_log_errors_are_not_taken_for_no_log(spark, tmp_path):
