@@ -119,7 +119,7 @@ def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> DataFra
              & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
              & F.exists("vector", lambda x: x != 0))
     return (vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"))
-            .where(sound).groupBy("label", "vector").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("size")))
+            .where(sound).groupBy("label", "vector").agg(F.min("key").cast("long").alias("id"), F.count(F.lit(1)).alias("size")))
 
 
 def _address(tables: int, probes: int, cosine: float):
@@ -264,6 +264,6 @@ def lattice_links(vectors: DataFrame, key: str = "vec_id", vector: str = "embedd
                 F.coalesce("root", "id").alias("component_id")), "vector-components")
     rows = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"), F.col(label).alias("label"))
     out = rows.join(named, (F.col("vector") == F.col("_vector")) & (F.col("label") == F.col("_label")) & F.col("key").isNotNull(), "left")
-    component = F.coalesce("component_id", "key")
+    component = F.coalesce("component_id", "key").cast(vectors.schema[key].dataType)
     return out.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))

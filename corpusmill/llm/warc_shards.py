@@ -67,7 +67,7 @@ def key_ranges(light: DataFrame, shard_bytes: int) -> list[int]:
         heavy = [(a, b) for a, b, n in cells if n > shard_bytes and b - a > 1]
         if not heavy:
             break
-        cells = sorted([c for c in cells if (c[0], c[1]) not in set(heavy)] + _histogram(light, heavy))
+        cells = sorted([c for c in cells if not (c[2] > shard_bytes and c[1] - c[0] > 1)] + _histogram(light, heavy))
     bounds, filled = [], 0
     for a, _, n in cells:
         if filled and filled + n > shard_bytes:

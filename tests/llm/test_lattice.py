@@ -112,3 +112,21 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, n_links int, id int")
     assert found(lat.lattice_links(df)) == brute(rows)
     assert lat.lattice_links(df.limit(0)).collect() == []
+
+
+def test_int_keys_and_planted_links_through_the_operator(spark):
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 32))
+    rows = [(i, [float(x) for x in base[i // 3] + (0 if i % 3 == 0 else 0.02) * rng.normal(size=32)], i // 3 % 4) for i in range(180)]
+    cos = np.array([r[1] for r in rows])
+    cos /= np.linalg.norm(cos, axis=1)[:, None]
+    near = (cos @ cos.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() >= 300  # the table has links
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")
+    got = lat.lattice_links(df)
+    assert dict(got.dtypes) == {"vec_id": "int", "n_links": "bigint", "component_id": "int", "kept": "boolean"}
+    got = {r.vec_id: r for r in got.collect()}
+    assert sum(r.n_links for r in got.values()) >= 0.98 * near.sum()
+    assert all(r.n_links <= near[i].sum() for i, r in got.items())
+    assert all(r.kept == (r.component_id == i) and r.component_id // 3 == i // 3 for i, r in got.items())
