@@ -14,6 +14,7 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from corpusmill.functions.think import close_think
@@ -22,7 +23,7 @@ from corpusmill.jobs.common import load_table
 from corpusmill.operators.batches import (PAD_TOKEN, encode, epoch_plan, pad_batch, pad_token_id, padded_lengths,
                                           token_lengths, tokenized)
 from corpusmill.operators.external import external_ids
-from corpusmill.operators.think import coverage_gate, format_gate
+from corpusmill.operators.think import coverage_counts, format_gate, observed_coverage
 from corpusmill.operators.validate import drop_reason, effective_text, format_qa, route_format, validate_required
 from corpusmill.operators.vocab import add_special_tokens, build_vocab
 from corpusmill.session import get_session, scratch_scope, scratch_table
@@ -70,11 +71,12 @@ def run(spark, a, cfg) -> None:
         # before formatting, so that text and messages hold the same answer
         complete = complete.withColumn("solution", close_think("solution", *tags)[0])
     formatted = format_qa(complete, *tags, key=a.key)
-    gated = scratch_table(format_gate(formatted, max_len=cfg.max_think_length, tags=tags,
-                                      check_balance=cfg.check_think_balance), "gated")
+    gated = format_gate(formatted, max_len=cfg.max_think_length, tags=tags, check_balance=cfg.check_think_balance)
+    covered = Observation("coverage")  # counted by the write of the gated rows, in its last stage
+    gated = scratch_table(gated.observe(covered, *coverage_counts(F.expr("passed AND kind = 'qa'"), tags=tags)), "gated")
     gated.select(a.key, "kind", "reasons", "passed").write.mode("overwrite").parquet(f"{a.out}/gate")
     kept = gated.filter("passed OR kind <> 'qa'")
-    coverage_gate(kept.filter("kind = 'qa'"), cfg.think_coverage, tags=tags).write.mode("overwrite").json(f"{a.out}/coverage")
+    observed_coverage(spark, covered, cfg.think_coverage).write.mode("overwrite").json(f"{a.out}/coverage")
     coverage = spark.read.schema("share double, passed boolean").json(f"{a.out}/coverage").first()
     if not coverage.passed:
         if a.require_coverage:

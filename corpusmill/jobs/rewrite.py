@@ -10,6 +10,7 @@ from __future__ import annotations
 import argparse
 import logging
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from corpusmill.jobs.common import load_object, load_table
@@ -18,7 +19,7 @@ from corpusmill.operators.rewrite import (apply_verdict, choose_candidate, gain_
 from corpusmill.operators.select import shortest_n
 from corpusmill.operators.validate import REQUIRED_QA, missing_columns, rewritable
 from corpusmill.session import get_session, scratch_scope, scratch_table
-from corpusmill.sources.datasets import run_manifest, write_original, write_rewritten
+from corpusmill.sources.datasets import observed_manifest, outcome_counts, write_original, write_rewritten
 
 log = logging.getLogger("corpusmill.rewrite")
 
@@ -54,8 +55,11 @@ def run(spark, a) -> None:
     missing = missing_columns(df, REQUIRED_QA)
     if missing:
         log.warning("missing columns %s; available %s", missing, df.columns)
-    selected = scratch_table(shortest_n(df, a.n, cols=("solution",), tie=a.key), "selected")
-    n_rows = selected.count()
+    # counts are taken from the writes, in their last stage
+    read, chosen, outcomes = Observation("read"), Observation("chosen"), Observation("outcomes")
+    picked = shortest_n(df, a.n, cols=("solution",), tie=a.key, observed=read)
+    selected = scratch_table(picked.observe(chosen, F.count(F.lit(1)).alias("n")), "selected")
+    n_rows = chosen.get.get("n") or 0
     original = write_original(selected, a.out, a.name, a.split, a.subset, n_rows)
 
     todo = selected.filter(rewritable())
@@ -68,13 +72,13 @@ def run(spark, a) -> None:
         attempts.write.mode("overwrite").parquet(f"{a.out}/attempt_log")
         attempts = spark.read.parquet(f"{a.out}/attempt_log")
     verdicts = scratch_table(choose_candidate(selected, attempts, a.max_retries, key=a.key, with_original=False), "verdicts")
-    rewritten = apply_verdict(selected, verdicts, key=a.key)
+    rewritten = apply_verdict(selected, verdicts, key=a.key).observe(outcomes, *outcome_counts())
     rewritten_path = write_rewritten(rewritten, a.out, a.name, a.split, a.subset, n_rows)
 
     gain = F.when(F.col("outcome") == "rewritten", gain_of_lengths("orig_len", F.length("chosen")))
     rewrite_report(verdicts.select("outcome", "n_calls", gain.alias("gain"))).write.mode("overwrite").parquet(f"{a.out}/report")
-    run_manifest(rewritten, n_input=df.count(), original_path=original, rewritten_path=rewritten_path,
-                 columns="solution", model=a.transformer or "lexicon") \
+    observed_manifest(spark, outcomes, n_input=read.get.get("n_input") or 0, original_path=original,
+                      rewritten_path=rewritten_path, columns="solution", model=a.transformer or "lexicon") \
         .write.mode("overwrite").json(f"{a.out}/manifest")
 
 

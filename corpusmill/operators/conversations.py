@@ -1,10 +1,14 @@
 """Conversation operators.
 
-``turn`` orders the messages of a conversation; it may start anywhere and have
-gaps.  "The message that directly follows" is found inside chunks of turns and,
-for the last message of a chunk, among the first messages of the chunks: no
-window over a whole conversation, and a huge conversation spreads over many
-tasks by (conversation, chunk).
+``turn`` orders the messages of a conversation; it may start anywhere, have
+gaps and be of any type that sorts (numbers, time stamps, strings).  The
+messages are cut into chunks by their rank, not by the value of ``turn``
+(``ordered_chunks``), so no chunk holds more than ``chunk`` messages, however
+sparse or dense the turns are.  "The message that directly follows" is found
+inside a chunk and, for the last message of a chunk, among the first messages
+of the chunks: no window over a whole conversation, and a huge conversation
+spreads over many tasks by (conversation, chunk).  Messages of one conversation
+and turn are ordered by role, then content.
 """
 
 from __future__ import annotations
@@ -14,17 +18,20 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.chat import history_preview
 from corpusmill.functions.text import is_blank
+from corpusmill.plans.indexing import ordered_chunks
+from corpusmill.session import scratch_table
 
 
 def collect_messages(df: DataFrame, by: str = "conv_id", order: str = "turn",
                      role: str = "role", content: str = "text", chunk: int = 256) -> DataFrame:
     """One row per conversation with ``messages`` in turn order.  Built
-    in two levels: message arrays per (conversation, turn chunk), then the
+    in two levels: message arrays per (conversation, chunk), then the
     chunk arrays flattened per conversation in chunk order, so a very long
     conversation spreads its sorting and collecting over many tasks; only
     the final array (the output row itself) is per conversation."""
     msg = F.struct(F.col(role).alias("role"), F.col(content).alias("content"))
-    parts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(
+    rows = ordered_chunks(df.select(by, order, role, content), [by, order, role, content], chunk)
+    parts = rows.groupBy(by, "_chunk").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), msg.alias("_m")))),
                     lambda x: x["_m"]).alias("_part"))
     return parts.groupBy(by).agg(
@@ -34,10 +41,11 @@ def collect_messages(df: DataFrame, by: str = "conv_id", order: str = "turn",
 
 def ordered_concat(df: DataFrame, by: str, order: str, value: str, out: str, chunk: int = 256) -> DataFrame:
     """Concatenate ``value`` per ``by`` in ``order``, in two levels: pieces
-    are joined per (by, order div chunk) first, then the few chunk strings
+    are joined per (by, chunk of ranks) first, then the few chunk strings
     per ``by``.  A very long conversation spreads its work over many tasks;
     only the final join of chunk strings (the output itself) is per group."""
-    parts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(
+    rows = ordered_chunks(df.select(by, order, value), [by, order, value], chunk)
+    parts = rows.groupBy(by, "_chunk").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"),
                                                                        F.col(value).alias("_v")))),
                                  lambda x: x["_v"]), "").alias("_part"))
@@ -75,13 +83,13 @@ def turn_pairs(df: DataFrame, by: str = "conv_id", order: str = "turn",
                role: str = "role", content: str = "text", chunk: int = 256) -> DataFrame:
     """Each user message with the assistant reply that directly follows
     it; unanswered user messages (no next message, or not an assistant's)
-    drop."""
+    drop.  The chunk numbers are read twice, so they are written once."""
     message = F.struct(F.col(order).alias("at"), F.col(role).alias("role"), F.col(content).alias("text"))
-    rows = df.select(by, order, role, content, F.floor(F.col(order) / chunk).alias("_chunk"), message.alias("_m"))
-    inside = F.lead("_m").over(Window.partitionBy(by, "_chunk").orderBy(order))
-    rows = rows.withColumn("_next", inside)
+    ranked = scratch_table(ordered_chunks(df.select(by, order, role, content), [by, order, role, content], chunk), "turns")
+    inside = F.lead("_m").over(Window.partitionBy(by, "_chunk").orderBy("_m"))
+    rows = ranked.withColumn("_m", message).withColumn("_next", inside)
     # one row per chunk: the first message of the chunk after it
-    firsts = df.groupBy(by, F.floor(F.col(order) / chunk).alias("_chunk")).agg(F.min(message).alias("_f"))
+    firsts = ranked.groupBy(by, "_chunk").agg(F.min(message).alias("_f"))
     firsts = firsts.select(by, "_chunk", F.lead("_f").over(Window.partitionBy(by).orderBy("_chunk")).alias("_after"))
     follows = rows.filter(F.col(role) == "user").join(firsts, [by, "_chunk"]).withColumn("_next", F.coalesce("_next", "_after"))
     return follows.filter(F.col("_next.role") == "assistant").select(

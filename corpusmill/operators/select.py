@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-
 def total_length(df: DataFrame, cols=None) -> Column:
     """Sum of string lengths of ``cols`` (null, missing or non-string count 0);
     ``cols=None`` sums every string column (C2)."""
@@ -71,17 +70,20 @@ def _cut(scored: DataFrame, n: int, tie: str):
 
 
 def shortest_n(df: DataFrame, n: int | None, cols=("solution",), tie: str = "sample_id",
-               length_col: str | None = None) -> DataFrame:
+               length_col: str | None = None, observed: Observation | None = None) -> DataFrame:
     """The ``n`` rows with the smallest total length; ties by ``tie``,
     which must be unique.
 
     ``n`` null or 0 means no limit; ``n`` >= rows returns every row.  The cut
     is found from counts per length and the keys at the cut length; full rows
-    are only filtered, never sorted, moved or merged in one task."""
+    are only filtered, never sorted, moved or merged in one task.  ``observed``
+    receives the rows of ``df`` as ``n_input`` from the pass that filters."""
     if n is not None and n < 0:
         raise ValueError("n must be >= 0")
     out = df.withColumn("_len", total_length(df, cols))
     cut = _cut(out, n, tie) if n else None
+    if observed is not None:
+        out = out.observe(observed, F.count(F.lit(1)).alias("n_input"))
     if cut:
         length, key = cut
         last = F.col("_len") == length

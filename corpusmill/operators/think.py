@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col_of, strip
@@ -114,6 +114,20 @@ def coverage_gate(df: DataFrame, min_share: float = MIN_COVERAGE, text="text",
     return out
 
 
+def coverage_counts(wanted: Column, text="text", tags=THINK_TAGS) -> list[Column]:
+    """F10 as counts for ``observe``: the ``wanted`` rows, and those of them
+    with any think tag."""
+    opens, closes = think_counts(text, *tags)
+    return [F.count_if(wanted).alias("n_rows"), F.count_if(wanted & ((opens > 0) | (closes > 0))).alias("n_tagged")]
+
+
+def observed_coverage(spark: SparkSession, counts: Observation, min_share: float = MIN_COVERAGE) -> DataFrame:
+    """F10 from the counts that a write observed; the row of ``coverage_gate``."""
+    n, tagged = (counts.get.get(k) or 0 for k in ("n_rows", "n_tagged"))
+    share = tagged / n if n else 0.0
+    return spark.range(1).select(F.lit(share).cast("double").alias("share"), F.lit(share >= min_share).alias("passed"))
+
+
 # Reason codes of the format gate, in check order.
 GATE_REASONS = ("no_tags", "unbalanced", "misordered", "too_long")
 

@@ -39,3 +39,17 @@ def dense_index(df: DataFrame, order_cols, index_col: str = "idx",
     return (ranged.join(F.broadcast(offsets), "_part")
             .withColumn(index_col, (F.col("_offset") + F.col("_local")).cast("bigint"))
             .drop("_part", "_offset", "_local"))
+
+
+def ordered_chunks(df: DataFrame, order: list[str], chunk: int) -> DataFrame:
+    """``df`` with ``_chunk``, a number that never falls along ``order`` and
+    that at most ``chunk`` rows share.  The rows are range-partitioned and sorted
+    by all of ``order``; a chunk is a run of positions inside a partition, so it
+    holds no more rows when the first columns repeat or their values lie close.
+
+    ``order`` must tell apart all rows that differ, so that a task that runs
+    again numbers them as before; two readers of the numbers need a written
+    table."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # partition number in the high bits, position inside the partition below
+    return rows.withColumn("_chunk", F.floor(F.monotonically_increasing_id() / chunk))

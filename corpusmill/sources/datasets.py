@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col_of
@@ -112,13 +112,31 @@ def write_rewritten(rewritten: DataFrame, out_dir: str, name: str, split: str, s
     return write_jsonl(rewritten, path)
 
 
+def outcome_counts() -> list[Column]:
+    """The counts of A6 as aggregates, for ``agg`` or ``observe``."""
+    return [F.count(F.lit(1)).cast("bigint").alias("n_selected"),
+            *[F.count_if(F.col("outcome") == o).cast("bigint").alias(f"n_{o}")
+              for o in ("rewritten", "kept_long", "failed", "blank")]]
+
+
+def observed_manifest(spark: SparkSession, outcomes: Observation, n_input: int | None = None, **settings) -> DataFrame:
+    """A6 without a pass of its own: the counts (``outcome_counts``) come from
+    the write they describe, where ``outcomes`` observed them.  Observe the
+    DataFrame that is written itself: tasks of its last stage count once, also
+    when an executor is lost.  A write of no rows may report nothing; its
+    counts are 0."""
+    names = ["n_selected", "n_rewritten", "n_kept_long", "n_failed", "n_blank"]
+    counts = spark.range(1).select(*[F.lit(outcomes.get.get(n) or 0).cast("bigint").alias(n) for n in names])
+    return _with_settings(counts, n_input, settings)
+
+
 def run_manifest(verdicts: DataFrame, n_input: int | Column | None = None, **settings) -> DataFrame:
     """One-row run record: row counts per outcome plus the settings
     (paths, model, columns ...) as literal columns."""
-    counts = verdicts.agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_selected"),
-        *[F.count_if(F.col("outcome") == o).cast("bigint").alias(f"n_{o}")
-          for o in ("rewritten", "kept_long", "failed", "blank")])
+    return _with_settings(verdicts.agg(*outcome_counts()), n_input, settings)
+
+
+def _with_settings(counts: DataFrame, n_input: int | Column | None, settings: dict) -> DataFrame:
     extra = []
     if n_input is not None:
         extra.append((n_input if isinstance(n_input, Column) else F.lit(n_input)).cast("bigint").alias("n_input"))

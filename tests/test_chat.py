@@ -62,3 +62,29 @@ def test_first_turn_and_gaps(spark):
     assert got == {1: B("system", "D") + B("user", "a") + B("assistant", "b") + B("system", "s"),
                    2: B("system", "S") + B("user", "u") + B("assistant", "x"), 3: B("system", "D") + B("user", "q") + B("assistant", "r")}
     assert sorted(map(tuple, turn_pairs(df).collect())) == [(1, 3, "a", "b"), (3, 511, "q", "r")]
+
+
+def test_chunks_are_bounded_by_rank(spark):
+    """A huge conversation of sparse turns, and one whose turns lie close: no
+    chunk holds more rows than asked for, and the results do not depend on it."""
+    import datetime as dt
+
+    from corpusmill.operators.conversations import render_conversations
+    from corpusmill.plans.indexing import ordered_chunks
+    names = ["conv_id", "turn", "role", "text"]
+    turns = [(1, t * 1_000_003, "user" if t % 2 == 0 else "assistant", f"m{t}") for t in range(3000)]
+    turns += [(2, t, "user" if t % 2 else "assistant", f"n{t}") for t in range(50)] + [(2, 7, "user", "n7")]  # a repeated row
+    df = _turns(spark, turns).repartition(7)
+    sizes = ordered_chunks(df, names, 64).groupBy("conv_id", "_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 64 and sizes.filter("conv_id = 1").count() >= 3000 / 64
+    want = {c: [x[3] for x in sorted(turns) if x[0] == c] for c in (1, 2)}
+    got = {r.conv_id: [m.content for m in r.messages] for r in collect_messages(df, chunk=64).collect()}
+    assert got == want
+    shown = {r.conv_id: r.rendered for r in render_conversations(df, default_system="D").collect()}
+    assert shown[1] == B("system", "D") + "".join(B(r, t) for _, _, r, t in sorted(turns[:3000]))
+    pairs = [(r.turn, r.user_text, r.reply_text) for r in turn_pairs(df, chunk=5).filter("conv_id = 1").collect()]
+    assert sorted(pairs) == [(t * 1_000_003, f"m{t}", f"m{t + 1}") for t in range(0, 3000, 2)]
+    start = dt.datetime(2024, 1, 1)
+    stamped = spark.createDataFrame([(c, start + dt.timedelta(microseconds=t), r, x) for c, t, r, x in turns[3000:]],
+                                    "conv_id long, turn timestamp_ntz, role string, text string")
+    assert [m.content for m in collect_messages(stamped, chunk=8).first().messages] == want[2]

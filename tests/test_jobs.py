@@ -28,6 +28,8 @@ def test_prepare_job(spark):
     dropped = spark.read.parquet(f"{base}/out/dropped")
     assert gate.count() + dropped.count() == view(spark, SF_SMALL, "samples").count()  # every row is accounted for
     assert {r.drop_reason for r in dropped.collect()} == {"incomplete", "unknown"}
+    kept = gate.filter("passed AND kind = 'qa'").count()  # a gated row has tags, else it fails
+    assert kept > 0 and spark.read.json(f"{base}/out/coverage").first().share == 1.0
 
 
 def test_prepare_job_with_other_tags(spark, tmp_path):
@@ -62,9 +64,23 @@ def test_rewrite_job(spark):
                   "--out", f"{base}/out", "--n", "50", "--lexicon", f"{base}/lexicon", "--retry-delay", "0"])
     man = spark.read.json(f"{base}/out/manifest").first()
     assert man.n_selected == 50 and man.status == "completed"
+    assert man.n_input == view(spark, SF_SMALL, "samples").count()  # observed by the write of the selection
+    report_rows = {r.outcome: r.n_samples for r in spark.read.parquet(f"{base}/out/report").collect()}
+    outcomes = ("rewritten", "kept_long", "failed")  # the report holds the rows that were called for
+    assert [man[f"n_{o}"] for o in outcomes] == [report_rows.get(o, 0) for o in outcomes]
+    assert sum(man[f"n_{o}"] for o in (*outcomes, "blank")) == 50
     assert spark.read.text(f"{base}/out/code_switched_org_set_train_50.jsonl").count() == 50
 
 
+def test_rewrite_job_without_rows(spark):
+    base = scratch_path(spark, "job-rewrite-empty")
+    view(spark, SF_SMALL, "samples").limit(0).write.parquet(f"{base}/in")
+    view(spark, SF_SMALL, "lexicon").write.parquet(f"{base}/lexicon")
+    rewrite.main(["--input", f"{base}/in", "--name", "org/set", "--out", f"{base}/out", "--lexicon", f"{base}/lexicon"])
+    man = spark.read.json(f"{base}/out/manifest").first()
+    assert (man.n_input, man.n_selected, man.n_blank, man.status) == (0, 0, 0, "empty")
+
+
 def test_report_job(spark):
     base = scratch_path(spark, "job-report")
     view(spark, SF_SMALL, "tagged").write.parquet(f"{base}/in")
