@@ -8,7 +8,6 @@ there and stops; ``max_files`` bounds a micro-batch.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -65,35 +64,77 @@ def prepare_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: s
 # ---- I2: text so far per request ------------------------------------------------
 
 CHUNK_OUT = "conv_id long, turn long, so_far string"
-CHUNK_STATE = "next_turn long, so_far string, held string"
+CHUNK_STATE = "next_turn long, so_far string, missing long, held_turns array<long>, held_texts array<string>"
 
 
-def _assemble(key, batches: Iterator[pd.DataFrame], state):
-    turn, text, held = state.get if state.exists else (0, "", "{}")
-    held = {int(t): x for t, x in json.loads(held).items()}
+def _assemble(key, batches: Iterator[pd.DataFrame], state, first: int = 0, gap_ttl_ms: int | None = None):
+    turn, text, missing, turns, texts = state.get if state.exists else (first, "", 0, [], [])
+    held = dict(zip(turns, texts))
+    out = []
+
+    def take():
+        nonlocal turn, text
+        while turn in held:
+            text += held.pop(turn) or ""
+            out.append((key[0], turn, text, missing))
+            turn += 1
+
+    if state.hasTimedOut:  # the chunks before the held ones are given up
+        for after in sorted(held):
+            if after in held:
+                missing, turn = missing + after - turn, after
+                take()
+        yield _chunk_rows(out, gap_ttl_ms)
     for pdf in batches:  # one piece of the group at a time
-        out = []
+        out.clear()
         for t, chunk in zip(pdf["turn"], pdf["text"]):
             if t >= turn and int(t) not in held:  # not a replay
                 held[int(t)] = chunk
-        while turn in held:
-            text += held.pop(turn) or ""
-            out.append((key[0], turn, text))
-            turn += 1
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "so_far"])
-    state.update((turn, text, json.dumps(held)))
+        take()
+        yield _chunk_rows(out, gap_ttl_ms)
+    turns = sorted(held)
+    state.update((turn, text, missing, turns, [held[t] for t in turns]))
+    if held and gap_ttl_ms is not None:
+        state.setTimeoutDuration(gap_ttl_ms)
+
+
+def _chunk_rows(rows, gap_ttl_ms) -> pd.DataFrame:
+    pdf = pd.DataFrame(rows, columns=["conv_id", "turn", "so_far", "missing"])
+    return pdf.drop(columns="missing") if gap_ttl_ms is None else pdf
 
 
 def chunk_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                 max_files: int | None = None, bad_dir: str | None = None):
+                 max_files: int | None = None, bad_dir: str | None = None, first: int = 0,
+                 gap_ttl_ms: int | None = None):
     """Per request (conv_id), the concatenation of its chunks after each
-    chunk; chunks are numbered 0, 1, 2 ...  State per key: the next number,
-    the text so far and the chunks that came before their predecessors, which
-    are held until these arrive.  Replays are skipped."""
+    chunk; chunks are numbered ``first``, ``first`` + 1 ...  State per key: the
+    next number, the text so far and the chunks that came before their
+    predecessors, which are held until these arrive.  Replays are skipped.
+
+    All files are taken and the query ends; ``incomplete_requests`` then tells
+    which requests still hold chunks.  With ``gap_ttl_ms`` the running query is
+    returned, and a request that holds chunks and gets none for that time goes
+    on after the gap; its rows tell in ``missing`` how many chunks were left
+    out so far, and such chunks are skipped as replays if they come later."""
     src = _source(spark, in_dir, "conv_id long, turn long, role string, text string", max_files, bad_dir, checkpoint)
-    out = src.select("conv_id", "turn", "text").groupBy("conv_id").applyInPandasWithState(
-        _assemble, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout)
-    return _run(out, out_dir, checkpoint)
+    chunks = src.select("conv_id", "turn", "text").groupBy("conv_id")
+    assemble = partial(_assemble, first=first, gap_ttl_ms=gap_ttl_ms)
+    if gap_ttl_ms is None:
+        out = chunks.applyInPandasWithState(assemble, CHUNK_OUT, CHUNK_STATE, "append", GroupStateTimeout.NoTimeout)
+        return _run(out, out_dir, checkpoint)
+    out = chunks.applyInPandasWithState(assemble, f"{CHUNK_OUT}, missing long", CHUNK_STATE, "append",
+                                        GroupStateTimeout.ProcessingTimeTimeout)
+    return out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).start(out_dir)
+
+
+def incomplete_requests(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The requests of a ``chunk_stream`` that hold chunks whose predecessors
+    have not come: (conv_id, expected_turn, held_turns, so_far), read from the
+    state of its last finished micro-batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    value = "value.groupState"
+    return state.filter(F.size(f"{value}.held_turns") > 0).select(
+        "key.conv_id", F.col(f"{value}.next_turn").alias("expected_turn"), f"{value}.held_turns", f"{value}.so_far")
 
 
 # ---- I3: chat sessions -------------------------------------------------------

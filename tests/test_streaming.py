@@ -110,6 +110,41 @@ def test_late_chunks_are_held_and_replays_skipped(spark):
     assert sorted(r.so_far for r in spark.read.parquet(f"{base}/out").collect()) == ["A", "AB", "ABC", "ABCD"]
 
 
+def test_requests_with_gaps_are_reported(spark):
+    """A gap, and numbering from 1, hold chunks; the state tells which."""
+    from corpusmill.streaming.jobs import incomplete_requests
+    base = scratch_path(spark, "t-gap")
+    line = '{"conv_id": %d, "turn": %d, "text": %s}'
+    _lines(spark, f"{base}/in", [line % (1, 0, '"A"'), line % (1, 3, '"D"'), line % (1, 2, "null"), line % (2, 1, '"x"'),
+                                 line % (2, 2, '"y"'), line % (3, 0, '"whole"')])
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    assert sorted(tuple(r) for r in incomplete_requests(spark, f"{base}/ckpt").collect()) == [(1, 1, [2, 3], "A"), (2, 0, [1, 2], "")]
+    _lines(spark, f"{base}/in", [line % (1, 1, '"B"')])
+    chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt")
+    assert [r.conv_id for r in incomplete_requests(spark, f"{base}/ckpt").collect()] == [2]
+    assert sorted(r.so_far for r in spark.read.parquet(f"{base}/out").filter("conv_id = 1").collect()) == ["A", "AB", "AB", "ABD"]
+    chunk_stream(spark, f"{base}/in", f"{base}/from1", f"{base}/ckpt1", first=1)
+    assert sorted((r.turn, r.so_far) for r in spark.read.parquet(f"{base}/from1").filter("conv_id = 2").collect()) == [(1, "x"), (2, "xy")]
+
+
+def test_gaps_are_passed_after_a_time(spark):
+    import time
+    base = scratch_path(spark, "t-gap-ttl")
+    line = '{"conv_id": %d, "turn": %d, "text": "%s"}'
+    _lines(spark, f"{base}/in", [line % (1, 0, "A"), line % (1, 2, "C"), line % (1, 3, "D"), line % (1, 6, "G"), line % (2, 0, "z")])
+    q = chunk_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", gap_ttl_ms=1000)
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            done = [p for p in q.recentProgress if p.numInputRows > 0]
+            rows = sorted(tuple(r) for r in spark.read.parquet(f"{base}/out").collect()) if done else []
+            if len(rows) == 5:
+                break
+    finally:
+        q.stop()
+    assert rows == [(1, 0, "A", 0), (1, 2, "AC", 1), (1, 3, "ACD", 1), (1, 6, "ACDG", 3), (2, 0, "z", 0)]
+
+
 def test_disorder_between_batches_is_reported(spark):
     import pytest
     base = scratch_path(spark, "t-disorder")
