@@ -357,16 +357,15 @@ def sentence_alignment(df: DataFrame, orig: str = "original", new: str = "rewrit
 
 
 def sentence_alignment_rows(df: DataFrame, key: str, orig: str = "original", new: str = "rewrite") -> DataFrame:
-    """D8 detail: one row per position (either side), both lengths, verdict."""
-    a, b = split_sentences(orig), split_sentences(new)
-    n = F.greatest(F.size(a), F.size(b))
-    pos = F.sequence(F.lit(0), n - 1)
-    rows = df.select(key, a.alias("_a"), b.alias("_b"), F.explode_outer(F.when(n > 0, pos)).alias("pos"))
-    rows = rows.filter(F.col("pos").isNotNull())
-    la = F.length(F.get("_a", F.col("pos")))
-    lb = F.length(F.get("_b", F.col("pos")))
-    return rows.select(key, "pos", la.alias("orig_len"), lb.alias("new_len"),
-                       F.coalesce(lb <= la, F.lit(False)).alias("ok"))
+    """D8 detail: one row per position (either side), both lengths, verdict.
+    Every text is split once, before its rows are made, and only the lengths of
+    its sentences go on to them."""
+    def lengths(c):
+        return F.coalesce(F.transform(split_sentences(c), F.length), F.array().cast("array<int>"))
+
+    once = df.select(key, lengths(orig).alias("orig_len"), lengths(new).alias("new_len"))
+    rows = once.select(key, F.posexplode(F.arrays_zip("orig_len", "new_len")).alias("pos", "_l")).select(key, "pos", "_l.*")
+    return rows.withColumn("ok", F.coalesce(F.col("new_len") <= F.col("orig_len"), F.lit(False)))
 
 
 # Notation that must survive a rewrite unchanged.

@@ -205,3 +205,13 @@ def test_lexicon_attempts_equal_transformer_calls(spark):
     df = spark.createDataFrame([(1, " the the let me "), (2, "none"), (3, "other")], "sample_id long, solution string")
     want = rewrite(df, LexiconTransformer(collect_mapping(lex)), retry_delay=0.0, max_concurrent=1)
     assert sorted(map(tuple, lexicon_attempts(df, lex).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sentence_rows_split_every_text_once(spark):
+    from corpusmill.operators.rewrite import sentence_alignment_rows
+    df = spark.createDataFrame([(1, "One. Two.", None), (2, None, None), (3, None, "A. Bb! Cc"), (4, " ", ".")], "doc_id long, original string, rewrite string")
+    out = sentence_alignment_rows(df, "doc_id")
+    assert sorted(tuple(r) for r in out.collect() if r.doc_id < 4) == [
+        (1, 0, 3, None, False), (1, 1, 4, None, False), (3, 0, None, 1, False), (3, 1, None, 2, False), (3, 2, None, 2, False)]
+    above, generate, below = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
+    assert generate and "split(" not in above and "split(" in below  # nothing of a text is done again for each of its rows
