@@ -1,7 +1,8 @@
 """Registered streaming queries I1-I4: the input view is written as JSONL
-into a fresh folder under the checkpoint root, as three files that the stream
-takes one by one (``max_files=1``, ``availableNow``); the sink is read back.
-Each equals its batch twin."""
+into a fresh folder under the checkpoint root in three deliveries of as many
+files as the view has tasks; the stream starts again after each, takes it as
+one micro-batch (``availableNow``) and goes on from its checkpoint; the sink is
+read back.  Each equals its batch twin."""
 
 from __future__ import annotations
 
@@ -26,10 +27,12 @@ def _folders(spark, name):
     return f"{base}/in", f"{base}/out", f"{base}/checkpoint"
 
 
-def _feed(df, path, part):
-    """Three JSONL files in order of ``part`` (0, 1, 2), one micro-batch each."""
+def _feed(df, path, part, stream):
+    """Three deliveries in order of ``part`` (0, 1, 2), every task of ``df`` with
+    a file of its own; ``stream()`` takes each before the next is written."""
     for i in range(3):
-        df.filter(part == i).coalesce(1).write.mode("append").option("ignoreNullFields", "false").json(path)
+        df.filter(part == i).write.mode("append").option("ignoreNullFields", "false").json(path)
+        stream()
 
 
 _GATED = dict(FORMATTED)
@@ -48,8 +51,8 @@ FROM (SELECT *, {count_lit('text', '<think>')} AS o, {count_lit('text', '</think
 SELECT sample_id, kind, user_content, assistant_content, text, input, output, reasons FROM gated""", _GATED))
 def q_stream_prepare(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-prepare")
-    _feed(view(spark, sf_dir, "samples"), src, F.col("sample_id") % 3)
-    prepare_stream(spark, src, out, ckpt, SAMPLES_SCHEMA, max_files=1)
+    _feed(view(spark, sf_dir, "samples"), src, F.col("sample_id") % 3,
+          lambda: prepare_stream(spark, src, out, ckpt, SAMPLES_SCHEMA))
     df = spark.read.parquet(out)
     return df.select("sample_id", "kind", F.col("messages")[0]["content"].alias("user_content"),
                      F.col("messages")[1]["content"].alias("assistant_content"), "text", "input", "output",
@@ -61,8 +64,8 @@ SELECT conv_id, turn, string_agg(coalesce(text, ''), '' ORDER BY turn) OVER (PAR
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM turns"""))
 def q_chunk_assembly(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-chunks")
-    _feed(view(spark, sf_dir, "turns"), src, (F.col("turn") * 2 + F.col("conv_id")) % 3)  # chunks come out of order
-    chunk_stream(spark, src, out, ckpt, max_files=1)
+    _feed(view(spark, sf_dir, "turns"), src, (F.col("turn") * 2 + F.col("conv_id")) % 3,  # chunks come out of order
+          lambda: chunk_stream(spark, src, out, ckpt))
     return spark.read.parquet(out)
 
 
@@ -73,8 +76,7 @@ def q_stream_sessions(spark, sf_dir):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = inputs.agg(F.min(at), F.max(at)).first()
     step = (last - first) // 3 + 1 if first is not None else 1
-    _feed(inputs, src, F.floor((at - F.lit(first or 0)) / step))
-    session_stream(spark, src, out, ckpt, max_files=1)
+    _feed(inputs, src, F.floor((at - F.lit(first or 0)) / step), lambda: session_stream(spark, src, out, ckpt))
     return spark.read.parquet(out)
 
 
@@ -84,6 +86,6 @@ FROM (SELECT {think_features('t')}
       FROM (SELECT coalesce(formatted_response, text, solution, content) AS t FROM fields))"""))
 def q_stream_stats(spark, sf_dir):
     src, out, ckpt = _folders(spark, "stream-stats")
-    _feed(view(spark, sf_dir, "fields"), src, F.col("doc_id") % 3)
-    stats_stream(spark, src, out, ckpt, FIELDS_SCHEMA, max_files=1)
+    _feed(view(spark, sf_dir, "fields"), src, F.col("doc_id") % 3,
+          lambda: stats_stream(spark, src, out, ckpt, FIELDS_SCHEMA))
     return read_stats(spark, out)

@@ -182,3 +182,19 @@ def test_stats_keep_the_last_finished_batch(spark):
     stats_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", "text string", max_files=1)
     assert spark.read.parquet(f"{base}/out").count() == 2  # one row per micro-batch, none overwritten
     assert read_stats(spark, f"{base}/out").first().total_samples == 2
+
+
+def test_deliveries_are_written_by_all_tasks(spark):
+    from corpusmill.plans.stream_queries import _feed
+    base = scratch_path(spark, "t-feed")
+    df = spark.range(0, 600, numPartitions=6).selectExpr("id AS doc_id", "concat('<think>', id, '</think>') AS text")
+    files, rows = [], []
+
+    def take():
+        stats_stream(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", "doc_id long, text string")
+        files.append(len(spark.read.text(f"{base}/in").inputFiles()))
+        rows.append(read_stats(spark, f"{base}/out").first().total_samples)
+
+    _feed(df, f"{base}/in", F.col("doc_id") % 3, take)
+    assert files == [6, 12, 18] and rows == [200, 400, 600]  # a file per task, one micro-batch per delivery
+    assert spark.read.parquet(f"{base}/out").count() == 3
