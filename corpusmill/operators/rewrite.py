@@ -3,8 +3,8 @@
 The transformer is any callable ``fn(request) -> str | None`` (raise on a
 failed call).  ``request`` is a dict with ``sample_id``, ``attempt``, ``kind``
 (primary / focus), ``text`` (the stripped solution) and ``messages`` (the
-prompt).  Calls run inside ``mapInPandas`` with a bounded thread pool per
-task; every call is logged as a row (sample_id, attempt, kind, status, text)
+prompt).  Calls run inside ``mapInArrow`` (``mapInPandas`` with a log that is
+committed) with a bounded thread pool per task; every call is logged as a row (sample_id, attempt, kind, status, text)
 and the accept rule is then evaluated relationally (``choose_candidate``).
 """
 
@@ -17,8 +17,10 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
@@ -164,10 +166,25 @@ def rewrite(df: DataFrame, transformer, key: str = "sample_id", col: str = "solu
 
     def run(batches):
         with open_pool() as pool:
-            for pdf in batches:
-                yield log(pool, pdf)
+            for batch in batches:
+                for piece in _pieces(batch):
+                    yield pa.RecordBatch.from_pandas(log(pool, piece.to_pandas()), LOG_ARROW, preserve_index=False)
+
+    return df.select(F.col(key).cast("bigint").alias(key), col).mapInArrow(run, LOG_SCHEMA)
+
+
+PIECE_BYTES = 4 << 20  # texts that a task of ``rewrite`` holds as Python objects at a time, one text at least
+
 
-    return df.select(F.col(key).cast("bigint").alias(key), col).mapInPandas(run, LOG_SCHEMA)
+def _pieces(batch: pa.RecordBatch):
+    """Slices of a batch (key, text) of at most PIECE_BYTES of text, whatever the batch holds."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype("int64"))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 TASK_ROWS = 500  # rows per task, up to MAX_TASKS tasks; beyond that tasks are longer

@@ -215,3 +215,14 @@ def test_sentence_rows_split_every_text_once(spark):
         (1, 0, 3, None, False), (1, 1, 4, None, False), (3, 0, None, 1, False), (3, 1, None, 2, False), (3, 2, None, 2, False)]
     above, generate, below = out._jdf.queryExecution().optimizedPlan().toString().partition("Generate ")
     assert generate and "split(" not in above and "split(" in below  # nothing of a text is done again for each of its rows
+
+
+def test_rewrite_holds_pieces_of_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    from corpusmill.operators import rewrite as m
+    monkeypatch.setattr(m, "PIECE_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"sample_id": list(range(7)), "solution": ["aaaa", "bbbbbb", "c", "d" * 30, None, "그그그", "ee"]})
+    pieces = list(m._pieces(batch))
+    assert [p.column(0).to_pylist() for p in pieces] == [[0, 1], [2], [3], [4, 5], [6]]
+    assert list(m._pieces(batch.slice(0, 0))) == [] and [p.num_rows for p in m._pieces(batch.slice(3, 3))] == [1, 2]
