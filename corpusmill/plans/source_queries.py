@@ -11,7 +11,7 @@ from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import table, view, with_views
 from corpusmill.plans.registry import query
 from corpusmill.plans.rewrite_queries import APPLIED, REWRITABLE, lexicon_mapping, rewrite_ctes
-from corpusmill.session import scratch_path
+from corpusmill.session import scratch_path, scratch_table
 from corpusmill.sources.datasets import (read_dataset, run_manifest, sanitize_name, write_dataset,
                                          write_original, write_rewritten)
 from corpusmill.sources.jsonl import read_jsonl, write_jsonl
@@ -70,7 +70,8 @@ def q_paired_sinks(spark, sf_dir):
     source = view(spark, sf_dir, "samples")
     n_rows = source.select("sample_id").count()
     original = write_original(source, out_dir, "documents", "train", None, n_rows)
-    selected = read_jsonl(spark, original, SAMPLES_SCHEMA)  # the selection is made once
+    # the selection is made once, and the file is parsed once for the steps that take it
+    selected = scratch_table(read_jsonl(spark, original, SAMPLES_SCHEMA), "selected")
     log = run_rewrite(selected.filter(rewritable()), LexiconTransformer(lexicon_mapping(spark, sf_dir)),
                       f"{out_dir}/attempt_log", retry_delay=0.0, max_concurrent=1)
     rewritten = apply_verdict(selected, choose_candidate(selected, log, with_original=False))

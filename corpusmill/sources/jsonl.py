@@ -30,25 +30,26 @@ def numbered(some: DataFrame, raw: DataFrame) -> DataFrame:
     """``some`` lines of ``placed_lines(raw)`` with ``line``, counted from 1 in
     their file.  A split is read in order by one task, so a line's number is
     the number of lines in earlier splits of its file (prefix sums over one row
-    per split) plus its distance from the split's first row.  Blank lines
-    count."""
+    per split, which go to every task) plus its distance from the split's first
+    row.  Blank lines count."""
     splits = placed_lines(raw).groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     splits = splits.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("before"))
-    return (some.join(splits, ["file", "block"])
+    return (some.join(F.broadcast(splits), ["file", "block"])
             .withColumn("line", F.col("before") + F.col("at") - F.col("first") + 1).drop("before", "first"))
 
 
 def parse_lines(lines: DataFrame, schema: StructType | str) -> DataFrame:
     """(value, file, row, bad): ``row`` by the schema; ``bad`` if the line is
     not one JSON object with values of the declared types.  Works on batches
-    and streams."""
+    and streams.  A line is parsed in a generator, behind which no filter moves,
+    so that the test and the row share the one parse."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     wide = StructType([*fields.fields, StructField(_BAD, StringType())])
     parsed = F.from_json("value", wide, {**_OPTIONS, "columnNameOfCorruptRecord": _BAD})
     # the whole line is one value: inside brackets it is an array of one object
     alone = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), "array<struct<_:string>>", _OPTIONS)
-    out = lines.withColumn("row", parsed)
+    out = lines.withColumn("row", F.explode(F.array(parsed)))
     bad = (F.substring(strip("value"), 1, 1) != "{") | F.col("row").isNull() | F.col(f"row.{_BAD}").isNotNull() \
         | (F.coalesce(F.size(alone), F.lit(0)) != 1)
     return out.withColumn("bad", F.coalesce(bad, F.lit(True))).withColumn("row", F.col("row").dropFields(_BAD))
@@ -71,18 +72,16 @@ def read_jsonl(spark: SparkSession, path, schema: StructType | str, mode: str =
     returns ``(rows, bad_lines)``; ``bad_lines`` has (file, line, value).  A
     value of another type than declared makes a line bad.  A missing path fails
     at once.  JSON null stays null.  Line numbers cost a pass that counts lines
-    per split; it runs only with what reads the bad lines."""
+    per split without parsing them; it does not run for the rows of a report."""
     raw = spark.read.text(path)
     parsed = parse_lines(placed_lines(raw).filter(~is_blank("value")), schema)
     if mode not in ("strict", "report"):
         raise ValueError("mode must be 'strict' or 'report'")
-    rows, bad = parsed.filter(~F.col("bad")).select("row.*"), parsed.filter("bad")
     if mode == "report":
-        return rows, numbered(bad.select("file", "block", "at", "value"), raw).select("file", "line", "value")
-    # the lines that are bad fail the job with their number; usually there are none
+        bad = parsed.filter("bad").select("file", "block", "at", "value")
+        return parsed.filter(~F.col("bad")).select("row.*"), numbered(bad, raw).select("file", "line", "value")
     place = F.concat(F.col("file"), F.lit(" line "), F.col("line").cast("string"))
-    failing = numbered(bad.select("file", "block", "at", "value", "row"), raw).filter(_fail(F.col("line") > 0, place))
-    return rows.unionByName(failing.select("row.*"))
+    return numbered(parsed, raw).filter(_fail(F.col("bad"), place)).select("row.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> str:
