@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.tokens import SPECIAL_TOKENS, tokenize
@@ -23,6 +26,31 @@ PAD_TOKEN = "<|endoftext|>"
 # every task; their number and size are fixed, whatever the vocabulary
 HEAD_TOKENS = 1 << 16
 HEAD_TOKEN_BYTES = 64
+LOOKUP_ROWS = 512  # rows whose tokens a task looks up at once
+
+
+def _head_ids(head: pa.Table):
+    """For ``mapInArrow`` over (key, row, tokens): (key, row, ids, tail).  Tokens
+    of the head have their id; the others are in ``tail``, and where the n-th of
+    a row stood (n from 0) is -2 - n."""
+    known = head["token"].combine_chunks()
+    numbers = np.append(head["id"].to_numpy(), 0).astype("int32")
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, LOOKUP_ROWS):
+                key, row, lists = batch.slice(at, LOOKUP_ROWS).columns
+                flat = lists.flatten()
+                ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+                found = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+                seen = np.append(0, np.cumsum(found < 0))  # tail tokens before each token
+                ids = np.where(found < 0, -2 - (seen[:-1] - np.repeat(seen[ends[:-1]], np.diff(ends))), numbers[found])
+                tail = flat.filter(pa.array(found < 0))
+                yield pa.RecordBatch.from_arrays(
+                    [key, row, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                     pa.ListArray.from_arrays(pa.array(seen[ends], pa.int32()), tail)], ["key", "row", "ids", "tail"])
+
+    return run
 
 
 def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "sample_id",
@@ -31,26 +59,41 @@ def encode(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "samp
     """H3: tokens -> ids, cut on the right to ``max_length``; (key, input_ids).
     ``key`` must be unique.
 
-    Every token is looked up once, as a row of its own: those of the
-    vocabulary's head in a broadcast table of fixed size, the others in one
-    shuffle join, which frequent tokens therefore never reach.  What returns
-    per row are numbers, the position in the high half and the id in the low
-    half; sorting them merges both sides into the ids.  ``tokens_col`` reuses a
-    tokenized column."""
+    A task looks the tokens of its rows up in the vocabulary's head, which has a
+    fixed size.  Only the others become rows of their own, for one shuffle join,
+    which frequent tokens therefore never reach; their ids return by key and take
+    the places kept for them.  ``tokens_col`` reuses a tokenized column."""
     if tokens_col is None:
         df, tokens_col = tokenized(df, text, key, special), "tokens"
     # bytes first, count second: a long token must not use up the head's places
     known = vocab.select("token", F.col("token_id").cast("int").alias("id"))
     in_head = (F.col("id") < HEAD_TOKENS) & (F.octet_length("token") <= HEAD_TOKEN_BYTES)
-    tokens = df.select(key, F.posexplode_outer(F.slice(tokens_col, 1, max_length)).alias("at", "token"))
-    head = known.filter(in_head).select("token", F.col("id").alias("_head"))
-    first = tokens.join(F.broadcast(head), "token", "left")
-    done = F.col("token").isNull() | F.col("_head").isNotNull()  # a row without tokens has one without a position
-    code = F.shiftleft(F.col("at").cast("bigint"), 32).bitwiseOR(F.coalesce("id", F.lit(unk_id)).cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    tail = first.filter(~done).select(key, "at", "token").join(known.filter(~in_head), "token", "left").select(key, code.alias("c"))
-    codes = first.filter(done).select(key, "at", F.col("_head").alias("id")).select(key, code.alias("c")).unionByName(tail)
-    merged = codes.groupBy(key).agg(F.sort_array(F.collect_list("c")).alias("_codes"))
-    return merged.select(key, F.transform("_codes", lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int")).alias("input_ids"))
+    head = pa.Table.from_pandas(known.filter(in_head).toPandas(), pa.schema({"token": pa.string(), "id": pa.int32()}), preserve_index=False)
+    tokens = df.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.slice(tokens_col, 1, max_length).alias("tokens"))
+    key_type = df.schema[key].dataType.simpleString()
+    first = scratch_table(tokens.mapInArrow(_head_ids(head), f"key {key_type}, row bigint, ids array<int>, tail array<string>"), "head-ids")
+    tail = first.select("key", "row", F.posexplode("tail").alias("n", "token")).join(known.filter(~in_head), "token", "left")
+    both = first.select("key", F.struct("row", "ids").alias("own"), F.lit(None).cast("struct<row:bigint,n:int,id:int>").alias("late")).unionByName(
+        tail.select("key", F.lit(None).cast("struct<row:bigint,ids:array<int>>").alias("own"),
+                    F.struct("row", "n", F.coalesce("id", F.lit(unk_id)).alias("id")).alias("late")))
+    merged = both.groupBy("key").agg(F.collect_list("own").alias("own"), F.sort_array(F.collect_list("late")).alias("late"))
+    return merged.select(F.col("key").alias(key), _in_place("own", "late").alias("input_ids"))
+
+
+def _in_place(own: str, late: str) -> Column:
+    """The ids of a key: those of its row, with the late ones at their places.
+    Rows that share a key are merged by position, then id."""
+    def whole(ids, found):  # ``found`` is looked into for every late id, so it must be a value, no expression
+        return F.transform(ids, lambda i: F.when(i < -1, F.get(found, -2 - i)["id"]).otherwise(i))
+
+    def code(i, at):
+        return F.shiftleft(at.cast("bigint"), 32).bitwiseOR(i.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    only = F.get(own, F.lit(0))["ids"]
+    rows = F.transform(own, lambda o: F.struct(o["ids"].alias("ids"), F.filter(late, lambda x: x["row"] == o["row"]).alias("found")))
+    codes = F.sort_array(F.flatten(F.transform(rows, lambda r: F.transform(whole(r["ids"], r["found"]), code))))
+    merged = F.transform(codes, lambda c: F.shiftright(F.shiftleft(c, 32), 32).cast("int"))
+    return F.when(F.size(own) > 1, merged).when(F.size(late) == 0, only).otherwise(whole(only, F.col(late)))
 
 
 def with_labels(df: DataFrame) -> DataFrame:

@@ -86,8 +86,11 @@ def h_batches(toks):
     return padded_lengths(token_lengths(toks, max_length=MAX_LENGTH), epoch_plan(toks, seed=SEED))
 
 
-def _ids_text(c):
-    return F.array_join(F.col(c).cast("array<string>"), " ")
+def _ids_text(c, sep=" "):
+    """The numbers of an array joined by ``sep``: its JSON text, which holds no
+    string for each number, with other separators."""
+    text = F.to_json(c)
+    return F.replace(F.substr(text, F.lit(2), F.octet_length(text) - 2), F.lit(","), F.lit(sep))
 
 
 @query("keep_essential", with_views(["noisy"], f"""
@@ -176,7 +179,7 @@ def q_pad_batch(spark, sf_dir):
     enc = encode(toks, vocab, tokens_col="tokens", max_length=MAX_LENGTH)
     b = pad_batch(enc, h_batches(toks), pad_token_id(vocab))
     return b.select("sample_id", "epoch", "batch_id", "n_tokens", "padded_len", _ids_text("input_ids").alias("input_ids"),
-                    _ids_text("labels").alias("labels"), F.array_join(F.col("attention_mask").cast("array<string>"), "").alias("mask"))
+                    _ids_text("labels").alias("labels"), _ids_text("attention_mask", "").alias("mask"))
 
 
 @query("epoch_plan", with_views(["samples"], "SELECT * FROM plan", {**EFFECTIVE, "plan": PLAN_SQL}))

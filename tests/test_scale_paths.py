@@ -71,3 +71,21 @@ def test_bad_lexicons_are_refused(spark):
         lexicon.collect_mapping(view(spark, SF_SMALL, "lexicon"), limit=2)
     empty = spark.createDataFrame([], "term string, target string, hybrid string")
     assert lexicon.lexicon_rewrite_table(df, "text", "doc_id", empty).first().rewritten == "the"
+
+
+def test_encoder_shuffles_no_frequent_token(spark, monkeypatch):
+    """Only tokens outside the head become rows; repeated and null keys merge."""
+    texts = [(1, "the cat the dog"), (2, ""), (3, None), (4, "zebra the yak zebra"), (5, "the one"), (5, "the two the"), (None, "a b")]
+    df = spark.createDataFrame(texts, "sample_id long, text string")
+    vocab = build_vocab(df, "text").filter("token <> 'yak'")
+    ids = {r.token: r.token_id for r in vocab.collect()} | {"yak": -1}
+    monkeypatch.setattr(batches, "LOOKUP_ROWS", 2)
+    for size in (0, 1, 3, 1 << 16):
+        monkeypatch.setattr(batches, "HEAD_TOKENS", size)
+        enc = batches.encode(df, vocab)
+        got = {r.sample_id: list(r.input_ids) for r in enc.collect()}
+        assert got[1] == [ids[t] for t in ("the", "cat", "the", "dog")] and got[4] == [ids[t] for t in ("zebra", "the", "yak", "zebra")]
+        assert got[2] == got[3] == [] and got[None] == [ids["a"], ids["b"]]
+        assert got[5] == [ids["the"]] * 2 + sorted([ids["one"], ids["two"]]) + [ids["the"]]
+    assert "Generate explode" not in enc._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(tail" in enc._jdf.queryExecution().optimizedPlan().toString()  # of the tail alone
