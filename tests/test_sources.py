@@ -124,3 +124,12 @@ def test_bad_lines_are_numbered_over_several_splits(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_strict_read_parses_a_line_once(spark, tmp_dir):
+    from corpusmill.sources.jsonl import read_jsonl
+    spark.createDataFrame([('{"a": 1, "b": "x"}',), (" ",), ('{"a": null, "b": "y"}',)], "value string").coalesce(1).write.text(tmp_dir + "/once")
+    df = read_jsonl(spark, tmp_dir + "/once", "a long, b string")
+    assert sorted(df.collect(), key=lambda r: r.b) == [(1, "x"), (None, "y")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(_bad_line") == 1  # one parse by the schema, for the test and the row
