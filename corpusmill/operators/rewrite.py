@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import col_of, is_blank, split_sentences, strip
 from corpusmill.operators.lexicon import lexicon_rewrite_table, rewrite_text
-from corpusmill.session import scratch_table
+from corpusmill.session import scratch_scope, scratch_table, shuffles_dropped
 
 # Our own prompt wording; callers normally pass their own.
 DEFAULT_SYSTEM_PROMPT = (
@@ -217,7 +217,7 @@ def _commits(log_uri: str, open_pool, log, commit_rows: int):
                     if fs.get_file_info(name).type == pafs.FileType.NotFound:
                         made = pa.Table.from_pandas(log(pool, piece), LOG_ARROW, preserve_index=False)
                         temporary = f"{root}/_{keys}-{uuid.uuid4().hex}"
-                        pq.write_table(made, temporary, filesystem=fs)
+                        pq.write_table(made, temporary, filesystem=fs, compression="zstd")
                         fs.move(temporary, name)
                     yield pd.DataFrame({"n": [len(piece)]})
 
@@ -225,29 +225,31 @@ def _commits(log_uri: str, open_pool, log, commit_rows: int):
 
 
 def run_rewrite(df: DataFrame, transformer, log_path: str, task_rows: int = TASK_ROWS, commit_rows: int = COMMIT_ROWS,
-                key: str = "sample_id", col: str = "solution", **kwargs) -> DataFrame:
+                key: str = "sample_id", col: str = "solution", stored: bool = False, **kwargs) -> DataFrame:
     """D3 with a persisted log and restart.
 
-    Rows already in the log are skipped.  The others are written once, dealt by
+    Rows already in the log are skipped.  The others are written once (not if
+    ``stored``: ``df`` reads files that stay as they are meanwhile), dealt by
     key to tasks of about ``task_rows`` and called in one job by the whole
-    cluster.  Every task commits its pieces of at most ``commit_rows`` to the log
-    by itself, so a failure, of a task or of the job, loses the calls of the
-    pieces at work and nothing else.  The log folder must be on storage that
-    ``pyarrow.fs`` opens."""
+    cluster; what was written and shuffled for that is deleted after it.  Every
+    task commits its pieces of at most ``commit_rows`` to the log by itself, so a
+    failure, of a task or of the job, loses the calls of the pieces at work and
+    nothing else.  The log folder must be on storage that ``pyarrow.fs`` opens."""
     spark = df.sparkSession
     todo = df.select(F.col(key).cast("bigint").alias(key), col)
     log = read_log(spark, log_path)
     if log is not None:
         todo = todo.join(log.select(F.col("sample_id").alias(key)).distinct(), key, "left_anti")
-    todo = scratch_table(todo, "calls-to-make")
-    # an empty part makes the folder and tells its address in full
-    spark.createDataFrame([], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
-    log_uri = spark.read.schema(LOG_SCHEMA).parquet(log_path).inputFiles()[0].rpartition("/")[0]
-    log_uri = re.sub("^s3[an]:", "s3:", log_uri)
-    tasks = min(MAX_TASKS, max(1, -(-todo.count() // task_rows)))
-    # the same rows in the same order whenever a task is run again
-    dealt = todo.repartition(tasks, key).sortWithinPartitions(key, col)
-    dealt.mapInPandas(_commits(log_uri, *_caller(transformer, **kwargs), commit_rows), "n bigint").agg(F.sum("n")).collect()
+    with scratch_scope(spark), shuffles_dropped(spark):
+        todo = todo if stored else scratch_table(todo, "calls-to-make")
+        # an empty part makes the folder and tells its address in full
+        spark.createDataFrame([], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)
+        log_uri = spark.read.schema(LOG_SCHEMA).parquet(log_path).inputFiles()[0].rpartition("/")[0]
+        log_uri = re.sub("^s3[an]:", "s3:", log_uri)
+        tasks = min(MAX_TASKS, max(1, -(-todo.count() // task_rows)))
+        # the same rows in the same order whenever a task is run again
+        dealt = todo.repartition(tasks, key).sortWithinPartitions(key, col)
+        dealt.mapInPandas(_commits(log_uri, *_caller(transformer, **kwargs), commit_rows), "n bigint").agg(F.sum("n")).collect()
     return read_log(spark, log_path)
 
 

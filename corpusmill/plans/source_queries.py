@@ -11,7 +11,7 @@ from corpusmill.plans import sqltext as Q
 from corpusmill.plans.fixtures import table, view, with_views
 from corpusmill.plans.registry import query
 from corpusmill.plans.rewrite_queries import APPLIED, REWRITABLE, lexicon_mapping, rewrite_ctes
-from corpusmill.session import scratch_path, scratch_table
+from corpusmill.session import ScratchParts, path_bytes, scratch_path, scratch_scope, shuffles_dropped
 from corpusmill.sources.datasets import (read_dataset, run_manifest, sanitize_name, write_dataset,
                                          write_original, write_rewritten)
 from corpusmill.sources.jsonl import read_jsonl, write_jsonl
@@ -53,6 +53,19 @@ def q_sanitize_name(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", sanitize_name("url").alias("name"))
 
 
+PART_BYTES = 64 << 20  # of the packed selection for each part of the keys, up to MAX_PARTS parts
+MAX_PARTS = 4
+
+
+def _rewritten_parts(selected: ScratchParts, log):
+    """The rewritten rows of one part after the other; the selection of a part
+    is deleted when the next one is asked for."""
+    for at in range(selected.parts):
+        some = selected.part(at)
+        yield apply_verdict(some, choose_candidate(some, selected.part(at, log), with_original=False))
+        selected.drop(at)
+
+
 _A5 = dict(REWRITABLE)
 _A5.update(rewrite_ctes("todo", "sample_id", "sol", "todo_rw"))
 
@@ -66,16 +79,20 @@ SELECT 'code_switched', s.sample_id,
   CASE WHEN r.sample_id IS NULL THEN s.answer ELSE coalesce(s.answer, '') END
 FROM samples s LEFT JOIN todo_rw r USING (sample_id)""", _A5))
 def q_paired_sinks(spark, sf_dir):
+    """Both files are packed, and the rewrite meets the selection a part of the
+    keys at a time: plain lines, or one shuffle of all texts, take more disk than
+    four times the table."""
     out_dir = scratch_path(spark, "paired")
     source = view(spark, sf_dir, "samples")
     n_rows = source.select("sample_id").count()
-    original = write_original(source, out_dir, "documents", "train", None, n_rows)
-    # the selection is made once, and the file is parsed once for the steps that take it
-    selected = scratch_table(read_jsonl(spark, original, SAMPLES_SCHEMA), "selected")
-    log = run_rewrite(selected.filter(rewritable()), LexiconTransformer(lexicon_mapping(spark, sf_dir)),
-                      f"{out_dir}/attempt_log", retry_delay=0.0, max_concurrent=1)
-    rewritten = apply_verdict(selected, choose_candidate(selected, log, with_original=False))
-    rewritten_path = write_rewritten(rewritten, out_dir, "documents", "train", None, n_rows)
+    original = write_original(source, out_dir, "documents", "train", None, n_rows, compression="gzip")
+    parts = min(MAX_PARTS, 1 + path_bytes(spark, original) // PART_BYTES)
+    with scratch_scope(spark), shuffles_dropped(spark):
+        # the selection is made once, and the file is parsed once for the steps that take it
+        selected = ScratchParts(read_jsonl(spark, original, SAMPLES_SCHEMA), "selected", "sample_id", parts)
+        log = run_rewrite(selected.table().filter(rewritable()), LexiconTransformer(lexicon_mapping(spark, sf_dir)),
+                          f"{out_dir}/attempt_log", stored=True, retry_delay=0.0, max_concurrent=1)
+        rewritten_path = write_rewritten(_rewritten_parts(selected, log), out_dir, "documents", "train", None, n_rows, compression="gzip")
     cols = ["sample_id", "question", "solution", "answer"]
     a = read_jsonl(spark, original, SAMPLES_SCHEMA).select(F.lit("original").alias("file"), *cols)
     b = read_jsonl(spark, rewritten_path, SAMPLES_SCHEMA).select(F.lit("code_switched").alias("file"), *cols)

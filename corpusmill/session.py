@@ -10,7 +10,8 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import SparkConf, SparkContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -145,10 +146,39 @@ def scratch_scope(spark: SparkSession):
         yield
     finally:
         _SCOPES.pop()
-        sc = _context(spark)
-        if sc is not None:
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of scratch, if there is one."""
+    sc = _context(spark)
+    if sc is not None:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files below ``path``."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of a query that is built and run inside are deleted when it
+    ends, not when the driver happens to collect its garbage.  For queries that
+    are run once: another run would make them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
@@ -157,3 +187,32 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class ScratchParts:
+    """``df`` as Parquet in scratch, a folder for each of ``parts`` parts of its
+    keys, for steps that join by ``key`` and would otherwise need disk for a
+    shuffle of everything at once.  Rows of a key (and those without one) are in
+    one part; ``part`` takes the same part of another table.  A part can be
+    deleted when it is done."""
+
+    def __init__(self, df: DataFrame, name: str, key: str, parts: int):
+        self.spark, self.key, self.parts = df.sparkSession, key, parts
+        self.path = scratch_path(self.spark, name)
+        dealt = df.withColumn("_part", self._number(key))
+        dealt.write.option("compression", "zstd").partitionBy("_part").parquet(self.path)
+        self._table = self.spark.read.schema(dealt.schema).parquet(self.path)
+
+    def _number(self, key: str) -> Column:
+        # not the hash that shuffles deal by: a part would fill only some of their partitions
+        return F.pmod(F.xxhash64(key), F.lit(self.parts)).cast("int")
+
+    def table(self) -> DataFrame:
+        return self._table.drop("_part")
+
+    def part(self, at: int, other: DataFrame | None = None) -> DataFrame:
+        """Part ``at`` of this table, or of ``other``, whose key has the same type."""
+        return self._table.filter(F.col("_part") == at).drop("_part") if other is None else other.filter(self._number(self.key) == at)
+
+    def drop(self, at: int) -> None:
+        drop_path(self.spark, f"{self.path}/_part={at}")

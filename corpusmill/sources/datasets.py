@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -99,17 +100,18 @@ def output_filename(name: str, split: str, subset: str | None, n_rows: int, pref
 
 
 def write_original(selected: DataFrame, out_dir: str, name: str, split: str, subset: str | None,
-                   n_rows: int) -> str:
+                   n_rows: int, compression: str | None = None) -> str:
     """A5, first half: the selected input rows, written before any call."""
     path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, ORIGINAL)}"
-    return write_jsonl(selected, path)
+    return write_jsonl(selected, path, compression)
 
 
-def write_rewritten(rewritten: DataFrame, out_dir: str, name: str, split: str, subset: str | None,
-                    n_rows: int) -> str:
-    """A5, second half: the rewritten rows, written after the rewrite."""
+def write_rewritten(rewritten: DataFrame | Iterable[DataFrame], out_dir: str, name: str, split: str, subset: str | None,
+                    n_rows: int, compression: str | None = None) -> str:
+    """A5, second half: the rewritten rows, written after the rewrite, whole or
+    part after part."""
     path = f"{out_dir.rstrip('/')}/{output_filename(name, split, subset, n_rows, REWRITTEN)}"
-    return write_jsonl(rewritten, path)
+    return write_jsonl(rewritten, path, compression)
 
 
 def outcome_counts() -> list[Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -13,6 +15,8 @@ _BAD = "_bad_line"
 # double quotes only; of a repeated key the last value counts
 _OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true", "mode": "PERMISSIVE"}
 
+PACKED_ROWS = 20_000  # in a compressed file at most; such a file cannot be split
+
 
 def text_lines(raw: DataFrame) -> DataFrame:
     """(value, file) of a text source; lines blank after strip are skipped."""
@@ -84,8 +88,24 @@ def read_jsonl(spark: SparkSession, path, schema: StructType | str, mode: str =
     return numbered(parsed, raw).filter(_fail(F.col("bad"), place)).select("row.*")
 
 
-def write_jsonl(df: DataFrame, path: str) -> str:
+def write_jsonl(df: DataFrame | Iterable[DataFrame], path: str, compression: str | None = None) -> str:
     """A2: one object per line, non-ASCII unescaped, nulls written, target
-    replaced, parents created; a directory of part files (one per task)."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    replaced, parents created; a directory of part files (one per task).
+
+    ``compression="gzip"`` packs the same lines (about a quarter of the disk);
+    such files are read whole by a task, so none holds more than PACKED_ROWS.
+    Of several DataFrames one is taken and written after the other, each task a
+    file; the directory gets its ``_SUCCESS`` after the last."""
+    several = not isinstance(df, DataFrame)
+    for n, part in enumerate(df if several else [df]):
+        out = part.write.mode("append" if n else "overwrite").option("ignoreNullFields", "false")
+        if compression:
+            out = out.options(**{"compression": compression, "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": PACKED_ROWS})
+        if several:
+            out = out.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        out.json(path)
+    if several:
+        sc = part.sparkSession.sparkContext
+        done = sc._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        done.getFileSystem(sc._jsc.hadoopConfiguration()).create(done).close()
     return path
